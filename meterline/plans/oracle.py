@@ -1,0 +1,112 @@
+"""DuckDB oracle text for the registered queries.
+
+Each query is written independently in plain SQL over the driver's views;
+the adapters of :mod:`meterline.plans.adapters` are restated as CTEs so the
+oracle never calls Spark code. Fragments are composed with :func:`with_`.
+"""
+
+from __future__ import annotations
+
+from ..sources.prices import price_values
+
+EV = """ev AS (
+  SELECT event_id, ts, user_id, event_type,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         CAST(floor(value * 100) AS BIGINT) AS amt,
+         epoch_us(ts) AS us
+  FROM events)"""
+
+TOK = """tok AS (
+  SELECT *, amt AS input_tokens,
+         (amt * (k % 50)) // 100 AS cached_input_tokens,
+         CASE WHEN event_type = 'click' THEN (amt * (k % 10)) // 100 END AS cache_write_input_tokens,
+         CAST(10 * k + event_id % 97 AS BIGINT) AS output_tokens,
+         ((10 * k + event_id % 97) * (k % 40)) // 100 AS reasoning_output_tokens,
+         CAST(amt + 10 * k + event_id % 97 AS BIGINT) AS total_tokens,
+         CASE WHEN event_type = 'signup' AND k % 11 = 0 THEN 'ts-' || CAST(event_id AS VARCHAR)
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS ts_raw,
+         CASE event_type WHEN 'click' THEN 'gpt-5.6-sol' WHEN 'purchase' THEN 'gpt-5.5'
+              WHEN 'view' THEN 'gpt-5.4-mini' WHEN 'signup' THEN 'grok-4.6'
+              WHEN 'error' THEN 'unlisted' END AS model0,
+         CASE event_type WHEN 'click' THEN 'gpt-5.5' WHEN 'purchase' THEN 'gpt-5.4-mini'
+              WHEN 'view' THEN 'gpt-5.6-sol' WHEN 'signup' THEN 'unlisted'
+              WHEN 'error' THEN 'grok-4.6' END AS model1
+  FROM ev)"""
+
+PLACE = """place AS (
+  SELECT *, CASE WHEN user_id % 9 = 0 THEN 'archived_sessions/u' || user_id || '.jsonl'
+                 ELSE 'sessions/u' || user_id || '/rollout.jsonl' END AS path,
+         model0 AS model, TRUE AS home FROM tok
+  UNION ALL
+  SELECT *, 'sessions/u' || user_id || '-fork/rollout.jsonl', model1, FALSE FROM tok
+  WHERE event_id % 25 = 0
+  UNION ALL
+  SELECT *, 'archived_sessions/b' || (user_id % 4) || '/rollout.jsonl', model0, FALSE FROM tok
+  WHERE event_id % 40 = 0)"""
+
+# Active files, and archived files whose basename no active file has.
+FILES = """files AS (
+  SELECT DISTINCT path, starts_with(path, 'archived_sessions/') AS is_archived,
+         regexp_extract(path, '([^/]*)$', 1) AS basename
+  FROM place),
+kept_files AS (
+  SELECT path, is_archived FROM files f
+  WHERE NOT is_archived
+     OR NOT EXISTS (SELECT 1 FROM files a WHERE NOT a.is_archived AND a.basename = f.basename))"""
+
+# S3: usage rows with the model carried from the file's last turn_context.
+RECS = """lines AS (
+  SELECT p.path, p.us * 4 AS ord, p.model AS ctx_model, NULL AS is_usage, p.* EXCLUDE (path, model)
+  FROM place p JOIN kept_files USING (path) WHERE p.k % 3 = 0
+  UNION ALL
+  SELECT p.path, p.us * 4 + 1, NULL, TRUE, p.* EXCLUDE (path, model)
+  FROM place p JOIN kept_files USING (path)),
+recs AS (
+  SELECT l.*, k2.is_archived,
+         coalesce(last_value(ctx_model IGNORE NULLS) OVER (
+           PARTITION BY l.path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           'unknown') AS model
+  FROM lines l JOIN kept_files k2 USING (path)),
+usage AS (
+  SELECT path, ord, is_archived, ts_raw, model, input_tokens, cached_input_tokens,
+         cache_write_input_tokens, output_tokens, reasoning_output_tokens, total_tokens
+  FROM recs WHERE is_usage)"""
+
+# First in discovery order per (raw timestamp, six raw values).
+KEPT = """ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY ts_raw, input_tokens, cached_input_tokens, cache_write_input_tokens,
+                 output_tokens, reasoning_output_tokens, total_tokens
+    ORDER BY is_archived, string_split(path, '/'), ord) AS rn
+  FROM usage),
+kept AS (
+  SELECT path, ord, ts_raw, model,
+         input_tokens AS input, cached_input_tokens AS cached_input,
+         coalesce(cache_write_input_tokens, 0) AS cache_write_input,
+         output_tokens AS output, reasoning_output_tokens AS reasoning_output,
+         total_tokens AS total
+  FROM ranked WHERE rn = 1)"""
+
+LONG = """long AS (
+  SELECT model, ts_raw, token_type, value FROM kept
+  UNPIVOT (value FOR token_type IN (input, cached_input, cache_write_input, output,
+                                     reasoning_output, total))
+  WHERE value > 0)"""
+
+TOTALS = """totals AS (
+  SELECT model, token_type, CAST(sum(value) AS BIGINT) AS value FROM long
+  GROUP BY model, token_type)"""
+
+LEDGER = [EV, TOK, PLACE, FILES, RECS, KEPT, LONG, TOTALS]
+
+
+def prices_cte() -> str:
+    rows = ",\n    ".join(
+        f"('{s}', '{m}', '{t}', CAST('{p}' AS DECIMAL(12,6)), CAST('{u:f}' AS DECIMAL(18,12)), '{tier}')"
+        for s, m, t, p, u, tier in price_values())
+    return ("prices AS (SELECT * FROM (VALUES\n    " + rows +
+            "\n  ) AS v(source, model, type, price, usd_per_token, pricing_tier))")
+
+
+def with_(ctes: list[str], body: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + body
