@@ -54,18 +54,26 @@ def hourly_parse_errors(kept: DataFrame) -> DataFrame:
         F.sum(F.col("ts").isNull().cast("bigint")).alias("parse_errors"))
 
 
-def history_summary(hourly: DataFrame, grid: DataFrame) -> DataFrame:
-    """Samples, active hours, models, first/last active hour and the
-    final cumulative input+output over all models."""
-    s = hourly.agg(F.countDistinct("t").cast("bigint").alias("hours"),
-                   F.countDistinct("model").cast("bigint").alias("models"),
-                   F.min("t").alias("first_hour"), F.max("t").alias("last_hour"))
-    n = grid.agg(F.count("*").cast("bigint").alias("samples"))
-    last_t = grid.agg(F.max("t").alias("t_end"))
-    fin = (grid.join(F.broadcast(last_t), grid.t == last_t.t_end)
-           .where(F.col("type").isin("input", "output"))
-           .agg(F.sum("value").cast("bigint").alias("final_input_output")))
-    return s.crossJoin(n).crossJoin(fin)
+def history_summary(hourly: DataFrame, raw_grid: DataFrame, end: int) -> DataFrame:
+    """Emitted samples (five categories per model-hour), active hours,
+    models, first and last active hour, and the final cumulative
+    input+output over all models (the grid row at ``end - 1h``).
+    One aggregate over the union of both inputs; no join."""
+    h = hourly.select("t", "model", F.lit(None).cast("string").alias("token_type"),
+                      F.lit(None).cast("bigint").alias("value"), F.lit(True).alias("_h"))
+    g = raw_grid.select("t", "model", "token_type", "value", F.lit(False).alias("_h"))
+    u = h.unionByName(g)
+    is_h = F.col("_h")
+    return u.agg(
+        F.sum(F.when(~is_h & (F.col("token_type") == "input"), F.lit(5)).otherwise(F.lit(0)))
+        .cast("bigint").alias("samples"),
+        F.count_distinct(F.when(is_h, F.col("t"))).cast("bigint").alias("hours"),
+        F.count_distinct(F.when(is_h, F.col("model"))).cast("bigint").alias("models"),
+        F.min(F.when(is_h, F.col("t"))).alias("first_hour"),
+        F.max(F.when(is_h, F.col("t"))).alias("last_hour"),
+        F.sum(F.when(~is_h & (F.col("t") == end - 3600) &
+                     F.col("token_type").isin("input", "output"), F.col("value"))
+              .otherwise(F.lit(0))).cast("bigint").alias("final_input_output"))
 
 
 def compact_deltas(points: DataFrame, batch: Column) -> DataFrame:
@@ -95,6 +103,12 @@ def merge_histograms(points: DataFrame, batch: Column) -> DataFrame:
     return base.join(arr, ["batch_t", *keys, "bounds"], "inner")
 
 
+def _le_text(b: Column) -> Column:
+    """Bucket bound as exposition text: integral bounds print without a
+    fraction ("10", not "10.0")."""
+    return F.when(b == F.floor(b), F.floor(b).cast("bigint").cast("string")).otherwise(b.cast("string"))
+
+
 def bucket_series(hist: DataFrame, count_col: str = "bucket_counts",
                   keep: Sequence[str] = ()) -> DataFrame:
     """A5: per-bucket counts -> cumulative ``le`` series; the last bucket is
@@ -105,8 +119,7 @@ def bucket_series(hist: DataFrame, count_col: str = "bucket_counts",
                       lambda i: F.aggregate(F.slice(count_col, 1, i + 1), F.lit(0).cast("bigint"),
                                             lambda acc, x: acc + x))
     les = F.transform(F.sequence(F.lit(0), n - 1),
-                      lambda i: F.when(i < F.size("bounds"),
-                                       F.format_string("%s", F.element_at("bounds", i + 1)))
+                      lambda i: F.when(i < F.size("bounds"), _le_text(F.element_at("bounds", i + 1)))
                       .otherwise(F.lit("+Inf")))
     pairs = F.arrays_zip(les.alias("le"), cum.alias("count"))
     return hist.select(*keep, F.inline(pairs))

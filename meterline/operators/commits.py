@@ -23,41 +23,54 @@ STATE_MAX_AGE = 86_400       # a pre-call snapshot older than this expires
 MAX_EVENT_RECORDS = 10_000   # commit event log cap
 
 
-def may_create_commit(command: str | None) -> bool:
-    """Whether shell text runs git with a commit-capable subcommand.
-
-    Small per-row helper (shell word splitting); used inside
-    :func:`commit_verb` as an Arrow-batched filter column.
-    """
-    if not command:
-        return False
-    try:
-        tokens = shlex.split(command, comments=True, posix=True)
-    except ValueError:
-        tokens = command.replace(";", " ").replace("&&", " ").split()
-    for i, tok in enumerate(tokens):
-        if tok.rsplit("/", 1)[-1] != "git":
-            continue
-        j = i + 1
-        while j < len(tokens):
-            cand = tokens[j]
-            if cand in SEPARATORS:
-                break
-            if cand in GIT_OPTIONS_WITH_VALUE:
-                j += 2
-                continue
-            if cand.startswith("-"):
-                j += 1
+def _commit_checker(subcommands=frozenset(COMMIT_SUBCOMMANDS),
+                    with_value=frozenset(GIT_OPTIONS_WITH_VALUE), separators=frozenset(SEPARATORS)):
+    """Builds the per-row shell-text test as a closure over plain values, so
+    it ships to Python workers by value (no package import needed there)."""
+    import shlex
+
+    def may_create_commit(command):
+        if not command:
+            return False
+        try:
+            tokens = shlex.split(command, comments=True, posix=True)
+        except ValueError:
+            tokens = command.replace(";", " ").replace("&&", " ").split()
+        for i, tok in enumerate(tokens):
+            if tok.rsplit("/", 1)[-1] != "git":
                 continue
-            if cand in COMMIT_SUBCOMMANDS:
-                return True
-            break
-    return False
+            j = i + 1
+            while j < len(tokens):
+                cand = tokens[j]
+                if cand in separators:
+                    break
+                if cand in with_value:
+                    j += 2
+                    continue
+                if cand.startswith("-"):
+                    j += 1
+                    continue
+                if cand in subcommands:
+                    return True
+                break
+        return False
+
+    return may_create_commit
+
+
+may_create_commit = _commit_checker()
+
+
+def commit_verb(commands):
+    """Arrow-batched filter column: does the shell text run a git verb that
+    can create a commit? (Small per-row helper: shell word splitting.)"""
+    check = _commit_checker()
 
+    @F.pandas_udf(T.BooleanType())
+    def _verb(s: pd.Series) -> pd.Series:
+        return s.map(check).astype(bool)
 
-@F.pandas_udf(T.BooleanType())
-def commit_verb(commands: pd.Series) -> pd.Series:
-    return commands.map(may_create_commit).astype(bool)
+    return _verb(commands)
 
 
 def pair_tool_calls(tool_calls: DataFrame, verb: Column | None = None) -> DataFrame:
@@ -119,5 +132,8 @@ def append_commit_events(existing: DataFrame, new: DataFrame,
     # so the ordered take is bounded.
     first = fresh.orderBy("order").limit(cap)
     ranked = first.withColumn("_rn", F.row_number().over(Window.orderBy("order")))
-    return ranked.crossJoin(F.broadcast(room)).where(F.col("_rn") <= F.col("_room")) \
+    # ``room`` is a one-row aggregate joined on a constant key.
+    return ranked.withColumn("_k", F.lit(1)) \
+        .join(F.broadcast(room.withColumn("_k", F.lit(1))), "_k") \
+        .where(F.col("_rn") <= F.col("_room")) \
         .select("dedupe_id", F.lit("codex.git.commit").alias("event"), "order")

@@ -35,18 +35,19 @@ def dedup_replays(records: DataFrame) -> DataFrame:
 
 
 def scan_stats(records: DataFrame, kept: DataFrame) -> DataFrame:
-    """Files scanned, parse errors, duplicates removed, kept records."""
-    per = records.agg(
-        F.countDistinct("path").alias("files_scanned"),
-        F.sum(F.col("is_error").cast("bigint")).alias("parse_errors"),
-        F.sum((~F.col("is_error")).cast("bigint")).alias("records_total"))
-    k = kept.agg(F.count("*").alias("records_kept"))
-    return per.crossJoin(k).select(
-        F.col("files_scanned").cast("bigint").alias("files_scanned"),
-        F.coalesce("parse_errors", F.lit(0)).cast("bigint").alias("parse_errors"),
-        (F.coalesce("records_total", F.lit(0)) - F.col("records_kept")).cast("bigint")
-        .alias("duplicate_records"),
-        F.col("records_kept").cast("bigint").alias("records_kept"),
+    """Files scanned, parse errors, duplicates removed, kept records and
+    the ok flag, as one aggregate over records plus kept-record markers."""
+    r = records.select("path", "is_error", F.lit(False).alias("_kept"))
+    k = kept.select(F.lit(None).cast("string").alias("path"), F.lit(False).alias("is_error"),
+                    F.lit(True).alias("_kept"))
+    u = r.unionByName(k)
+    n_kept = F.sum(F.col("_kept").cast("bigint"))
+    n_usage = F.sum((~F.col("_kept") & ~F.col("is_error")).cast("bigint"))
+    return u.agg(
+        F.count_distinct("path").cast("bigint").alias("files_scanned"),
+        F.sum((~F.col("_kept") & F.col("is_error")).cast("bigint")).cast("bigint").alias("parse_errors"),
+        (n_usage - n_kept).cast("bigint").alias("duplicate_records"),
+        n_kept.cast("bigint").alias("records_kept"),
         F.lit(1).cast("int").alias("scan_ok"))
 
 

@@ -2,10 +2,10 @@
 
 A sample table has label columns, ``t`` (unix seconds, BIGINT) and
 ``value`` (DOUBLE). Series identity is every column except ``t`` and
-``value`` unless ``keys`` is given. Per-series ordered scans go through
-:mod:`meterline.functions.prefix` with day slices, so a hot series is split
-across tasks; range evaluation is bucketed aggregation, never a per-series
-sort of raw samples.
+``value`` unless ``keys`` is given. Series here are compacted: at most one
+sample per series and scrape / arrival batch (A3 pre-aggregates raw points
+map-side first), so an ordered window per series is bounded by the time
+span, not by data volume; range evaluation is bucketed aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import carry_last, lag_value, running_sum
 from ..functions.scalars import prom_round
 
 DAY = 86_400
@@ -26,8 +25,12 @@ def series_keys(df: DataFrame, keys: Sequence[str] | None = None) -> list[str]:
     return list(keys) if keys is not None else [c for c in df.columns if c not in ("t", "value")]
 
 
-def _day(t: str = "t") -> Column:
-    return F.floor(F.col(t) / DAY)
+def _w(keys):
+    return Window.partitionBy(*keys).orderBy("t")
+
+
+def _upto(keys):
+    return _w(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
@@ -37,7 +40,12 @@ def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
     A stream idle for more than ``max_stale`` seconds restarts from its next
     delta. Streams beyond ``max_streams`` (ranked by first arrival, then by
     labels) are dropped, as the collector refuses new streams at its cap;
-    the top-``max_streams`` stream list is a bounded, broadcastable set.
+    the admitted list is at most ``max_streams`` rows, so it is broadcast.
+
+    Input deltas are compacted (A3: one row per stream and arrival batch),
+    so a stream holds at most one row per batch however hot it is; the
+    per-stream window is bounded by the time span, not by data volume. All
+    three window expressions share one partitioning: one shuffle.
     """
     keys = series_keys(deltas, keys)
     df = deltas
@@ -45,15 +53,13 @@ def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
         firsts = df.groupBy(*keys).agg(F.min("t").alias("_first"))
         admitted = firsts.orderBy("_first", *keys).limit(max_streams).drop("_first")
         df = df.join(F.broadcast(admitted), keys, "left_semi")
-    df = lag_value(df, keys, ["t"], {"_prev_t": "t"}, bucket=_day())
-    df = df.withColumn("_restart", F.col("_prev_t").isNotNull() &
-                       ((F.col("t") - F.col("_prev_t")) > max_stale))
-    df = running_sum(df, keys, ["t"], "value", "_total", bucket=_day())
-    df = carry_last(df, keys, ["t"],
-                    F.when(F.col("_restart"), F.col("_total") - F.col("value")),
-                    "_base", bucket=_day())
-    return df.withColumn("value", (F.col("_total") - F.coalesce("_base", F.lit(0))).cast("double")) \
-        .drop("_prev_t", "_restart", "_total", "_base")
+    restart = F.coalesce((F.col("t") - F.lag("t").over(_w(keys))) > max_stale, F.lit(False))
+    df = df.withColumn("_restart", restart) \
+        .withColumn("_total", F.sum("value").over(_upto(keys)))
+    base = F.last(F.when(F.col("_restart"), F.col("_total") - F.col("value")), ignorenulls=True) \
+        .over(_upto(keys))
+    return df.withColumn("value", (F.col("_total") - F.coalesce(base, F.lit(0))).cast("double")) \
+        .drop("_restart", "_total")
 
 
 def expire(samples: DataFrame, now: int, ttl: int = 25 * HOUR,
@@ -68,9 +74,11 @@ def expire(samples: DataFrame, now: int, ttl: int = 25 * HOUR,
 
 def counter_steps(samples: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """T4 helper: the growth credited at each sample from its predecessor;
-    a drop is a reset (growth from 0); a series' first sample adds 0."""
+    a drop is a reset (growth from 0); a series' first sample adds 0.
+    Samples come one per scrape or arrival batch, so a series' window is
+    bounded by the time span."""
     keys = series_keys(samples, keys)
-    df = lag_value(samples, keys, ["t"], {"_prev": "value"}, bucket=_day())
+    df = samples.withColumn("_prev", F.lag("value").over(_w(keys)))
     step = (F.when(F.col("_prev").isNull(), F.lit(0.0))
             .when(F.col("value") < F.col("_prev"), F.col("value"))
             .otherwise(F.col("value") - F.col("_prev")))
@@ -182,8 +190,8 @@ def hourly_grid(hourly: DataFrame, end: int, fields: Sequence[str]) -> DataFrame
     grid = first.select("model", F.explode(F.sequence(
         F.col("_first"), F.lit(end - HOUR).cast("bigint"), F.lit(HOUR).cast("bigint"))).alias("t"))
     filled = grid.join(wide, ["t", "model"], "left").na.fill(0, subset=list(fields))
-    for f in fields:
-        filled = running_sum(filled, ["model"], ["t"], f, f, bucket=_day())
+    # one row per model and hour: the window is bounded by the time span
+    filled = filled.select("t", "model", *[F.sum(f).over(_upto(["model"])).alias(f) for f in fields])
     return filled.unpivot(["t", "model"], list(fields), "token_type", "value") \
         .withColumn("value", F.col("value").cast("bigint"))
 

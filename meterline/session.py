@@ -25,6 +25,8 @@ def build_session(master: str = "local[*]", partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(partitions)
     conf["spark.ui.enabled"] = "false"
+    if master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
