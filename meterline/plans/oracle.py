@@ -77,10 +77,13 @@ KEPT = """ranked AS (
   SELECT *, row_number() OVER (
     PARTITION BY ts_raw, input_tokens, cached_input_tokens, cache_write_input_tokens,
                  output_tokens, reasoning_output_tokens, total_tokens
-    ORDER BY is_archived, string_split(path, '/'), ord) AS rn
+    ORDER BY is_archived, string_split(path, '/'), ord) AS rn,
+    count(*) OVER (
+    PARTITION BY ts_raw, input_tokens, cached_input_tokens, cache_write_input_tokens,
+                 output_tokens, reasoning_output_tokens, total_tokens) AS copies
   FROM usage),
 kept AS (
-  SELECT path, ord, ts_raw, model,
+  SELECT path, ord, ts_raw, model, CAST(copies AS BIGINT) AS copies,
          input_tokens AS input, cached_input_tokens AS cached_input,
          coalesce(cache_write_input_tokens, 0) AS cache_write_input,
          output_tokens AS output, reasoning_output_tokens AS reasoning_output,
@@ -109,4 +112,686 @@ def prices_cte() -> str:
 
 
 def with_(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    """``WITH ctes body``; a body that opens with more CTEs continues the list."""
+    head = body.lstrip()
+    sep = "\n" if head[:6].upper() == "SELECT" else ",\n"
+    return "WITH " + ",\n".join(ctes) + sep + head
+
+
+# ---- ledger history ----------------------------------------------------------
+
+END = 1706572800          # backfill cutoff 2024-01-30T00:00:00Z
+NOW = 1706659200          # instant evaluation time 2024-01-31T00:00:00Z
+TOKS = "input, cached_input, cache_write_input, output, reasoning_output, total"
+
+HOURLY = f"""parsed AS (
+  SELECT *, TRY_CAST(replace(ts_raw, 'Z', '') AS TIMESTAMP) AS pts FROM kept),
+hourly AS (
+  SELECT (epoch_us(pts) // 1000000) // 3600 * 3600 AS t, model, token_type,
+         CAST(sum(value) AS BIGINT) AS value
+  FROM parsed UNPIVOT (value FOR token_type IN ({TOKS}))
+  WHERE pts IS NOT NULL AND pts < TIMESTAMP '2024-01-30 00:00:00' AND value > 0
+  GROUP BY ALL)"""
+
+GRID = f"""firsts AS (SELECT model, min(t) AS f FROM hourly GROUP BY model),
+grid AS (SELECT model, unnest(generate_series(f, CAST({END - 3600} AS BIGINT), 3600)) AS t FROM firsts),
+wide AS (
+  SELECT t, model,
+         sum(value) FILTER (WHERE token_type = 'input') AS input,
+         sum(value) FILTER (WHERE token_type = 'cached_input') AS cached_input,
+         sum(value) FILTER (WHERE token_type = 'cache_write_input') AS cache_write_input,
+         sum(value) FILTER (WHERE token_type = 'output') AS output,
+         sum(value) FILTER (WHERE token_type = 'reasoning_output') AS reasoning_output,
+         sum(value) FILTER (WHERE token_type = 'total') AS total
+  FROM hourly GROUP BY t, model),
+gridw AS (
+  SELECT g.t, g.model, coalesce(w.input, 0) AS input, coalesce(w.cached_input, 0) AS cached_input,
+         coalesce(w.cache_write_input, 0) AS cache_write_input, coalesce(w.output, 0) AS output,
+         coalesce(w.reasoning_output, 0) AS reasoning_output, coalesce(w.total, 0) AS total
+  FROM grid g LEFT JOIN wide w USING (t, model)),
+cum AS (
+  SELECT t, model, sum(input) OVER w AS input, sum(cached_input) OVER w AS cached_input,
+         sum(cache_write_input) OVER w AS cache_write_input, sum(output) OVER w AS output,
+         sum(reasoning_output) OVER w AS reasoning_output, sum(total) OVER w AS total
+  FROM gridw
+  WINDOW w AS (PARTITION BY model ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+grid_long AS (
+  SELECT t, model, token_type, CAST(value AS BIGINT) AS value
+  FROM cum UNPIVOT (value FOR token_type IN ({TOKS}))),
+hist AS (
+  SELECT t, model, greatest(input - cached_input - cache_write_input, 0) AS input,
+         cached_input AS cacheRead, cache_write_input AS cacheCreation,
+         greatest(output - reasoning_output, 0) AS output, reasoning_output
+  FROM cum),
+hist_long AS (
+  SELECT t, model, type, CAST(value AS BIGINT) AS value
+  FROM hist UNPIVOT (value FOR type IN (input, cacheRead, cacheCreation, output, reasoning_output)))"""
+
+HISTORY = LEDGER + [HOURLY, GRID]
+
+# ---- collector lane and samples ---------------------------------------------------
+
+LABELS = ["agent_name", "decision", "effort", "is_git", "model", "start_type", "token_type", "type"]
+LAB = ", ".join(LABELS)
+SLAB = "env, " + LAB + ", le"          # sample label columns
+CONTRACT = (r"^(claude_code[.](token[.]usage|cost[.]usage|commit[.]count|pull_request[.]count"
+            r"|lines_of_code[.]count|code_edit_tool[.]decision|active_time[.]total|session[.]count)"
+            r"|codex[.](turn[.]token_usage|thread[.]started)|grok_code[.]token[.]usage)$")
+SERIES = [
+    ("claude_code.token.usage", "claude_code_token_usage_tokens_total"),
+    ("claude_code.cost.usage", "claude_code_cost_usage_USD_total"),
+    ("claude_code.commit.count", "claude_code_commit_count_total"),
+    ("claude_code.pull_request.count", "claude_code_pull_request_count_total"),
+    ("claude_code.lines_of_code.count", "claude_code_lines_of_code_count_total"),
+    ("claude_code.code_edit_tool.decision", "claude_code_code_edit_tool_decision_total"),
+    ("claude_code.active_time.total", "claude_code_active_time_seconds_total"),
+    ("claude_code.session.count", "claude_code_session_count_total"),
+    ("codex.turn.token_usage", "codex_turn_token_usage"),
+    ("codex.thread.started", "codex_thread_started_total"),
+    ("grok_code.token.usage", "grok_code_token_usage_total"),
+    ("codex.git.commit.count", "codex_git_commit_count_total"),
+]
+NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SERIES) + \
+    ") AS v(metric, series))"
+
+PTS = f"""pts AS (
+  SELECT event_id, user_id, k, amt, us, event_type,
+    CASE WHEN event_type = 'click' THEN 'claude_code.token.usage'
+         WHEN event_type = 'purchase' THEN (['claude_code.session.count', 'claude_code.commit.count',
+              'claude_code.pull_request.count', 'claude_code.lines_of_code.count',
+              'claude_code.code_edit_tool.decision', 'claude_code.active_time.total',
+              'claude_code.cost.usage'])[k % 7 + 1]
+         WHEN event_type = 'view' AND k % 4 = 3 THEN 'codex.thread.started'
+         WHEN event_type = 'view' THEN 'codex.turn.token_usage'
+         WHEN event_type = 'signup' THEN 'grok_code.token.usage'
+         ELSE 'unknown.metric' END AS metric,
+    (event_type = 'view' AND k % 4 <> 3) AS is_hist,
+    CASE WHEN user_id % 10 = 0 THEN 2 ELSE 1 END AS temporality,
+    'env-' || (user_id % 2) AS env,
+    CASE WHEN event_type = 'click' THEN CASE k % 7 WHEN 0 THEN 'reviewer' WHEN 1 THEN 'planner' ELSE '' END
+         WHEN event_type = 'purchase' AND k % 7 = 6 THEN
+              CASE (k // 7) % 3 WHEN 0 THEN 'reviewer' WHEN 1 THEN 'planner' ELSE '' END
+         ELSE '' END AS agent_name,
+    CASE WHEN event_type = 'purchase' AND k % 7 = 4 THEN CASE WHEN k % 2 = 0 THEN 'accept' ELSE 'reject' END
+         ELSE '' END AS decision,
+    CASE WHEN event_type = 'click' THEN (['', 'low', 'medium', 'high', 'high'])[k % 5 + 1] ELSE '' END AS effort,
+    CASE WHEN event_type = 'view' AND k % 4 = 3 THEN CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END
+         ELSE '' END AS is_git,
+    CASE WHEN event_type = 'click' OR (event_type = 'purchase' AND k % 7 = 6)
+              THEN (['claude-sonnet-4', 'claude-opus-4', 'claude-opus-4[1m]'])[k % 3 + 1]
+         WHEN event_type = 'view' AND k % 4 <> 3 THEN 'gpt-5.6-sol'
+         WHEN event_type = 'signup' THEN CASE WHEN k % 5 = 4 THEN 'grok-code-fast' ELSE 'grok-4.6' END
+         ELSE '' END AS model,
+    CASE WHEN event_type = 'purchase' AND k % 7 = 0 THEN CASE WHEN k % 2 = 0 THEN 'fresh' ELSE 'agents_view' END
+         ELSE '' END AS start_type,
+    CASE WHEN event_type = 'view' AND k % 4 <> 3 THEN (['input', 'output', 'total'])[k % 3 + 1]
+         ELSE '' END AS token_type,
+    CASE WHEN event_type = 'click' THEN (['input', 'output', 'cacheRead', 'cacheCreation'])[k % 4 + 1]
+         WHEN event_type = 'purchase' AND k % 7 = 3 THEN CASE WHEN k % 2 = 0 THEN 'added' ELSE 'removed' END
+         WHEN event_type = 'purchase' AND k % 7 = 5 THEN CASE WHEN k % 2 = 0 THEN 'user' ELSE 'cli' END
+         WHEN event_type = 'signup' THEN (['input', 'cache_read', 'output', 'reasoning'])[k % 4 + 1]
+         ELSE '' END AS type,
+    CASE WHEN event_type = 'purchase' AND k % 7 = 6 THEN amt / 100.0
+         WHEN (event_type = 'purchase' AND k % 7 IN (0, 1, 2, 4)) OR (event_type = 'view' AND k % 4 = 3) THEN 1.0
+         ELSE CAST(amt AS DOUBLE) END AS value,
+    CAST(amt <= 1000 AS BIGINT) AS b0, CAST(amt > 1000 AND amt <= 2000 AS BIGINT) AS b1,
+    CAST(amt > 2000 AS BIGINT) AS b2,
+    (us // 60000000 + 1) * 60 AS batch_t
+  FROM ev),
+adm AS (SELECT * FROM pts WHERE regexp_matches(metric, '{CONTRACT}') AND temporality = 1),
+sumd AS (
+  SELECT batch_t, metric, env, {LAB}, sum(value) AS value
+  FROM adm WHERE NOT is_hist GROUP BY ALL),
+hd AS (
+  SELECT batch_t, metric, env, {LAB}, count(*) AS h_count, sum(CAST(amt AS DOUBLE)) AS h_sum,
+         sum(b0) AS b0, sum(b1) AS b1, sum(b2) AS b2
+  FROM adm WHERE is_hist GROUP BY ALL)"""
+
+K_OTLP = "metric, part, " + SLAB
+
+
+def t1(src: str, keys: str, out: str) -> str:
+    """T1 in SQL: stream cap, stale restart and running sum."""
+    return f"""{out}_adm AS (
+  SELECT {keys} FROM (SELECT {keys}, min(t) AS f FROM {src} GROUP BY ALL)
+  ORDER BY f, {keys} LIMIT 10000),
+{out}_a AS (SELECT * FROM {src} SEMI JOIN {out}_adm USING ({keys})),
+{out}_b AS (
+  SELECT *, coalesce(t - lag(t) OVER (PARTITION BY {keys} ORDER BY t) > 86400, false) AS restart,
+         sum(value) OVER (PARTITION BY {keys} ORDER BY t ROWS UNBOUNDED PRECEDING) AS total
+  FROM {out}_a),
+{out} AS (
+  SELECT *, total - coalesce(last_value(CASE WHEN restart THEN total - value END IGNORE NULLS) OVER (
+             PARTITION BY {keys} ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS cum
+  FROM {out}_b)"""
+
+
+DROWS = f"""drows AS (
+  SELECT metric, '' AS part, env, {LAB}, '' AS le, batch_t AS t, value FROM sumd
+  UNION ALL SELECT metric, 'sum', env, {LAB}, '', batch_t, h_sum FROM hd
+  UNION ALL SELECT metric, 'count', env, {LAB}, '', batch_t, CAST(h_count AS DOUBLE) FROM hd
+  UNION ALL SELECT metric, 'bucket', env, {LAB}, '1000', batch_t, CAST(b0 AS DOUBLE) FROM hd
+  UNION ALL SELECT metric, 'bucket', env, {LAB}, '2000', batch_t, CAST(b0 + b1 AS DOUBLE) FROM hd
+  UNION ALL SELECT metric, 'bucket', env, {LAB}, '+Inf', batch_t, CAST(b0 + b1 + b2 AS DOUBLE) FROM hd)"""
+
+OTLP_SAMPLES = f"""otlp_samples AS (
+  SELECT CASE WHEN part = '' THEN series ELSE series || '_' || part END AS name, {SLAB}, t,
+         CAST(cum AS DOUBLE) AS value
+  FROM otlp_cum JOIN names USING (metric))"""
+
+COMMITS = f"""clog AS (
+  SELECT 'env-' || (user_id % 2) AS env, (us // 60000000 + 1) * 60 AS t FROM ev
+  WHERE event_type = 'purchase'),
+cdel AS (
+  SELECT 'codex.git.commit.count' AS metric, env, t, CAST(count(*) AS DOUBLE) AS value
+  FROM clog GROUP BY ALL),
+{t1('cdel', 'metric, env', 'commit_cum')},
+commit_samples AS (
+  SELECT 'codex_git_commit_count_total' AS name, env, '' AS agent_name, '' AS decision, '' AS effort,
+         '' AS is_git, '' AS model, '' AS start_type, '' AS token_type, '' AS type, '' AS le, t,
+         CAST(cum AS DOUBLE) AS value
+  FROM commit_cum)"""
+
+LEDGER_SAMPLES = """ledger_samples AS (
+  SELECT 'codex_ledger_token_usage_total' AS name, 'env-0' AS env, '' AS agent_name, '' AS decision,
+         '' AS effort, '' AS is_git, model, '' AS start_type, token_type, '' AS type, '' AS le, t,
+         CAST(value AS DOUBLE) AS value
+  FROM grid_long)"""
+
+SAMPLES = f"""samples AS (
+  SELECT name, {SLAB}, t, value FROM otlp_samples
+  UNION ALL SELECT name, {SLAB}, t, value FROM commit_samples
+  UNION ALL SELECT name, {SLAB}, t, value FROM ledger_samples)"""
+
+STEPS = f"""steps AS (
+  SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS step
+  FROM (SELECT *, lag(value) OVER (PARTITION BY name, {SLAB} ORDER BY t) AS prev FROM samples)),
+inc1h AS (
+  SELECT name, {SLAB}, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS t, sum(step) AS value
+  FROM steps GROUP BY ALL)"""
+
+COLLECT = [EV, PTS, DROWS, NAMES, t1("drows", K_OTLP, "otlp_cum"), OTLP_SAMPLES]
+ALL = LEDGER + [HOURLY, GRID] + [PTS, DROWS, NAMES, t1("drows", K_OTLP, "otlp_cum"), OTLP_SAMPLES,
+                                 COMMITS, LEDGER_SAMPLES, SAMPLES, STEPS]
+
+
+def latest(now: int, src: str = "samples", name: str = "latest") -> str:
+    return f"""{name} AS (
+  SELECT name, {SLAB}, max(t) AS t, arg_max(value, t) AS value FROM {src}
+  WHERE t <= {now} GROUP BY name, {SLAB} HAVING max(t) > {now} - 90000)"""
+
+
+CODEX_DIS = """codex_w AS (
+  SELECT model,
+         sum(value) FILTER (WHERE token_type = 'input') AS input,
+         sum(value) FILTER (WHERE token_type = 'cached_input') AS cached_input,
+         sum(value) FILTER (WHERE token_type = 'cache_write_input') AS cache_write_input,
+         sum(value) FILTER (WHERE token_type = 'output') AS output,
+         sum(value) FILTER (WHERE token_type = 'reasoning_output') AS reasoning_output
+  FROM totals GROUP BY model),
+codex_dis AS (
+  SELECT 'codex' AS source, model, type, CAST(value AS DOUBLE) AS value FROM (
+    SELECT model,
+           CASE WHEN input IS NOT NULL THEN greatest(input - coalesce(
+             CASE WHEN cached_input IS NULL AND cache_write_input IS NULL THEN NULL
+                  ELSE coalesce(cached_input, 0) + coalesce(cache_write_input, 0) END, 0), 0) END AS input,
+           cached_input AS cacheRead, cache_write_input AS cacheCreation,
+           CASE WHEN output IS NOT NULL THEN greatest(output - coalesce(reasoning_output, 0), 0) END AS output,
+           reasoning_output
+    FROM codex_w) UNPIVOT (value FOR type IN (input, cacheRead, cacheCreation, output, reasoning_output)))"""
+
+GROK = f"""{latest(NOW)},
+grok_latest AS (SELECT env, model, type, value FROM latest WHERE name = 'grok_code_token_usage_total'),
+grok_w AS (
+  SELECT env, model,
+         sum(value) FILTER (WHERE type = 'input') AS input,
+         sum(value) FILTER (WHERE type = 'cache_read') AS cache_read,
+         sum(value) FILTER (WHERE type = 'output') AS output,
+         sum(value) FILTER (WHERE type = 'reasoning') AS reasoning
+  FROM grok_latest GROUP BY env, model),
+grok_dis AS (
+  SELECT 'grok_code' AS source, env, model, type, value FROM (
+    SELECT env, model,
+           CASE WHEN input IS NOT NULL THEN greatest(input - coalesce(cache_read, 0.0), 0.0) END AS input,
+           cache_read AS cacheRead,
+           CASE WHEN output IS NOT NULL THEN greatest(output - coalesce(reasoning, 0.0), 0.0) END AS output,
+           reasoning AS reasoning_output
+    FROM grok_w) UNPIVOT (value FOR type IN (input, cacheRead, output, reasoning_output))),
+{CODEX_DIS},
+claude_latest AS (
+  SELECT 'claude_code' AS source, env, model, type, effort, agent_name, value FROM latest
+  WHERE name = 'claude_code_token_usage_tokens_total'),
+ai AS (
+  SELECT source, env, model, type, effort, agent_name, value FROM claude_latest
+  UNION ALL SELECT source, 'env-0', model, type, '', '', value FROM codex_dis
+  UNION ALL SELECT source, env, model, type, '', '', value FROM grok_dis),
+basis AS (
+  SELECT 'codex' AS source, model, type, CAST(tokens AS BIGINT) AS tokens FROM (
+    SELECT model,
+           CASE WHEN input IS NOT NULL THEN greatest(input - coalesce(cached_input, 0)
+                - coalesce(cache_write_input, 0), 0) END AS input,
+           cached_input AS cacheRead, cache_write_input AS cacheCreation, output
+    FROM codex_w) UNPIVOT (tokens FOR type IN (input, cacheRead, cacheCreation, output))
+  UNION ALL
+  SELECT 'grok_code', model, type, CAST(tokens AS BIGINT) FROM (
+    SELECT model,
+           CASE WHEN sum(input) IS NOT NULL THEN greatest(sum(input) - coalesce(sum(cache_read), 0.0), 0.0) END AS input,
+           sum(cache_read) AS cacheRead, sum(output) AS output
+    FROM grok_w GROUP BY model) UNPIVOT (tokens FOR type IN (input, cacheRead, output)))"""
+
+# ai_token_usage series over time: Claude, codex backfill categories, grok as-of
+AI_SERIES = """grok_pw AS (
+  SELECT env, model, t,
+         sum(value) FILTER (WHERE type = 'input') AS input,
+         sum(value) FILTER (WHERE type = 'cache_read') AS cache_read,
+         sum(value) FILTER (WHERE type = 'output') AS output,
+         sum(value) FILTER (WHERE type = 'reasoning') AS reasoning
+  FROM samples WHERE name = 'grok_code_token_usage_total' GROUP BY env, model, t),
+grok_c AS (
+  SELECT env, model, t, last_value(input IGNORE NULLS) OVER w AS input,
+         last_value(cache_read IGNORE NULLS) OVER w AS cache_read,
+         last_value(output IGNORE NULLS) OVER w AS output,
+         last_value(reasoning IGNORE NULLS) OVER w AS reasoning
+  FROM grok_pw
+  WINDOW w AS (PARTITION BY env, model ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+grok_series AS (
+  SELECT 'grok_code' AS source, env, model, type, '' AS effort, '' AS agent_name, t, value FROM (
+    SELECT env, model, t,
+           CASE WHEN input IS NOT NULL THEN greatest(input - coalesce(cache_read, 0.0), 0.0) END AS input,
+           cache_read AS cacheRead,
+           CASE WHEN output IS NOT NULL THEN greatest(output - coalesce(reasoning, 0.0), 0.0) END AS output,
+           reasoning AS reasoning_output
+    FROM grok_c) UNPIVOT (value FOR type IN (input, cacheRead, output, reasoning_output))),
+claude_series AS (
+  SELECT 'claude_code' AS source, env, model, type, effort, agent_name, t, value FROM samples
+  WHERE name = 'claude_code_token_usage_tokens_total'),
+codex_series AS (
+  SELECT 'codex' AS source, 'env-0' AS env, model, type, '' AS effort, '' AS agent_name, t,
+         CAST(value AS DOUBLE) AS value FROM hist_long),
+ai_series AS (
+  SELECT * FROM claude_series UNION ALL SELECT * FROM codex_series UNION ALL SELECT * FROM grok_series),
+ai_steps AS (
+  SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS step
+  FROM (SELECT *, lag(value) OVER (PARTITION BY source, env, model, type, effort, agent_name ORDER BY t)
+        AS prev FROM ai_series)),
+ai_inc AS (
+  SELECT source, env, model, type, effort, agent_name, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS t,
+         sum(step) AS value
+  FROM ai_steps GROUP BY ALL)"""
+
+THREADS = """th AS (SELECT env, is_git, t, value FROM samples WHERE name = 'codex_thread_started_total'),
+th_d AS (
+  SELECT env, t, sum(value - coalesce(prev, 0.0)) AS d FROM (
+    SELECT *, lag(value) OVER (PARTITION BY env, is_git ORDER BY t) AS prev FROM th) GROUP BY env, t),
+th_series AS (
+  SELECT env, t, sum(d) OVER (PARTITION BY env ORDER BY t ROWS UNBOUNDED PRECEDING) AS value FROM th_d),
+th_inc AS (
+  SELECT CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS t, sum(step) AS value FROM (
+    SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS step
+    FROM (SELECT *, lag(value) OVER (PARTITION BY env ORDER BY t) AS prev FROM th_series))
+  GROUP BY 1)"""
+
+
+def div(a: str, b: str) -> str:
+    """PromQL division: x/0 = +-Inf, 0/0 = NaN."""
+    return (f"CASE WHEN isnan({a}) OR isnan({b}) THEN 'nan'::DOUBLE WHEN {b} <> 0 THEN {a} / {b} "
+            f"WHEN {a} > 0 THEN 'inf'::DOUBLE WHEN {a} < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END")
+
+
+def _hmac_sql(secret: bytes, msg: str) -> str:
+    from ..functions.scalars import _hmac_pads
+    ipad, opad = _hmac_pads(secret)
+    return (f"sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({msg}))))")
+
+
+def claude_hourly(typ: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT t, model, sum(value) AS value FROM inc1h
+  WHERE name = 'claude_code_token_usage_tokens_total' AND type = '{typ}' GROUP BY t, model)"""
+
+
+TOOL_CALLS = """clicks AS (
+  SELECT *, (['git commit -m wip', 'cd app && git -C . commit -am fix', 'git status && ls', 'ls -la'])[k % 4 + 1]
+         AS command,
+         '/work/repo-' || user_id AS cwd, 'repo-' || user_id AS repo,
+         'call-' || event_id AS tool_use_id, 'turn-' || (event_id // 3) AS turn_id,
+         us // 1000000 AS started
+  FROM ev WHERE event_type = 'click'),
+calls AS (
+  SELECT substr(sha256(tool_use_id || chr(0) || turn_id || chr(0) || command || chr(0) || cwd), 1, 24)
+         AS invocation_id, repo, started, started + 3600 AS ended
+  FROM clicks WHERE k % 4 IN (0, 1)),
+commits AS (
+  SELECT 'repo-' || user_id AS repo, sha256('commit-' || event_id) AS sha, us // 1000000 AS committed_at
+  FROM ev WHERE event_type = 'purchase'),
+attributed AS (
+  SELECT c.invocation_id, c.repo, m.sha, m.committed_at, c.started, c.ended
+  FROM calls c JOIN commits m ON c.repo = m.repo
+   AND m.committed_at > c.started AND m.committed_at <= c.ended + 5)"""
+
+
+def oracles() -> dict[str, str]:
+    P = prices_cte()
+    L = LEDGER
+    H = HISTORY
+    A = ALL
+    lab_out = f"name, {SLAB}, t, round(value, 6) AS value"
+    q: dict[str, str] = {}
+
+    # ledger lane
+    q["usage_records"] = with_(L, """SELECT path, ts_raw, model, input_tokens AS input,
+      cached_input_tokens AS cached_input, coalesce(cache_write_input_tokens, 0) AS cache_write_input,
+      output_tokens AS output, reasoning_output_tokens AS reasoning_output, total_tokens AS total
+      FROM usage""")
+    q["dedup_replays"] = with_(L, """SELECT path, ts_raw, model, copies, input, cached_input,
+      cache_write_input, output, reasoning_output, total FROM kept""")
+    q["scan_stats"] = with_(L, """SELECT
+      CAST((SELECT count(*) FROM kept_files) AS BIGINT) AS files_scanned,
+      CAST((SELECT count(*) FROM place p JOIN kept_files USING (path)
+            WHERE p.home AND p.event_type = 'error' AND p.k % 7 = 0) AS BIGINT) AS parse_errors,
+      CAST((SELECT count(*) FROM usage) - (SELECT count(*) FROM kept) AS BIGINT) AS duplicate_records,
+      CAST((SELECT count(*) FROM kept) AS BIGINT) AS records_kept,
+      1 AS scan_ok""")
+    q["ledger_totals"] = with_(L, "SELECT model, token_type, value FROM totals")
+    q["turn_records"] = with_(L, "SELECT model, CAST(count(*) AS BIGINT) AS records FROM kept GROUP BY model")
+    q["hourly_usage"] = with_(L + [HOURLY], "SELECT t, model, token_type, value FROM hourly")
+    q["hourly_grid"] = with_(H, "SELECT t, model, token_type, value FROM grid_long")
+    q["history_summary"] = with_(H, f"""SELECT
+      CAST((SELECT count(*) FROM grid_long WHERE token_type = 'input') * 5 AS BIGINT) AS samples,
+      CAST((SELECT count(DISTINCT t) FROM hourly) AS BIGINT) AS hours,
+      CAST((SELECT count(DISTINCT model) FROM hourly) AS BIGINT) AS models,
+      (SELECT min(t) FROM hourly) AS first_hour, (SELECT max(t) FROM hourly) AS last_hour,
+      CAST((SELECT sum(value) FROM grid_long WHERE t = {END - 3600}
+            AND token_type IN ('input', 'output')) AS BIGINT) AS final_input_output""")
+    q["openmetrics_history"] = with_(H, """SELECT t, model,
+      CAST(list_position(['input', 'cacheRead', 'cacheCreation', 'output', 'reasoning_output'], type) AS INTEGER) AS pos,
+      'ai_token_usage_tokens_total{env="env-0",instance="host.docker.internal:9314",job="codex-ledger",model="'
+        || replace(replace(replace(model, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n')
+        || '",source="codex",type="' || type || '"} ' || value || ' ' || t AS line
+      FROM hist_long
+      UNION ALL SELECT NULL, NULL, NULL, '# EOF'""")
+    q["exposition_text"] = with_(L, """
+      SELECT 0 AS section, '' AS model, 'a' AS token_type,
+        '# HELP codex_ledger_token_usage_total Ledger tokens by model and token_type, replay-deduplicated.' AS line
+      UNION ALL SELECT 0, '', 'b', '# TYPE codex_ledger_token_usage_total counter'
+      UNION ALL SELECT 2, '', 'a', '# HELP codex_ledger_turn_records_total Deduplicated token_count records by model.'
+      UNION ALL SELECT 2, '', 'b', '# TYPE codex_ledger_turn_records_total counter'
+      UNION ALL SELECT 1, model, token_type, 'codex_ledger_token_usage_total{env="env-0",model="' || model
+        || '",token_type="' || token_type || '"} ' || value FROM totals
+      UNION ALL SELECT 3, model, '', 'codex_ledger_turn_records_total{env="env-0",model="' || model
+        || '"} ' || count(*) FROM kept GROUP BY model""")
+    q["corpus_shrunk"] = with_(L, f"""kp AS (
+        SELECT *, TRY_CAST(replace(ts_raw, 'Z', '') AS TIMESTAMP) AS pts,
+               CAST(regexp_extract(path, 'u(\\d+)', 1) AS BIGINT) AS uid FROM kept),
+      daily AS (
+        SELECT (epoch_us(pts) // 1000000) // 86400 - 19723 AS day, (uid % 13 = 0) AS gone, model, token_type,
+               sum(value) AS value
+        FROM kp UNPIVOT (value FOR token_type IN ({TOKS}))
+        WHERE pts IS NOT NULL AND value > 0 GROUP BY ALL),
+      scans AS (SELECT range AS scan FROM range(1, 31)),
+      snap AS (
+        SELECT scan, model, token_type, CAST(sum(value) AS BIGINT) AS value
+        FROM daily JOIN scans ON day < scan AND NOT (gone AND scan >= 20) GROUP BY ALL),
+      prev AS (SELECT scan + 1 AS scan, model, token_type, value AS prev_value FROM snap),
+      cmp AS (
+        SELECT p.scan, CASE WHEN coalesce(s.value, 0) < p.prev_value THEN 1 ELSE 0 END AS d
+        FROM prev p LEFT JOIN snap s USING (scan, model, token_type)),
+      flags AS (SELECT scan, max(d) AS d FROM cmp GROUP BY scan),
+      per AS (SELECT s.scan, coalesce(f.d, 0) AS d FROM (SELECT DISTINCT scan FROM snap) s
+              LEFT JOIN flags f USING (scan))
+      SELECT scan, CAST(max(d) OVER (ORDER BY scan ROWS UNBOUNDED PRECEDING) AS INTEGER) AS shrunk FROM per""")
+    cut = END - 7 * 86400
+    q["splice_check"] = with_(H, f"""h AS (SELECT model, type, max(t) AS history_end FROM hist_long
+                                    WHERE t < {cut} GROUP BY ALL),
+      l AS (SELECT model, type, min(t) AS live_start FROM hist_long WHERE t >= {cut} GROUP BY ALL)
+      SELECT h.model, h.type, history_end, live_start, coalesce(history_end < live_start, false) AS ok
+      FROM h LEFT JOIN l USING (model, type)""")
+
+    # cost
+    G = A + [GROK]
+    q["disjoint_codex"] = with_(L + [CODEX_DIS],
+                                "SELECT source, model, type, round(value, 6) AS value FROM codex_dis")
+    q["disjoint_grok"] = with_(G, "SELECT source, env, model, type, round(value, 6) AS value FROM grok_dis")
+    q["ai_tokens"] = with_(G, """SELECT source, env, model, type, effort, agent_name,
+      round(value, 6) AS value FROM ai""")
+    q["api_cost"] = with_(G + [P], """SELECT b.source, b.model,
+      round(CAST(sum(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token) AS DOUBLE), 9) AS cost_usd
+      FROM basis b JOIN prices p USING (source, model, type) GROUP BY b.source, b.model""")
+    q["ai_cost"] = with_(G + [P], """SELECT b.source, b.model,
+      round(CAST(sum(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token) AS DOUBLE), 9) AS cost_usd,
+      'api_estimate' AS cost_kind
+      FROM basis b JOIN prices p USING (source, model, type) GROUP BY b.source, b.model
+      UNION ALL
+      SELECT 'claude_code', model, round(sum(value), 6), 'emitter_estimate' FROM latest
+      WHERE name = 'claude_code_cost_usage_USD_total' GROUP BY model""")
+    q["unpriced_tokens"] = with_(G + [P], """SELECT source, model, type, CAST(sum(tokens) AS BIGINT) AS tokens
+      FROM basis b WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.source = b.source AND p.model = b.model
+                                     AND p.type = b.type)
+      GROUP BY ALL""")
+    q["cache_hit_rate"] = with_(G, f"""g AS (
+        SELECT source, sum(value) FILTER (WHERE type = 'cacheRead') AS num,
+               sum(value) FILTER (WHERE type IN ('input', 'cacheRead', 'cacheCreation')) AS den
+        FROM ai GROUP BY source)
+      SELECT source, round({div('num', 'den')}, 6) AS hit_rate FROM g
+      WHERE num IS NOT NULL AND den IS NOT NULL""")
+    q["price_join"] = with_(G + [P], """SELECT b.source, b.model, b.type, b.tokens,
+      round(CAST(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token AS DOUBLE), 9) AS cost_usd
+      FROM basis b JOIN prices p USING (source, model, type)""")
+    q["price_at"] = with_(H + [P], """ph AS (
+        SELECT model, type, CAST(usd_per_token * 0.8 AS DECIMAL(18,12)) AS usd_per_token,
+               NULL::DATE AS effective_from, DATE '2024-01-15' AS effective_to
+        FROM prices WHERE source = 'codex'
+        UNION ALL
+        SELECT model, type, usd_per_token, DATE '2024-01-16', NULL::DATE FROM prices WHERE source = 'codex'),
+      hs AS (
+        SELECT model, type, t, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value
+                                    ELSE value - prev END AS step
+        FROM (SELECT model, type, t, CAST(value AS DOUBLE) AS value,
+                     lag(CAST(value AS DOUBLE)) OVER (PARTITION BY model, type ORDER BY t) AS prev
+              FROM hist_long WHERE type <> 'reasoning_output')),
+      hi AS (SELECT model, type, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS t, sum(step) AS value
+             FROM hs GROUP BY ALL)
+      SELECT hi.t, hi.model,
+             round(CAST(sum(CAST(hi.value AS DECIMAL(18,0)) * ph.usd_per_token) AS DOUBLE), 9) AS cost_usd
+      FROM hi JOIN ph ON hi.model = ph.model AND hi.type = ph.type
+       AND coalesce(CAST(epoch_ms(hi.t * 1000) AS DATE) >= ph.effective_from, true)
+       AND coalesce(CAST(epoch_ms(hi.t * 1000) AS DATE) <= ph.effective_to, true)
+      GROUP BY hi.t, hi.model""")
+
+    # collector lane
+    C = [EV, PTS]
+    q["keep_labels"] = with_(C, f"""SELECT event_id, metric, env, {LAB},
+      CAST((agent_name <> '')::INT + (decision <> '')::INT + (effort <> '')::INT + (is_git <> '')::INT
+           + (model <> '')::INT + (start_type <> '')::INT + (token_type <> '')::INT + (type <> '')::INT
+           AS INTEGER) AS n_attrs,
+      1 AS n_resource FROM pts""")
+    q["contract_filter"] = with_(C, """SELECT metric, temporality, CAST(count(*) AS BIGINT) AS points
+      FROM adm GROUP BY ALL""")
+    q["upsert_env"] = with_(C, "SELECT 'prod' AS env, CAST(count(*) AS BIGINT) AS points FROM pts")
+    q["compact_deltas"] = with_(C, f"SELECT batch_t, metric, env, {LAB}, round(value, 6) AS value FROM sumd")
+    q["merge_histograms"] = with_(C, """SELECT batch_t, metric, env, model, token_type,
+      CAST(h_count AS BIGINT) AS h_count, round(h_sum, 6) AS h_sum, CAST(b0 AS BIGINT) AS b0,
+      CAST(b1 AS BIGINT) AS b1, CAST(b2 AS BIGINT) AS b2 FROM hd""")
+    q["bucket_series"] = with_(C, """
+      SELECT batch_t, env, token_type, '1000' AS le, CAST(b0 AS BIGINT) AS count FROM hd
+      UNION ALL SELECT batch_t, env, token_type, '2000', CAST(b0 + b1 AS BIGINT) FROM hd
+      UNION ALL SELECT batch_t, env, token_type, '+Inf', CAST(b0 + b1 + b2 AS BIGINT) FROM hd""")
+    q["delta_to_cumulative"] = with_(COLLECT, f"SELECT {lab_out} FROM otlp_samples")
+    q["series_name"] = with_(A, "SELECT name, CAST(count(*) AS BIGINT) AS samples FROM samples GROUP BY name")
+    q["count_events"] = with_([EV], """SELECT (us // 60000000 + 1) * 60 AS batch_t, 'env-' || (user_id % 2) AS env,
+      'codex.git.commit.count' AS metric, CAST(count(*) AS BIGINT) AS value
+      FROM ev WHERE event_type = 'purchase' GROUP BY ALL""")
+    q["identity_leaks"] = with_([EV], """
+      SELECT 'resource' AS place, 'service.instance.id' AS key, CAST(count(*) AS BIGINT) AS points FROM ev
+      UNION ALL SELECT 'resource', 'user.email', count(*) FROM ev
+      UNION ALL SELECT 'attrs', 'session.id', count(*) FROM ev
+      UNION ALL SELECT 'attrs', 'user.account_uuid', count(*) FROM ev
+      UNION ALL SELECT 'attrs', 'agent_name', count(*) FROM ev WHERE k % 6 = 0""")
+
+    # counters and label algebra
+    q["increase"] = with_(A, f"SELECT {lab_out} FROM inc1h")
+    q["rate_per_hour"] = with_(A, f"""b AS (
+        SELECT name, {SLAB}, CAST(ceil(t / 900.0) * 900 AS BIGINT) AS e, sum(step) AS v FROM steps
+        WHERE name = 'claude_code_token_usage_tokens_total' GROUP BY ALL),
+      f AS (SELECT name, {SLAB}, e + r.k * 900 AS t, v FROM b, (SELECT range AS k FROM range(0, 4)) r)
+      SELECT name, {SLAB}, t, round(sum(v) * 1.0, 6) AS value FROM f GROUP BY ALL""")
+    q["over_time"] = with_(A, f"""b AS (
+        SELECT name, {SLAB}, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e, min(value) AS mn, max(value) AS mx
+        FROM samples GROUP BY ALL),
+      f AS (SELECT name, {SLAB}, e + r.k * 3600 AS t, mn, mx FROM b, (SELECT range AS k FROM range(0, 4)) r)
+      SELECT name, {SLAB}, t, round(min(mn), 6) AS min_value, round(max(mx), 6) AS max_value
+      FROM f GROUP BY ALL""")
+    inst = f"""SELECT name, {SLAB}, e + {{off}} AS t, round(arg_max(value, t), 6) AS value FROM (
+        SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e FROM samples) WHERE t > e - 300
+      GROUP BY name, {SLAB}, e"""
+    q["instant"] = with_(A, inst.format(off=0))
+    q["offset"] = with_(A, inst.format(off=3600))
+    q["expire"] = with_(A + [latest(NOW - 2 * 86400)], f"SELECT {lab_out} FROM latest")
+    q["range_eval"] = with_(A, f"""b AS (
+        SELECT name, {SLAB}, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e, sum(step) AS v FROM steps GROUP BY ALL),
+      f AS (SELECT name, {SLAB}, e + r.k * 3600 AS t, v FROM b, (SELECT range AS k FROM range(0, 4)) r),
+      g AS (SELECT name, {SLAB}, t, sum(v) AS v FROM f GROUP BY ALL)
+      SELECT name, t, round(sum(v), 6) AS value FROM g GROUP BY name, t""")
+    q["first_batch_growth"] = with_(A, f"""cs AS (SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e
+                                              FROM steps WHERE name = 'codex_git_commit_count_total'),
+      bk AS (SELECT env, e, sum(step) AS inc, min(value) AS mn FROM cs GROUP BY env, e),
+      bf AS (SELECT DISTINCT env, e + 3600 AS e FROM cs WHERE t > e - 300),
+      born AS (SELECT e, sum(mn) AS born FROM bk
+               WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.env = bk.env AND bf.e = bk.e) GROUP BY e),
+      inc AS (SELECT e, sum(inc) AS inc FROM bk GROUP BY e)
+      SELECT i.e AS t, round(floor(coalesce(inc, 0.0) + coalesce(born, 0.0) + 0.5), 6) AS value
+      FROM inc i LEFT JOIN born b USING (e)""")
+    LT = A + [latest(NOW)]
+    q["sum_without"] = with_(LT, """SELECT name, env, agent_name, decision, effort, is_git, model, start_type,
+      round(sum(value), 6) AS value FROM latest GROUP BY ALL""")
+    q["sum_by"] = with_(LT, "SELECT name, env, round(sum(value), 6) AS value FROM latest GROUP BY ALL")
+    q["count_by"] = with_(LT, "SELECT name, CAST(count(*) AS DOUBLE) AS value FROM latest GROUP BY name")
+    q["match"] = with_(A, f"""SELECT {lab_out} FROM samples
+      WHERE name = 'claude_code_token_usage_tokens_total' AND effort <> ''
+        AND regexp_full_match(model, 'claude-opus.*') AND NOT regexp_full_match(type, 'cache.*')""")
+    q["relabel"] = with_(A, """SELECT 'ai_session_count_total' AS name, 'claude_code' AS source, start_type,
+      CAST(count(*) AS BIGINT) AS samples, round(max(value), 6) AS max_value FROM samples
+      WHERE name = 'claude_code_session_count_total' GROUP BY start_type""")
+    q["normalize_model"] = with_(LT, """SELECT name, regexp_replace(model, '\\[1m\\]$', '') AS model,
+      round(sum(value), 6) AS value FROM latest GROUP BY ALL""")
+    q["label_replace"] = with_(LT, """SELECT CASE WHEN regexp_full_match(model, '([a-z]+)-.*')
+        THEN regexp_replace(model, '^(?:([a-z]+)-.*)$', '\\1') ELSE '' END AS family,
+      CAST(count(*) AS BIGINT) AS series FROM latest GROUP BY 1""")
+    q["compare"] = with_(A, f"SELECT {lab_out} FROM inc1h WHERE value > 1000.0")
+
+    # vector matching
+    q["v_sub"] = with_(L, """SELECT a.model, CAST(a.value - b.value AS BIGINT) AS value
+      FROM totals a JOIN totals b ON a.model = b.model
+      WHERE a.token_type = 'input' AND b.token_type = 'cache_write_input'""")
+    q["v_sub_or_zero"] = with_(L, """SELECT a.model, round(CAST(greatest(a.value - coalesce(b.value, 0), 0)
+      AS DOUBLE), 6) AS value
+      FROM (SELECT * FROM totals WHERE token_type = 'output') a
+      LEFT JOIN (SELECT * FROM totals WHERE token_type = 'reasoning_output') b USING (model)""")
+    q["v_unless"] = with_(A + [latest(NOW), latest(NOW - 7 * 86400, name="early")], f"""
+      SELECT name, {SLAB}, round(value, 6) AS value FROM latest l
+      WHERE NOT EXISTS (SELECT 1 FROM early e WHERE e.name = l.name AND e.env = l.env
+        AND e.agent_name = l.agent_name AND e.decision = l.decision AND e.effort = l.effort
+        AND e.is_git = l.is_git AND e.model = l.model AND e.start_type = l.start_type
+        AND e.token_type = l.token_type AND e.type = l.type AND e.le = l.le)""")
+    q["v_and_on"] = with_(A + [claude_hourly("output", "a")], """SELECT t, model, round(value, 6) AS value
+      FROM a WHERE t IN (SELECT t FROM inc1h WHERE name = 'codex_git_commit_count_total')""")
+    q["v_or"] = with_(A + [claude_hourly("output", "a"), claude_hourly("input", "b")], """
+      SELECT t, model, round(value, 6) AS value FROM a
+      UNION ALL SELECT t, model, round(value, 6) FROM b
+      WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.t = b.t AND a.model = b.model)""")
+    q["or_zero"] = with_(A, """num AS (SELECT t, sum(value) AS value FROM inc1h
+        WHERE name = 'codex_turn_token_usage_sum' AND token_type = 'total' GROUP BY t),
+      grid_t AS (SELECT DISTINCT t FROM hist_long)
+      SELECT g.t, round(coalesce(n.value, 0.0), 6) AS value FROM grid_t g LEFT JOIN num n USING (t)""")
+    q["v_div"] = with_(A + [claude_hourly("output", "a"), claude_hourly("cacheCreation", "b")], f"""
+      SELECT a.t, a.model, round({div('a.value', 'b.value')}, 6) AS ratio FROM a JOIN b USING (t, model)""")
+    q["v_div_floor"] = with_(A + [claude_hourly("output", "a"), claude_hourly("cacheCreation", "b")], """
+      SELECT a.t, a.model, round(a.value / greatest(b.value, 1.0), 6) AS ratio FROM a JOIN b USING (t, model)""")
+    AI = A + [AI_SERIES]
+    q["union_sources"] = with_(AI, """SELECT source, type, CAST(count(*) AS BIGINT) AS samples
+      FROM ai_series GROUP BY ALL""")
+
+    # panels
+    q["capture_ratio"] = with_(A, f"""num AS (SELECT t, sum(value) AS v FROM inc1h
+        WHERE name = 'codex_turn_token_usage_sum' AND token_type = 'total' GROUP BY t),
+      den AS (SELECT t, sum(value) AS v FROM inc1h
+        WHERE name = 'codex_ledger_token_usage_total' AND token_type = 'total' GROUP BY t)
+      SELECT d.t, round({div('coalesce(n.v, 0.0)', 'd.v')}, 6) AS ratio FROM den d LEFT JOIN num n USING (t)""")
+    q["tokens_by_type"] = with_(AI, "SELECT t, type, round(sum(value), 6) AS tokens FROM ai_inc GROUP BY ALL")
+    q["tokens_by_model"] = with_(AI, """SELECT t, regexp_replace(model, '\\[1m\\]$', '') AS model,
+      round(sum(value), 6) AS tokens FROM ai_inc GROUP BY ALL""")
+    q["tokens_by_effort"] = with_(A, """SELECT t, effort, round(sum(value), 6) AS tokens FROM inc1h
+      WHERE name = 'claude_code_token_usage_tokens_total' AND effort <> '' GROUP BY ALL""")
+    CL = """cl AS (SELECT * FROM inc1h WHERE name = 'claude_code_token_usage_tokens_total')"""
+    q["effort_split"] = with_(A + [CL], """gate AS (SELECT DISTINCT t FROM cl),
+      pos AS (SELECT t, effort, sum(value) AS value FROM cl WHERE effort <> '' GROUP BY ALL HAVING sum(value) > 0)
+      SELECT t, effort, round(value, 6) AS tokens FROM pos
+      UNION ALL SELECT t, 'medium', 0.0 FROM gate g
+      WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.t = g.t AND p.effort = 'medium')""")
+    q["agent_tokens"] = with_(A + [CL], f"""tot AS (SELECT t, sum(value) AS v FROM cl GROUP BY t),
+      by_a AS (SELECT t, agent_name, sum(value) AS v FROM cl WHERE agent_name <> '' GROUP BY ALL)
+      SELECT b.t, b.agent_name, round(b.v, 6) AS tokens, round({div('b.v', 'tot.v')}, 6) AS share
+      FROM by_a b JOIN tot USING (t)""")
+    q["agent_cost"] = with_(A, """SELECT t, agent_name, round(sum(value), 6) AS cost_usd FROM inc1h
+      WHERE name = 'claude_code_cost_usage_USD_total' AND agent_name <> '' GROUP BY ALL""")
+    q["session_starts"] = with_(A, """SELECT t, round(sum(value), 6) AS sessions FROM inc1h
+      WHERE name = 'claude_code_session_count_total' AND start_type <> 'agents_view' GROUP BY t""")
+    q["thread_starts"] = with_(A + [THREADS], "SELECT t, round(value, 6) AS threads FROM th_inc")
+    q["tokens_per_work_unit"] = with_(AI + [THREADS], """wtok AS (SELECT t, source, sum(value) AS v FROM ai_inc
+                                                            GROUP BY ALL),
+      den AS (SELECT t, 'claude_code' AS source, sum(value) AS v FROM inc1h
+              WHERE name = 'claude_code_session_count_total' AND start_type <> 'agents_view' GROUP BY t
+              UNION ALL SELECT t, 'codex', value FROM th_inc)
+      SELECT wtok.t, wtok.source, round(wtok.v / greatest(den.v, 1.0), 6) AS tokens_per_unit
+      FROM wtok JOIN den USING (t, source)""")
+    q["productivity"] = with_(A, """cs AS (SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e
+                                          FROM steps WHERE name = 'codex_git_commit_count_total'),
+      bk AS (SELECT env, e, sum(step) AS inc, min(value) AS mn FROM cs GROUP BY env, e),
+      bf AS (SELECT DISTINCT env, e + 3600 AS e FROM cs WHERE t > e - 300),
+      born AS (SELECT e, sum(mn) AS born FROM bk
+               WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.env = bk.env AND bf.e = bk.e) GROUP BY e),
+      cinc AS (SELECT e, sum(inc) AS inc FROM bk GROUP BY e),
+      parts AS (
+        SELECT t, 'commits' AS metric, 'claude_code' AS split, sum(value) AS value FROM inc1h
+        WHERE name = 'claude_code_commit_count_total' GROUP BY t
+        UNION ALL SELECT i.e, 'commits', 'codex', floor(coalesce(inc, 0.0) + coalesce(born, 0.0) + 0.5)
+        FROM cinc i LEFT JOIN born b USING (e)
+        UNION ALL SELECT t, 'pull_requests', '', sum(value) FROM inc1h
+        WHERE name = 'claude_code_pull_request_count_total' GROUP BY t
+        UNION ALL SELECT t, 'lines_of_code', type, sum(value) FROM inc1h
+        WHERE name = 'claude_code_lines_of_code_count_total' GROUP BY t, type
+        UNION ALL SELECT t, 'edit_decisions', decision, sum(value) FROM inc1h
+        WHERE name = 'claude_code_code_edit_tool_decision_total' GROUP BY t, decision
+        UNION ALL SELECT t, 'active_seconds', type, sum(value) FROM inc1h
+        WHERE name = 'claude_code_active_time_seconds_total' GROUP BY t, type)
+      SELECT t, metric, split, round(value, 6) AS value FROM parts""")
+
+    # commit lane
+    q["pair_tool_calls"] = with_([EV, TOOL_CALLS], "SELECT invocation_id, repo, started, ended FROM calls")
+    q["attribute_commits"] = with_([EV, TOOL_CALLS], "SELECT * FROM attributed")
+    q["append_commit_events"] = with_([EV, TOOL_CALLS], """existing AS (
+        SELECT sha256(repo || chr(0) || sha) AS dedupe_id FROM commits WHERE committed_at < 1705276800),
+      new AS (SELECT sha256(repo || chr(0) || sha) AS dedupe_id, min(committed_at) AS "order"
+              FROM attributed GROUP BY 1),
+      fresh AS (SELECT * FROM new WHERE dedupe_id NOT IN (SELECT dedupe_id FROM existing)),
+      ranked AS (SELECT *, row_number() OVER (ORDER BY "order") AS rn FROM fresh)
+      SELECT dedupe_id, 'codex.git.commit' AS event, "order" FROM ranked
+      WHERE rn <= greatest(10000 - (SELECT count(*) FROM existing), 0)""")
+    q["commit_dedupe_ids"] = with_([EV, TOOL_CALLS], f"""SELECT repo, sha,
+      {_hmac_sql(b"meterline-test-key", "repo || chr(0) || sha")} AS dedupe_id FROM commits""")
+
+    # quality
+    q["leak_scan"] = leak_sql()
+    return q
+
+
+def leak_sql() -> str:
+    from ..operators.quality import ALLOWED_EMAIL_SUFFIXES, EMAIL_RULE, LEAK_RULES
+    parts = []
+    for name, pat in LEAK_RULES + [("email", EMAIL_RULE)]:
+        p = pat.replace("'", "''")
+        parts.append(f"SELECT doc_id AS id, '{name}' AS rule, unnest(regexp_extract_all(text, '{p}')) AS match "
+                     f"FROM documents")
+    allowed = " OR ".join(f"ends_with(match, '{s}')" for s in ALLOWED_EMAIL_SUFFIXES)
+    return ("WITH hits AS (" + " UNION ALL ".join(parts) + ")\n"
+            f"SELECT id, rule, match, (rule = 'email' AND ({allowed})) AS allowed FROM hits")
