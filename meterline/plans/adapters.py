@@ -53,8 +53,19 @@ def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("bigint")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores (a small single-file
+    table) over all cores before row-multiplying work; a wide scan (the
+    cluster case) is left as it is, so no shuffle is added there. Checking
+    the split count plans the scan only; no job runs."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     return ev.select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
