@@ -206,17 +206,18 @@ def sum_without_asof(samples: DataFrame, keys: list[str], child: list[str]) -> D
 
 # ---- hourly panel views ------------------------------------------------------
 
-def hourly_increase(series: DataFrame, keys: list[str]) -> DataFrame:
-    return T.range_eval(series, HOUR, HOUR, "increase", keys=keys)
+def hourly_increase(series: DataFrame, keys: list[str], step: int = HOUR) -> DataFrame:
+    """``increase(x[step])`` evaluated at every multiple of ``step``."""
+    return T.range_eval(series, step, step, "increase", keys=keys)
 
 
-def capture_ratio(samples: DataFrame) -> DataFrame:
+def capture_ratio(samples: DataFrame, step: int = HOUR) -> DataFrame:
     """M7: Σ increase[1h] OTLP total (or 0) / Σ increase[1h] ledger total."""
     otlp = match(samples, eq={"name": "codex_turn_token_usage_sum", "token_type": "total"})
     ledger = match(samples, eq={"name": "codex_ledger_token_usage_total", "token_type": "total"})
     keys = jobs.SAMPLE_LABELS + ["name"]
-    num = hourly_increase(otlp, keys).groupBy("t").agg(F.sum("value").alias("value"))
-    den = hourly_increase(ledger, keys).groupBy("t").agg(F.sum("value").alias("value"))
+    num = hourly_increase(otlp, keys, step=step).groupBy("t").agg(F.sum("value").alias("value"))
+    den = hourly_increase(ledger, keys, step=step).groupBy("t").agg(F.sum("value").alias("value"))
     num0 = J.or_zero(num, den.select("t"))
     return J.v_div(num0, den, ["t"]).select("t", _round(F.col("value")).alias("ratio"))
 
@@ -233,12 +234,12 @@ def tokens_by(ai_series: DataFrame, dim: str) -> DataFrame:
     return inc.groupBy("t", dim).agg(_round(F.sum("value")).alias("tokens"))
 
 
-def effort_split(samples: DataFrame) -> DataFrame:
+def effort_split(samples: DataFrame, step: int = HOUR) -> DataFrame:
     """M9: Claude increase by non-empty effort, zero rows hidden, medium
     pinned at 0 when missing, shown only where Claude tokens exist."""
     claude = claude_token_series(samples)
     keys = ["source", "env", "model", "type", "effort", "agent_name"]
-    inc = hourly_increase(claude, keys)
+    inc = hourly_increase(claude, keys, step=step)
     gate = inc.select("t").distinct()
     by = match(inc, ne={"effort": ""}).groupBy("t", "effort").agg(F.sum("value").alias("value"))
     pos = by.where(F.col("value") > 0)
@@ -247,11 +248,11 @@ def effort_split(samples: DataFrame) -> DataFrame:
     return J.v_and_on(out, gate, ["t"]).select("t", "effort", _round(F.col("value")).alias("tokens"))
 
 
-def agent_tokens(samples: DataFrame) -> DataFrame:
+def agent_tokens(samples: DataFrame, step: int = HOUR) -> DataFrame:
     """Claude tokens per named agent and share of all Claude tokens."""
     claude = claude_token_series(samples)
     keys = ["source", "env", "model", "type", "effort", "agent_name"]
-    inc = hourly_increase(claude, keys)
+    inc = hourly_increase(claude, keys, step=step)
     total = inc.groupBy("t").agg(F.sum("value").alias("value"))
     by = match(inc, ne={"agent_name": ""}).groupBy("t", "agent_name").agg(F.sum("value").alias("value"))
     share = by.join(total.withColumnRenamed("value", "_tot"), "t", "inner")
@@ -259,17 +260,17 @@ def agent_tokens(samples: DataFrame) -> DataFrame:
                         _round(prom_div("value", "_tot")).alias("share"))
 
 
-def agent_cost(samples: DataFrame) -> DataFrame:
+def agent_cost(samples: DataFrame, step: int = HOUR) -> DataFrame:
     """Claude emitted cost per named agent (estimate)."""
     cost = match(samples, eq={"name": "claude_code_cost_usage_USD_total"}, ne={"agent_name": ""})
-    inc = hourly_increase(cost, jobs.SAMPLE_LABELS + ["name"])
+    inc = hourly_increase(cost, jobs.SAMPLE_LABELS + ["name"], step=step)
     return inc.groupBy("t", "agent_name").agg(_round(F.sum("value")).alias("cost_usd"))
 
 
-def session_starts(samples: DataFrame) -> DataFrame:
+def session_starts(samples: DataFrame, step: int = HOUR) -> DataFrame:
     """Claude session starts, excluding agents_view starts."""
     s = match(samples, eq={"name": "claude_code_session_count_total"}, ne={"start_type": "agents_view"})
-    inc = hourly_increase(s, jobs.SAMPLE_LABELS + ["name"])
+    inc = hourly_increase(s, jobs.SAMPLE_LABELS + ["name"], step=step)
     return inc.groupBy("t").agg(_round(F.sum("value")).alias("sessions"))
 
 
@@ -279,9 +280,9 @@ def thread_series(samples: DataFrame) -> DataFrame:
     return sum_without_asof(th, ["env"], ["is_git"])
 
 
-def thread_starts(samples: DataFrame) -> DataFrame:
+def thread_starts(samples: DataFrame, step: int = HOUR) -> DataFrame:
     """Codex thread starts (never merged with sessions)."""
-    inc = hourly_increase(thread_series(samples), ["env"])
+    inc = hourly_increase(thread_series(samples), ["env"], step=step)
     return inc.groupBy("t").agg(_round(F.sum("value")).alias("threads"))
 
 
