@@ -8,6 +8,7 @@ computed columns carry the same aliases as the oracle SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,7 +204,8 @@ def price_history(spark):
     the manifest rate from the 16th on, 80 % of it before."""
     p = price_rows(spark).where(F.col("source") == "codex")
     early = p.select("source", "model", "type",
-                     (F.col("usd_per_token") * F.lit(0.8)).cast("decimal(18,12)").alias("usd_per_token"),
+                     (F.col("usd_per_token") * F.lit(Decimal("0.8"))).cast("decimal(18,12)")
+                     .alias("usd_per_token"),
                      F.lit(None).cast("date").alias("effective_from"),
                      F.to_date(F.lit("2024-01-15")).alias("effective_to"))
     late = p.select("source", "model", "type", "usd_per_token",

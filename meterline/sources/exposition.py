@@ -24,7 +24,8 @@ def parse_exposition(lines: DataFrame, job: str, instance: str, line_col: str =
     lab = F.regexp_extract(ln, SAMPLE_LINE, 2)
     keys = F.regexp_extract_all(lab, F.lit(LABEL_PAIR), 1)
     vals = F.transform(F.regexp_extract_all(lab, F.lit(LABEL_PAIR), 2), lambda v: unescape_label(v))
-    labels = F.map_concat(F.map_from_arrays(keys, vals),
+    scraped = F.map_filter(F.map_from_arrays(keys, vals), lambda k, v: ~k.isin("job", "instance"))
+    labels = F.map_concat(scraped,
                           F.create_map(F.lit("job"), F.lit(job), F.lit("instance"), F.lit(instance)))
     ts = F.regexp_extract(ln, SAMPLE_LINE, 4)
     return body.select(
