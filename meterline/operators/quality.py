@@ -21,6 +21,10 @@ LEAK_RULES = [
     ("home_path", r"\b[A-Z]:\\Users\\[^\\\s]+\\"),
     ("weak_password", r"(?i)\bchangeme\b"),
 ]
+# A literal every match of the rule (same order) contains; the regex runs
+# only on texts holding it. None: always run.
+LEAK_HINTS = ["PRIVATE KEY-----", "sk-", "sk-ant-", "_", "AKIA", "/Users/", "/home/", ":\\Users\\",
+              None]
 EMAIL_RULE = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
 ALLOWED_EMAIL_SUFFIXES = ["users.noreply.github.com", ".invalid", ".test", ".example",
                           ".localhost", "example.com", "example.net", "example.org"]
@@ -37,11 +41,16 @@ def leak_scan(docs: DataFrame, unicode_words: bool = True, include_allowed: bool
     keeps reserved-domain addresses too, flagged by ``allowed``.
     """
     email = ("(?U)" if unicode_words else "") + EMAIL_RULE
-    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(p).alias("pattern"))
-                      for n, p in LEAK_RULES + [("email", email)]])
-    per = docs.select("id", "text", F.explode(rules).alias("r"))
-    hits = per.select("id", F.col("r.rule").alias("rule"),
-                      F.explode(F.regexp_extract_all("text", F.col("r.pattern"), 0)).alias("match"))
+    specs = [(n, p, h) for (n, p), h in zip(LEAK_RULES, LEAK_HINTS)] + [("email", email, "@")]
+    text = F.col("text")
+    found = []
+    for name, pattern, hint in specs:
+        extract = F.regexp_extract_all(text, F.lit(pattern), 0)
+        if hint is not None:
+            extract = F.when(text.contains(hint), extract).otherwise(F.array().cast("array<string>"))
+        found.append(F.struct(F.lit(name).alias("rule"), extract.alias("m")))
+    per = docs.select("id", F.inline(F.array(*found)))
+    hits = per.select("id", "rule", F.explode("m").alias("match"))
     allowed = F.lit(False)
     for suffix in ALLOWED_EMAIL_SUFFIXES:
         allowed = allowed | F.col("match").endswith(suffix)

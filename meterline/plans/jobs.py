@@ -57,6 +57,16 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     return spark.read.parquet(path)
 
 
+def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed ledger files: JSONL lines derived from ``events``."""
+    return materialized(spark, sf_dir, "ledger_lines", lambda: adapters.ledger_lines(spark, sf_dir))
+
+
+def points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed OTLP payloads, flattened: one row per data point."""
+    return materialized(spark, sf_dir, "otlp_points", lambda: adapters.otlp_points(spark, sf_dir))
+
+
 def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed ledger records (S2 + S3), materialized."""
     return materialized(spark, sf_dir, "ledger_records", lambda: ledger_records(spark, sf_dir))
@@ -82,8 +92,8 @@ def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- ledger ---------------------------------------------------------------
 
 def ledger_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 + S3 over the ledger lines derived from ``events``."""
-    return L.usage_records(L.discover(adapters.ledger_lines(spark, sf_dir)))
+    """S2 + S3 over the landed ledger lines."""
+    return L.usage_records(L.discover(lines_table(spark, sf_dir)))
 
 
 def ledger_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,21 +153,18 @@ def hist_deltas(points: DataFrame) -> DataFrame:
 
 
 def otlp_delta_rows(points: DataFrame) -> DataFrame:
-    """Compacted deltas as rows (metric, part, env, labels, le, t, value);
-    histograms contribute _sum, _count and cumulative-``le`` _bucket rows."""
-    keys = ["metric", "env", *P.LABELS]
-    sums = sum_deltas(points).select(
-        *keys, F.lit("").alias("part"), F.lit("").alias("le"),
-        F.col("batch_t").alias("t"), F.col("value").cast("double").alias("value"))
-    h = hist_deltas(points)
-    hs = h.select(*keys, F.lit("sum").alias("part"), F.lit("").alias("le"),
-                  F.col("batch_t").alias("t"), F.col("h_sum").cast("double").alias("value"))
-    hc = h.select(*keys, F.lit("count").alias("part"), F.lit("").alias("le"),
-                  F.col("batch_t").alias("t"), F.col("h_count").cast("double").alias("value"))
-    hb = A.bucket_series(h, keep=[*keys, F.col("batch_t").alias("t")]) \
-        .select(*keys, F.lit("bucket").alias("part"), "le", "t",
-                F.col("count").cast("double").alias("value"))
-    return sums.unionByName(hs).unionByName(hc).unionByName(hb)
+    """Compacted deltas as rows (metric, part, env, labels, le, t, value).
+
+    Each admitted point becomes its rows first — a sum point one row, a
+    histogram point its _sum, _count and cumulative-``le`` bucket rows (A5
+    per point; cumulative over ``le`` commutes with the sum over producers)
+    — and one compaction aggregate (A3/A4) then sums concurrent producers
+    per batch and stream: a single shuffle, combined map-side.
+    """
+    from ..streaming.collector import point_delta_rows
+    rows = point_delta_rows(points, arrival=batch_of(points))
+    keys = ["metric", "part", "env", *P.LABELS, "le"]
+    return rows.groupBy(*keys, F.col("arrival").alias("t")).agg(F.sum("value").alias("value"))
 
 
 def otlp_samples(points: DataFrame, max_streams: int | None = 10_000) -> DataFrame:
@@ -197,7 +204,7 @@ def ledger_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every counter series: OTLP lane, commit lane and ledger lane."""
-    pts = adapters.otlp_points(spark, sf_dir)
+    pts = points_table(spark, sf_dir)
     return otlp_samples(pts).unionByName(commit_samples(spark, sf_dir)) \
         .unionByName(ledger_samples(spark, sf_dir))
 

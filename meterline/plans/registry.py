@@ -231,7 +231,7 @@ def q_price_at(spark, sf):
 # ---- collector lane ------------------------------------------------------------
 
 def _points(spark, sf):
-    return adapters.otlp_points(spark, sf)
+    return jobs.points_table(spark, sf)
 
 
 @query("keep_labels")
