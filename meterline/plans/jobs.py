@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ def end_seconds(end: str = BACKFILL_END) -> int:
 # ---- materialized intermediates -------------------------------------------
 
 _MATERIALIZED: dict[tuple, str] = {}
+_LOCK = threading.RLock()
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build,
@@ -45,15 +47,16 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     recording rules, which materialise shared series). Reading it back cuts
     the lineage, prunes columns and, with ``partition_by``, partitions."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-    path = _MATERIALIZED.get(key)
-    if path is None:
-        tag = hashlib.sha1(repr(key).encode()).hexdigest()[:12]
-        path = f"{checkpoint_dir(spark).rstrip('/')}/meterline/{name}-{tag}"
-        writer = build().write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        _MATERIALIZED[key] = path
+    with _LOCK:      # concurrent callers build a table once
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            tag = hashlib.sha1(repr(key).encode()).hexdigest()[:12]
+            path = f"{checkpoint_dir(spark).rstrip('/')}/meterline/{name}-{tag}"
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
+            _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 

@@ -55,18 +55,24 @@ def read_ledger_lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def discover(lines: DataFrame) -> DataFrame:
-    """Keep active files, and archived files whose basename no active
-    file uses. Adds ``is_archived`` and ``path_parts`` (component order)."""
-    files = lines.select("path").distinct() \
+def discover_paths(paths: DataFrame) -> DataFrame:
+    """S2/D3 on a file list (column ``path``, relative to the ledger home):
+    active files, plus archived files whose basename no active file uses.
+    Adds ``is_archived``. Works on a listing, so no file is read."""
+    files = paths.select("path").distinct() \
         .withColumn("is_archived", F.col("path").startswith(ARCHIVED_DIR + "/")) \
         .withColumn("basename", F.regexp_extract("path", r"([^/]*)$", 1)) \
         .where(F.col("path").startswith(ACTIVE_DIR + "/") | F.col("is_archived"))
     active_names = files.where(~F.col("is_archived")).select("basename").distinct()
     archived_kept = files.where(F.col("is_archived")).join(active_names, "basename", "left_anti")
-    kept = files.where(~F.col("is_archived")).unionByName(archived_kept).drop("basename")
-    return lines.join(kept, "path", "inner") \
-        .withColumn("path_parts", F.split("path", "/"))
+    return files.where(~F.col("is_archived")).unionByName(archived_kept).drop("basename")
+
+
+def discover(lines: DataFrame) -> DataFrame:
+    """S2/D3 applied to lines: keeps lines of discovered files and adds
+    ``is_archived`` and ``path_parts`` (component order for D1)."""
+    kept = discover_paths(lines.select("path"))
+    return lines.join(kept, "path", "inner").withColumn("path_parts", F.split("path", "/"))
 
 
 def _vtype(v: Column) -> Column:
@@ -165,22 +171,30 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_changed(spark: SparkSession, root: str, manifest: DataFrame | None,
-                   cached_records: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Re-parse only new or changed files; forget vanished ones.
+                   cached_records: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Re-parse only new or changed files (by size and modification
+    time); forget vanished files and files discovery now drops.
 
     ``manifest`` is the previous listing (file_path, length,
-    modificationTime); ``cached_records`` the previous :func:`usage_records`
-    output with a ``file_path`` column. Returns (new manifest, records).
+    modificationTime); ``cached_records`` the previous output (records with
+    a ``file_path`` column). Returns (new manifest, records). The listing
+    reads no file contents; only the changed paths are read.
     """
-    listing = file_listing(spark, root)
+    listing = file_listing(spark, root).withColumn("path", _rel_path(F.col("file_path")))
+    kept = discover_paths(listing.select("path"))
+    listing = listing.join(kept, "path", "inner")
     if manifest is None or cached_records is None:
         changed = listing
         kept_records = None
     else:
-        changed = listing.join(manifest, ["file_path", "length", "modificationTime"], "left_anti")
+        changed = listing.join(manifest.select("file_path", "length", "modificationTime"),
+                               ["file_path", "length", "modificationTime"], "left_anti")
         unchanged = listing.join(changed.select("file_path"), "file_path", "left_anti")
         kept_records = cached_records.join(unchanged.select("file_path"), "file_path", "left_semi")
+    # The changed-path list is file names only (bounded by the number of
+    # changed files), handed to the reader.
     paths = [r.file_path for r in changed.select("file_path").collect()]
+    records = kept_records
     if paths:
         df = (spark.read.text(paths)
               .select("value", "_metadata.file_path", "_metadata.file_block_start")
@@ -191,8 +205,7 @@ def ingest_changed(spark: SparkSession, root: str, manifest: DataFrame | None,
             F.struct(F.col("file_block_start").alias("block"), F.col("_rid").alias("rid")).alias("ord"),
             F.col("file_block_start").alias("block"),
             F.col("value").alias("line"))
+        lines = lines.join(F.broadcast(kept), "path", "inner").withColumn("path_parts", F.split("path", "/"))
         fresh = usage_records(lines)
         records = fresh if kept_records is None else kept_records.unionByName(fresh)
-    else:
-        records = kept_records if kept_records is not None else None
-    return listing, records
+    return listing.select("file_path", "length", "modificationTime"), records

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import aggregate as A
 from ..operators import labels as P
+from ..sources.commit_events import stream_commit_events
 from ..sources.otlp import OTLP_SCHEMA, flatten_otlp
 
 STREAM_KEYS = ["metric", "part", "env", *P.LABELS, "le"]
@@ -118,3 +119,15 @@ def latest_state(spark: SparkSession, sink: str) -> DataFrame:
     """Current cumulative per stream from the sink (last arrival wins)."""
     df = spark.read.parquet(sink)
     return df.groupBy(*STREAM_KEYS).agg(F.max("t").alias("t"), F.max_by("value", "t").alias("value"))
+
+
+def commit_count_stream(spark: SparkSession, path: str, env: str,
+                        arrival: F.Column | None = None) -> DataFrame:
+    """S5 -> A10 -> T2 as a stream: each valid commit event is a delta of 1
+    to ``codex.git.commit.count`` (content stripped, P6), folded into the
+    same keyed cumulative state as the metric lane."""
+    events = stream_commit_events(spark, path)
+    arrival = arrival if arrival is not None else F.unix_seconds(F.col("arrival_ts"))
+    rows = events.select(F.lit("codex.git.commit.count").alias("metric"), F.lit(env).alias("env"),
+                         arrival.alias("arrival"), F.lit(1.0).alias("value"))
+    return cumulative_stream(rows, keys=["metric", "env"])

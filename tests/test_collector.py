@@ -150,3 +150,21 @@ def test_stream_totals_survive_restart_and_equal_batch(spark):
     _run_stream(spark, src, sink, ckpt, arrival)           # nothing new: no double count
     latest = S.latest_state(spark, sink).collect()
     assert [r["value"] for r in latest] == [125.0]
+
+
+def test_commit_count_stream_counts_each_event_once(spark):
+    import hashlib
+    root = tempfile.mkdtemp()
+    src, ckpt = os.path.join(root, "src"), os.path.join(root, "ckpt")
+    os.makedirs(src)
+    for i in range(5):
+        with open(os.path.join(src, f"e{i}.jsonl"), "w") as fh:
+            fh.write(json.dumps({"dedupe_id": hashlib.sha256(str(i).encode()).hexdigest(),
+                                 "event": "codex.git.commit"}) + "\n{bad\n")
+    sink = os.path.join(root, "sink")
+    counts = S.commit_count_stream(spark, src, env="test")
+    for _ in range(2):          # a second run over the same files adds nothing
+        q = counts.writeStream.outputMode("update").foreachBatch(S.idempotent_sink(sink)) \
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    assert spark.read.parquet(sink).agg(F.max("value")).first()[0] == 5.0

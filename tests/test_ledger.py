@@ -145,3 +145,19 @@ def test_openmetrics_history_ends_with_eof(spark):
     assert lines[-1]["line"] == "# EOF"
     assert lines[0]["line"] == ('ai_token_usage_tokens_total{env="prod",instance="host.docker.internal:9314",'
                                 'job="codex-ledger",model="m",source="codex",type="input"} 5 3600')
+
+
+def test_ingest_changed_reparses_only_changed_files(spark):
+    import time
+    root = tree({"sessions/a.jsonl": [ctx("m"), usage("2024-01-01T00:00:01Z", 1)],
+                 "sessions/b.jsonl": [ctx("m"), usage("2024-01-01T00:00:02Z", 2)]})
+    manifest, recs = L.ingest_changed(spark, root, None, None)
+    manifest, recs = manifest.cache(), recs.cache()      # the previous scan, persisted
+    manifest.count(), recs.count()
+    assert sorted(r["input"] for r in dedup_replays(recs).collect()) == [1, 2]
+    time.sleep(1.1)
+    with open(os.path.join(root, "sessions/a.jsonl"), "a") as fh:
+        fh.write(usage("2024-01-01T00:00:03Z", 3) + "\n")
+    os.remove(os.path.join(root, "sessions/b.jsonl"))
+    _, recs2 = L.ingest_changed(spark, root, manifest, recs)
+    assert sorted(r["input"] for r in dedup_replays(recs2).collect()) == [1, 3]
