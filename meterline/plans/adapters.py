@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import parallelism, table
 
 # Fixed adapter rules (our own; mirrored in the oracle SQL).
 MODEL_BY_EVENT = [("click", "gpt-5.6-sol"), ("purchase", "gpt-5.5"), ("view", "gpt-5.4-mini"),
@@ -58,10 +58,12 @@ def spread(df: DataFrame) -> DataFrame:
     table) over all cores before row-multiplying work; a wide scan (the
     cluster case) is left as it is, so no shuffle is added there. Checking
     the split count plans the scan only; no job runs."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    target = parallelism(df.sparkSession)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view on this session: leave the scan as it is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import aggregate as A
 from ..operators import labels as P
 from ..operators import series as T
 from ..operators.dedup import dedup_replays
-from ..session import checkpoint_dir
+from ..session import app_id, checkpoint_dir
 from ..sources import ledger as L
 from . import adapters
 
@@ -46,7 +46,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     shared ``spark.checkpoint.dir`` and read back (like the reference's
     recording rules, which materialise shared series). Reading it back cuts
     the lineage, prunes columns and, with ``partition_by``, partitions."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (app_id(spark), os.path.abspath(sf_dir), name)
     with _LOCK:      # concurrent callers build a table once
         path = _MATERIALIZED.get(key)
         if path is None:

@@ -39,20 +39,43 @@ def ensure_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def _context(spark: SparkSession):
+    """The classic SparkContext, or None on a session without one."""
+    try:
+        return spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "meterline")
+
+
+def parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we pick a private temporary folder.
+    ``spark.checkpoint.dir`` is read from the session (or the context's
+    checkpoint directory); only when neither is set (local tests) do we pick
+    a private temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = configured.get() if configured.isDefined() else None
+    sc = _context(spark)
+    if not configured and sc is not None:
+        current = sc._jsc.sc().getCheckpointDir()
+        configured = current.get() if current.isDefined() else None
     if not configured:
         configured = tempfile.mkdtemp(prefix="meterline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if sc is not None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
