@@ -130,9 +130,12 @@ def daily_snapshots(spark, sf):
     kept = kept.withColumn("_day", F.floor(A.epoch_seconds(F.col("ts")) / DAY) - 19723) \
         .withColumn("_gone", (user % 13 == 0))
     daily = A.ledger_totals(kept, by=["_day", "_gone", "model"])
-    scans = spark.range(1, 31).select(F.col("id").alias("scan"))
-    j = daily.join(F.broadcast(scans), (daily["_day"] < scans["scan"]) &
-                   ~(daily["_gone"] & (scans["scan"] >= 20)))
+    # a day's usage is in every later scan (1..30), until its file is gone;
+    # each daily row fans out to at most 30 scans (an explode, no join)
+    last = F.when(F.col("_gone"), F.lit(19)).otherwise(F.lit(30))
+    first = (F.col("_day") + 1).cast("int")
+    scans = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    j = daily.select("*", F.explode(scans).alias("_scan")).withColumn("scan", F.col("_scan").cast("bigint"))
     return j.groupBy("scan", "model", "token_type").agg(F.sum("value").cast("bigint").alias("value"))
 
 
