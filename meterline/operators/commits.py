@@ -126,14 +126,13 @@ def append_commit_events(existing: DataFrame, new: DataFrame,
     up to ``cap`` total records counting the valid existing ones. The cap
     is the feature: the event log stops growing at its configured size."""
     valid = existing.where(F.col("dedupe_id").rlike("^[0-9a-f]{64}$"))
-    room = valid.agg(F.greatest(F.lit(cap) - F.count("*"), F.lit(0)).alias("_room"))
-    fresh = new.groupBy("dedupe_id").agg(F.min("order").alias("order")).join(valid.select("dedupe_id"), "dedupe_id", "left_anti")
+    # room left under the cap: a scalar subquery over the existing log
+    room = F.greatest(F.lit(cap) - valid.agg(F.count("*")).scalar(), F.lit(0))
+    fresh = new.groupBy("dedupe_id").agg(F.min("order").alias("order")) \
+        .join(valid.select("dedupe_id"), "dedupe_id", "left_anti")
     # Only ids that can still fit are needed: the room is at most ``cap``,
     # so the ordered take is bounded.
     first = fresh.orderBy("order").limit(cap)
     ranked = first.withColumn("_rn", F.row_number().over(Window.orderBy("order")))
-    # ``room`` is a one-row aggregate joined on a constant key.
-    return ranked.withColumn("_k", F.lit(1)) \
-        .join(F.broadcast(room.withColumn("_k", F.lit(1))), "_k") \
-        .where(F.col("_rn") <= F.col("_room")) \
+    return ranked.where(F.col("_rn") <= room) \
         .select("dedupe_id", F.lit("codex.git.commit").alias("event"), "order")

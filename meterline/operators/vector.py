@@ -49,12 +49,11 @@ def v_unless(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def v_and_on(a: DataFrame, b: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """J5 ``a and on(...) b``; with ``on=()`` a survives iff b is non-empty.
-    The empty-``on`` case probes b for one row only."""
+    """J5 ``a and on(...) b``; with ``on=()`` a survives iff b is non-empty
+    (an EXISTS subquery)."""
     if on:
         return a.join(b.select(*on).distinct(), list(on), "left_semi")
-    probe = b.limit(1).select(F.lit(1).alias("_k"))
-    return a.withColumn("_k", F.lit(1)).join(F.broadcast(probe), "_k", "left_semi").drop("_k")
+    return a.where(b.exists())
 
 
 def v_or(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -67,9 +66,8 @@ def or_zero(v: DataFrame, grid: DataFrame | None = None, keys: Sequence[str] = (
     """J7 ``x or vector(0)``: where x is empty the result is 0. With a
     ``grid`` of evaluation points (e.g. ``t``), per grid row."""
     if grid is None:
-        one = v.sparkSession.range(1).select(F.lit(1).alias("_k"))
-        return one.join(v.withColumn("_k", F.lit(1)), "_k", "left") \
-            .select(F.coalesce("value", F.lit(0.0)).alias("value"))
+        total = v.agg(F.sum("value")).scalar()
+        return v.sparkSession.range(1).select(F.coalesce(total, F.lit(0.0)).alias("value"))
     g = list(grid.columns)
     return grid.join(v, g, "left").select(*g, *[k for k in keys if k not in g],
                                           F.coalesce("value", F.lit(0.0)).alias("value"))

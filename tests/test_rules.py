@@ -168,3 +168,11 @@ def test_no_model_type_priced_twice(spark):
 def test_price_gauges(spark, model, typ, price):
     r = price_rows(spark).where((F.col("model") == model) & (F.col("type") == typ)).collect()
     assert len(r) == 1 and float(r[0]["price"]) == price and r[0]["cost_kind"] == "api_estimate"
+
+
+def test_and_on_empty_and_or_vector_zero(spark):
+    from meterline.operators import vector as J
+    a = spark.createDataFrame([(1.0,)], "value double")
+    empty = a.limit(0)
+    assert J.v_and_on(a, a).count() == 1 and J.v_and_on(a, empty).count() == 0
+    assert J.or_zero(empty).first()["value"] == 0.0 and J.or_zero(a).first()["value"] == 1.0
