@@ -13,7 +13,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import escape_label
 from ..operators import aggregate as A
 from ..operators import commits as C
 from ..operators import labels as P
@@ -582,5 +581,3 @@ def q_leak_scan(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return Q.leak_scan(docs, include_allowed=True)
 
-
-__all__ = ["queries", "NOW", "escape_label"]
