@@ -19,6 +19,12 @@ from ..functions.scalars import prom_round
 
 DAY = 86_400
 HOUR = 3_600
+# A stream idle this long restarts (T1); an exported series
+# without update this long vanishes (T3). Expiry must exceed staleness so a
+# stream cannot vanish and reappear carrying its old cumulative history.
+MAX_STALE = 24 * HOUR
+EXPIRY = 25 * HOUR
+MAX_STREAMS = 10_000
 
 
 def series_keys(df: DataFrame, keys: Sequence[str] | None = None) -> list[str]:
@@ -34,7 +40,7 @@ def _upto(keys):
 
 
 def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
-                        max_stale: int = 24 * HOUR, max_streams: int | None = 10_000) -> DataFrame:
+                        max_stale: int = MAX_STALE, max_streams: int | None = MAX_STREAMS) -> DataFrame:
     """Running sum per stream of delta points (``t``, ``value``).
 
     A stream idle for more than ``max_stale`` seconds restarts from its next
@@ -62,7 +68,7 @@ def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
         .drop("_restart", "_total")
 
 
-def expire(samples: DataFrame, now: int, ttl: int = 25 * HOUR,
+def expire(samples: DataFrame, now: int, ttl: int = EXPIRY,
            keys: Sequence[str] | None = None) -> DataFrame:
     """The exported state at ``now``: last value per series, where a
     series without an update for ``ttl`` seconds has vanished."""
