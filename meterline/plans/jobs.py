@@ -27,7 +27,6 @@ LEDGER_ENV = "env-0"          # the ledger exporter's configured env label
 BACKFILL_END = "2024-01-30T00:00:00"
 CATEGORIES = ["input", "cacheRead", "cacheCreation", "output", "reasoning_output"]
 SAMPLE_LABELS = ["env", *P.LABELS, "le"]
-SAMPLE_COLS = ["name", *SAMPLE_LABELS, "t", "value"]
 
 
 def end_seconds(end: str = BACKFILL_END) -> int:
@@ -99,10 +98,6 @@ def ledger_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.usage_records(L.discover(lines_table(spark, sf_dir)))
 
 
-def ledger_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_replays(ledger_records(spark, sf_dir))
-
-
 def ledger_hourly(spark: SparkSession, sf_dir: str, end: str = BACKFILL_END) -> DataFrame:
     return A.hourly_usage(kept_table(spark, sf_dir), F.lit(P.parse_cutoff(end).replace(tzinfo=None)))
 
