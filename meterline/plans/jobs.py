@@ -69,6 +69,36 @@ def points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "otlp_points", lambda: adapters.otlp_points(spark, sf_dir))
 
 
+def stream_totals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 (plain form) as a Structured Streaming job: the landed OTLP points
+    are read with ``readStream`` (a few files per micro-batch), turned into
+    delta rows and summed per stream in the state store; each micro-batch
+    rewrites the complete totals into a Parquet table under the checkpoint
+    folder. Runs once per application (``availableNow``)."""
+    from ..streaming.collector import STREAM_KEYS, cumulative_stream_plain, point_delta_rows
+
+    def build():
+        points = points_table(spark, sf_dir)
+        src = points.inputFiles()[0].rsplit("/", 1)[0]
+        key = hashlib.sha1(repr((app_id(spark), os.path.abspath(sf_dir))).encode()).hexdigest()[:12]
+        base = f"{checkpoint_dir(spark).rstrip('/')}/meterline/stream-{key}"
+        stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        rows = point_delta_rows(stream, arrival=adapters.arrival_minute(F.col("time_ns")))
+        totals = cumulative_stream_plain(rows)
+
+        def sink(df, batch_id):
+            df.write.mode("overwrite").parquet(f"{base}/totals")
+
+        q = (totals.writeStream.outputMode("complete").foreachBatch(sink)
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        return spark.read.parquet(f"{base}/totals").select(*STREAM_KEYS, "value")
+
+    return materialized(spark, sf_dir, "stream_totals", build)
+
+
 def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed ledger records (S2 + S3), materialized."""
     return materialized(spark, sf_dir, "ledger_records", lambda: ledger_records(spark, sf_dir))

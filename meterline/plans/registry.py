@@ -281,6 +281,13 @@ def q_delta_to_cumulative(spark, sf):
     return _labels_out(jobs.otlp_samples(_points(spark, sf)))
 
 
+@query("delta_to_cumulative_stream")
+def q_delta_to_cumulative_stream(spark, sf):
+    """T2 on a stream: final per-stream totals of the plain streaming form."""
+    t = jobs.stream_totals_table(spark, sf)
+    return t.select("metric", "part", "env", *P.LABELS, "le", _r("value").alias("value"))
+
+
 @query("series_name")
 def q_series_name(spark, sf):
     s = _samples(spark, sf)
