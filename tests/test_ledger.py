@@ -161,3 +161,23 @@ def test_ingest_changed_reparses_only_changed_files(spark):
     os.remove(os.path.join(root, "sessions/b.jsonl"))
     _, recs2 = L.ingest_changed(spark, root, manifest, recs)
     assert sorted(r["input"] for r in dedup_replays(recs2).collect()) == [1, 3]
+
+
+def test_ordered_text_sink_and_exposition_reader(spark):
+    from meterline.sinks.text import write_ordered
+    from meterline.sources.exposition import read_exposition
+    root = tree({"sessions/a.jsonl": [ctx("m2"), usage("2024-01-01T00:10:00Z", 10, out=6),
+                                      ctx("m1"), usage("2024-01-01T00:20:00Z", 3, out=1)]})
+    _, kept = scan(spark, root)
+    out = os.path.join(tempfile.mkdtemp(), "metrics")
+    write_ordered(exposition_text(A.ledger_totals(kept), A.turn_records(kept), env="prod"), out,
+                  ["section", "model", "token_type"])
+    parts = sorted(f for f in os.listdir(out) if f.startswith("part-"))
+    text = "".join(open(os.path.join(out, f)).read() for f in parts).splitlines()
+    assert text[0].startswith("# HELP codex_ledger_token_usage_total")
+    series = [ln for ln in text if ln.startswith("codex_ledger_token_usage_total{")]
+    assert series == sorted(series) and series[0].startswith('codex_ledger_token_usage_total{env="prod",model="m1"')
+    got = {(r["labels"]["model"], r["labels"].get("token_type")): r["value"]
+           for r in read_exposition(spark, out, "codex-ledger", "host:9314").collect()
+           if r["name"] == "codex_ledger_token_usage_total"}
+    assert got[("m2", "input")] == 10 and got[("m1", "output")] == 1
