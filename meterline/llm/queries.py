@@ -38,3 +38,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: (verdict, rule), as the contract fixes them.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

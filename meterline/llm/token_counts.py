@@ -73,9 +73,19 @@ class _Numbering(dict):
         return n
 
 
-def _invert(batches, spec, specials, id_type):
+def _buckets(words, n):
+    """Bucket of each pre-token: all blocks deal the same one to the same bucket."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w) for w in words), np.uint64, len(words)) % np.uint64(n)
+
+
+def _invert(batches, spec, specials, id_type, n_buckets):
     """Per block: one row of document ids, sizes and local sums, then a row
-    for each pre-token that is not counted locally."""
+    for each bucket of the pre-tokens that are not counted locally: the words,
+    how many (document, frequency) pairs each has, and those pairs."""
     import numpy as np
     import pyarrow as pa
     import regex
@@ -86,7 +96,9 @@ def _invert(batches, spec, specials, id_type):
     odd = regex.compile(UNSETTLED).search
     cut = regex.compile("|".join(regex.escape(s) for s in specials)) if specials else None
     block = TaskContext.get().partitionId() << 28
-    names = ["word", "block", "packed", "ids", "n_bytes"]
+    names = ["bucket", "block", "words", "packed", "ids", "n_bytes"]
+    row = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.list_(pa.string())), ("packed", pa.binary()),
+                     ("ids", pa.list_(id_type)), ("n_bytes", pa.list_(pa.int64()))])
 
     def pieces_of(words):
         return np.array([len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)], np.int64)
@@ -106,55 +118,79 @@ def _invert(batches, spec, specials, id_type):
                 for part in parts:
                     flat.extend(map(number.__getitem__, find(part)))
             lens.append(len(flat) - n)
+        listed, n_words = np.array([*number, ""], object)[:-1], len(number)
         key = (np.array(flat, np.int64) << 16) | np.repeat(np.arange(len(ids)), lens)
         key, freq = np.unique(key, return_counts=True)
         word, doc = key >> 16, key & 0xFFFF
-        n_words = len(number)
         per_word = np.bincount(word, minlength=n_words)
-        most = np.zeros(n_words, np.int64)
-        np.maximum.at(most, word, freq)
-        local = (per_word > LOCAL_DOCS) | (most > 0xFFFF)
-        listed = list(number)
+        local = per_word > LOCAL_DOCS
         here = np.flatnonzero(local)
         if len(here):
             pieces = np.zeros(n_words, np.int64)
-            pieces[here] = pieces_of([listed[i] for i in here])
+            pieces[here] = pieces_of(listed[here].tolist())
             sums += np.bincount(doc, weights=pieces[word] * freq, minlength=len(ids)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([None], pa.string()), pa.array([block], pa.int64()),
-            pa.array([sums.tobytes()], pa.binary()), pa.array([ids], pa.list_(id_type)),
-            pa.array([[len(t.encode()) for t in texts]], pa.list_(pa.int64()))], names)
-        sent = ~local[word]
-        pairs = np.stack([doc[sent], freq[sent]], 1).astype(np.uint16).tobytes()
+        rows = [{"bucket": -1 - block, "block": block, "words": None, "packed": sums.tobytes(), "ids": ids,
+                 "n_bytes": [len(t.encode()) for t in texts]}]
         there = np.flatnonzero(~local)
-        ends = np.concatenate([[0], np.cumsum(per_word[there]) * 4])
-        for a in range(0, len(there), 20_000):
-            b = min(a + 20_000, len(there))
-            n = b - a
-            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends[a:b + 1] - ends[a]).astype(np.int32).tobytes()),
-                                                            pa.py_buffer(pairs[ends[a]:ends[b]])])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([listed[i] for i in there[a:b]], pa.string()), pa.array(np.full(n, block, np.int64)), packed,
-                pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.list_(pa.int64()))], names)
+        if len(there):
+            dealt = _buckets(listed[there], n_buckets)
+            order = np.argsort(dealt, kind="stable")
+            first = np.concatenate([[0], np.cumsum(per_word)])
+            for part in np.split(order, np.flatnonzero(np.diff(dealt[order])) + 1):
+                w = there[part]
+                n = per_word[w]
+                at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                rows.append({"bucket": int(dealt[part[0]]), "block": block, "words": listed[w].tolist(),
+                             "packed": _pack(n, doc[at], freq[at]), "ids": None, "n_bytes": None})
+        for a in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_pylist(rows[a:a + 64], row)
         block += 1
 
 
-def _count_pieces(batches, spec):
-    """Adds the number of pieces; each distinct pre-token is counted once."""
+def _pack(n, doc, freq):
+    """Pairs per word (1 byte each: at most LOCAL_DOCS), documents (2 bytes
+    each) and frequencies (4 bytes each) of a row's words."""
+    import numpy as np
+
+    return b"".join((np.uint32(len(n)).tobytes(), n.astype(np.uint8).tobytes(), doc.astype(np.uint16).tobytes(),
+                     freq.astype(np.uint32).tobytes()))
+
+
+def _unpack(packed):
+    import numpy as np
+
+    k = int(np.frombuffer(packed, np.uint32, 1)[0])
+    n = np.frombuffer(packed, np.uint8, k, 4).astype(np.int64)
+    m = int(n.sum())
+    return n, np.frombuffer(packed, np.uint16, m, 4 + k).astype(np.int64), np.frombuffer(packed, np.uint32, m, 4 + k + 2 * m).astype(np.int64)
+
+
+def _count_pieces(batches, spec, id_type):
+    """Joins pieces to frequencies: all rows of a bucket are here, so each
+    distinct pre-token is counted once; gives sums per block and bucket."""
+    import numpy as np
     import pyarrow as pa
 
     tok = _tokenizer(spec)
     known: dict[str, int] = {}
+    row = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("ids", pa.list_(id_type)), ("n_bytes", pa.list_(pa.int64()))])
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        new = [w for w in dict.fromkeys(words) if w is not None and w not in known]
-        if len(known) + len(new) > 2_000_000:
-            known.clear()
-            new = [w for w in dict.fromkeys(words) if w is not None]
-        known.update(zip(new, (len(e.ids) for e in tok.encode_batch(new, add_special_tokens=False))))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1 if w is None else known[w] for w in words], pa.int32()), *batch.columns[1:]],
-            ["pieces", *batch.schema.names[1:]])
+        out = []
+        for r in batch.to_pylist():
+            if r["words"] is None:
+                out.append({"block": r["block"], "sums": r["packed"], "ids": r["ids"], "n_bytes": r["n_bytes"]})
+                continue
+            new = [w for w in r["words"] if w not in known]
+            if len(known) + len(new) > 2_000_000:  # memory bound; at worst a word is counted again
+                known.clear()
+                new = r["words"]
+            known.update(zip(new, (len(e.ids) for e in tok.encode_batch(new, add_special_tokens=False))))
+            n, doc, freq = _unpack(r["packed"])
+            total = np.bincount(doc, weights=np.repeat([known[w] for w in r["words"]], n) * freq, minlength=0)
+            at = np.flatnonzero(total)
+            sums = at.astype(np.uint16).tobytes() + total[at].astype(np.uint32).tobytes()
+            out.append({"block": r["block"], "sums": sums, "ids": None, "n_bytes": None})
+        yield pa.RecordBatch.from_pylist(out, row)
 
 
 def _sum_blocks(batches, id_type, limit, names):
@@ -165,25 +201,17 @@ def _sum_blocks(batches, id_type, limit, names):
     sums: dict[int, object] = {}
     heads: dict[int, tuple] = {}
     for batch in batches:
-        pieces = batch.column(0).to_numpy(zero_copy_only=False)
-        blocks = batch.column(1).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(pieces < 0):
-            heads[int(blocks[i])] = tuple(batch.column(c)[int(i)].as_py() for c in (2, 3, 4))
-        batch = batch.filter(pa.array(pieces >= 0))
-        pieces, blocks = pieces[pieces >= 0], blocks[pieces >= 0]
-        packed = batch.column(2)
-        sizes = np.array([len(x) for x in packed.to_pylist()], np.int64) // 4
-        pairs = np.frombuffer(b"".join(packed.to_pylist()), np.uint16).reshape(-1, 2).astype(np.int64)
-        of = np.repeat(blocks, sizes)
-        add = np.repeat(pieces, sizes) * pairs[:, 1]
-        for b in np.unique(blocks).tolist():
-            sums.setdefault(b, np.zeros(BLOCK_DOCS, np.float64))
-            mine = of == b
-            sums[b] += np.bincount(pairs[mine, 0], weights=add[mine], minlength=BLOCK_DOCS)
-    for b, (local, ids, n_bytes) in heads.items():
-        n = np.frombuffer(local, np.int64).copy()
-        if b in sums:
-            n += sums[b][:len(n)].astype(np.int64)
+        for r in batch.to_pylist():
+            total = sums.setdefault(r["block"], np.zeros(BLOCK_DOCS, np.int64))
+            if r["ids"] is not None:
+                heads[r["block"]] = r["ids"], r["n_bytes"]
+                local = np.frombuffer(r["sums"], np.int64)
+                total[:len(local)] += local
+            else:
+                k = len(r["sums"]) // 6
+                total[np.frombuffer(r["sums"], np.uint16, k)] += np.frombuffer(r["sums"], np.uint32, k, 2 * k)
+    for b, (ids, n_bytes) in heads.items():
+        n = sums.pop(b)[:len(ids)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(n_bytes, pa.int64()), pa.array(n), pa.array(n > limit)], names)
 
 
@@ -200,12 +228,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     spec = docs.sparkSession.sparkContext.broadcast(content)  # one vocabulary file: its size is fixed
     field = docs.schema[id_col]
     id_type = to_arrow_type(field.dataType)
-    rest = [T.StructField("block", T.LongType()), T.StructField("packed", T.BinaryType()),
-            T.StructField("ids", T.ArrayType(field.dataType)), T.StructField("n_bytes", T.ArrayType(T.LongType()))]
+    head = [T.StructField("ids", T.ArrayType(field.dataType)), T.StructField("n_bytes", T.ArrayType(T.LongType()))]
+    block = T.StructField("block", T.LongType())
+    n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inverted = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        lambda it: _invert(it, spec, specials, id_type), T.StructType([T.StructField("word", T.StringType()), *rest]))
-    counted = inverted.repartition(F.coalesce("word", F.col("block").cast("string"))).mapInArrow(
-        lambda it: _count_pieces(it, spec), T.StructType([T.StructField("pieces", T.IntegerType()), *rest]))
+        lambda it: _invert(it, spec, specials, id_type, n_buckets),
+        T.StructType([T.StructField("bucket", T.LongType()), block, T.StructField("words", T.ArrayType(T.StringType())),
+                      T.StructField("packed", T.BinaryType()), *head]))
+    counted = inverted.repartition("bucket").mapInArrow(
+        lambda it: _count_pieces(it, spec, id_type), T.StructType([block, T.StructField("sums", T.BinaryType()), *head]))
     names = [id_col, "n_bytes", "n_tokens", "over_limit"]
     return counted.repartition("block").mapInArrow(
         lambda it: _sum_blocks(it, id_type, limit, names),
