@@ -44,7 +44,7 @@ ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']
 #: kind, pattern, text that a match must have for the document to be searched.
 KINDS = [("assign", ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-QUICK = {"assign": ASSIGN[:-2] + "{8}", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
+QUICK = {"assign": ASSIGN[:-2] + "{8})", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
 MARK, OTHER = "﷐", "﷑"
 
 MIN_RUN = 20
@@ -151,7 +151,7 @@ def candidates(text: Column) -> Column:
         m["start"].alias("start"), m["end"].alias("end"), t["enc"].alias("enc"), t["band"].alias("band"),
         t["bin"].alias("bin"), t["random"].alias("random"))))
     empty = F.array().cast("array<struct<start:int,end:int,enc:string,band:int,bin:int,random:boolean>>")
-    return F.when(text.rlike(RUN[:-5]), made).otherwise(empty)
+    return F.when(text.rlike(RUN[:-6]), made).otherwise(empty)
 
 
 def discovery_limits(docs: DataFrame, text: Column) -> DataFrame:
