@@ -134,11 +134,6 @@ def _class_of(shingles) -> tuple[int, int]:
     return d & (2**62 - 1), (d >> 64) - 2**63
 
 
-def _rows(batches):
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-
-
 def _describe(batches, size, percent, names, id_type):
     """Per document: id, set size, class, check and the slack of both roles."""
     import pyarrow as pa
@@ -178,18 +173,21 @@ def _sign(batches, size, percent):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(units))], ["key", "unit"])
 
 
-def _set_rows(batches, size):
+def _set_rows(batches, size, id_type):
+    """(id, class, shingles), once per task for each id and class."""
     import pyarrow as pa
 
     hashes, seen = _WordHash(), set()
     for batch in batches:
-        out = {}
-        for text in batch.column(0).to_pylist():
+        out = []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingle_set(text, hashes, size)
-            if len(s) and (c := _class_of(s)[0]) not in seen:
-                seen.add(c)
-                out[c] = s.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], ["class", "shingles"])
+            if len(s) and (key := (i, _class_of(s)[0])) not in seen:
+                seen.add(key)
+                out.append((*key, s.tobytes()))
+        cols = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
+                                         ["id", "class", "shingles"])
 
 
 def _neighbourhoods(batches, percent):
@@ -232,13 +230,14 @@ class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int):
         self.percent, self.size = percent, size
         self.text = docs.select(F.col(text_col).cast("string").cast("binary").alias("t"))
-        named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+        self.named = named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
         self.names = ["id", "n_shingles", "class", "check", "slack0", "slack1"]
         id_field = named.schema["id"]
         schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in self.names[1:]]])
         from pyspark.sql.pandas.types import to_arrow_type
 
-        id_type, names = to_arrow_type(id_field.dataType), self.names
+        self.id_field, self.id_type = id_field, to_arrow_type(id_field.dataType)
+        id_type, names = self.id_type, self.names
         self.described = written(named.mapInArrow(lambda it: _describe(it, size, percent, names, id_type), schema))
         apart = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two shingle sets share a class hash")))
         self.classes = written(self.described.filter("n_shingles > 0").groupBy("class").agg(
@@ -246,11 +245,14 @@ class _Join:
             F.first("slack1").alias("slack1"), F.coalesce(apart.cast("long"), F.min("check")).alias("check")))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(class, shingles) of the wanted classes, from the texts."""
-        size = self.size
-        rows = self.text.mapInArrow(lambda it: _set_rows(it, size), "class long, shingles binary")
-        found = rows.join(bounded_broadcast(written(wanted.distinct()), MAX_BROADCAST), "class", "left_semi")
-        return written(found.groupBy("class").agg(F.first("shingles").alias("shingles")))
+        """(class, shingles) of the wanted classes, from the text of each
+        one's representative."""
+        size, id_type = self.size, self.id_type
+        schema = T.StructType([self.id_field, T.StructField("class", T.LongType()), T.StructField("shingles", T.BinaryType())])
+        rows = self.named.mapInArrow(lambda it: _set_rows(it, size, id_type), schema)
+        reps = written(wanted.distinct().join(self.classes, "class").select(F.col("class").alias("c"), F.col("rep").alias("r")))
+        return written(rows.join(bounded_broadcast(reps, MAX_BROADCAST), (F.col("class") == F.col("c")) & F.col("id").eqNullSafe(F.col("r")),
+                                 "left_semi").select("class", "shingles"))
 
     def units(self) -> DataFrame:
         """(unit, n, slack) of all classes in both roles."""
@@ -264,11 +266,9 @@ class _Join:
              .join(c.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b"))
         return p.filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link, compared on their whole sets."""
         percent = self.percent
-        pairs = written(pairs.distinct())
-        sets = self.sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")))
         both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
                 .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"))
         return written(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
@@ -316,7 +316,10 @@ def link_classes(join: _Join) -> DataFrame:
     left = written(costly.join(short.select("unit"), "unit", "left_semi").select("key", "unit"))
     firsts = left.groupBy("key").agg(F.min("unit").alias("x"))
     star = left.join(firsts, "key").select("x", F.col("unit").alias("y")).filter("shiftright(x, 1) <> shiftright(y, 1)")
-    links = join.verified(join.similar_sizes(_as_classes(counted).union(_as_classes(star)).distinct()))
+    pairs = written(join.similar_sizes(_as_classes(counted).union(_as_classes(star)).distinct()))
+    # All later candidates are units that are short of cheap keys, too.
+    sets = join.sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(short.select(_class("unit"))))
+    links = join.verified(pairs, sets)
     roots = written(components(links, "a", "b"))
 
     # Keys whose units are in one component by now are settled.
@@ -334,8 +337,8 @@ def link_classes(join: _Join) -> DataFrame:
         return roots
 
     # Step 2: finer partition with one-deletion neighbourhoods, for these units.
-    sets = join.sets(todo.select(_class("unit").alias("class")))
-    near = sets.mapInArrow(lambda it: _neighbourhoods(it, percent),
+    mine = sets.join(todo.select(_class("unit").alias("class")).distinct(), "class", "left_semi")
+    near = mine.mapInArrow(lambda it: _neighbourhoods(it, percent),
                            "key long, unit long, segment long, deleted boolean, least long").join(todo, "unit", "left_semi")
     near = written(near)
     near = near.join(near.groupBy("key").agg(F.count("*").alias("c")), "key")
@@ -343,7 +346,7 @@ def link_classes(join: _Join) -> DataFrame:
         F.bool_and(F.col("c") <= LIMIT).alias("all"), F.bool_or((F.col("c") <= LIMIT) & ~F.col("deleted")).alias("exact"))
     value = value.groupBy("unit", "least").agg(F.sum(F.when(F.col("all"), 2).when(F.col("exact"), 1).otherwise(0)).alias("v"))
     pairs = _pairs(near.filter(F.col("c") <= LIMIT), "deleted").filter("not (ex and ey)")
-    links = written(links.union(join.verified(join.similar_sizes(_as_classes(pairs)))))
+    links = written(links.union(join.verified(join.similar_sizes(_as_classes(pairs)), sets)))
     still = value.filter("v < least").select("unit")
     roots = written(components(links, "a", "b"))
     left = written(unsettled(left.select("key", "unit").join(still, "unit", "left_semi"), roots))
@@ -352,7 +355,7 @@ def link_classes(join: _Join) -> DataFrame:
 
     # Step 3: across the components of each key that is still open.
     across = _pairs(left, "root").filter("ex <> ey")
-    links = links.union(join.verified(join.similar_sizes(_as_classes(across))))
+    links = links.union(join.verified(join.similar_sizes(_as_classes(across)), sets))
     return components(links, "a", "b")
 
 
