@@ -375,7 +375,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest id of their component, all columns
-    kept; rows without id stay."""
-    ids = near_duplicates(docs, percent, id_col, text_col).filter(F.col(id_col) != F.col("component_id"))
-    drop = written(ids.select(F.col(id_col).alias("__drop")).distinct())
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    kept; rows without id stay, of rows that repeat id and text one stays."""
+    found = near_duplicates(docs, percent, id_col, text_col)
+    drop = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct())
+    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), F.col(id_col) == F.col("__drop"), "left_anti")
+    twice = written(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__twice")).count().filter("count > 1").select("__twice"))
+    if twice.isEmpty():
+        return kept
+    twice = bounded_broadcast(twice, MAX_BROADCAST)
+    same = F.col(id_col) == F.col("__twice")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -93,3 +93,20 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode
 
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_warc_fixity")
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a WARC replica of ``pages`` against a worn copy of it."""
+    from .scratch import written
+    from .warc_fixity import aged, audit, replica
+
+    pages = table(spark, sf_dir, "pages")
+    return audit(written(replica(pages)), written(replica(aged(pages))))
+
+
+@query("op10_html_wrappers")
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrappers import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))

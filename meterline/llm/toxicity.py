@@ -173,7 +173,7 @@ def label_model(x, y, rounds: int = 30):
     return q
 
 
-def linear_classifier(x, q, ridge: float = 1.0, rounds: int = 25):
+def linear_classifier(x, q, ridge: float = 0.1, rounds: int = 25):
     """Logistic regression on soft labels by Newton steps; bias last."""
     import numpy as np
 
