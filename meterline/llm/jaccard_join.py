@@ -59,32 +59,48 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) > 1_000_000:  # memory bound
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: bytes | None, hashes: dict, size: int):
-    """Sorted distinct 64-bit shingle hashes of a text: ASCII letters in lower
-    case, words between ASCII white space; fewer words than ``size`` make one
-    shingle, none make none."""
+def shingle_sets(texts, size: int):
+    """For each text of an Arrow string array the sorted distinct 64-bit
+    shingle hashes: ASCII letters in lower case, words between ASCII white
+    space; fewer words than ``size`` make one shingle, none make none."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
 
-    words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(n, size)
-    total = np.full(n - k + 1, (k * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
-    for i in range(k):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + h[i:n - k + 1 + i]
-    return np.unique(_mix(total))
+    step = 512
+    for a in range(0, len(texts), step):
+        part = pc.fill_null(texts.slice(a, step), "").cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        coded = lists.flatten().dictionary_encode()
+        named = coded.dictionary.to_pylist()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in named), np.uint64, len(named))
+        codes = coded.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        if "" in named:  # white space at an end of a text
+            real = codes != named.index("")
+            ends = np.concatenate([[0], np.cumsum(real)])[ends]
+            codes = codes[real]
+        h = hashes[codes]
+        n = len(h)
+        total = np.full(max(n - size + 1, 0), (size * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
+        for i in range(size):
+            total = total * np.uint64(0xD6E8FEB86659FD93) + h[i:n - size + 1 + i]
+        total = _mix(total)
+        start = 0
+        for end in ends.tolist():
+            k = end - start
+            if k >= size:
+                s = np.sort(total[start:end - size + 1])
+                yield s if k == size else s[np.concatenate([[True], s[1:] != s[:-1]])]
+            elif k:
+                x = (k * 0x9E3779B97F4A7C15) & (2**64 - 1)
+                for w in h[start:end].tolist():
+                    x = (x * 0xD6E8FEB86659FD93 + w) & (2**64 - 1)
+                yield _mix(np.array([x], np.uint64))
+            else:
+                yield h[:0]
+            start = end
 
 
 def bands(percent: int, top: int = 1 << 40) -> list[int]:
@@ -127,6 +143,14 @@ def segment_keys(shingles, band: int, m: int, salt: int):
     return _mix(sums + base), starts, segment[starts], inner, sums, base
 
 
+def non_empty(shingles, m: int) -> int:
+    """Number of non-empty segments of ``m``."""
+    import numpy as np
+
+    segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    return 1 + int(np.count_nonzero(segment[1:] != segment[:-1]))
+
+
 def _class_of(shingles) -> tuple[int, int]:
     import xxhash
 
@@ -138,16 +162,15 @@ def _describe(batches, size, percent, names, id_type):
     """Per document: id, set size, class, check and the slack of both roles."""
     import pyarrow as pa
 
-    hashes, lows = _WordHash(), bands(percent)
+    lows = bands(percent)
     for batch in batches:
         out = []
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text, hashes, size)
-            if not len(s):
+        for s in shingle_sets(batch.column(1), size):
+            if len(s):
+                slack = [non_empty(s, m) - least for _, m, least in roles(len(s), lows, percent)]
+                out.append((len(s), *_class_of(s), *slack))
+            else:
                 out.append((0, None, None, None, None))
-                continue
-            slack = [len(segment_keys(s, band, m, 0)[1]) - least for band, m, least in roles(len(s), lows, percent)]
-            out.append((len(s), *_class_of(s), *slack))
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *[pa.array(c, pa.int64()) for c in cols]], names)
 
@@ -157,31 +180,30 @@ def _sign(batches, size, percent):
     import numpy as np
     import pyarrow as pa
 
-    hashes, lows, seen = _WordHash(), bands(percent), set()
+    lows, seen = bands(percent), set()
     for batch in batches:
-        keys, units = [], []
-        for text in batch.column(0).to_pylist():
-            s = shingle_set(text, hashes, size)
+        keys, units, lens = [], [], []
+        for s in shingle_sets(batch.column(0), size):
             if not len(s) or (c := _class_of(s)[0]) in seen:
                 continue
             seen.add(c)
             for role, (band, m, _) in enumerate(roles(len(s), lows, percent)):
-                k = segment_keys(s, band, m, 0)[0]
-                keys.append(k)
-                units.append(np.full(len(k), 2 * c + role, np.int64))
+                keys.append(segment_keys(s, band, m, 0)[0])
+                units.append(2 * c + role)
+                lens.append(len(keys[-1]))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(units))], ["key", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)),
+                                              pa.array(np.repeat(np.array(units, np.int64), lens))], ["key", "unit"])
 
 
 def _set_rows(batches, size, id_type):
     """(id, class, shingles), once per task for each id and class."""
     import pyarrow as pa
 
-    hashes, seen = _WordHash(), set()
+    seen = set()
     for batch in batches:
         out = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingle_set(text, hashes, size)
+        for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
             if len(s) and (key := (i, _class_of(s)[0])) not in seen:
                 seen.add(key)
                 out.append((*key, s.tobytes()))
@@ -229,8 +251,8 @@ def _verify(batches, percent):
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int):
         self.percent, self.size = percent, size
-        self.text = docs.select(F.col(text_col).cast("string").cast("binary").alias("t"))
-        self.named = named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+        self.text = docs.select(F.col(text_col).cast("string").alias("t"))
+        self.named = named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
         self.names = ["id", "n_shingles", "class", "check", "slack0", "slack1"]
         id_field = named.schema["id"]
         schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in self.names[1:]]])

@@ -22,13 +22,29 @@ cannot occur in Spark strings.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-MAX_CACHE = 300_000
+MAX_CACHE = 200_000     # chunks kept per variant
+SHORT = 64
+NONE = float("-inf")
+
+
+class _Chunks(dict):
+    """chunk -> ids, worked out when first met."""
+
+    def __init__(self, codec, variant):
+        self.codec, self.variant = codec, variant
+
+    def __missing__(self, chunk):
+        if len(self) >= MAX_CACHE:  # memory bound
+            self.clear()
+        self[chunk] = ids = self.codec.chunk_ids(chunk, self.variant)
+        return ids
 
 
 class Codec:
@@ -51,76 +67,91 @@ class Codec:
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def chunk_ids(self, chunk: str, variant: int) -> list[int]:
-        """Agenda processing of one chunk; ``\\0`` stands for the space sign
-        when the text itself holds it."""
-        import heapq
-
+        """Agenda processing of one chunk. Short chunks keep the agenda as a
+        list of the adjacent pairs' scores, long ones as a heap; both take the
+        highest score, leftmost among equals."""
         import xxhash
 
-        scores, parts = self.scores, list(chunk)
-        left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         key = xxhash.xxh3_64_intdigest(chunk, self.seed * 1_000_003 + variant) if self.rate else 0
-        end = [i + 1 for i in range(len(parts))]
+        out: list[int] = []
+        for p in (self._merge_short if len(chunk) <= SHORT else self._merge_long)(list(chunk), key):
+            known = self.ids.get(p)
+            out += [known] if known is not None else [self.byte_ids[b] for b in p.encode()]
+        return out
+
+    def _skipped(self, key: int, start: int, stop: int) -> bool:
+        """Keyed hash of a candidate's span: skip this merge?"""
+        h = (key ^ (start * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93
+        return ((h ^ (h >> 32)) & 0xFFFFFFFF) < self.rate
+
+    def _merge_short(self, parts: list[str], key: int) -> list[str]:
+        get, none = self.scores.get, NONE
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        starts, rate = list(range(len(parts) + 1)), self.rate
+        while scores:
+            best = max(scores)
+            if best == none:
+                break
+            i = scores.index(best)
+            if rate:  # as in _skipped
+                h = (key ^ (starts[i] * 0x9E3779B97F4A7C15 + starts[i + 2] * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93
+                if ((h ^ (h >> 32)) & 0xFFFFFFFF) < rate:
+                    scores[i] = none
+                    continue
+            parts[i] += parts[i + 1]
+            del parts[i + 1], starts[i + 1], scores[i]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
+
+    def _merge_long(self, parts: list[str], key: int) -> list[str]:
+        import heapq
+
+        n, get = len(parts), self.scores.get
+        left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
         agenda: list[tuple] = []
 
         def add(i: int, j: int) -> None:
-            s = scores.get(parts[i] + parts[j])
+            s = get(parts[i] + parts[j])
             if s is not None:
-                agenda.append((-s, i, j, end[j]))
+                heapq.heappush(agenda, (-s, i, j, end[j]))
 
-        for i in range(len(parts) - 1):
+        for i in range(n - 1):
             add(i, i + 1)
-        heapq.heapify(agenda)
         while agenda:
             _, i, j, stop = heapq.heappop(agenda)
-            if parts[i] is None or parts[j] is None or right[i] != j or end[j] != stop or end[i] != j:
+            stale = parts[i] is None or parts[j] is None or right[i] != j or end[j] != stop or end[i] != j
+            if stale or self.rate and self._skipped(key, i, stop):
                 continue
-            if self.rate:
-                h = (key ^ (i * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93
-                if ((h ^ (h >> 32)) & 0xFFFFFFFF) < self.rate:
-                    continue
             parts[i] += parts[j]
             end[i], parts[j] = stop, None
             right[i] = k = right[j]
-            if k < len(parts):
+            if k < n:
                 left[k] = i
-                s = scores.get(parts[i] + parts[k])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, i, k, end[k]))
+                add(i, k)
             if left[i] >= 0:
-                s = scores.get(parts[left[i]] + parts[i])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, left[i], i, stop))
-        out: list[int] = []
-        for p in parts:
-            if p is not None:
-                known = self.ids.get(p)
-                out += [known] if known is not None else [self.byte_ids[b] for b in p.replace("\0", SPACE).encode()]
-        return out
+                add(left[i], i)
+        return [p for p in parts if p is not None]
 
     def encode(self, text: str, cache: dict, variant: int = 0) -> list[int]:
-        """Ids of a text; ``cache`` maps (chunk, variant) to ids."""
+        """Ids of a text; ``cache`` holds the chunks' ids by variant."""
         if not text:
             return []
-        # NUL is never a piece: real NULs and space signs are swapped through it.
-        if "\0" in text or SPACE in text:
-            out: list[int] = []
-            for i, part in enumerate(re.split(f"([\0{SPACE}])", " " + text)):
-                out += [self.byte_ids[b] for b in part.encode()] if i % 2 else self._plain(part, cache, variant)
-            return out
-        return self._plain(" " + text, cache, variant)
-
-    def _plain(self, text: str, cache: dict, variant: int) -> list[int]:
+        chunks = cache.get(variant)
+        if chunks is None:
+            chunks = cache[variant] = _Chunks(self, variant)
+        if SPACE not in text:
+            return self._plain(" " + text, chunks)
         out: list[int] = []
-        for chunk in self.cut(text.replace(" ", SPACE)):
-            ids = cache.get((chunk, variant))
-            if ids is None:
-                if len(cache) >= MAX_CACHE:
-                    cache.clear()
-                cache[chunk, variant] = ids = self.chunk_ids(chunk, variant)
-            out += ids
+        for i, part in enumerate(re.split(f"({SPACE})", " " + text)):
+            out += [self.byte_ids[b] for b in part.encode()] if i % 2 else self._plain(part, chunks)
         return out
 
+    def _plain(self, text: str, chunks: dict) -> list[int]:
+        return list(chain.from_iterable(map(chunks.__getitem__, self.cut(text.replace(" ", SPACE)))))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids that :meth:`encode` gave: drops the one space put
         before it."""
@@ -141,7 +172,7 @@ def _encode_rows(batches, model, rate, seed, variants, names):
             ids = [codec.encode(t, cache, v) for t, v in zip(part, variant)]
             whole = [codec.decode(x) == t for x, t in zip(ids, part)]
             lens = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, lens.sum())
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, lens.sum())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(variant, pa.int32()), lists,
                                               pa.array(lens), pa.array(whole)], names)
