@@ -68,20 +68,30 @@ def shingle_sets(texts, size: int):
     import pyarrow.compute as pc
     import xxhash
 
+    lower = np.arange(256, dtype=np.uint8)
+    lower[ord("A"):ord("Z") + 1] += 32
+    lower[9:14] = 32
     step = 512
     for a in range(0, len(texts), step):
         part = pc.fill_null(texts.slice(a, step), "").cast(pa.large_string())
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
-        coded = lists.flatten().dictionary_encode()
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+        raw = part.buffers()[2]
+        data = lower[np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]]] if raw is not None else lower[:0]
+        offsets = offsets - offsets[0]
+        # Words: runs of other bytes, cut at the texts' ends, stored without the spaces.
+        solid = data != 32
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        first[begins] = solid[begins]
+        at = np.flatnonzero(first)
+        places = np.append(np.cumsum(solid)[at] - 1, np.count_nonzero(solid)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(data[solid])])
+        coded = words.dictionary_encode()
         named = coded.dictionary.to_pylist()
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in named), np.uint64, len(named))
-        codes = coded.indices.to_numpy()
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-        if "" in named:  # white space at an end of a text
-            real = codes != named.index("")
-            ends = np.concatenate([[0], np.cumsum(real)])[ends]
-            codes = codes[real]
-        h = hashes[codes]
+        h = hashes[coded.indices.to_numpy()]
+        ends = np.searchsorted(at, offsets[1:])
         n = len(h)
         total = np.full(max(n - size + 1, 0), (size * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
         for i in range(size):
