@@ -62,10 +62,10 @@ def escape_label(c) -> Column:
 
 def unescape_label(c) -> Column:
     """Inverse of :func:`escape_label` for label values read from text."""
-    c = col_(c)
-    c = F.regexp_replace(c, r"\\n", "\n")
-    c = F.regexp_replace(c, r'\\"', '"')
-    return F.regexp_replace(c, r"\\\\", r"\\")
+    # Cut at escaped backslashes, left to right, so that the one before an
+    # "n" or a quote in a part is a real escape.
+    plain = lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
+    return F.array_join(F.transform(F.split(col_(c), r"\\\\"), plain), "\\")
 
 
 def nul_join(*cols) -> Column:

@@ -38,11 +38,13 @@ def with_parsed_ts(kept: DataFrame) -> DataFrame:
     return kept.withColumn("ts", utc_parse(F.col("ts_raw")))
 
 
-def hourly_usage(kept: DataFrame, end_ts: Column) -> DataFrame:
+def hourly_usage(kept: DataFrame, end_ts: Column | None = None) -> DataFrame:
     """Sum per (hour floor UTC, model, token_type) of records before the
-    exclusive cutoff ``end_ts``; unparsable timestamps are dropped here and
+    exclusive cutoff ``end_ts`` (all without one); unparsable timestamps are dropped here and
     counted by :func:`hourly_parse_errors`."""
-    parsed = with_parsed_ts(kept).where(F.col("ts").isNotNull() & (F.col("ts") < end_ts))
+    parsed = with_parsed_ts(kept).where(F.col("ts").isNotNull())
+    if end_ts is not None:
+        parsed = parsed.where(F.col("ts") < end_ts)
     hourly = parsed.withColumn("t", F.floor(epoch_seconds(F.col("ts")) / 3600).cast("bigint") * 3600)
     return (_unpivot_tokens(hourly, ["t", "model"])
             .groupBy("t", "model", "token_type")

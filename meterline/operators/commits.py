@@ -3,8 +3,6 @@ unique commit events (K3)."""
 
 from __future__ import annotations
 
-import shlex
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,51 +18,46 @@ GIT_OPTIONS_WITH_VALUE = {"-C", "-c", "--config-env", "--exec-path", "--git-dir"
 SEPARATORS = {"&&", "||", ";", "|"}
 CLOCK_TOLERANCE = 5          # seconds around a call's window
 STATE_MAX_AGE = 86_400       # a pre-call snapshot older than this expires
-MAX_EVENT_RECORDS = 10_000   # commit event log cap
 
 
-def _commit_checker(subcommands=frozenset(COMMIT_SUBCOMMANDS),
-                    with_value=frozenset(GIT_OPTIONS_WITH_VALUE), separators=frozenset(SEPARATORS)):
-    """Builds the per-row shell-text test as a closure over plain values, so
-    it ships to Python workers by value (no package import needed there)."""
+def _verb_test():
+    """Test of one shell text, as a closure over plain values, so that it
+    ships to Python workers by value.
+
+    The shell words are cut at separators into simple commands; each is joined
+    by NUL and searched for a word ``git`` whose first word after options is
+    one of the verbs.
+    """
+    import re
     import shlex
+    from itertools import groupby
+
+    valued = "|".join(map(re.escape, sorted(GIT_OPTIONS_WITH_VALUE)))
+    option = f"\0(?>(?:{valued})\0[^\0]*|-[^\0]*)"
+    verbs = "|".join(map(re.escape, sorted(COMMIT_SUBCOMMANDS)))
+    git = re.compile(f"(?:^|[\0/])git(?:{option})*+\0(?:{verbs})(?:\0|$)").search
+    separators = frozenset(SEPARATORS)
 
-    def may_create_commit(command):
-        if not command:
-            return False
+    def words_of(text):
         try:
-            tokens = shlex.split(command, comments=True, posix=True)
-        except ValueError:
-            tokens = command.replace(";", " ").replace("&&", " ").split()
-        for i, tok in enumerate(tokens):
-            if tok.rsplit("/", 1)[-1] != "git":
-                continue
-            j = i + 1
-            while j < len(tokens):
-                cand = tokens[j]
-                if cand in separators:
-                    break
-                if cand in with_value:
-                    j += 2
-                    continue
-                if cand.startswith("-"):
-                    j += 1
-                    continue
-                if cand in subcommands:
-                    return True
-                break
-        return False
-
-    return may_create_commit
-
-
-may_create_commit = _commit_checker()
+            return shlex.split(text, comments=True)
+        except ValueError:  # an unclosed quote: plain words
+            return re.sub("&&|;", " ", text).split()
+
+    def runs_verb(command):
+        parts = groupby(words_of(command or ""), separators.__contains__)
+        return any(git("\0".join(words)) for apart, words in parts if not apart)
+
+    return runs_verb
+
+
+may_create_commit = _verb_test()
 
 
 def commit_verb(commands):
     """Arrow-batched filter column: does the shell text run a git verb that
     can create a commit? (Small per-row helper: shell word splitting.)"""
-    check = _commit_checker()
+    check = _verb_test()
 
     @F.pandas_udf(T.BooleanType())
     def _verb(s: pd.Series) -> pd.Series:
@@ -88,22 +81,23 @@ def pair_tool_calls(tool_calls: DataFrame, verb: Column | None = None) -> DataFr
     verb = verb if verb is not None else commit_verb(F.col("command"))
     calls = calls.where(verb).withColumn(
         "invocation_id", sha256_prefix("tool_use_id", "turn_id", "command", "cwd"))
-    pre = calls.where(F.col("hook_event_name") == "PreToolUse").select(
-        "invocation_id", "repo", "session_id", F.col("ts").alias("started"))
-    post = calls.where(F.col("hook_event_name") == "PostToolUse").select(
-        "invocation_id", F.col("ts").alias("ended"))
-    pre = pre.groupBy("invocation_id").agg(
-        F.max("started").alias("started"), F.max_by("repo", "started").alias("repo"),
-        F.max_by("session_id", "started").alias("session_id"))
-    post = post.groupBy("invocation_id").agg(F.min("ended").alias("ended"))
-    paired = pre.join(post, "invocation_id", "inner")
-    return paired.where((F.col("ended") >= F.col("started")) &
-                        (F.col("ended") - F.col("started") <= STATE_MAX_AGE))
+    # The hook keeps one snapshot per invocation: a pre sets it, the next post
+    # takes it. A post therefore pairs with the event right before it.
+    w = Window.partitionBy("invocation_id").orderBy("ts", F.col("hook_event_name") == "PostToolUse")
+    before = lambda c: F.lag(c).over(w)
+    paired = calls.select("invocation_id", "hook_event_name", F.col("ts").alias("ended"),
+                          before("hook_event_name").alias("_event"), before("ts").alias("started"),
+                          before("repo").alias("repo"), before("session_id").alias("session_id"))
+    paired = paired.where((F.col("hook_event_name") == "PostToolUse") & (F.col("_event") == "PreToolUse"))
+    return paired.where(F.col("ended") - F.col("started") <= STATE_MAX_AGE).select(
+        "invocation_id", "started", "repo", "session_id", "ended")
 
 
 def attribute_commits(calls: DataFrame, commits: DataFrame) -> DataFrame:
-    """Commits of a repository a call touched, made while it ran
-    (after its pre snapshot, up to its end plus the clock tolerance).
+    """Commits of a repository a call touched, made while it ran: from
+    its pre snapshot to its end, plus the clock tolerance at either side. A
+    call that started after another one claiming the commit had ended knew
+    the commit before and does not get it.
 
     Range join without a hot-key problem: calls last at most a day, so each
     call is expanded to the hours its window touches (at most 26) and the
@@ -111,28 +105,18 @@ def attribute_commits(calls: DataFrame, commits: DataFrame) -> DataFrame:
     split by hour across tasks.
     """
     hour = 3600
-    c = calls.withColumn("_h", F.explode(F.sequence(
-        F.floor(F.col("started") / hour), F.floor((F.col("ended") + CLOCK_TOLERANCE) / hour))))
+    since, until = F.col("started") - CLOCK_TOLERANCE, F.col("ended") + CLOCK_TOLERANCE
+    c = calls.withColumn("_h", F.explode(F.sequence(F.floor(since / hour), F.floor(until / hour))))
     m = commits.withColumn("_h", F.floor(F.col("committed_at") / hour))
-    j = c.join(m, ["repo", "_h"], "inner").where(
-        (F.col("committed_at") > F.col("started")) &
-        (F.col("committed_at") <= F.col("ended") + CLOCK_TOLERANCE))
+    j = c.join(m, ["repo", "_h"], "inner").where(F.col("committed_at").between(since, until))
+    first = F.min("ended").over(Window.partitionBy("repo", "sha"))
+    j = j.withColumn("_first", first).where(F.col("started") <= F.col("_first"))
     return j.select("invocation_id", "repo", "sha", "committed_at", "started", "ended")
 
 
-def append_commit_events(existing: DataFrame, new: DataFrame,
-                         cap: int = MAX_EVENT_RECORDS) -> DataFrame:
-    """K3: rows of ``new`` (dedupe_id, order) whose id is unseen, in order,
-    up to ``cap`` total records counting the valid existing ones. The cap
-    is the feature: the event log stops growing at its configured size."""
-    valid = existing.where(F.col("dedupe_id").rlike("^[0-9a-f]{64}$"))
-    # room left under the cap: a scalar subquery over the existing log
-    room = F.greatest(F.lit(cap) - valid.agg(F.count("*")).scalar(), F.lit(0))
-    fresh = new.groupBy("dedupe_id").agg(F.min("order").alias("order")) \
-        .join(valid.select("dedupe_id"), "dedupe_id", "left_anti")
-    # Only ids that can still fit are needed: the room is at most ``cap``,
-    # so the ordered take is bounded.
-    first = fresh.orderBy("order").limit(cap)
-    ranked = first.withColumn("_rn", F.row_number().over(Window.orderBy("order")))
-    return ranked.where(F.col("_rn") <= room) \
-        .select("dedupe_id", F.lit("codex.git.commit").alias("event"), "order")
+def append_commit_events(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """K3: rows of ``new`` (dedupe_id, order) whose id the log does not hold
+    yet, each once with its first order. Any string id of the log counts."""
+    fresh = new.groupBy("dedupe_id").agg(F.min("order").alias("order"))
+    return (fresh.join(existing.select("dedupe_id").distinct(), "dedupe_id", "left_anti")
+            .select("dedupe_id", F.lit("codex.git.commit").alias("event"), "order"))

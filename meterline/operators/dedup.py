@@ -34,13 +34,17 @@ def dedup_replays(records: DataFrame) -> DataFrame:
     return kept.select(*KEY_COLS, "copies", "_w.rec.*")
 
 
-def scan_stats(records: DataFrame, kept: DataFrame) -> DataFrame:
+def scan_stats(records: DataFrame, kept: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Files scanned, parse errors, duplicates removed, kept records and
-    the ok flag, as one aggregate over records plus kept-record markers."""
+    the ok flag, as one aggregate over records plus kept-record markers.
+    ``files`` is the listing (``path``): files without any usage or error
+    line are scanned, too."""
     r = records.select("path", "is_error", F.lit(False).alias("_kept"))
     k = kept.select(F.lit(None).cast("string").alias("path"), F.lit(False).alias("is_error"),
                     F.lit(True).alias("_kept"))
     u = r.unionByName(k)
+    if files is not None:
+        u = u.unionByName(files.select("path", F.lit(None).cast("boolean").alias("is_error"), F.lit(False).alias("_kept")))
     n_kept = F.sum(F.col("_kept").cast("bigint"))
     n_usage = F.sum((~F.col("_kept") & ~F.col("is_error")).cast("bigint"))
     return u.agg(

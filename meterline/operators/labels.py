@@ -164,13 +164,12 @@ def clean_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def parse_cutoff(end: str) -> dt.datetime:
     """P12 driver-side check: ISO time, naive = UTC, must be hour-aligned."""
-    value = end[:-1] + "+00:00" if end.endswith(("Z", "z")) else end
-    parsed = dt.datetime.fromisoformat(value)
-    parsed = parsed.replace(tzinfo=dt.timezone.utc) if parsed.tzinfo is None \
-        else parsed.astimezone(dt.timezone.utc)
-    if parsed.timestamp() % 3600 != 0:
+    utc = dt.timezone.utc
+    at = dt.datetime.fromisoformat(end)
+    at = at.astimezone(utc) if at.tzinfo else at.replace(tzinfo=utc)
+    if (at.minute, at.second, at.microsecond) != (0, 0, 0):
         raise ValueError(f"cutoff must be hour-aligned, got {end}")
-    return parsed
+    return at
 
 
 def before(df: DataFrame, end: str, ts_col: str = "ts") -> DataFrame:

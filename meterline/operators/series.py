@@ -24,7 +24,6 @@ HOUR = 3_600
 # stream cannot vanish and reappear carrying its old cumulative history.
 MAX_STALE = 24 * HOUR
 EXPIRY = 25 * HOUR
-MAX_STREAMS = 10_000
 
 
 def series_keys(df: DataFrame, keys: Sequence[str] | None = None) -> list[str]:
@@ -40,13 +39,11 @@ def _upto(keys):
 
 
 def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
-                        max_stale: int = MAX_STALE, max_streams: int | None = MAX_STREAMS) -> DataFrame:
+                        max_stale: int = MAX_STALE) -> DataFrame:
     """Running sum per stream of delta points (``t``, ``value``).
 
     A stream idle for more than ``max_stale`` seconds restarts from its next
-    delta. Streams beyond ``max_streams`` (ranked by first arrival, then by
-    labels) are dropped, as the collector refuses new streams at its cap;
-    the admitted list is at most ``max_streams`` rows, so it is broadcast.
+    delta. No stream is refused, however many there are.
 
     Input deltas are compacted (A3: one row per stream and arrival batch),
     so a stream holds at most one row per batch however hot it is; the
@@ -55,10 +52,6 @@ def delta_to_cumulative(deltas: DataFrame, keys: Sequence[str] | None = None,
     """
     keys = series_keys(deltas, keys)
     df = deltas
-    if max_streams is not None:
-        firsts = df.groupBy(*keys).agg(F.min("t").alias("_first"))
-        admitted = firsts.orderBy("_first", *keys).limit(max_streams).drop("_first")
-        df = df.join(F.broadcast(admitted), keys, "left_semi")
     restart = F.coalesce((F.col("t") - F.lag("t").over(_w(keys))) > max_stale, F.lit(False))
     df = df.withColumn("_restart", restart) \
         .withColumn("_total", F.sum("value").over(_upto(keys)))
@@ -163,17 +156,26 @@ def instant(samples: DataFrame, at: int, lookback: int = 300,
             .groupBy(*keys).agg(F.max_by("value", "t").alias("value")))
 
 
-def instant_range(samples: DataFrame, step: int, lookback: int = 300,
+def instant_range(samples: DataFrame, step: int, ttl: int = EXPIRY,
                   keys: Sequence[str] | None = None, offset: int = 0) -> DataFrame:
-    """T7/T8 at every multiple of ``step`` (lookback <= step), optionally
-    shifted by ``offset`` (``x offset d`` is evaluated at t-d)."""
-    if lookback > step:
-        raise ValueError("lookback must not exceed step")
+    """T7/T8 at every multiple of ``step`` up to the last sample's, optionally
+    shifted by ``offset`` (``x offset d`` is evaluated at t-d).
+
+    Samples exist at change points only; the exporter shows a series at every
+    scrape until it expires. A series' last value of each step is therefore
+    carried on to the steps before its next change, for less than ``ttl``
+    seconds after its sample (at most ``ttl / step`` steps per change)."""
     keys = series_keys(samples, keys)
-    e = _bucket_end(step)
-    near = samples.withColumn("_e", e).where(F.col("t") > F.col("_e") - lookback)
-    out = near.groupBy(*keys, "_e").agg(F.max_by("value", "t").alias("value"))
-    return out.select(*keys, (F.col("_e") + F.lit(offset)).alias("t"), "value")
+    near = samples.groupBy(*keys, _bucket_end(step).alias("_e")).agg(
+        F.max("t").alias("_t"), F.max_by("value", "t").alias("value"))
+    w = Window.partitionBy(*keys).orderBy("_e")
+    end = near.agg(F.max("_e")).scalar()
+    near = near.withColumn("_next", F.lead("_e").over(w)).withColumn("_end", end)
+    alive = (F.floor((F.col("_t") + ttl - 1) / step) * step).cast("bigint")
+    until = F.least(F.coalesce(F.col("_next") - step, F.col("_end")), alive)
+    steps = F.explode(F.sequence("_e", F.greatest(until, "_e"), F.lit(step).cast("bigint")))
+    return near.select(*keys, steps.alias("_at"), "value").select(
+        *keys, (F.col("_at") + F.lit(offset)).alias("t"), "value")
 
 
 def offset(samples: DataFrame, at: int, d: int, lookback: int = 300,
@@ -182,19 +184,21 @@ def offset(samples: DataFrame, at: int, d: int, lookback: int = 300,
     return instant(samples, at - d, lookback, keys)
 
 
-def hourly_grid(hourly: DataFrame, end: int, fields: Sequence[str]) -> DataFrame:
+def hourly_grid(hourly: DataFrame, end: int | None, fields: Sequence[str]) -> DataFrame:
     """Continuous hourly cumulative grid per model.
 
     ``hourly`` is (t, model, token_type, value). Each model gets every hour
     from its first active hour to ``end`` (exclusive); the global first hour
-    bounds nothing else. The grid size is models x hours (bounded by the
+    bounds nothing else. Without ``end`` the grid ends with the last active
+    hour of any model. The grid size is models x hours (bounded by the
     time span, not by data volume); idle hours carry the cumulative.
     Returns (t, model, token_type, value) for every ``fields`` type.
     """
     wide = hourly.groupBy("t", "model").pivot("token_type", list(fields)).agg(F.sum("value"))
     first = hourly.groupBy("model").agg(F.min("t").alias("_first"))
-    grid = first.select("model", F.explode(F.sequence(
-        F.col("_first"), F.lit(end - HOUR).cast("bigint"), F.lit(HOUR).cast("bigint"))).alias("t"))
+    last = hourly.agg(F.max("t")).scalar() if end is None else F.lit(end - HOUR)
+    first = first.withColumn("_last", last.cast("bigint"))
+    grid = first.select("model", F.explode(F.sequence("_first", "_last", F.lit(HOUR).cast("bigint"))).alias("t"))
     filled = grid.join(wide, ["t", "model"], "left").na.fill(0, subset=list(fields))
     # one row per model and hour: the window is bounded by the time span
     filled = filled.select("t", "model", *[F.sum(f).over(_upto(["model"])).alias(f) for f in fields])
@@ -202,36 +206,37 @@ def hourly_grid(hourly: DataFrame, end: int, fields: Sequence[str]) -> DataFrame
         .withColumn("value", F.col("value").cast("bigint"))
 
 
-def corpus_shrunk(snapshots: DataFrame) -> DataFrame:
+def corpus_shrunk(snapshots: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """Per scan, 1 forever once any (model, token_type) total fell
-    below the previous scan's (a vanished series counts as 0)."""
-    prev = snapshots.select((F.col("scan") + 1).alias("scan"), "model", "token_type",
-                            F.col("value").alias("prev_value"))
+    below the previous scan's (a vanished series counts as 0). ``scans``
+    lists the scans, which need not be dense and may have found nothing."""
+    scans = (scans if scans is not None else snapshots).select("scan").distinct()
+    # one row per scan: short windows over scans, not over samples
+    w = Window.orderBy("scan")
+    order = scans.select("scan", F.lead("scan").over(w).alias("next"))
+    prev = snapshots.join(order, "scan").where(F.col("next").isNotNull()).select(
+        F.col("next").alias("scan"), "model", "token_type", F.col("value").alias("prev_value"))
     cmp = prev.join(snapshots, ["scan", "model", "token_type"], "left") \
         .withColumn("_drop", (F.coalesce("value", F.lit(0)) < F.col("prev_value")).cast("int"))
     flags = cmp.groupBy("scan").agg(F.max("_drop").alias("_drop"))
-    scans = snapshots.select("scan").distinct()
     per = scans.join(flags, "scan", "left").na.fill(0, ["_drop"])
-    # one row per scan: a short window over scans, not over samples
-    w = Window.orderBy("scan").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select("scan", F.max("_drop").over(w).cast("int").alias("shrunk"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.select("scan", F.max("_drop").over(upto).cast("int").alias("shrunk"))
 
 
-def first_batch_growth(samples: DataFrame, step: int, rng: int, lookback: int = 300) -> DataFrame:
-    """T12 at every step: round((sum(increase) or 0) + (sum(min_over_time
-    unless present at t-rng) or 0)), shown only where some series has a
-    sample in range. Counters born non-zero are thus counted."""
+def first_batch_growth(samples: DataFrame, step: int, rng: int, expiry: int = EXPIRY) -> DataFrame:
+    """T12 at every step: growth summed over all series, where a newborn
+    series (no sample within ``expiry`` before) counts from 0, so counters
+    born non-zero are counted once; shown where some series has a sample in
+    range, rounded."""
     keys = series_keys(samples)
-    inc = range_eval(samples, step, rng, "increase", keys) \
-        .groupBy("t").agg(F.sum("value").alias("inc"))
-    mins = range_eval(samples, step, rng, "min_over_time", keys)
-    before_ = instant_range(samples, step, lookback, keys, offset=rng)
-    born = mins.join(before_, [*keys, "t"], "left_anti") \
-        .groupBy("t").agg(F.sum("value").alias("born"))
-    present = range_eval(samples, step, rng, "count_over_time", keys).select("t").distinct()
-    out = present.join(inc, "t", "left").join(born, "t", "left")
-    return out.select("t", prom_round(F.coalesce("inc", F.lit(0.0)) +
-                                      F.coalesce("born", F.lit(0.0))).alias("value"))
+    before_ = F.lag("t").over(_w(keys))
+    born = before_.isNull() | (F.col("t") - before_ > expiry)
+    steps = counter_steps(samples.withColumn("_born", born), keys)
+    grown = steps.select(*keys, "t", F.when(F.col("_born"), F.col("value").cast("double")).otherwise(F.col("step")).alias("value"))
+    ends = grown.groupBy(_bucket_end(step).alias("_e")).agg(F.sum("value").alias("value"))
+    at = F.explode(F.sequence("_e", F.col("_e") + (rng - step), F.lit(step).cast("bigint")))
+    return ends.select(at.alias("t"), "value").groupBy("t").agg(prom_round(F.sum("value")).alias("value"))
 
 
 def stamp_arrival(df: DataFrame, arrival: Column | None = None) -> DataFrame:

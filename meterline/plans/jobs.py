@@ -121,6 +121,17 @@ def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "history", lambda: history_categories(spark, sf_dir))
 
 
+def live_categories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live ledger's categories on the hourly grid, to the end of the
+    data, materialized."""
+    return materialized(spark, sf_dir, "live_categories", lambda: history_categories(spark, sf_dir, None))
+
+
+def last_sample(spark: SparkSession, sf_dir: str) -> int:
+    """Evaluation time of instant views: the time of the last sample."""
+    return samples_table(spark, sf_dir).agg(F.max("t")).first()[0] or 0
+
+
 # ---- ledger ---------------------------------------------------------------
 
 def ledger_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,13 +139,15 @@ def ledger_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.usage_records(L.discover(lines_table(spark, sf_dir)))
 
 
-def ledger_hourly(spark: SparkSession, sf_dir: str, end: str = BACKFILL_END) -> DataFrame:
-    return A.hourly_usage(kept_table(spark, sf_dir), F.lit(P.parse_cutoff(end).replace(tzinfo=None)))
+def ledger_hourly(spark: SparkSession, sf_dir: str, end: str | None = BACKFILL_END) -> DataFrame:
+    cutoff = F.lit(P.parse_cutoff(end).replace(tzinfo=None)) if end else None
+    return A.hourly_usage(kept_table(spark, sf_dir), cutoff)
 
 
-def ledger_grid(spark: SparkSession, sf_dir: str, end: str = BACKFILL_END) -> DataFrame:
-    """T9 raw grid: cumulative per (hour, model, ledger token_type)."""
-    return T.hourly_grid(ledger_hourly(spark, sf_dir, end), end_seconds(end), L.TOKEN_TYPES)
+def ledger_grid(spark: SparkSession, sf_dir: str, end: str | None = BACKFILL_END) -> DataFrame:
+    """T9 raw grid: cumulative per (hour, model, ledger token_type), up to
+    the backfill cutoff or, without one, to the last active hour."""
+    return T.hourly_grid(ledger_hourly(spark, sf_dir, end), end_seconds(end) if end else None, L.TOKEN_TYPES)
 
 
 def derive_categories(wide: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,7 +165,7 @@ def derive_categories(wide: DataFrame, keys: list[str]) -> DataFrame:
     ).unpivot(keys, CATEGORIES, "type", "value")
 
 
-def history_categories(spark: SparkSession, sf_dir: str, end: str = BACKFILL_END) -> DataFrame:
+def history_categories(spark: SparkSession, sf_dir: str, end: str | None = BACKFILL_END) -> DataFrame:
     """Backfill history: derived categories on the hourly grid."""
     grid = ledger_grid(spark, sf_dir, end)
     wide = grid.groupBy("t", "model").pivot("token_type", L.TOKEN_TYPES).agg(F.first("value"))
@@ -195,11 +208,11 @@ def otlp_delta_rows(points: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, F.col("arrival").alias("t")).agg(F.sum("value").alias("value"))
 
 
-def otlp_samples(points: DataFrame, max_streams: int | None = 10_000) -> DataFrame:
+def otlp_samples(points: DataFrame) -> DataFrame:
     """A3/A4/A5 -> T1 -> P5: cumulative series as the exporter shows them."""
     deltas = otlp_delta_rows(points)
     keys = ["metric", "part", "env", *P.LABELS, "le"]
-    cum = T.delta_to_cumulative(deltas, keys=keys, max_streams=max_streams)
+    cum = T.delta_to_cumulative(deltas, keys=keys)
     named = P.series_name(cum)
     name = F.when(F.col("part") == "", F.col("name")).otherwise(
         F.concat(F.col("name"), F.lit("_"), F.col("part")))
@@ -219,8 +232,8 @@ def commit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger counter at each grid hour (the backfill ``--raw`` form)."""
-    grid = ledger_grid(spark, sf_dir)
+    """The live ledger counter at each hour, to the end of the data."""
+    grid = ledger_grid(spark, sf_dir, None)
     lab = {c: F.lit("") for c in P.LABELS}
     lab["model"] = F.col("model")
     lab["token_type"] = F.col("token_type")

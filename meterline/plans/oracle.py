@@ -7,6 +7,8 @@ oracle never calls Spark code. Fragments are composed with :func:`with_`.
 
 from __future__ import annotations
 
+import re
+
 from ..sources.prices import price_values
 
 EV = """ev AS (
@@ -121,17 +123,18 @@ def with_(ctes: list[str], body: str) -> str:
 # ---- ledger history ----------------------------------------------------------
 
 END = 1706572800          # backfill cutoff 2024-01-30T00:00:00Z
-NOW = 1706659200          # instant evaluation time 2024-01-31T00:00:00Z
+NOW = "(SELECT max(t) FROM samples)"    # instant evaluation time: the last sample
 TOKS = "input, cached_input, cache_write_input, output, reasoning_output, total"
 
-HOURLY = f"""parsed AS (
+HOURLY_ALL = f"""parsed AS (
   SELECT *, TRY_CAST(replace(ts_raw, 'Z', '') AS TIMESTAMP) AS pts FROM kept),
 hourly AS (
   SELECT (epoch_us(pts) // 1000000) // 3600 * 3600 AS t, model, token_type,
          CAST(sum(value) AS BIGINT) AS value
   FROM parsed UNPIVOT (value FOR token_type IN ({TOKS}))
-  WHERE pts IS NOT NULL AND pts < TIMESTAMP '2024-01-30 00:00:00' AND value > 0
+  WHERE pts IS NOT NULL AND value > 0
   GROUP BY ALL)"""
+HOURLY = HOURLY_ALL.replace("pts IS NOT NULL", "pts IS NOT NULL AND pts < TIMESTAMP '2024-01-30 00:00:00'")
 
 GRID = f"""firsts AS (SELECT model, min(t) AS f FROM hourly GROUP BY model),
 grid AS (SELECT model, unnest(generate_series(f, CAST({END - 3600} AS BIGINT), 3600)) AS t FROM firsts),
@@ -167,6 +170,8 @@ hist_long AS (
   SELECT t, model, type, CAST(value AS BIGINT) AS value
   FROM hist UNPIVOT (value FOR type IN (input, cacheRead, cacheCreation, output, reasoning_output)))"""
 
+# The live ledger: the same series to the last active hour of the data.
+GRID_ALL = GRID.replace(f"CAST({END - 3600} AS BIGINT)", "(SELECT max(t) FROM hourly)")
 HISTORY = LEDGER + [HOURLY, GRID]
 
 # ---- collector lane and samples ---------------------------------------------------
@@ -251,15 +256,11 @@ K_OTLP = "metric, part, " + SLAB
 
 
 def t1(src: str, keys: str, out: str) -> str:
-    """T1 in SQL: stream cap, stale restart and running sum."""
-    return f"""{out}_adm AS (
-  SELECT {keys} FROM (SELECT {keys}, min(t) AS f FROM {src} GROUP BY ALL)
-  ORDER BY f, {keys} LIMIT 10000),
-{out}_a AS (SELECT * FROM {src} SEMI JOIN {out}_adm USING ({keys})),
-{out}_b AS (
+    """T1 in SQL: stale restart and running sum."""
+    return f"""{out}_b AS (
   SELECT *, coalesce(t - lag(t) OVER (PARTITION BY {keys} ORDER BY t) > 86400, false) AS restart,
          sum(value) OVER (PARTITION BY {keys} ORDER BY t ROWS UNBOUNDED PRECEDING) AS total
-  FROM {out}_a),
+  FROM {src}),
 {out} AS (
   SELECT *, total - coalesce(last_value(CASE WHEN restart THEN total - value END IGNORE NULLS) OVER (
              PARTITION BY {keys} ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS cum
@@ -311,11 +312,11 @@ inc1h AS (
   FROM steps GROUP BY ALL)"""
 
 COLLECT = [EV, PTS, DROWS, NAMES, t1("drows", K_OTLP, "otlp_cum"), OTLP_SAMPLES]
-ALL = LEDGER + [HOURLY, GRID] + [PTS, DROWS, NAMES, t1("drows", K_OTLP, "otlp_cum"), OTLP_SAMPLES,
+ALL = LEDGER + [HOURLY_ALL, GRID_ALL] + [PTS, DROWS, NAMES, t1("drows", K_OTLP, "otlp_cum"), OTLP_SAMPLES,
                                  COMMITS, LEDGER_SAMPLES, SAMPLES, STEPS]
 
 
-def latest(now: int, src: str = "samples", name: str = "latest") -> str:
+def latest(now: str, src: str = "samples", name: str = "latest") -> str:
     return f"""{name} AS (
   SELECT name, {SLAB}, max(t) AS t, arg_max(value, t) AS value FROM {src}
   WHERE t <= {now} GROUP BY name, {SLAB} HAVING max(t) > {now} - 90000)"""
@@ -467,7 +468,8 @@ commits AS (
 attributed AS (
   SELECT c.invocation_id, c.repo, m.sha, m.committed_at, c.started, c.ended
   FROM calls c JOIN commits m ON c.repo = m.repo
-   AND m.committed_at > c.started AND m.committed_at <= c.ended + 5)"""
+   AND m.committed_at >= c.started - 5 AND m.committed_at <= c.ended + 5
+  QUALIFY c.started <= min(c.ended) OVER (PARTITION BY c.repo, m.sha))"""
 
 
 def oracles() -> dict[str, str]:
@@ -524,11 +526,11 @@ def oracles() -> dict[str, str]:
         SELECT *, TRY_CAST(replace(ts_raw, 'Z', '') AS TIMESTAMP) AS pts,
                CAST(regexp_extract(path, 'u(\\d+)', 1) AS BIGINT) AS uid FROM kept),
       daily AS (
-        SELECT (epoch_us(pts) // 1000000) // 86400 - 19723 AS day, (uid % 13 = 0) AS gone, model, token_type,
+        SELECT (epoch_us(pts) // 1000000) // 86400 - (SELECT min(epoch_us(pts)) // 86400000000 FROM kp) AS day, (uid % 13 = 0) AS gone, model, token_type,
                sum(value) AS value
         FROM kp UNPIVOT (value FOR token_type IN ({TOKS}))
         WHERE pts IS NOT NULL AND value > 0 GROUP BY ALL),
-      scans AS (SELECT range AS scan FROM range(1, 31)),
+      scans AS (SELECT unnest(range(1, (SELECT max(epoch_us(pts)) // 86400000000 - min(epoch_us(pts)) // 86400000000 FROM kp) + 2)) AS scan),
       snap AS (
         SELECT scan, model, token_type, CAST(sum(value) AS BIGINT) AS value
         FROM daily JOIN scans ON day < scan AND NOT (gone AND scan >= 20) GROUP BY ALL),
@@ -537,46 +539,15 @@ def oracles() -> dict[str, str]:
         SELECT p.scan, CASE WHEN coalesce(s.value, 0) < p.prev_value THEN 1 ELSE 0 END AS d
         FROM prev p LEFT JOIN snap s USING (scan, model, token_type)),
       flags AS (SELECT scan, max(d) AS d FROM cmp GROUP BY scan),
-      per AS (SELECT s.scan, coalesce(f.d, 0) AS d FROM (SELECT DISTINCT scan FROM snap) s
+      per AS (SELECT s.scan, coalesce(f.d, 0) AS d FROM scans s
               LEFT JOIN flags f USING (scan))
       SELECT scan, CAST(max(d) OVER (ORDER BY scan ROWS UNBOUNDED PRECEDING) AS INTEGER) AS shrunk FROM per""")
-    cut = END - 7 * 86400
-    q["splice_check"] = with_(H, f"""h AS (SELECT model, type, max(t) AS history_end FROM hist_long
-                                    WHERE t < {cut} GROUP BY ALL),
-      l AS (SELECT model, type, min(t) AS live_start FROM hist_long WHERE t >= {cut} GROUP BY ALL)
+    # The live side has the same common tables under names of its own.
+    live = re.sub(r"\b(parsed|hourly|firsts|grid|wide|gridw|cum|grid_long|hist|hist_long)\b", r"live_\1", HOURLY_ALL + ",\n" + GRID_ALL)
+    q["splice_check"] = with_(H + [live], f"""h AS (SELECT model, type, max(t) AS history_end FROM hist_long GROUP BY ALL),
+      l AS (SELECT model, type, min(t) AS live_start FROM live_hist_long WHERE t >= {END} GROUP BY ALL)
       SELECT h.model, h.type, history_end, live_start, coalesce(history_end < live_start, false) AS ok
       FROM h LEFT JOIN l USING (model, type)""")
-
-    # cost
-    G = A + [GROK]
-    q["disjoint_codex"] = with_(L + [CODEX_DIS],
-                                "SELECT source, model, type, round(value, 6) AS value FROM codex_dis")
-    q["disjoint_grok"] = with_(G, "SELECT source, env, model, type, round(value, 6) AS value FROM grok_dis")
-    q["ai_tokens"] = with_(G, """SELECT source, env, model, type, effort, agent_name,
-      round(value, 6) AS value FROM ai""")
-    q["api_cost"] = with_(G + [P], """SELECT b.source, b.model,
-      round(CAST(sum(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token) AS DOUBLE), 9) AS cost_usd
-      FROM basis b JOIN prices p USING (source, model, type) GROUP BY b.source, b.model""")
-    q["ai_cost"] = with_(G + [P], """SELECT b.source, b.model,
-      round(CAST(sum(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token) AS DOUBLE), 9) AS cost_usd,
-      'api_estimate' AS cost_kind
-      FROM basis b JOIN prices p USING (source, model, type) GROUP BY b.source, b.model
-      UNION ALL
-      SELECT 'claude_code', model, round(sum(value), 6), 'emitter_estimate' FROM latest
-      WHERE name = 'claude_code_cost_usage_USD_total' GROUP BY model""")
-    q["unpriced_tokens"] = with_(G + [P], """SELECT source, model, type, CAST(sum(tokens) AS BIGINT) AS tokens
-      FROM basis b WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.source = b.source AND p.model = b.model
-                                     AND p.type = b.type)
-      GROUP BY ALL""")
-    q["cache_hit_rate"] = with_(G, f"""g AS (
-        SELECT source, sum(value) FILTER (WHERE type = 'cacheRead') AS num,
-               sum(value) FILTER (WHERE type IN ('input', 'cacheRead', 'cacheCreation')) AS den
-        FROM ai GROUP BY source)
-      SELECT source, round({div('num', 'den')}, 6) AS hit_rate FROM g
-      WHERE num IS NOT NULL AND den IS NOT NULL""")
-    q["price_join"] = with_(G + [P], """SELECT b.source, b.model, b.type, b.tokens,
-      round(CAST(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token AS DOUBLE), 9) AS cost_usd
-      FROM basis b JOIN prices p USING (source, model, type)""")
     q["price_at"] = with_(H + [P], """ph AS (
         SELECT model, type, CAST(usd_per_token * 0.8 AS DECIMAL(18,12)) AS usd_per_token,
                NULL::DATE AS effective_from, DATE '2024-01-15' AS effective_to
@@ -643,26 +614,28 @@ def oracles() -> dict[str, str]:
       f AS (SELECT name, {SLAB}, e + r.k * 3600 AS t, mn, mx FROM b, (SELECT range AS k FROM range(0, 4)) r)
       SELECT name, {SLAB}, t, round(min(mn), 6) AS min_value, round(max(mx), 6) AS max_value
       FROM f GROUP BY ALL""")
-    inst = f"""SELECT name, {SLAB}, e + {{off}} AS t, round(arg_max(value, t), 6) AS value FROM (
-        SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e FROM samples) WHERE t > e - 300
-      GROUP BY name, {SLAB}, e"""
+    inst = f"""inst_b AS (
+        SELECT name, {SLAB}, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e, max(t) AS last_t, arg_max(value, t) AS value
+        FROM samples GROUP BY ALL),
+      inst_n AS (
+        SELECT *, lead(e) OVER (PARTITION BY name, {SLAB} ORDER BY e) AS nxt, (SELECT max(e) FROM inst_b) AS top FROM inst_b)
+      SELECT name, {SLAB}, unnest(generate_series(e, greatest(e, least(coalesce(nxt - 3600, top),
+          (last_t + 89999) // 3600 * 3600)), 3600)) + {{off}} AS t, round(value, 6) AS value FROM inst_n"""
     q["instant"] = with_(A, inst.format(off=0))
     q["offset"] = with_(A, inst.format(off=3600))
-    q["expire"] = with_(A + [latest(NOW - 2 * 86400)], f"SELECT {lab_out} FROM latest")
+    q["expire"] = with_(A + [latest(NOW + " - 2 * 86400")], f"SELECT {lab_out} FROM latest")
     q["range_eval"] = with_(A, f"""b AS (
         SELECT name, {SLAB}, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e, sum(step) AS v FROM steps GROUP BY ALL),
       f AS (SELECT name, {SLAB}, e + r.k * 3600 AS t, v FROM b, (SELECT range AS k FROM range(0, 4)) r),
       g AS (SELECT name, {SLAB}, t, sum(v) AS v FROM f GROUP BY ALL)
       SELECT name, t, round(sum(v), 6) AS value FROM g GROUP BY name, t""")
-    q["first_batch_growth"] = with_(A, f"""cs AS (SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e
-                                              FROM steps WHERE name = 'codex_git_commit_count_total'),
-      bk AS (SELECT env, e, sum(step) AS inc, min(value) AS mn FROM cs GROUP BY env, e),
-      bf AS (SELECT DISTINCT env, e + 3600 AS e FROM cs WHERE t > e - 300),
-      born AS (SELECT e, sum(mn) AS born FROM bk
-               WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.env = bk.env AND bf.e = bk.e) GROUP BY e),
-      inc AS (SELECT e, sum(inc) AS inc FROM bk GROUP BY e)
-      SELECT i.e AS t, round(floor(coalesce(inc, 0.0) + coalesce(born, 0.0) + 0.5), 6) AS value
-      FROM inc i LEFT JOIN born b USING (e)""")
+    grown = f"""cs AS (SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e,
+                     lag(t) OVER (PARTITION BY name, {SLAB} ORDER BY t) AS prev_t
+                   FROM steps WHERE name = 'codex_git_commit_count_total'),
+      born AS (SELECT e AS t, floor(sum(CASE WHEN prev_t IS NULL OR t - prev_t > 90000 THEN value ELSE step END) + 0.5) AS value
+               FROM cs GROUP BY e)"""
+    q["first_batch_growth"] = with_(A, f"""{grown}
+      SELECT t, round(value, 6) AS value FROM born""")
     LT = A + [latest(NOW)]
     q["sum_without"] = with_(LT, """SELECT name, env, agent_name, decision, effort, is_git, model, start_type,
       round(sum(value), 6) AS value FROM latest GROUP BY ALL""")
@@ -689,7 +662,7 @@ def oracles() -> dict[str, str]:
       AS DOUBLE), 6) AS value
       FROM (SELECT * FROM totals WHERE token_type = 'output') a
       LEFT JOIN (SELECT * FROM totals WHERE token_type = 'reasoning_output') b USING (model)""")
-    q["v_unless"] = with_(A + [latest(NOW), latest(NOW - 7 * 86400, name="early")], f"""
+    q["v_unless"] = with_(A + [latest(NOW), latest(NOW + " - 7 * 86400", name="early")], f"""
       SELECT name, {SLAB}, round(value, 6) AS value FROM latest l
       WHERE NOT EXISTS (SELECT 1 FROM early e WHERE e.name = l.name AND e.env = l.env
         AND e.agent_name = l.agent_name AND e.decision = l.decision AND e.effort = l.effort
@@ -746,18 +719,11 @@ def oracles() -> dict[str, str]:
               UNION ALL SELECT t, 'codex', value FROM th_inc)
       SELECT wtok.t, wtok.source, round(wtok.v / greatest(den.v, 1.0), 6) AS tokens_per_unit
       FROM wtok JOIN den USING (t, source)""")
-    q["productivity"] = with_(A, """cs AS (SELECT *, CAST(ceil(t / 3600.0) * 3600 AS BIGINT) AS e
-                                          FROM steps WHERE name = 'codex_git_commit_count_total'),
-      bk AS (SELECT env, e, sum(step) AS inc, min(value) AS mn FROM cs GROUP BY env, e),
-      bf AS (SELECT DISTINCT env, e + 3600 AS e FROM cs WHERE t > e - 300),
-      born AS (SELECT e, sum(mn) AS born FROM bk
-               WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.env = bk.env AND bf.e = bk.e) GROUP BY e),
-      cinc AS (SELECT e, sum(inc) AS inc FROM bk GROUP BY e),
+    q["productivity"] = with_(A, grown + """,
       parts AS (
         SELECT t, 'commits' AS metric, 'claude_code' AS split, sum(value) AS value FROM inc1h
         WHERE name = 'claude_code_commit_count_total' GROUP BY t
-        UNION ALL SELECT i.e, 'commits', 'codex', floor(coalesce(inc, 0.0) + coalesce(born, 0.0) + 0.5)
-        FROM cinc i LEFT JOIN born b USING (e)
+        UNION ALL SELECT t, 'commits', 'codex', value FROM born
         UNION ALL SELECT t, 'pull_requests', '', sum(value) FROM inc1h
         WHERE name = 'claude_code_pull_request_count_total' GROUP BY t
         UNION ALL SELECT t, 'lines_of_code', type, sum(value) FROM inc1h
@@ -775,10 +741,8 @@ def oracles() -> dict[str, str]:
         SELECT sha256(repo || chr(0) || sha) AS dedupe_id FROM commits WHERE committed_at < 1705276800),
       new AS (SELECT sha256(repo || chr(0) || sha) AS dedupe_id, min(committed_at) AS "order"
               FROM attributed GROUP BY 1),
-      fresh AS (SELECT * FROM new WHERE dedupe_id NOT IN (SELECT dedupe_id FROM existing)),
-      ranked AS (SELECT *, row_number() OVER (ORDER BY "order") AS rn FROM fresh)
-      SELECT dedupe_id, 'codex.git.commit' AS event, "order" FROM ranked
-      WHERE rn <= greatest(10000 - (SELECT count(*) FROM existing), 0)""")
+      fresh AS (SELECT * FROM new WHERE dedupe_id NOT IN (SELECT dedupe_id FROM existing))
+      SELECT dedupe_id, 'codex.git.commit' AS event, "order" FROM fresh""")
     q["commit_dedupe_ids"] = with_([EV, TOOL_CALLS], f"""SELECT repo, sha,
       {_hmac_sql(b"meterline-test-key", "repo || chr(0) || sha")} AS dedupe_id FROM commits""")
 

@@ -27,8 +27,6 @@ from . import adapters, jobs, views
 
 HOUR = 3600
 DAY = 86400
-# Evaluation time of instant views: the end of the driver's event month.
-NOW = 1706659200        # 2024-01-31T00:00:00Z
 TOKEN_KEYS = ["source", "env", "model", "type", "effort", "agent_name"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +73,8 @@ def q_dedup_replays(spark, sf):
 
 @query("scan_stats")
 def q_scan_stats(spark, sf):
-    return scan_stats(jobs.records_table(spark, sf), jobs.kept_table(spark, sf))
+    files = L.discover(jobs.lines_table(spark, sf)).select("path").distinct()
+    return scan_stats(jobs.records_table(spark, sf), jobs.kept_table(spark, sf), files)
 
 
 @query("ledger_totals")
@@ -117,32 +116,36 @@ def q_exposition_text(spark, sf):
 
 @query("corpus_shrunk")
 def q_corpus_shrunk(spark, sf):
-    return T.corpus_shrunk(daily_snapshots(spark, sf))
+    snapshots, scans = daily_snapshots(spark, sf)
+    return T.corpus_shrunk(snapshots, scans)
 
 
 def daily_snapshots(spark, sf):
-    """Ledger scans at the end of each day: totals over kept records up to
-    that day; files of users with user_id % 13 = 0 are deleted from day 20
-    on, so later scans shrink."""
+    """Ledger scans at the end of each day of the data: totals over kept
+    records up to that day; files of users with user_id % 13 = 0 are deleted
+    from the 20th day on, so later scans shrink. Returns (snapshots, scans)."""
     kept = A.with_parsed_ts(jobs.kept_table(spark, sf)).where(F.col("ts").isNotNull())
     user = F.regexp_extract("path", r"u(\d+)", 1).cast("bigint")
-    kept = kept.withColumn("_day", F.floor(A.epoch_seconds(F.col("ts")) / DAY) - 19723) \
-        .withColumn("_gone", (user % 13 == 0))
+    kept = kept.withColumn("_day", F.floor(A.epoch_seconds(F.col("ts")) / DAY)).withColumn("_gone", (user % 13 == 0))
+    days = kept.agg(F.min("_day").alias("a"), F.max("_day").alias("b"))
+    scans = days.where("a is not null").select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("b - a + 1"))).alias("scan"))
     daily = A.ledger_totals(kept, by=["_day", "_gone", "model"])
-    # a day's usage is in every later scan (1..30), until its file is gone;
-    # each daily row fans out to at most 30 scans (an explode, no join)
-    last = F.when(F.col("_gone"), F.lit(19)).otherwise(F.lit(30))
-    first = (F.col("_day") + 1).cast("int")
-    scans = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    j = daily.select("*", F.explode(scans).alias("_scan")).withColumn("scan", F.col("_scan").cast("bigint"))
-    return j.groupBy("scan", "model", "token_type").agg(F.sum("value").cast("bigint").alias("value"))
+    daily = daily.withColumn("_a", days.select("a").scalar()).withColumn("_b", days.select("b").scalar())
+    # a day's usage is in every later scan, until its file is gone; a daily
+    # row fans out to one row per later day (an explode, no join)
+    first = F.col("_day") - F.col("_a") + 1
+    last = F.col("_b") - F.col("_a") + 1
+    last = F.when(F.col("_gone"), F.least(F.lit(19), last)).otherwise(last)
+    at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    j = daily.select("model", "token_type", "value", F.explode(at).alias("scan"))
+    return j.groupBy("scan", "model", "token_type").agg(F.sum("value").cast("bigint").alias("value")), scans
 
 
 @query("splice_check")
 def q_splice_check(spark, sf):
-    h = jobs.history_table(spark, sf)
-    cut = jobs.end_seconds() - 7 * DAY
-    return views.splice_check(h.where(F.col("t") < cut), h.where(F.col("t") >= cut), ["model", "type"])
+    """The backfill against what the live ledger shows from the cutoff on."""
+    live = jobs.live_categories_table(spark, sf).where(F.col("t") >= jobs.end_seconds())
+    return views.splice_check(jobs.history_table(spark, sf), live, ["model", "type"])
 
 
 # ---- cost -------------------------------------------------------------------------
@@ -153,7 +156,7 @@ def _totals(spark, sf):
 
 def _basis(spark, sf):
     s = _samples(spark, sf)
-    return views.billing_basis(_totals(spark, sf), views.grok_latest(s, NOW))
+    return views.billing_basis(_totals(spark, sf), views.grok_latest(s, jobs.last_sample(spark, sf)))
 
 
 @query("disjoint_codex")
@@ -163,13 +166,13 @@ def q_disjoint_codex(spark, sf):
 
 @query("disjoint_grok")
 def q_disjoint_grok(spark, sf):
-    g = views.disjoint_grok(views.grok_latest(_samples(spark, sf), NOW))
+    g = views.disjoint_grok(views.grok_latest(_samples(spark, sf), jobs.last_sample(spark, sf)))
     return g.select("source", "env", "model", "type", _r("value").alias("value"))
 
 
 @query("ai_tokens")
 def q_ai_tokens(spark, sf):
-    ai = views.ai_tokens(_samples(spark, sf), _totals(spark, sf), NOW)
+    ai = views.ai_tokens(_samples(spark, sf), _totals(spark, sf), jobs.last_sample(spark, sf))
     return ai.select(*TOKEN_KEYS, _r("value").alias("value"))
 
 
@@ -180,7 +183,7 @@ def q_api_cost(spark, sf):
 
 @query("ai_cost")
 def q_ai_cost(spark, sf):
-    return views.ai_cost(_basis(spark, sf), price_rows(spark), _samples(spark, sf), NOW)
+    return views.ai_cost(_basis(spark, sf), price_rows(spark), _samples(spark, sf), jobs.last_sample(spark, sf))
 
 
 @query("unpriced_tokens")
@@ -190,7 +193,7 @@ def q_unpriced_tokens(spark, sf):
 
 @query("cache_hit_rate")
 def q_cache_hit_rate(spark, sf):
-    return views.cache_hit_rate(views.ai_tokens(_samples(spark, sf), _totals(spark, sf), NOW))
+    return views.cache_hit_rate(views.ai_tokens(_samples(spark, sf), _totals(spark, sf), jobs.last_sample(spark, sf)))
 
 
 @query("price_join")
@@ -331,17 +334,17 @@ def q_over_time(spark, sf):
 
 @query("instant")
 def q_instant(spark, sf):
-    return _labels_out(T.instant_range(_samples(spark, sf), HOUR, 300))
+    return _labels_out(T.instant_range(_samples(spark, sf), HOUR))
 
 
 @query("offset")
 def q_offset(spark, sf):
-    return _labels_out(T.instant_range(_samples(spark, sf), HOUR, 300, offset=HOUR))
+    return _labels_out(T.instant_range(_samples(spark, sf), HOUR, offset=HOUR))
 
 
 @query("expire")
 def q_expire(spark, sf):
-    return _labels_out(T.expire(_samples(spark, sf), NOW - 2 * DAY))
+    return _labels_out(T.expire(_samples(spark, sf), jobs.last_sample(spark, sf) - 2 * DAY))
 
 
 @query("range_eval")
@@ -358,7 +361,7 @@ def q_first_batch_growth(spark, sf):
 
 
 def _latest(spark, sf):
-    return T.expire(_samples(spark, sf), NOW)
+    return T.expire(_samples(spark, sf), jobs.last_sample(spark, sf))
 
 
 @query("sum_without")
@@ -439,8 +442,8 @@ def q_v_sub_or_zero(spark, sf):
 def q_v_unless(spark, sf):
     s = _samples(spark, sf)
     keys = ["name", *jobs.SAMPLE_LABELS]
-    late = T.expire(s, NOW).drop("t")
-    early = T.expire(s, NOW - 7 * DAY).drop("t")
+    late = T.expire(s, jobs.last_sample(spark, sf)).drop("t")
+    early = T.expire(s, jobs.last_sample(spark, sf) - 7 * DAY).drop("t")
     return J.v_unless(late, early, keys).select(*keys, _r("value").alias("value"))
 
 
@@ -464,7 +467,7 @@ def q_or_zero(spark, sf):
     s = _samples(spark, sf)
     otlp = P.match(s, eq={"name": "codex_turn_token_usage_sum", "token_type": "total"})
     num = T.range_eval(otlp, HOUR, HOUR, "increase").groupBy("t").agg(F.sum("value").alias("value"))
-    grid = jobs.history_table(spark, sf).select("t").distinct()
+    grid = jobs.live_categories_table(spark, sf).select("t").distinct()
     return J.or_zero(num, grid).select("t", _r("value").alias("value"))
 
 

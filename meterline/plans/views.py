@@ -159,8 +159,8 @@ def cache_hit_rate(ai: DataFrame) -> DataFrame:
 # ---- series families ---------------------------------------------------------
 
 def codex_category_series(spark, sf_dir) -> DataFrame:
-    """Codex disjoint categories on the hourly ledger grid (backfill form)."""
-    h = jobs.history_table(spark, sf_dir)
+    """Codex disjoint categories on the hourly grid of the live ledger."""
+    h = jobs.live_categories_table(spark, sf_dir)
     return h.select(F.lit("codex").alias("source"), F.lit(jobs.LEDGER_ENV).alias("env"), "model",
                     "type", F.lit("").alias("effort"), F.lit("").alias("agent_name"), "t",
                     F.col("value").cast("double").alias("value"))

@@ -63,8 +63,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session (or the context's
-    checkpoint directory); only when neither is set (local tests) do we pick
-    a private temporary folder.
+    checkpoint directory). When neither is set a local master gets a private
+    temporary folder; on a cluster that is an error, since executors do not
+    share such a folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
@@ -72,6 +73,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
     if not configured:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="meterline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None:

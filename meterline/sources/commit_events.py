@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 COMMIT_EVENT_SCHEMA = "dedupe_id string, event string, _corrupt_record string"
 COMMIT_EVENT = "codex.git.commit"
-DEDUPE_ID = "^[0-9a-f]{64}$"
 
 
 def valid_events(df: DataFrame) -> DataFrame:
-    """Malformed lines and records without a 64-hex id are tolerated and
-    skipped, as the dedup reader does."""
+    """Malformed lines and records without an id are tolerated and skipped,
+    as the dedup reader does; any string is an id."""
     return df.where(F.col("_corrupt_record").isNull() &
-                    F.coalesce(F.col("dedupe_id").rlike(DEDUPE_ID), F.lit(False)) &
+                    F.col("dedupe_id").isNotNull() &
                     (F.col("event") == COMMIT_EVENT)).drop("_corrupt_record")
 
 

@@ -140,7 +140,8 @@ def usage_records(lines: DataFrame, bucket: Column | None = None) -> DataFrame:
     token_cols = []
     for f, t in TOKEN_FIELDS:
         val = F.col(f"_us.{f}")
-        token_cols.append(F.to_json(val).alias(f"raw_{t}"))
+        # an absent key and a JSON null are the same key part
+        token_cols.append(F.nullif(F.to_json(val), F.lit("null")).alias(f"raw_{t}"))
         token_cols.append(F.when(_vtype(val) == "BIGINT", F.try_variant_get(val, "$", "bigint"))
                           .otherwise(F.lit(0)).alias(t))
     recs = carried.where(F.col("_kind").isin("usage", "error")).select(

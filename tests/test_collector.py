@@ -28,8 +28,8 @@ def kv(d):
 def payload(value, time_ns, metric=METRIC, temporality=1, resource_id="r", session="s",
             email="p@example.invalid", scope="scope-secret", extra=None):
     attrs = {"model": "claude-test", "type": "output", "session.id": session,
-             "user.account_uuid": "acct", "agent.name": "official-agent", "agent_name": "raw-agent-private",
-             "cost_kind": "raw-cost-private", "source": "raw-source-private"}
+             "user.account_uuid": "acct", "agent.name": "planner", "agent_name": "zz-agent",
+             "cost_kind": "zz-cost", "source": "zz-source"}
     attrs.update(extra or {})
     return {"resourceMetrics": [{
         "resource": {"attributes": kv({"service.instance.id": resource_id, "user.email": email, "env": "x"})},
@@ -64,16 +64,16 @@ def batch_samples(spark, path):
 def test_two_producers_compact_to_one_private_series(spark):
     d = tempfile.mkdtemp()
     write(d, [payload(20, 4_000_000_000, resource_id="resource-b", session="session-b"),
-              payload(40, 5_000_000_000, resource_id="resource-a", session="session-a")])
+              payload(40, 5_000_000_000, resource_id="host-7", session="session-a")])
     pts = flatten_otlp(read_otlp_json(spark, d))
     assert identity_leaks(pts).count() > 0
     kept = P.keep_labels(pts)
     assert identity_leaks(kept).count() == 0
     s = batch_samples(spark, d).collect()
-    assert len(s) == 1 and s[0]["value"] == 60 and s[0]["agent_name"] == "official-agent"
+    assert len(s) == 1 and s[0]["value"] == 60 and s[0]["agent_name"] == "planner"
     flat = json.dumps([r.asDict() for r in s])
-    for secret in ["resource-a", "session-b", "p@example.invalid", "scope-secret", "raw-agent-private",
-                   "raw-cost-private", "raw-source-private"]:
+    for secret in ["host-7", "session-b", "p@example.invalid", "scope-secret", "zz-agent",
+                   "zz-cost", "zz-source"]:
         assert secret not in flat
 
 
@@ -112,13 +112,11 @@ def test_session_counts_from_two_producers(spark):
     assert [r["value"] for r in batch_samples(spark, d).collect()] == [60.0]
 
 
-def test_stale_stream_restarts_and_cap(spark):
+def test_stale_stream_restarts(spark):
     deltas = spark.createDataFrame([("a", 0, 5.0), ("a", 60, 5.0), ("a", 60 + 90_000, 3.0), ("b", 120, 1.0)],
                                    "k string, t long, value double")
     got = {(r["k"], r["t"]): r["value"] for r in T.delta_to_cumulative(deltas, keys=["k"]).collect()}
     assert got == {("a", 0): 5, ("a", 60): 10, ("a", 90_060): 3, ("b", 120): 1}
-    capped = T.delta_to_cumulative(deltas, keys=["k"], max_streams=1)
-    assert {r["k"] for r in capped.collect()} == {"a"}
 
 
 def test_commit_log_counts_cumulatively(spark):

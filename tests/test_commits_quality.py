@@ -72,12 +72,28 @@ def test_dedupe_ids_match_python_hmac(spark):
         assert got == want
 
 
-def test_append_respects_cap_counting_existing(spark):
-    ids = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(4)]
-    existing = spark.createDataFrame([(ids[0],), ("not-hex",)], "dedupe_id string")
-    new = spark.createDataFrame([(ids[1], 1), (ids[2], 2), (ids[3], 3), (ids[0], 0)], "dedupe_id string, order long")
-    out = C.append_commit_events(existing, new, cap=3).orderBy("order").collect()
-    assert [r["dedupe_id"] for r in out] == [ids[1], ids[2]]
+def test_append_takes_unseen_ids_once(spark):
+    existing = spark.createDataFrame([("a",), ("not-hex",)], "dedupe_id string")
+    new = spark.createDataFrame([("b", 3), ("b", 2), ("not-hex", 1), ("a", 0), ("c", 9)], "dedupe_id string, order long")
+    out = C.append_commit_events(existing, new).orderBy("order").collect()
+    assert [(r["dedupe_id"], r["order"]) for r in out] == [("b", 2), ("c", 9)]
+
+
+def test_commits_in_the_second_of_the_snapshot_count(spark):
+    call = spark.createDataFrame([("i1", "repo", 100, 160), ("i2", "repo", 161, 170)],
+                                 "invocation_id string, repo string, started long, ended long")
+    commits = spark.createDataFrame([("repo", "a", 100), ("repo", "b", 97), ("repo", "c", 94), ("repo", "d", 158)],
+                                    "repo string, sha string, committed_at long")
+    got = sorted((r["invocation_id"], r["sha"]) for r in C.attribute_commits(call, commits).collect())
+    assert got == [("i1", "a"), ("i1", "b"), ("i1", "d")]     # d was known when i2 started
+
+
+def test_repeated_invocation_pairs_in_turn(spark):
+    base = ("Bash", "git commit -m x", "/w", "repo", "s", "u1", "t")
+    rows = [("PreToolUse", *base, 100), ("PostToolUse", *base, 110), ("PreToolUse", *base, 200),
+            ("PostToolUse", *base, 230), ("PostToolUse", *base, 240)]
+    got = sorted((r["started"], r["ended"]) for r in C.pair_tool_calls(calls(spark, rows)).collect())
+    assert got == [(100, 110), (200, 230)]
 
 
 def test_commit_log_tolerates_malformed_lines(spark):
@@ -85,7 +101,7 @@ def test_commit_log_tolerates_malformed_lines(spark):
     good = hashlib.sha256(b"x").hexdigest()
     with open(os.path.join(d, "events.jsonl"), "w") as fh:
         fh.write(json.dumps({"dedupe_id": good, "event": "codex.git.commit"}) + "\n{broken\n" +
-                 json.dumps({"dedupe_id": "short", "event": "codex.git.commit"}) + "\n")
+                 json.dumps({"dedupe_id": None, "event": "codex.git.commit"}) + "\n")
     assert [r["dedupe_id"] for r in read_commit_events(spark, d).collect()] == [good]
 
 

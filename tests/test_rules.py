@@ -153,7 +153,7 @@ def test_sessions_threads_and_work_units(spark):
 
 def test_first_commit_batch_is_counted(spark):
     s = samples(spark, [("codex_git_commit_count_total", TEST, "_ _ 5 5 _")], 15)
-    out = {r["t"]: r["value"] for r in T.first_batch_growth(s, 60, 60, lookback=60).collect()}
+    out = {r["t"]: r["value"] for r in T.first_batch_growth(s, 60, 60, expiry=60).collect()}
     assert out == {60: 5.0}
 
 
