@@ -38,7 +38,7 @@ from ..session import bounded_broadcast
 WINDOW = 8
 COVER = 50
 MAX_BROADCAST = 2_000_000  # windows of 16 bytes
-NAME, NUMBER, UNIT = "Ⓝ", "⓪", "Ⓤ"
+NAME, NUMBER, UNIT = "ⓝ", "⓪", "ⓤ"  # signs that case folding keeps
 # Spelled numbers and units of measure.
 NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
            "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million").split()

@@ -173,9 +173,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the texts with the spans replaced."""
     scanned = _scanned(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    n = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.select(F.col("__id").alias(id_col), *[n(k) for k, _ in KINDS],
-                          F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+                          F.sha2(text(F.col("__base")), 256).alias("base_sha256"), text(F.col("__spans")).alias("spans"))
 
 
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
@@ -183,11 +183,11 @@ def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
     pairs = F.struct("stratum", "least")
     limits = discovery_limits(docs, text).agg(F.map_from_entries(F.collect_list(pairs))).scalar()  # a row per stratum: at most 4 x 31
     rank = len(KINDS)
-    base = docs.withColumn("limits", limits).withColumn("base", base_spans(text)).withColumn("cand", candidates(text))
-    random = F.transform(F.filter("cand", lambda c: c["random"] & F.coalesce(
-        c["bin"] >= F.element_at(F.col("limits"), F.concat_ws("/", c["enc"], c["band"])), F.lit(False))),
+    base = docs.withColumn("__limits", limits).withColumn("__base", base_spans(text)).withColumn("__cand", candidates(text))
+    random = F.transform(F.filter("__cand", lambda c: c["random"] & F.coalesce(
+        c["bin"] >= F.element_at(F.col("__limits"), F.concat_ws("/", c["enc"], c["band"])), F.lit(False))),
         lambda c: F.struct(c["start"].alias("start"), F.lit(rank).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end")))
-    return base.withColumn("spans", F.sort_array(F.concat("base", random))).drop("cand", "limits")
+    return base.withColumn("__spans", F.sort_array(F.concat("__base", random))).drop("__cand", "__limits")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -202,6 +202,6 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
                      ).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("out"))
 
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return (scanned.withColumn("n_spans", F.size("spans"))
-            .withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(text)).drop("base", "spans"))
+    cut = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return (scanned.withColumn("n_spans", F.size("__spans"))
+            .withColumn(text_col, F.when(F.size("__spans") > 0, cut).otherwise(text)).drop("__base", "__spans"))

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import bounded_broadcast
 
@@ -103,7 +102,7 @@ def _segment(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         words = [viterbi(run, [(f["start"], f["n"], f["p"]) for f in found] if found is not None else [])
                  for run, found in zip(pdf["run"], pdf["found"])]
-        yield pd.DataFrame({"run": pdf["run"], "words": words})
+        yield pd.DataFrame({"run": pdf["run"].astype(object), "words": words})
 
 
 def unigrams(groups: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
