@@ -71,7 +71,9 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row per differing place: file, place, finding (``changed``,
     ``missing`` in the right replica or ``extra`` in it), id, offset and
     length of the left record (of the right one if extra)."""
-    a, b = tree(left), tree(right)
+    from .scratch import written
+
+    a, b = written(tree(left)), written(tree(right))
 
     def level(t: DataFrame, n: int, name: str) -> DataFrame:
         return t.filter(F.col("level") == n).select("file", "node", F.col("digest").alias(name))
