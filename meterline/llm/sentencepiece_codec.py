@@ -22,6 +22,7 @@ cannot occur in Spark strings.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 MAX_CACHE = 200_000     # chunks kept per variant
 SHORT = 64
+MANY = 8                # chunks of one length that are worked out side by side
 NONE = float("-inf")
 
 
@@ -47,6 +49,35 @@ class _Chunks(dict):
         return ids
 
 
+class _Pairs:
+    """Numbered symbols (pieces and their characters) and the piece that each
+    pair of them forms; 0 is no symbol and no piece."""
+
+    def __init__(self, ids: dict, scores: dict):
+        import numpy as np
+
+        names = sorted(ids.keys() | set("".join(ids)))
+        number = {p: i + 1 for i, p in enumerate(names)}
+        self.n = len(names) + 1
+        made = sorted((number[p[:k]] * self.n + number[p[k:]], number[p]) for p in ids for k in range(1, len(p))
+                      if p[:k] in number and p[k:] in number)
+        self.keys, self.made = np.array([k for k, _ in made], np.int64), np.array([m for _, m in made], np.int32)
+        level = {s: i for i, s in enumerate(sorted(set(scores.values())))}
+        self.rank = np.array([-1, *[level[scores[p]] if p in scores else -1 for p in names]], np.int32)
+        self.ids = np.array([-1, *[ids.get(p, -1) for p in names]], np.int32)
+        self.char = np.zeros(0x110000, np.int32)
+        for p, i in number.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+
+    def formed(self, a, b):
+        import numpy as np
+
+        key = a.astype(np.int64) * self.n + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], 0)
+
+
 class Codec:
     """Piece tables of a SentencePiece BPE model with byte fallback."""
 
@@ -66,12 +97,18 @@ class Codec:
         self.rate, self.seed = round(rate * 2**32), seed
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
+    @cached_property
+    def pairs(self) -> _Pairs:
+        return _Pairs(self.ids, self.scores)
+
     def chunk_ids(self, chunk: str, variant: int) -> list[int]:
         """Agenda processing of one chunk. Short chunks keep the agenda as a
         list of the adjacent pairs' scores, long ones as a heap; both take the
         highest score, leftmost among equals."""
         import xxhash
 
+        if not chunk:  # stands for a space sign of the text itself
+            return [self.byte_ids[b] for b in SPACE.encode()]
         key = xxhash.xxh3_64_intdigest(chunk, self.seed * 1_000_003 + variant) if self.rate else 0
         out: list[int] = []
         for p in (self._merge_short if len(chunk) <= SHORT else self._merge_long)(list(chunk), key):
@@ -135,22 +172,99 @@ class Codec:
                 add(left[i], i)
         return [p for p in parts if p is not None]
 
-    def encode(self, text: str, cache: dict, variant: int = 0) -> list[int]:
-        """Ids of a text; ``cache`` holds the chunks' ids by variant."""
+    def _merge_many(self, symbols, key):
+        """Agenda processing of chunks of one length side by side: in each
+        round every chunk takes its best candidate. ``symbols`` (a row per
+        chunk) are merged in place at the candidates' starts; returns where
+        symbols are left."""
+        import numpy as np
+
+        pairs, (rows, n) = self.pairs, symbols.shape
+        left, right = (np.tile(np.arange(d, n + d, dtype=np.int32), (rows, 1)) for d in (-1, 1))
+        kept = np.ones((rows, n), bool)
+        made = np.zeros((rows, n), np.int32)  # by the pair's first symbol; the last has none
+        made[:, :-1] = pairs.formed(symbols[:, :-1], symbols[:, 1:])
+        agenda = pairs.rank[made]
+        row = np.arange(rows)
+        while len(row):
+            mine = agenda[row]
+            at = mine.argmax(1)  # the leftmost of the highest
+            some = mine[np.arange(len(row)), at] >= 0
+            row, at = row[some], at[some]
+            second = right[row, at]
+            stop = right[row, second]
+            r = row
+            if self.rate:  # as in _skipped
+                h = (key[r] ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                     ) * np.uint64(0xD6E8FEB86659FD93)
+                skip = ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < np.uint64(self.rate)
+                agenda[r[skip], at[skip]] = -1
+                r, at, second, stop = (x[~skip] for x in (r, at, second, stop))
+            symbols[r, at] = made[r, at]
+            kept[r, second] = False
+            agenda[r, second] = -1
+            right[r, at] = stop
+            more = stop < n
+            left[r[more], stop[more]] = at[more]
+            made[r, at] = np.where(more, pairs.formed(symbols[r, at], symbols[r, np.minimum(stop, n - 1)]), 0)
+            agenda[r, at] = pairs.rank[made[r, at]]
+            before = left[r, at]
+            r, at, before = (x[before >= 0] for x in (r, at, before))
+            made[r, before] = pairs.formed(symbols[r, before], symbols[r, at])
+            agenda[r, before] = pairs.rank[made[r, before]]
+        return kept
+
+    def _fill(self, new: list[tuple], cache: dict) -> None:
+        """Works out new (chunk, variant) side by side, by length. Long chunks
+        and those with characters outside the vocabulary are left to
+        :meth:`chunk_ids`."""
+        from collections import defaultdict
+
+        import numpy as np
+        import xxhash
+
+        groups = defaultdict(list)
+        for x in new:
+            groups[len(x[0])].append(x)
+        for n, group in groups.items():
+            if not 1 < n <= SHORT or len(group) < MANY:
+                continue
+            symbols = self.pairs.char[np.frombuffer("".join(c for c, _ in group).encode("utf-32-le"), np.uint32).reshape(-1, n)]
+            known = (self.pairs.ids[symbols] >= 0).all(1)
+            group, symbols = [x for x, k in zip(group, known.tolist()) if k], symbols[known]
+            key = np.fromiter((xxhash.xxh3_64_intdigest(c, self.seed * 1_000_003 + v) for c, v in group), np.uint64, len(group))
+            kept = self._merge_many(symbols, key)
+            flat, start = self.pairs.ids[symbols[kept]].tolist(), 0
+            for (c, v), end in zip(group, np.cumsum(kept.sum(1)).tolist()):
+                cache[v][c] = flat[start:end]
+                start = end
+
+    def _chunked(self, text: str) -> list[str]:
+        """Chunks of a text; the empty one stands for a space sign in it."""
         if not text:
             return []
-        chunks = cache.get(variant)
-        if chunks is None:
-            chunks = cache[variant] = _Chunks(self, variant)
         if SPACE not in text:
-            return self._plain(" " + text, chunks)
-        out: list[int] = []
-        for i, part in enumerate(re.split(f"({SPACE})", " " + text)):
-            out += [self.byte_ids[b] for b in part.encode()] if i % 2 else self._plain(part, chunks)
-        return out
+            return self.cut((" " + text).replace(" ", SPACE))
+        parts = [self.cut(p.replace(" ", SPACE)) for p in (" " + text).split(SPACE)]
+        return [*parts[0], *chain.from_iterable(["", *p] for p in parts[1:])]
+
+    def encode_many(self, texts: list[str], variants: list[int], cache: dict) -> list[list[int]]:
+        """Ids of each text; ``cache`` holds the chunks' ids by variant."""
+        cut, new = [self._chunked(t) for t in texts], []
+        for v in set(variants):
+            chunks = cache.setdefault(v, _Chunks(self, v))
+            met = set(chain.from_iterable(c for c, w in zip(cut, variants) if w == v))
+            fresh = met - chunks.keys()
+            if len(chunks) + len(fresh) > MAX_CACHE:  # memory bound
+                chunks.clear()
+                fresh = met
+            new += [(c, v) for c in fresh]
+        self._fill(new, cache)
+        return [list(chain.from_iterable(map(cache[v].__getitem__, c))) for c, v in zip(cut, variants)]
 
-    def _plain(self, text: str, chunks: dict) -> list[int]:
-        return list(chain.from_iterable(map(chunks.__getitem__, self.cut(text.replace(" ", SPACE)))))
+    def encode(self, text: str, cache: dict, variant: int = 0) -> list[int]:
+        """Ids of one text."""
+        return self.encode_many([text], [variant], cache)[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids that :meth:`encode` gave: drops the one space put
@@ -169,7 +283,7 @@ def _encode_rows(batches, model, rate, seed, variants, names):
         for a in range(0, len(texts), 512):  # bounded batches of ids
             part = texts[a:a + 512]
             variant = [xxhash.xxh3_64_intdigest(t, seed) % variants for t in part]
-            ids = [codec.encode(t, cache, v) for t, v in zip(part, variant)]
+            ids = codec.encode_many(part, variant, cache)
             whole = [codec.decode(x) == t for x, t in zip(ids, part)]
             lens = np.array([len(x) for x in ids], np.int64)
             flat = np.fromiter(chain.from_iterable(ids), np.int32, lens.sum())
