@@ -22,6 +22,7 @@ cannot occur in Spark strings.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cached_property
 from itertools import chain
 
@@ -37,7 +38,7 @@ NONE = float("-inf")
 
 
 class _Chunks(dict):
-    """chunk -> ids, worked out when first met."""
+    """chunk -> ids as 32-bit integers in bytes, worked out when first met."""
 
     def __init__(self, codec, variant):
         self.codec, self.variant = codec, variant
@@ -45,7 +46,7 @@ class _Chunks(dict):
     def __missing__(self, chunk):
         if len(self) >= MAX_CACHE:  # memory bound
             self.clear()
-        self[chunk] = ids = self.codec.chunk_ids(chunk, self.variant)
+        self[chunk] = ids = array("i", self.codec.chunk_ids(chunk, self.variant)).tobytes()
         return ids
 
 
@@ -234,8 +235,8 @@ class Codec:
             group, symbols = [x for x, k in zip(group, known.tolist()) if k], symbols[known]
             key = np.fromiter((xxhash.xxh3_64_intdigest(c, self.seed * 1_000_003 + v) for c, v in group), np.uint64, len(group))
             kept = self._merge_many(symbols, key)
-            flat, start = self.pairs.ids[symbols[kept]].tolist(), 0
-            for (c, v), end in zip(group, np.cumsum(kept.sum(1)).tolist()):
+            flat, start = self.pairs.ids[symbols[kept]].tobytes(), 0
+            for (c, v), end in zip(group, (4 * np.cumsum(kept.sum(1))).tolist()):
                 cache[v][c] = flat[start:end]
                 start = end
 
@@ -248,8 +249,9 @@ class Codec:
         parts = [self.cut(p.replace(" ", SPACE)) for p in (" " + text).split(SPACE)]
         return [*parts[0], *chain.from_iterable(["", *p] for p in parts[1:])]
 
-    def encode_many(self, texts: list[str], variants: list[int], cache: dict) -> list[list[int]]:
-        """Ids of each text; ``cache`` holds the chunks' ids by variant."""
+    def encode_many(self, texts: list[str], variants: list[int], cache: dict) -> list[bytes]:
+        """Ids of each text, as 32-bit integers in bytes; ``cache`` holds the
+        chunks' ids by variant."""
         cut, new = [self._chunked(t) for t in texts], []
         for v in set(variants):
             chunks = cache.setdefault(v, _Chunks(self, v))
@@ -260,11 +262,11 @@ class Codec:
                 fresh = met
             new += [(c, v) for c in fresh]
         self._fill(new, cache)
-        return [list(chain.from_iterable(map(cache[v].__getitem__, c))) for c, v in zip(cut, variants)]
+        return [b"".join(map(cache[v].__getitem__, c)) for c, v in zip(cut, variants)]
 
     def encode(self, text: str, cache: dict, variant: int = 0) -> list[int]:
         """Ids of one text."""
-        return self.encode_many([text], [variant], cache)[0]
+        return array("i", self.encode_many([text], [variant], cache)[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids that :meth:`encode` gave: drops the one space put
@@ -284,9 +286,9 @@ def _encode_rows(batches, model, rate, seed, variants, names):
             part = texts[a:a + 512]
             variant = [xxhash.xxh3_64_intdigest(t, seed) % variants for t in part]
             ids = codec.encode_many(part, variant, cache)
-            whole = [codec.decode(x) == t for x, t in zip(ids, part)]
-            lens = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, lens.sum())
+            whole = [codec.decode(memoryview(x).cast("i")) == t for x, t in zip(ids, part)]
+            lens = np.array([len(x) // 4 for x in ids], np.int64)
+            flat = np.frombuffer(b"".join(ids), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(variant, pa.int32()), lists,
                                               pa.array(lens), pa.array(whole)], names)
