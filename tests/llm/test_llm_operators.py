@@ -273,6 +273,25 @@ def test_sentencepiece_round_trip_and_library(spark):
     assert encode(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_chunks_side_by_side_equal_one_by_one(rate):
+    import public_tokenizers
+
+    from meterline.llm.sentencepiece_codec import Codec
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        codec = Codec(f.read(), rate, seed=3)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aeiounrstlm  dé") for _ in range(rng.randrange(400))) for _ in range(60)]
+    texts += ["", " ", "a\u2581b \u2581\u2581 c", "\u2581", "日本語 🙂 ok", "x" * 300 + " " + "ab" * 40]
+    variants = [rng.randrange(3) for _ in texts]
+    cache: dict = {}
+    for text, variant, ids in zip(texts, variants, codec.encode_many(texts, variants, cache)):
+        got = memoryview(ids).cast("i").tolist()
+        assert got == [i for c in codec._chunked(text) for i in codec.chunk_ids(c, variant)]
+        assert not text or codec.decode(got) == text
+
+
 # -- 9 ---------------------------------------------------------------------
 
 def test_fixity_audit_finds_the_damage(spark):
