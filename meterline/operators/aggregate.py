@@ -90,19 +90,20 @@ def compact_deltas(points: DataFrame, batch: Column) -> DataFrame:
 
 def merge_histograms(points: DataFrame, batch: Column) -> DataFrame:
     """A4: histogram deltas summed per (batch, metric, env, labels, bounds):
-    count, sum and bucket counts element-wise."""
-    keys = ["metric", "env", *LABELS]
+    count, sum and bucket counts element-wise. Count and sum travel as
+    position 0 before the buckets, so one scan sums them all."""
+    by = ["batch_t", "metric", "env", *LABELS, "bounds"]
     h = points.where(F.col("kind") == "histogram").withColumn("batch_t", batch)
-    base = h.groupBy("batch_t", *keys, "bounds").agg(
-        F.sum("h_count").alias("h_count"), F.sum("h_sum").alias("h_sum"))
-    buckets = (h.select("batch_t", *keys, "bounds", F.posexplode("bucket_counts").alias("pos", "n"))
-               .groupBy("batch_t", *keys, "bounds", "pos").agg(F.sum("n").alias("n")))
-    # Re-assemble the bucket array in position order; the array length is
-    # bounded by the number of bounds, not by data volume.
-    arr = buckets.groupBy("batch_t", *keys, "bounds").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda s: s["n"])
-        .alias("bucket_counts"))
-    return base.join(arr, ["batch_t", *keys, "bounds"], "inner")
+    totals = F.array(F.struct(F.col("h_count").cast("bigint").alias("n"), F.col("h_sum").cast("double").alias("s")))
+    slots = F.coalesce(F.transform("bucket_counts", lambda n: F.struct(n.cast("bigint").alias("n"), F.lit(0.0).alias("s"))),
+                       F.array().cast("array<struct<n:bigint,s:double>>"))
+    summed = (h.select(*by, F.posexplode(F.concat(totals, slots)).alias("pos", "slot"))
+              .groupBy(*by, "pos").agg(F.sum("slot.n").alias("n"), F.sum("slot.s").alias("s")))
+    # Re-assemble the array in position order; its length is bounded by the
+    # number of bounds, not by data volume.
+    arr = summed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "n", "s"))).alias("_all"))
+    return arr.select(*by, F.col("_all")[0]["n"].alias("h_count"), F.col("_all")[0]["s"].alias("h_sum"),
+                      F.transform(F.slice("_all", 2, F.size("_all")), lambda x: x["n"]).alias("bucket_counts"))
 
 
 def _le_text(b: Column) -> Column:
@@ -116,6 +117,11 @@ def bucket_series(hist: DataFrame, count_col: str = "bucket_counts",
     """A5: per-bucket counts -> cumulative ``le`` series; the last bucket is
     ``+Inf``. The cumulative runs within one histogram row (a bounded
     array), via ``aggregate`` over a ``sequence`` — no shuffle."""
+    return hist.select(*keep, F.inline(bucket_pairs(count_col)))
+
+
+def bucket_pairs(count_col: str = "bucket_counts") -> Column:
+    """Array of (le, count) of a histogram row, empty without buckets."""
     n = F.size(count_col)
     cum = F.transform(F.sequence(F.lit(0), n - 1),
                       lambda i: F.aggregate(F.slice(count_col, 1, i + 1), F.lit(0).cast("bigint"),
@@ -123,8 +129,8 @@ def bucket_series(hist: DataFrame, count_col: str = "bucket_counts",
     les = F.transform(F.sequence(F.lit(0), n - 1),
                       lambda i: F.when(i < F.size("bounds"), _le_text(F.element_at("bounds", i + 1)))
                       .otherwise(F.lit("+Inf")))
-    pairs = F.arrays_zip(les.alias("le"), cum.alias("count"))
-    return hist.select(*keep, F.inline(pairs))
+    pairs = F.zip_with(les, cum, lambda le, c: F.struct(le.alias("le"), c.alias("count")))
+    return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<le:string,count:bigint>>"))
 
 
 def sum_without(df: DataFrame, drop: Sequence[str], value: str = "value",

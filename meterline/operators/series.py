@@ -103,30 +103,40 @@ def range_eval(samples: DataFrame, step: int, rng: int, fn: str = "increase",
     """Evaluate ``fn(x[rng])`` at every multiple of ``step``.
 
     Samples are first reduced to one row per (series, bucket end) where the
-    bucket is (e-step, e]; a window of ``rng`` = m*step then covers the m
-    buckets ending at the evaluation time, so each bucket row is fanned out
-    to its m evaluation times and re-aggregated. This is exact for ranges
-    that are multiples of the step. ``fn`` is increase, min_over_time,
+    bucket is (e-step, e]; a range of m steps covers the m buckets ending at
+    the evaluation time, which is exact for ranges that are multiples of the
+    step. A sum gains a bucket's value at e and loses it at e + ``rng``: one
+    running sum over these two rows per bucket, however long the range is;
+    only the result has a row per step. ``fn`` is increase, min_over_time,
     max_over_time, count_over_time or rate_per_hour.
     """
+    if fn in ("min_over_time", "max_over_time"):
+        keys = series_keys(samples, keys)
+        return _between(extremes_over_time(samples, step, rng, keys).select(
+            *keys, "t", F.col(fn[:3] + "_value").alias("value")), start, end)
     if rng % step:
         raise ValueError("range must be a multiple of step")
     keys = series_keys(samples, keys)
     m = rng // step
     src = counter_steps(samples, keys) if fn in ("increase", "rate_per_hour") else samples
     agg = {"increase": F.sum("step"), "rate_per_hour": F.sum("step"),
-           "min_over_time": F.min("value"), "max_over_time": F.max("value"),
            "count_over_time": F.count("value").cast("double")}[fn]
-    re_agg = {"increase": F.sum, "rate_per_hour": F.sum, "min_over_time": F.min,
-              "max_over_time": F.max, "count_over_time": F.sum}[fn]
-    buckets = src.withColumn("_e", _bucket_end(step)).groupBy(*keys, "_e") \
-        .agg(agg.alias("_v"))
+    out = src.groupBy(*keys, _bucket_end(step).alias("t")).agg(agg.alias("value"))
     if m > 1:
-        buckets = buckets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))) \
-            .withColumn("_e", F.col("_e") + F.col("_k") * F.lit(step)).drop("_k")
-    out = buckets.groupBy(*keys, F.col("_e").alias("t")).agg(re_agg("_v").alias("value"))
+        moves = out.select(*keys, F.inline(F.array(
+            F.struct(F.col("t"), F.col("value"), F.lit(1).alias("n")),
+            F.struct((F.col("t") + rng).alias("t"), (-F.col("value")).alias("value"), F.lit(-1).alias("n")))))
+        moves = moves.groupBy(*keys, "t").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+        held = moves.select(*keys, "t", F.sum("value").over(_upto(keys)).alias("value"),
+                            F.sum("n").over(_upto(keys)).alias("n"), F.lead("t").over(_w(keys)).alias("_next"))
+        steps = F.explode(F.sequence("t", F.col("_next") - step, F.lit(step).cast("bigint")))
+        out = held.where("n > 0").select(*keys, steps.alias("_t"), "value").withColumnRenamed("_t", "t")
     if fn == "rate_per_hour":
         out = out.withColumn("value", F.col("value") * F.lit(HOUR / rng))
+    return _between(out, start, end)
+
+
+def _between(out: DataFrame, start: int | None, end: int | None) -> DataFrame:
     if start is not None:
         out = out.where(F.col("t") >= start)
     if end is not None:
@@ -134,6 +144,27 @@ def range_eval(samples: DataFrame, step: int, rng: int, fn: str = "increase",
     return out
 
 
+def extremes_over_time(samples: DataFrame, step: int, rng: int,
+                       keys: Sequence[str] | None = None) -> DataFrame:
+    """T6 at every multiple of ``step``: least and greatest sample of the
+    trailing range (min_value, max_value) in one pass. The rows of the
+    result are laid out first, each once; a sliding window fills them."""
+    if rng % step:
+        raise ValueError("range must be a multiple of step")
+    keys = series_keys(samples, keys)
+    buckets = samples.groupBy(*keys, _bucket_end(step).alias("t")).agg(
+        F.min("value").alias("_min"), F.max("value").alias("_max"))
+    last = F.col("t") + (rng - step)
+    until = F.least(F.coalesce(F.lead("t").over(_w(keys)) - step, last), last)
+    rows = buckets.withColumn("_until", until).withColumn(
+        "_t", F.explode(F.sequence("t", "_until", F.lit(step).cast("bigint"))))
+    own = F.col("_t") == F.col("t")
+    rows = rows.select(*keys, F.when(own, F.col("_min")).alias("_min"), F.when(own, F.col("_max")).alias("_max"),
+                       F.col("_t").alias("t"))
+    span = _w(keys).rangeBetween(step - rng, Window.currentRow)
+    return rows.select(*keys, "t", F.min("_min").over(span).alias("min_value"), F.max("_max").over(span).alias("max_value"))
+
+
 def rate_per_hour(samples: DataFrame, step: int, keys: Sequence[str] | None = None) -> DataFrame:
     """T5: trailing one-hour growth at every step, expressed per hour."""
     return range_eval(samples, step, HOUR, "rate_per_hour", keys)

@@ -326,10 +326,8 @@ def q_rate_per_hour(spark, sf):
 def q_over_time(spark, sf):
     s = _samples(spark, sf)
     keys = ["name", *jobs.SAMPLE_LABELS]
-    mn = T.range_eval(s, HOUR, 4 * HOUR, "min_over_time", keys)
-    mx = T.range_eval(s, HOUR, 4 * HOUR, "max_over_time", keys).withColumnRenamed("value", "max_value")
-    j = mn.join(mx, [*keys, "t"], "inner")
-    return j.select(*keys, "t", _r("value").alias("min_value"), _r("max_value").alias("max_value"))
+    both = T.extremes_over_time(s, HOUR, 4 * HOUR, keys)
+    return both.select(*keys, "t", _r("min_value").alias("min_value"), _r("max_value").alias("max_value"))
 
 
 @query("instant")

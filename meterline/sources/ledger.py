@@ -205,7 +205,7 @@ def ingest_changed(spark: SparkSession, root: str, manifest: DataFrame | None,
             F.struct(F.col("file_block_start").alias("block"), F.col("_rid").alias("rid")).alias("ord"),
             F.col("file_block_start").alias("block"),
             F.col("value").alias("line"))
-        lines = lines.join(F.broadcast(kept), "path", "inner").withColumn("path_parts", F.split("path", "/"))
+        lines = lines.join(kept, "path", "inner").withColumn("path_parts", F.split("path", "/"))
         fresh = usage_records(lines)
         records = fresh if kept_records is None else kept_records.unionByName(fresh)
     return listing.select("file_path", "length", "modificationTime"), records

@@ -41,16 +41,16 @@ def point_delta_rows(points: DataFrame, arrival: F.Column | None = None) -> Data
     arrival = arrival if arrival is not None else F.unix_seconds(F.current_timestamp())
     p = P.normalize_scope(P.contract_filter(P.keep_labels(points))).withColumn("arrival", arrival)
     keys = ["metric", "env", *P.LABELS]
-    sums = p.where(F.col("kind") == "sum").select(
-        *keys, F.lit("").alias("part"), F.lit("").alias("le"), "arrival", F.col("value").cast("double"))
-    h = p.where(F.col("kind") == "histogram")
-    hs = h.select(*keys, F.lit("sum").alias("part"), F.lit("").alias("le"), "arrival",
-                  F.col("h_sum").cast("double").alias("value"))
-    hc = h.select(*keys, F.lit("count").alias("part"), F.lit("").alias("le"), "arrival",
-                  F.col("h_count").cast("double").alias("value"))
-    hb = A.bucket_series(h, keep=[*keys, "arrival"]).select(
-        *keys, F.lit("bucket").alias("part"), "le", "arrival", F.col("count").cast("double").alias("value"))
-    return sums.unionByName(hs).unionByName(hc).unionByName(hb)
+
+    def row(part: str, le, value):
+        return F.struct(F.lit(part).alias("part"), le.alias("le"), value.cast("double").alias("value"))
+
+    none = F.lit("")
+    parts = (F.when(F.col("kind") == "sum", F.array(row("", none, F.col("value"))))
+             .when(F.col("kind") == "histogram", F.concat(
+                 F.array(row("sum", none, F.col("h_sum")), row("count", none, F.col("h_count"))),
+                 F.transform(A.bucket_pairs(), lambda b: row("bucket", b["le"], b["count"])))))
+    return p.select(*keys, "arrival", F.inline(parts))
 
 
 def _state_fn(keys: Sequence[str], max_stale: int):
