@@ -322,6 +322,11 @@ def _as_classes(p: DataFrame) -> DataFrame:
     return p.select(F.least(_class("x"), _class("y")).alias("a"), F.greatest(_class("x"), _class("y")).alias("b")).distinct()
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    """The components found so far, as links: later ones only join them."""
+    return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def link_classes(join: _Join) -> DataFrame:
     """(node, root): components of classes under all links."""
     size, percent = join.size, join.percent
@@ -378,7 +383,7 @@ def link_classes(join: _Join) -> DataFrame:
         F.bool_and(F.col("c") <= LIMIT).alias("all"), F.bool_or((F.col("c") <= LIMIT) & ~F.col("deleted")).alias("exact"))
     value = value.groupBy("unit", "least").agg(F.sum(F.when(F.col("all"), 2).when(F.col("exact"), 1).otherwise(0)).alias("v"))
     pairs = _pairs(near.filter(F.col("c") <= LIMIT), "deleted").filter("not (ex and ey)")
-    links = written(links.union(join.verified(join.similar_sizes(_as_classes(pairs)), sets)))
+    links = _edges(roots).union(join.verified(join.similar_sizes(_as_classes(pairs)), sets))
     still = value.filter("v < least").select("unit")
     roots = written(components(links, "a", "b"))
     left = written(unsettled(left.select("key", "unit").join(still, "unit", "left_semi"), roots))
@@ -387,7 +392,7 @@ def link_classes(join: _Join) -> DataFrame:
 
     # Step 3: across the components of each key that is still open.
     across = _pairs(left, "root").filter("ex <> ey")
-    links = links.union(join.verified(join.similar_sizes(_as_classes(across)), sets))
+    links = _edges(roots).union(join.verified(join.similar_sizes(_as_classes(across)), sets))
     return components(links, "a", "b")
 
 
