@@ -21,7 +21,11 @@ since one of its cheap keys must be shared. Only units that cannot go on:
 2. units that still lack cheap or settled keys get a finer partition with
    one-deletion neighbourhoods: a segment whose key and deletions are all
    cheap counts twice, one whose key is cheap once, others not at all;
-3. what lacks even then is compared across components within its keys.
+3. what lacks even then is compared across components by its rarest
+   shingles. Of two similar sets the larger one has a shingle among its
+   ``n - ceil(n * percent / 100) + 1`` rarest that the smaller one has among
+   its ``n - ceil(2 * n * percent / (100 + percent)) + 1`` rarest, so a long
+   passage that dissimilar texts share makes no pairs.
 
 Every candidate pair is verified exactly on the two whole shingle sets. No
 step drops a candidate: each only skips what another must find.
@@ -327,6 +331,42 @@ def _edges(roots: DataFrame) -> DataFrame:
     return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def _elements(batches):
+    """(class, root, n, shingle) of each set."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for c, root, data in zip(*[column.to_pylist() for column in batch.columns]):
+            n = len(data) // 8
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, np.int64)) for x in (c, root, n)],
+                                              pa.array(np.frombuffer(data, np.int64))], ["class", "root", "n", "s"])
+
+
+def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of classes of different roots that can link."""
+    from pyspark.sql import Window
+
+    rows = sets.join(classes, "class").select("class", "root", "shingles").mapInArrow(
+        _elements, "class long, root long, n long, s long")
+    common = rows.groupBy("s").agg(F.count("*").alias("c"))
+    # One set a window; shingles that no other set has take places, but make no pairs.
+    place = F.row_number().over(Window.partitionBy("class").orderBy("c", "s"))
+    first = rows.join(common, "s").withColumn("at", place).filter("c > 1")
+    least = lambda num, den: F.floor((F.col("n") * num + den - 1) / den)
+    first = written(first.select("s", "class", "root", "n", "at",
+                                 (F.col("at") <= F.col("n") - least(2 * percent, 100 + percent) + 1).alias("short"))
+                    .filter(F.col("at") <= F.col("n") - least(percent, 100) + 1))
+    large = first.select("s", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    small = first.filter("short").select("s", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    met = large.join(small, "s").filter((F.col("ra") != F.col("rb")) & (F.struct("nb", "b") < F.struct("na", "a")) &
+                                        (100 * F.col("nb") >= percent * F.col("na")))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    # At most this many are shared: the first common one and what follows it.
+    shared = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return met.filter((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def link_classes(join: _Join) -> DataFrame:
     """(node, root): components of classes under all links."""
     size, percent = join.size, join.percent
@@ -390,9 +430,9 @@ def link_classes(join: _Join) -> DataFrame:
     if left.isEmpty():
         return roots
 
-    # Step 3: across the components of each key that is still open.
-    across = _pairs(left, "root").filter("ex <> ey")
-    links = _edges(roots).union(join.verified(join.similar_sizes(_as_classes(across)), sets))
+    # Step 3: across components, by the rarest shingles.
+    open_ = written(left.select(_class("unit").alias("class"), "root").distinct())
+    links = _edges(roots).union(join.verified(_rare_pairs(open_, sets, percent), sets))
     return components(links, "a", "b")
 
 

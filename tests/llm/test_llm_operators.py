@@ -232,6 +232,32 @@ def test_jaccard_components_equal_brute_force(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rare_shingles_meet_every_link(spark):
+    from pyspark.sql import functions as F
+
+    from meterline.llm.jaccard_join import _Join, _rare_pairs
+
+    rng = random.Random(5)
+    passage = prose(60, rng)
+    texts = [f"{passage} {prose(rng.choice([3, 6, 9, 12, 40]), rng)}" for _ in range(40)]
+    for k in range(40):
+        w = rng.choice(texts).split()
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w[:len(w) - k % 5]))
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    want = {(j, i) for i in range(len(texts)) for j in range(i)
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    join = _Join(frame(spark, texts), "doc_id", "text", 80, 5)
+    found = join.sets(join.classes.select("class"))
+    pairs = _rare_pairs(join.classes.select("class", F.col("class").alias("root")), found, 80)
+    ids = {r["class"]: r["rep"] for r in join.classes.collect()}
+    pair = lambda r: tuple(sorted((ids[r["a"]], ids[r["b"]])))
+    assert len(ids) == len(texts) and want <= {pair(r) for r in pairs.collect()}
+    assert want and {pair(r) for r in join.verified(pairs, found).collect()} == want
+
+
 @pytest.mark.parametrize("percent", [60, 80, 95])
 def test_bands_and_segments_hold_every_pair(percent):
     from meterline.llm.jaccard_join import bands, differences, roles
