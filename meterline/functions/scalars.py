@@ -108,22 +108,6 @@ def utc_parse(c) -> Column:
     return F.try_to_timestamp(col_(c))
 
 
-def hour_floor(ts) -> Column:
-    """hour floor, kept as TIMESTAMP_NTZ (UTC wall time)."""
-    return F.date_trunc("hour", col_(ts)).cast("timestamp_ntz")
-
-
 def epoch_seconds(ts) -> Column:
     """Whole unix seconds of a TIMESTAMP or TIMESTAMP_NTZ (UTC) column."""
     return F.floor(F.unix_micros(col_(ts).cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
-
-
-def decimal_price(c, precision: int = 12, scale: int = 6) -> Column:
-    """F8: decimal string -> DECIMAL, invalid -> NULL."""
-    return F.expr(f"try_cast({c} AS DECIMAL({precision},{scale}))") if isinstance(c, str) \
-        else col_(c).try_cast(f"decimal({precision},{scale})")
-
-
-def iso_date(c) -> Column:
-    """ISO date string -> DATE, invalid -> NULL."""
-    return col_(c).try_cast("date")

@@ -153,15 +153,6 @@ def label_replace(df: DataFrame, dst: str, repl: str, src: str, regex: str) -> D
     return df.withColumn(dst, F.when(anchored(srcv, regex), new).otherwise(cur))
 
 
-def clean_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Non-integer counts become 0 (typed in S3); negatives and zeros
-    do not contribute."""
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)))
-    return out
-
-
 def parse_cutoff(end: str) -> dt.datetime:
     """P12 driver-side check: ISO time, naive = UTC, must be hour-aligned."""
     utc = dt.timezone.utc
@@ -172,12 +163,6 @@ def parse_cutoff(end: str) -> dt.datetime:
     return at
 
 
-def before(df: DataFrame, end: str, ts_col: str = "ts") -> DataFrame:
-    """Exclusive, hour-aligned UTC cutoff."""
-    cutoff = parse_cutoff(end)
-    return df.where(F.col(ts_col) < F.lit(cutoff.replace(tzinfo=None)).cast("timestamp_ntz"))
-
-
 def compare(df: DataFrame, op: str, x: float, value: str = "value") -> DataFrame:
     """PromQL filtering comparison (drops rows, keeps values)."""
     v = F.col(value)

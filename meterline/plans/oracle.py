@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from ..sinks.text import GAUGES
 from ..sources.prices import price_values
 
 EV = """ev AS (
@@ -779,6 +780,13 @@ def oracles() -> dict[str, str]:
 
     # quality
     q["leak_scan"] = leak_sql()
+    for i, (name, said) in enumerate(GAUGES[:5]):
+        of = "corpus_shrunk" if name == "corpus_shrunk" else "scan_stats"
+        column = "shrunk" if name == "corpus_shrunk" else name
+        if said:
+            q["exposition_text"] += f" UNION ALL SELECT {4 + 2 * i}, '', 'a', '# HELP codex_ledger_{name} {said}'"
+        q["exposition_text"] += f""" UNION ALL SELECT {4 + 2 * i}, '', 'b', '# TYPE codex_ledger_{name} gauge'
+          UNION ALL SELECT {5 + 2 * i}, '', '', 'codex_ledger_{name} ' || (SELECT max({column}) FROM ({q[of]}))"""
     return q
 
 

@@ -111,7 +111,9 @@ def q_openmetrics_history(spark, sf):
 @query("exposition_text")
 def q_exposition_text(spark, sf):
     kept = jobs.kept_table(spark, sf)
-    return K.exposition_text(A.ledger_totals(kept), A.turn_records(kept), env=jobs.LEDGER_ENV)
+    shrunk = q_corpus_shrunk(spark, sf).agg(F.coalesce(F.max("shrunk"), F.lit(0))).scalar()
+    stats = q_scan_stats(spark, sf).withColumn("corpus_shrunk", shrunk)
+    return K.exposition_text(A.ledger_totals(kept), A.turn_records(kept), jobs.LEDGER_ENV, stats)
 
 
 @query("corpus_shrunk")

@@ -20,6 +20,17 @@ TOKEN_ORDER = ["input", "cached_input", "cache_write_input", "output", "reasonin
 
 TOKENS_METRIC = "codex_ledger_token_usage_total"
 TURNS_METRIC = "codex_ledger_turn_records_total"
+SCAN_METRIC = "codex_ledger_"
+# The scan's gauges in their order, and what they say.
+GAUGES = [
+    ("scan_ok", "Whether the last scan of the ledger succeeded (1) or not (0)."),
+    ("parse_errors", "Lines of the ledger that do not parse at present."),
+    ("duplicate_records", "Replayed copies left out of the totals."),
+    ("corpus_shrunk", "1 once a total fell between two scans."),
+    ("files_scanned", None),
+    ("last_scan_timestamp_seconds", None),
+    ("scan_duration_seconds", None),
+]
 
 
 def _lab(name: str, value) -> F.Column:
@@ -29,7 +40,9 @@ def _lab(name: str, value) -> F.Column:
 def exposition_text(totals: DataFrame, turns: DataFrame, env: str,
                     stats: DataFrame | None = None) -> DataFrame:
     """K1: exposition lines (section, model, token_type, line). Series are
-    sorted by (model, token_type); HELP/TYPE lines head each section."""
+    sorted by (model, token_type); HELP/TYPE lines head each section.
+    ``stats`` is one row with those of the ``GAUGES`` that the scan knows;
+    the two in seconds are written with three decimals."""
     env_l = F.concat(F.lit('env="'), escape_label(F.lit(env)), F.lit('",'))
     tok = totals.select(
         F.lit(1).alias("section"), "model", "token_type",
@@ -49,11 +62,23 @@ def exposition_text(totals: DataFrame, turns: DataFrame, env: str,
     ], "section int, model string, token_type string, line string")
     out = heads.unionByName(tok).unionByName(trn)
     if stats is not None:
-        gauges = stats.select(F.explode(F.array(*[
-            F.struct(F.lit(4 + i).alias("section"), F.lit("").alias("model"), F.lit("").alias("token_type"),
-                     F.concat(F.lit(f"codex_ledger_{c} "), F.col(c).cast("string")).alias("line"))
-            for i, c in enumerate(stats.columns)])).alias("g")).select("g.*")
-        out = out.unionByName(gauges)
+        def row(section: int, order: str, line):
+            return F.struct(F.lit(section).alias("section"), F.lit("").alias("model"),
+                            F.lit(order).alias("token_type"), line.alias("line"))
+
+        rows = []
+        for i, (name, said) in enumerate(GAUGES):
+            if name not in stats.columns:
+                continue
+            metric = SCAN_METRIC + name
+            value = F.col(name).cast("string")
+            if name.endswith("_seconds"):
+                value = F.format_string("%.3f", F.col(name).cast("double"))
+            if said:
+                rows.append(row(4 + 2 * i, "a", F.lit(f"# HELP {metric} {said}")))
+            rows += [row(4 + 2 * i, "b", F.lit(f"# TYPE {metric} gauge")),
+                     row(5 + 2 * i, "", F.concat(F.lit(metric + " "), value))]
+        out = out.unionByName(stats.select(F.inline(F.array(*rows))))
     return out
 
 

@@ -90,7 +90,7 @@ def usage_records(lines: DataFrame, bucket: Column | None = None) -> DataFrame:
     parse error (``is_error``) so D2 can count them.
 
     The VARIANT is narrowed one level per projection (record, payload,
-    usage object) so each path is extracted once. ``bucket`` slices a file
+    usage object). ``bucket`` slices a file
     for the carry-forward scan (see :mod:`meterline.functions.prefix`); by
     default the line's ``block`` (file split start).
     """

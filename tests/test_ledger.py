@@ -137,6 +137,17 @@ def test_exposition_round_trip(spark):
     assert got[("codex_ledger_turn_records_total", 'm"x', None)] == 1
 
 
+def test_exposition_gauges(spark):
+    _, kept = scan(spark, tree({"sessions/a.jsonl": [ctx("m"), usage("2024-01-01T00:10:00Z", 10, out=6)]}))
+    stats = spark.createDataFrame([(1, 2, 3, 0, 1, 1704067200.5, 0.25)], "scan_ok int, parse_errors long, duplicate_records long, "
+                                  "corpus_shrunk int, files_scanned long, last_scan_timestamp_seconds double, scan_duration_seconds double")
+    lines = exposition_text(A.ledger_totals(kept), A.turn_records(kept), "prod", stats).where("section > 3")
+    got = [r["line"] for r in lines.orderBy("section", "model", "token_type").collect() if not r["line"].startswith("# HELP")]
+    assert got[:2] == ["# TYPE codex_ledger_scan_ok gauge", "codex_ledger_scan_ok 1"]
+    assert got[-4:] == ["# TYPE codex_ledger_last_scan_timestamp_seconds gauge", "codex_ledger_last_scan_timestamp_seconds 1704067200.500",
+                        "# TYPE codex_ledger_scan_duration_seconds gauge", "codex_ledger_scan_duration_seconds 0.250"]
+
+
 def test_openmetrics_history_ends_with_eof(spark):
     cats = spark.createDataFrame([(3600, "m", "input", 5), (3600, "m", "output", 2)],
                                  "t long, model string, type string, value long")
