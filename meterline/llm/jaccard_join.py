@@ -19,8 +19,10 @@ since one of its cheap keys must be shared. Only units that cannot go on:
    key (a group of near copies becomes one component that way, in linear
    work); keys whose units are all in one component by then are settled;
 2. units that still lack cheap or settled keys get a finer partition with
-   one-deletion neighbourhoods: a segment whose key and deletions are all
-   cheap counts twice, one whose key is cheap once, others not at all;
+   one-deletion neighbourhoods: a segment of two shingles or more whose key
+   and deletions are all cheap counts twice, another one whose key is cheap
+   once (a single shingle's deletion leaves nothing that a partner has a key
+   of), others not at all;
 3. what lacks even then is compared across components by its rarest
    shingles. Of two similar sets the larger one has a shingle among its
    ``n - ceil(n * percent / 100) + 1`` rarest that the smaller one has among
@@ -239,12 +241,13 @@ def _neighbourhoods(batches, percent):
             for role, (band, m, least) in enumerate(roles(len(s), lows, percent)):
                 exact, starts, segment, inner, sums, base = segment_keys(s, band, 2 * m, 1)
                 lens = np.diff(np.concatenate([starts, [len(s)]]))
-                less = _mix(np.repeat(sums, lens) - inner + np.repeat(base, lens))
+                many = np.repeat(lens > 1, lens)  # empty segments have no keys to meet
+                less = _mix(np.repeat(sums, lens) - inner + np.repeat(base, lens))[many]
                 keys = np.concatenate([exact, less]).view(np.int64)
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys), pa.array(np.full(n, 2 * c + role, np.int64)),
-                    pa.array(np.concatenate([segment, np.repeat(segment, lens)]).astype(np.int64)),
+                    pa.array(np.concatenate([segment, np.repeat(segment, lens)[many]]).astype(np.int64)),
                     pa.array(np.arange(n) >= len(exact)), pa.array(np.full(n, least, np.int64))],
                     ["key", "unit", "segment", "deleted", "least"])
 
@@ -420,7 +423,7 @@ def link_classes(join: _Join) -> DataFrame:
     near = written(near)
     near = near.join(near.groupBy("key").agg(F.count("*").alias("c")), "key")
     value = near.groupBy("unit", "segment", "least").agg(
-        F.bool_and(F.col("c") <= LIMIT).alias("all"), F.bool_or((F.col("c") <= LIMIT) & ~F.col("deleted")).alias("exact"))
+        (F.bool_and(F.col("c") <= LIMIT) & F.bool_or("deleted")).alias("all"), F.bool_or((F.col("c") <= LIMIT) & ~F.col("deleted")).alias("exact"))
     value = value.groupBy("unit", "least").agg(F.sum(F.when(F.col("all"), 2).when(F.col("exact"), 1).otherwise(0)).alias("v"))
     pairs = _pairs(near.filter(F.col("c") <= LIMIT), "deleted").filter("not (ex and ey)")
     links = _edges(roots).union(join.verified(join.similar_sizes(_as_classes(pairs)), sets))

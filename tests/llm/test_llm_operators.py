@@ -258,6 +258,15 @@ def test_rare_shingles_meet_every_link(spark):
     assert want and {pair(r) for r in join.verified(pairs, found).collect()} == want
 
 
+def test_single_shingle_segments_lose_no_link(spark):
+    from meterline.llm.jaccard_join import near_duplicates
+
+    rng = random.Random(26)
+    hub = prose(13, rng)  # its 30 partners are too far from each other
+    texts = [hub] + [f"{hub} {prose(2, rng)}" for _ in range(30)]
+    assert {r["component_id"] for r in near_duplicates(frame(spark, texts)).collect()} == {0}
+
+
 @pytest.mark.parametrize("percent", [60, 80, 95])
 def test_bands_and_segments_hold_every_pair(percent):
     from meterline.llm.jaccard_join import bands, differences, roles
