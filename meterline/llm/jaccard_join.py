@@ -100,7 +100,7 @@ def shingle_sets(texts, size: int):
         ends = np.searchsorted(at, offsets[1:])
         n = len(h)
         total = np.full(max(n - size + 1, 0), (size * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
-        for i in range(size):
+        for i in range(size if n >= size else 0):
             total = total * np.uint64(0xD6E8FEB86659FD93) + h[i:n - size + 1 + i]
         total = _mix(total)
         start = 0

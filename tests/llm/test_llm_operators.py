@@ -258,6 +258,19 @@ def test_rare_shingles_meet_every_link(spark):
     assert want and {pair(r) for r in join.verified(pairs, found).collect()} == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6])
+def test_slices_of_few_words(n):
+    import pyarrow as pa
+
+    from meterline.llm.jaccard_join import shingle_sets
+
+    text = " ".join(WORDS[:n])
+    alone = [len(s) for s in shingle_sets(pa.array([None, text, ""]), 5)]
+    assert alone == [0, len(shingles(text)), 0]
+    among = list(shingle_sets(pa.array([text, " ".join(WORDS[:40])]), 5))[0]
+    assert list(shingle_sets(pa.array([text]), 5))[0].tolist() == among.tolist()
+
+
 def test_single_shingle_segments_lose_no_link(spark):
     from meterline.llm.jaccard_join import near_duplicates
 
