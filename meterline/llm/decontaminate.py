@@ -5,14 +5,17 @@ units after a number and names (capitalised words inside a sentence) become
 typed placeholders, other words lose case and punctuation. Every run of
 ``WINDOW`` template words is hashed, and documents' windows are hash-joined
 with the benchmark's. Windows of one document and item that lie on the same
-diagonal (document position minus item position) are one alignment. An
-alignment leaks the item when
-
-* it covers at least ``COVER`` percent of the item's windows, and
-* its slots are consistent: within the aligned windows, each value of the
-  item stands for one value in the document. A question whose numbers or
-  names were changed throughout passes (a re-parameterised leak, ``exact`` is
-  false); a passage that merely has numbers in the same places does not.
+diagonal (document position minus item position) are one alignment, if its
+slots are consistent: within the aligned windows, each value of the item
+stands for one value in the document. A question whose numbers or names were
+changed throughout passes (a re-parameterised leak, ``exact`` is false); a
+passage that merely has numbers in the same places does not. Diagonals that
+lie no further apart than the item is long are one chain: words put in, left
+out or changed split a copy over several. A chain leaks the item when
+
+* the item's words that it covers are as many as a run of ``COVER`` percent of
+  the item's windows has, or
+* one alignment has a run of ``RUN`` windows, however long the item is.
 
 Items shorter than a window are compared as one window of all their words.
 
@@ -30,13 +33,14 @@ item without words leaks nowhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
 
 WINDOW = 8
 COVER = 50
+RUN = 25  # windows: 32 words in a row
 MAX_BROADCAST = 2_000_000  # windows of 16 bytes
 NAME, NUMBER, UNIT = "ⓝ", "⓪", "ⓤ"  # signs that case folding keeps
 # Spelled numbers and units of measure.
@@ -83,8 +87,8 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and leaked item: id, item id, n_windows (matched,
-    on the best alignment), need (windows of the item) and exact (no slot
-    differs)."""
+    on the best chain), need (windows of the item) and exact (its alignments
+    without a differing slot leak the item, too)."""
     items = benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")).dropDuplicates()
     listed = benchmark_windows(items)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -98,12 +102,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = hits(WINDOW)
     for size in sorted(set(sizes) - {WINDOW}):
         found = found.unionByName(hits(size))
-    aligned = found.groupBy("__id", "item", "need", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.count_distinct("at").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    aligned = aligned.filter(100 * F.col("n") >= COVER * F.col("need"))
-    slots = _consistent(aligned, source, items)
-    return slots.groupBy(F.col("__id").alias(id_col), F.col("item").alias(item_col)).agg(
-        F.max("n").alias("n_windows"), F.first("need").alias("need"), F.bool_or("exact").alias("exact"))
+    aligned = found.groupBy("__id", "item", "need", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(
+        F.collect_set("at").alias("ats"))
+    # A chain has at most what all diagonals of the document and item have.
+    whole = aligned.groupBy("__id", "item", "need", "size").agg(F.collect_list(F.struct("shift", "ats")).alias("all"))
+    whole = whole.filter(_covers(F.flatten("all.ats")) | (_run(F.flatten("all.ats")) >= RUN))
+    aligned = whole.select("__id", "item", "need", "size", F.inline("all"))
+    order = Window.partitionBy("__id", "item").orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(order) >= F.col("need") + F.col("size")
+    chained = _consistent(aligned, source, items).withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    chains = chained.withColumn("chain", F.sum("apart").over(order)).groupBy("__id", "item", "need", "size", "chain").agg(
+        F.flatten(F.collect_list("ats")).alias("ats"), F.flatten(F.collect_list(F.when(F.col("exact"), F.col("ats")))).alias("exact_ats"),
+        F.max(_run(F.col("ats"))).alias("run"), F.max(F.when(F.col("exact"), _run(F.col("ats")))).alias("exact_run"))
+    leaks = chains.filter(_covers(F.col("ats")) | (F.col("run") >= RUN))
+    exact = _covers(F.col("exact_ats")) | (F.coalesce("exact_run", F.lit(0)) >= RUN)
+    return leaks.groupBy(F.col("__id").alias(id_col), F.col("item").alias(item_col)).agg(
+        F.max(F.size(F.array_distinct("ats"))).alias("n_windows"), F.first("need").alias("need"), F.bool_or(exact).alias("exact"))
+
+
+def _words(ats: Column) -> Column:
+    """Positions of the item's words in the windows at ``ats``."""
+    return F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + F.col("size") - 1))))
+
+
+def _covers(ats: Column) -> Column:
+    """Whether windows cover as many words as ``COVER`` percent of the item's
+    windows do in a run."""
+    return 100 * (F.size(_words(ats)) - F.col("size") + 1) >= COVER * F.col("need")
+
+
+def _run(ats: Column) -> Column:
+    """The longest run of neighbouring windows."""
+    start = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(s, a):
+        n = F.when(a == s["at"] + 1, s["n"] + 1).otherwise(1)
+        return F.struct(a.alias("at"), n.alias("n"), F.greatest(s["best"], n).alias("best"))
+    return F.aggregate(F.array_sort(F.array_distinct(ats)), start, step, lambda s: s["best"])
 
 
 def _consistent(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -119,7 +154,7 @@ def _consistent(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
     todo = joined.filter(F.size("slots") > 0)
     texts = docs.join(bounded_broadcast(todo.select("__id").distinct(), MAX_BROADCAST), "__id", "left_semi")
     raw = texts.select("__id", _template(F.col("__text"))[1].alias("dr")).dropDuplicates(["__id"])
-    pairs = F.transform(F.filter("slots", lambda s: s["i"].between(F.col("first"), F.col("last") + WINDOW - 1)),
+    pairs = F.transform(F.filter("slots", lambda s: F.array_contains(_words(F.col("ats")), s["i"])),
                         lambda s: F.struct(s["v"].alias("v"), F.get("dr", s["i"] + F.col("shift")).alias("d")))
     checked = todo.join(raw, "__id").withColumn("pairs", F.array_distinct(pairs))
     one_to_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["v"])))

@@ -53,6 +53,23 @@ def test_leaks_with_changed_slots(spark):
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_split_over_diagonals(spark):
+    from meterline.llm.decontaminate import find_leaks
+
+    rng = random.Random(21)
+    short, long, slots = prose(20, rng).split(), prose(200, rng).split(), (prose(9, rng) + " 12 " + prose(9, rng) + " 12 " + prose(9, rng)).split()
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long)), (3, " ".join(slots))], "item_id long, text string")
+    around = lambda w: " ".join([prose(30, rng), *w, prose(30, rng)])
+    texts = [around(short[:10] + ["qqq"] + short[10:]), around(short[:10] + short[11:]), around(short[:10] + ["qqq"] + short[11:]),
+             around(short[:10] + prose(15, rng).split() + short[10:]), around(long[60:92]), around(long[60:90]), around(short[:12]),
+             around(short[:9] + prose(200, rng).split() + short[11:]),
+             around(["35" if w == "12" else w for w in slots[:14]] + ["qqq"] + ["35" if w == "12" else w for w in slots[14:]]),
+             around(slots[:9] + ["35"] + slots[10:19] + ["36"] + slots[20:])]
+    got = {(r["doc_id"], r["item_id"]): (r["exact"], r["n_windows"], r["need"]) for r in find_leaks(frame(spark, texts), items).collect()}
+    assert got == {(0, 1): (True, 6, 13), (1, 1): (True, 5, 13), (2, 1): (True, 5, 13), (3, 1): (True, 6, 13), (4, 2): (True, 25, 193),
+                   (8, 3): (False, 15, 22)}
+
+
 # -- 2 ---------------------------------------------------------------------
 
 def test_token_counts_equal_the_library(spark):
