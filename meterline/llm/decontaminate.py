@@ -2,8 +2,10 @@
 
 Method. Both sides are turned into templates: numbers (also spelled out),
 units after a number and names (capitalised words inside a sentence) become
-typed placeholders, other words lose case and punctuation. Every run of
-``WINDOW`` template words is hashed, and documents' windows are hash-joined
+typed placeholders, other words lose case and punctuation. A second template
+leaves names as words, so a copy in other case is met, too. White space of any
+kind and length is one space. Every run of ``WINDOW`` words of either template
+is hashed, and documents' windows are hash-joined
 with the benchmark's. Windows of one document and item that lie on the same
 diagonal (document position minus item position) are one alignment, if its
 slots are consistent: within the aligned windows, each value of the item
@@ -26,7 +28,8 @@ first per (document, item, diagonal), so a passage that a third of all
 documents repeat makes one small group per document.
 
 Defined results: null or empty texts match nothing; several rows with the
-same id and text give the same rows once; null ids are kept as ids; extra
+same id and text give the same rows once; null ids are kept as ids; several
+texts under one id or without id are compared each on its own; extra
 columns are ignored; an empty table on either side gives an empty result; an
 item without words leaks nowhere.
 """
@@ -50,38 +53,60 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs hours min
          "usd eur dollars euros cents percent kmh mph meters metres miles feet inches grams pounds liters litres").split()
 
 
-def _template(text: Column) -> tuple[Column, Column]:
-    """Template words and the raw words they stand for, position by position."""
-    spelled = "|".join(NUMBERS)
-    # One raw word per token: letters, digits (with inner . and ,) or neither.
-    raw = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "(?<=\\p{N})[.,](?=\\p{N})", "")
-    name = F.regexp_replace(raw, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}\\p{Ll}[\\p{L}]*", NAME)
-    number = F.regexp_replace(F.lower(name), f"\\p{{N}}+|(?<!\\p{{L}})(?:{spelled})(?!\\p{{L}})", NUMBER)
-    unit = F.regexp_replace(number, f"(?<={NUMBER}[ -]?)(?:{'|'.join(UNITS)})(?!\\p{{L}})", UNIT)
-    cut = f"[^\\p{{L}}{NAME}{NUMBER}{UNIT}]+"
-    return F.filter(F.split(unit, cut), lambda w: w != ""), F.filter(F.split(F.lower(raw), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-
-
 def bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` template words."""
-    return F.when(F.size(words) >= size, bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(
-        F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, size))))).otherwise(
-            F.array().cast("array<bigint>"))
+def _template(text: Column, use) -> Column:
+    """``use(plain, named, raw)`` on the template words without and with name
+    placeholders and the raw words they stand for, position by position."""
+    spelled = "|".join(NUMBERS)
+    # White space and the signs themselves are one space.
+    spaced = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"[\\s\\p{{Z}}{NAME}{UNIT}&&[^ ]][\\s\\p{{Z}}{NAME}{UNIT}]*| [\\s\\p{{Z}}{NAME}{UNIT}]+", " ")
+    # One raw word per token: letters, digits (with inner . and ,) or neither.
+    joined = F.regexp_replace(spaced, "(?<=\\p{N})[.,](?=\\p{N})", "")
+
+    def split(raw: Column) -> Column:
+        lower = F.lower(raw)
+        name = F.lower(F.regexp_replace(raw, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}\\p{Ll}[\\p{L}]*", NAME))
+        number = F.regexp_replace(lower, f"\\p{{N}}+|(?<!\\p{{L}})(?:{spelled})(?!\\p{{L}})", NUMBER)
+        unit = F.regexp_replace(number, f"(?<={NUMBER}[ -]?)(?:{'|'.join(UNITS)})(?!\\p{{L}})", UNIT)
+        words = lambda s, cut: F.filter(F.split(s, cut), lambda w: w != "")
+        plain = words(unit, f"[^\\p{{L}}{NUMBER}{UNIT}]+")
+        named = words(name, f"[^\\p{{L}}\\p{{N}}{NAME}]+")
+        return bind(plain, lambda p: use(p, F.when(F.contains(name, F.lit(NAME)), F.zip_with(
+            p, named, lambda w, n: F.when(n.startswith(NAME), NAME).otherwise(w))).otherwise(p), words(lower, "[^\\p{L}\\p{N}]+")))
+    return bind(joined, split)
+
+
+def _windows(plain: Column, named: Column, size: int) -> Column:
+    """(at, h): hashes of all windows of ``size`` template words, and of those
+    that hold names once more with their placeholders."""
+    def hashes(words: Column, wanted) -> Column:
+        return bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(
+            wanted(F.sequence(F.lit(0), F.size(h) - size)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, size)).alias("h"))))
+
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    with_names = lambda m: F.when(F.array_contains(m, NAME), hashes(m, lambda at: F.filter(
+        at, lambda i: F.array_contains(F.slice(m, i + 1, size), NAME)))).otherwise(none)
+    return F.when(F.size(plain) >= size, F.concat(hashes(plain, lambda at: at), bind(named, with_names))).otherwise(none)
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(h, item, at, need, size): one row per window of each item; an item
-    shorter than ``WINDOW`` has one window, of all its words."""
-    t = items.select(F.col("__item").alias("item"), _template(F.col("__text"))[0].alias("t")).filter(F.size("t") > 0)
-    sizes = F.least(F.size("t"), F.lit(WINDOW))
-    hs = F.coalesce(*[F.when(sizes == n, _windows(F.col("t"), n)) for n in range(1, WINDOW + 1)])
-    return (t.select("item", sizes.alias("size"), hs.alias("hs"))
-            .select("item", "size", F.size("hs").alias("need"), F.posexplode("hs").alias("at", "h")))
+    """(h, item, at, need, size): one row per window of each item (and variant,
+    if it holds names); an item shorter than ``WINDOW`` has one window, of all
+    its words."""
+    t = items.select(F.col("__item").alias("item"), _template(F.col("__text"), lambda p, m, _: F.struct(p.alias("p"), m.alias("m"))).alias("t"))
+    t = t.filter(F.size("t.p") > 0)
+    sizes = F.least(F.size("t.p"), F.lit(WINDOW))
+    hs = F.coalesce(*[F.when(sizes == n, _windows(F.col("t.p"), F.col("t.m"), n)) for n in range(1, WINDOW + 1)])
+    return t.select("item", sizes.alias("size"), (F.size("t.p") - sizes + 1).alias("need"), F.inline(hs))
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    """Rows of one id and text are the same; null ids and texts count, too."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("__row")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -89,35 +114,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document and leaked item: id, item id, n_windows (matched,
     on the best chain), need (windows of the item) and exact (its alignments
     without a differing slot leak the item, too)."""
+    leaks = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return leaks.groupBy(F.col("__id").alias(id_col), F.col("item").alias(item_col)).agg(
+        F.max("n").alias("n_windows"), F.first("need").alias("need"), F.bool_or("exact").alias("exact"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(__id, __row, item, n, need, exact) of the chains that leak their item."""
     items = benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")).dropDuplicates()
     listed = benchmark_windows(items)
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _row(id_col, text_col))
     sizes = [r[0] for r in listed.select("size").distinct().collect()]  # at most WINDOW rows
 
     def hits(size: int) -> DataFrame:
         mine = listed.filter(F.col("size") == size)
-        return (source.select("__id", F.posexplode(bind(_template(F.col("__text"))[0], lambda w: _windows(w, size))).alias("pos", "h"))
-                .join(bounded_broadcast(mine, MAX_BROADCAST), "h"))
+        windows = _template(F.col("__text"), lambda p, m, _: _windows(p, m, size))
+        return (source.select("__id", "__row", F.inline(windows).alias("pos", "h")).join(bounded_broadcast(mine, MAX_BROADCAST), "h"))
 
     found = hits(WINDOW)
     for size in sorted(set(sizes) - {WINDOW}):
         found = found.unionByName(hits(size))
-    aligned = found.groupBy("__id", "item", "need", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(
+    aligned = found.groupBy("__id", "__row", "item", "need", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("ats"))
     # A chain has at most what all diagonals of the document and item have.
-    whole = aligned.groupBy("__id", "item", "need", "size").agg(F.collect_list(F.struct("shift", "ats")).alias("all"))
+    whole = aligned.groupBy("__id", "__row", "item", "need", "size").agg(F.collect_list(F.struct("shift", "ats")).alias("all"))
     whole = whole.filter(_covers(F.flatten("all.ats")) | (_run(F.flatten("all.ats")) >= RUN))
-    aligned = whole.select("__id", "item", "need", "size", F.inline("all"))
-    order = Window.partitionBy("__id", "item").orderBy("shift")
+    aligned = whole.select("__id", "__row", "item", "need", "size", F.inline("all"))
+    order = Window.partitionBy("__id", "__row", "item").orderBy("shift")
     apart = F.col("shift") - F.lag("shift").over(order) >= F.col("need") + F.col("size")
     chained = _consistent(aligned, source, items).withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
-    chains = chained.withColumn("chain", F.sum("apart").over(order)).groupBy("__id", "item", "need", "size", "chain").agg(
+    chains = chained.withColumn("chain", F.sum("apart").over(order)).groupBy("__id", "__row", "item", "need", "size", "chain").agg(
         F.flatten(F.collect_list("ats")).alias("ats"), F.flatten(F.collect_list(F.when(F.col("exact"), F.col("ats")))).alias("exact_ats"),
         F.max(_run(F.col("ats"))).alias("run"), F.max(F.when(F.col("exact"), _run(F.col("ats")))).alias("exact_run"))
     leaks = chains.filter(_covers(F.col("ats")) | (F.col("run") >= RUN))
     exact = _covers(F.col("exact_ats")) | (F.coalesce("exact_run", F.lit(0)) >= RUN)
-    return leaks.groupBy(F.col("__id").alias(id_col), F.col("item").alias(item_col)).agg(
-        F.max(F.size(F.array_distinct("ats"))).alias("n_windows"), F.first("need").alias("need"), F.bool_or(exact).alias("exact"))
+    return leaks.select("__id", "__row", "item", F.size(F.array_distinct("ats")).alias("n"), "need", exact.alias("exact"))
 
 
 def _words(ats: Column) -> Column:
@@ -145,24 +176,26 @@ def _consistent(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
     """Keeps alignments whose slots are consistent; adds ``exact``. Only
     items with slots need the document's words again."""
     words = items.select(F.col("__item").alias("item"), F.col("__text").alias("item_text"))
-    with_words = words.select("item", _template(F.col("item_text"))[0].alias("t"), _template(F.col("item_text"))[1].alias("r"))
+    with_words = words.select("item", _template(F.col("item_text"), lambda p, m, r: F.struct(m.alias("m"), r.alias("r"))).alias("t"))
+    with_words = with_words.select("item", F.col("t.m").alias("t"), F.col("t.r").alias("r"))
     slotted = F.filter(F.transform("t", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
                        lambda x: x["w"].isin(NAME, NUMBER, UNIT))
     with_words = with_words.withColumn("slots", F.transform(slotted, lambda x: F.struct(x["i"].alias("i"), F.get("r", x["i"]).alias("v"))))
     joined = aligned.join(bounded_broadcast(with_words.select("item", "slots")), "item")
     plain = joined.filter(F.size("slots") == 0).select(*aligned.columns, F.lit(True).alias("exact"))
     todo = joined.filter(F.size("slots") > 0)
-    texts = docs.join(bounded_broadcast(todo.select("__id").distinct(), MAX_BROADCAST), "__id", "left_semi")
-    raw = texts.select("__id", _template(F.col("__text"))[1].alias("dr")).dropDuplicates(["__id"])
+    texts = docs.join(bounded_broadcast(todo.select("__row").distinct(), MAX_BROADCAST), "__row", "left_semi")
+    raw = texts.select("__row", _template(F.col("__text"), lambda p, m, r: r).alias("dr")).dropDuplicates(["__row"])
     pairs = F.transform(F.filter("slots", lambda s: F.array_contains(_words(F.col("ats")), s["i"])),
                         lambda s: F.struct(s["v"].alias("v"), F.get("dr", s["i"] + F.col("shift")).alias("d")))
-    checked = todo.join(raw, "__id").withColumn("pairs", F.array_distinct(pairs))
+    checked = todo.join(raw, "__row").withColumn("pairs", F.array_distinct(pairs))
     one_to_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["v"])))
     checked = checked.filter(one_to_one).select(*aligned.columns, F.forall("pairs", lambda p: p["v"] == p["d"]).alias("exact"))
     return plain.unionByName(checked)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that leak no item, all columns kept."""
-    ids = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(bounded_broadcast(ids, MAX_BROADCAST), F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    """The documents that leak no item, all columns kept; of rows that share
+    an id (or have none) only those go whose own text leaks."""
+    rows = _leaks(docs, benchmark, id_col, text_col).select(F.col("__row").alias("__leak")).distinct()
+    return docs.join(bounded_broadcast(rows, MAX_BROADCAST), _row(id_col, text_col) == F.col("__leak"), "left_anti")

@@ -70,6 +70,21 @@ def test_leaks_split_over_diagonals(spark):
                    (8, 3): (False, 15, 22)}
 
 
+def test_leaks_in_other_case_space_and_rows(spark):
+    from meterline.llm.decontaminate import find_leaks, remove_leaks
+
+    item = "In the shop young Tom bought 12 red apples and later Tom ate 4 of the 12 apples before dinner was ready"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    changed = item.replace("Tom", "Anna").replace("12", "35")
+    texts = [item.lower(), item.upper(), item.title(), item.replace(" Tom", "\nTom"), changed.replace(" ", "  "), item.replace(" ", "\u00a0\t"),
+             item.replace("Tom ate", "Karl ate"), changed, prose(40), prose(40), changed, item]
+    ids = [0, 1, 2, 3, 4, 5, 6, None, None, 9, 9, 11]
+    docs = frame(spark, texts, ids)
+    got = {r["doc_id"]: r["exact"] for r in find_leaks(docs, items).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True, None: False, 9: False, 11: True}
+    assert sorted(r["text"] for r in remove_leaks(docs, items).collect()) == sorted([texts[6], texts[8], texts[9]])
+
+
 # -- 2 ---------------------------------------------------------------------
 
 def test_token_counts_equal_the_library(spark):
