@@ -424,6 +424,21 @@ def test_main_text(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def main_texts(spark, pages):
+    from meterline.llm.html_wrappers import extract_main_text
+
+    rows = [(k, f"http://{host}/{k}", h) for k, (host, h) in enumerate(pages)]
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+def test_main_text_of_two_templates_on_a_host(spark):
+    frame_of = "<html><body><nav><a>menu</a></nav>{}<footer>end</footer></body></html>"
+    pages = [("h", frame_of.format(f"<article><h1>Title {k}</h1><p>text {k}</p></article>") if k % 3 else
+              frame_of.format(f"<div><p>plain {k}</p></div><pre>Subscribe now</pre>")) for k in range(60)]
+    assert main_texts(spark, pages) == [f"Title {k} text {k}" if k % 3 else f"plain {k}" for k in range(60)]
+
+
 # -- pipeline --------------------------------------------------------------
 
 def test_pipeline_on_small_tables(spark):
