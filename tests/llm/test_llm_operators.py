@@ -439,6 +439,13 @@ def test_main_text_of_two_templates_on_a_host(spark):
     assert main_texts(spark, pages) == [f"Title {k} text {k}" if k % 3 else f"plain {k}" for k in range(60)]
 
 
+def test_main_text_of_copies(spark):
+    made = lambda k: f"<html><body><div><h1>Title {k}</h1><p>text {k}</p></div><pre>Same</pre></body></html>"
+    pages = [("mirror", made(1)), ("mirror", made(1)), ("one", made(1))] + [("hot", made(0))] * 40 + [("hot", made(2)), ("hot", made(3))]
+    want = ["Title 1 text 1 Same"] * 3 + ["Title 0 text 0"] * 40 + ["Title 2 text 2", "Title 3 text 3"]
+    assert main_texts(spark, pages) == want
+
+
 # -- pipeline --------------------------------------------------------------
 
 def test_pipeline_on_small_tables(spark):
