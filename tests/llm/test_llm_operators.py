@@ -390,6 +390,25 @@ def test_fixity_audit_finds_the_damage(spark):
     assert audit(a.limit(0), b.limit(0)).count() == 0 and audit(a.limit(0), b).count() == len(rows)
 
 
+def test_fixity_audit_locates_lost_and_added_records(spark):
+    from meterline.llm.warc_fixity import aged, audit, replica
+
+    schema = "page_id long, url string, html string"
+    rows = [(i, f"http://h/{i}", f"body {i}") for i in range(2500) if i != 50]
+    rows += [(None, None, f"null {i}") for i in range(300)] + [(7, "u", f"again {i}") for i in range(300)] + [(8, "u", "same")] * 50
+    a = replica(spark.createDataFrame(rows, schema)).cache()
+    assert a.agg({"copies": "sum"}).first()[0] == len(rows) and a.groupBy("file").count().filter("count > 1024").count() == 0
+    assert a.filter("id is null or id = 7").select("file").distinct().count() > 300
+    hurt = [r for r in rows if r[0] not in (5, 1500) and r[2] not in ("null 3", "again 4")]
+    hurt.remove((8, "u", "same"))
+    hurt = [(i, u, "other" if i == 900 else b) for i, u, b in hurt] + [(50, "u", "new"), (9, "http://h/9", "second")]
+    found = audit(a, replica(spark.createDataFrame(hurt, schema))).collect()
+    assert sorted((str(r["id"]), r["finding"]) for r in found) == sorted([
+        ("5", "missing"), ("1500", "missing"), ("None", "missing"), ("7", "missing"), ("8", "missing"), ("900", "changed"), ("50", "extra"), ("9", "extra")])
+    pages = spark.createDataFrame(rows[:2000], schema)
+    assert {r["finding"] for r in audit(replica(pages), replica(aged(pages))).collect()} == {"changed", "missing", "extra"}
+
+
 # -- 10 --------------------------------------------------------------------
 
 def page(k: int, host: str) -> tuple:
