@@ -31,6 +31,32 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def jaccard_components(size: int, percent: int, more: str = "") -> str:
+    """DuckDB SQL: components of documents under exact links of whole
+    shingle sets, by counting the shingles that two sets share."""
+    shingle = " || ' ' || ".join(f"words[i + {j}]" if j else "words[i]" for j in range(size))
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+                 ELSE list_sort(list_distinct(list_transform(range(1, len(words) - {size - 2}), lambda i: {shingle}))) END AS shingles
+  FROM w),
+c AS (SELECT shingles, min(doc_id) AS rep, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+e AS (SELECT rep, n, unnest(shingles) AS shingle FROM c),
+p AS (
+  SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS n_both
+  FROM e x JOIN e y ON x.shingle = y.shingle AND x.rep <> y.rep AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+  GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * n_both >= {percent} * (na + nb - n_both)),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.root),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id{more}
+FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN m ON m.node = c.rep"""
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -72,7 +98,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op7_jaccard_join")
+@query("op7_jaccard_join", jaccard_components(5, 80))
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
@@ -110,3 +136,10 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_wrappers import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op12_minhash_near_dedup", jaccard_components(3, 85, ", coalesce(m.root, s.doc_id) = s.doc_id AS kept"))
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .circulant_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
