@@ -99,6 +99,44 @@ def stream_totals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "stream_totals", build)
 
 
+#: Landings of the stream with stale restart, in the order of arrival.
+DROPS = 3
+
+
+def restart_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 with staleness as a Structured Streaming job. The points land in
+    ``DROPS`` slices of their arrival times, one after the other; after each
+    landing the stream runs to the end of what has landed and stops, and goes
+    on from its checkpoint (state in RocksDB) after the next. Each micro-batch
+    lands under its batch id. Runs once per application."""
+    from ..streaming.collector import STREAM_KEYS, idempotent_sink, point_delta_rows
+    from ..streaming.totals import restarting_totals, rocksdb_state
+
+    def build():
+        points = points_table(spark, sf_dir)
+        arrival = adapters.arrival_minute(F.col("time_ns"))
+        first, last = points.agg(F.min(arrival), F.max(arrival)).first()
+        key = hashlib.sha1(repr((app_id(spark), os.path.abspath(sf_dir))).encode()).hexdigest()[:12]
+        base = f"{checkpoint_dir(spark).rstrip('/')}/meterline/restart-{key}"
+        for i in range(DROPS if first is not None else 0):
+            slot = F.floor((arrival - first) * DROPS / (last - first + 60))
+            points.where(slot == i).write.mode("append").parquet(f"{base}/land")
+            stream = spark.readStream.schema(points.schema).parquet(f"{base}/land")
+            totals = restarting_totals(point_delta_rows(stream, arrival=arrival))
+            with rocksdb_state(spark):
+                q = (totals.writeStream.outputMode("append").foreachBatch(idempotent_sink(f"{base}/totals"))
+                     .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+                q.awaitTermination()
+            if q.exception() is not None:
+                raise RuntimeError(str(q.exception()))
+        schema = ", ".join(f"{k} string" for k in STREAM_KEYS) + ", t bigint, value double"
+        if first is None:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{base}/totals").select(*STREAM_KEYS, "t", "value")
+
+    return materialized(spark, sf_dir, "restart_stream", build)
+
+
 def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed ledger records (S2 + S3), materialized."""
     return materialized(spark, sf_dir, "ledger_records", lambda: ledger_records(spark, sf_dir))
@@ -210,9 +248,12 @@ def otlp_delta_rows(points: DataFrame) -> DataFrame:
 
 def otlp_samples(points: DataFrame) -> DataFrame:
     """A3/A4/A5 -> T1 -> P5: cumulative series as the exporter shows them."""
-    deltas = otlp_delta_rows(points)
     keys = ["metric", "part", "env", *P.LABELS, "le"]
-    cum = T.delta_to_cumulative(deltas, keys=keys)
+    return as_samples(T.delta_to_cumulative(otlp_delta_rows(points), keys=keys))
+
+
+def as_samples(cum: DataFrame) -> DataFrame:
+    """P5 on cumulative streams (metric, part, ...): named series."""
     named = P.series_name(cum)
     name = F.when(F.col("part") == "", F.col("name")).otherwise(
         F.concat(F.col("name"), F.lit("_"), F.col("part")))

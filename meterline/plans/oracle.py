@@ -620,6 +620,7 @@ def oracles() -> dict[str, str]:
       UNION ALL SELECT batch_t, env, token_type, '2000', CAST(b0 + b1 AS BIGINT) FROM hd
       UNION ALL SELECT batch_t, env, token_type, '+Inf', CAST(b0 + b1 + b2 AS BIGINT) FROM hd""")
     q["delta_to_cumulative"] = with_(COLLECT, f"SELECT {lab_out} FROM otlp_samples")
+    q["cumulative_stream_restart"] = q["delta_to_cumulative"]
     q["delta_to_cumulative_stream"] = with_(C + [DROWS], f"""SELECT metric, part, env, {LAB}, le,
       round(sum(value), 6) AS value FROM drows GROUP BY ALL""")
     q["series_name"] = with_(A, "SELECT name, CAST(count(*) AS BIGINT) AS samples FROM samples GROUP BY name")

@@ -293,6 +293,12 @@ def q_delta_to_cumulative_stream(spark, sf):
     return t.select("metric", "part", "env", *P.LABELS, "le", _r("value").alias("value"))
 
 
+@query("cumulative_stream_restart")
+def q_cumulative_stream_restart(spark, sf):
+    """T2 on a stream with stale restart: every cumulative sample."""
+    return _labels_out(jobs.as_samples(jobs.restart_stream_table(spark, sf)))
+
+
 @query("series_name")
 def q_series_name(spark, sf):
     s = _samples(spark, sf)
