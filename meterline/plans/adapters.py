@@ -273,3 +273,14 @@ def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("us") * 1000).alias("time_ns"),
         F.sha2(F.concat(F.lit("commit-"), F.col("event_id").cast("string")), 256).alias("dedupe_id"),
         F.col("event_id").alias("order"))
+
+
+def commit_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit-event log as text (us, line): a JSON line per purchase and
+    a broken one per error event with k % 7 = 0."""
+    ev = base_events(spark, sf_dir)
+    record = F.to_json(F.struct(F.sha2(F.concat(F.lit("commit-"), F.col("event_id").cast("string")), 256).alias("dedupe_id"),
+                                F.lit("codex.git.commit").alias("event")))
+    broken = F.concat(F.lit('{"dedupe_id": "e-'), F.col("event_id").cast("string"))
+    line = F.when(F.col("event_type") == "purchase", record).when((F.col("event_type") == "error") & (F.col("k") % 7 == 0), broken)
+    return ev.select("us", line.alias("line")).where(F.col("line").isNotNull())

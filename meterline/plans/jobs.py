@@ -137,6 +137,33 @@ def restart_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "restart_stream", build)
 
 
+def tailed_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 as a stream: the commit log lands in two parts; after each, the tail
+    source reads what its files have gained since the last run. Lines land
+    under their batch id and are parsed as commit events."""
+    from ..sources.tail import commit_events_of, tail_lines
+    from ..streaming.collector import idempotent_sink
+
+    def build():
+        lines = adapters.commit_log_lines(spark, sf_dir)
+        middle = lines.agg(F.percentile_approx("us", 0.5)).first()[0]
+        key = hashlib.sha1(repr((app_id(spark), os.path.abspath(sf_dir))).encode()).hexdigest()[:12]
+        base = f"{checkpoint_dir(spark).rstrip('/')}/meterline/tail-{key}"
+        schema = "path string, offset bigint, line string"
+        if middle is None:
+            return commit_events_of(spark.createDataFrame([], schema))
+        for part in (F.col("us") <= middle, F.col("us") > middle):
+            lines.where(part).select("line").write.mode("append").text(f"{base}/log")
+            q = (tail_lines(spark, f"{base}/log", glob="*.txt").writeStream.foreachBatch(idempotent_sink(f"{base}/lines"))
+                 .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise RuntimeError(str(q.exception()))
+        return commit_events_of(spark.read.schema(schema).parquet(f"{base}/lines"))
+
+    return materialized(spark, sf_dir, "tailed_events", build)
+
+
 def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed ledger records (S2 + S3), materialized."""
     return materialized(spark, sf_dir, "ledger_records", lambda: ledger_records(spark, sf_dir))

@@ -776,6 +776,8 @@ def oracles() -> dict[str, str]:
               FROM attributed GROUP BY 1),
       fresh AS (SELECT * FROM new WHERE dedupe_id NOT IN (SELECT dedupe_id FROM existing))
       SELECT dedupe_id, 'codex.git.commit' AS event, "order" FROM fresh""")
+    q["tail_commit_events"] = with_([EV], """SELECT sha256('commit-' || event_id) AS dedupe_id, 'codex.git.commit' AS event
+      FROM ev WHERE event_type = 'purchase'""")
     q["commit_dedupe_ids"] = with_([EV, TOOL_CALLS], f"""SELECT repo, sha,
       {_hmac_sql(b"meterline-test-key", "repo || chr(0) || sha")} AS dedupe_id FROM commits""")
 

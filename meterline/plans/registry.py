@@ -582,6 +582,12 @@ def q_append_commit_events(spark, sf):
     return C.append_commit_events(existing, new)
 
 
+@query("tail_commit_events")
+def q_tail_commit_events(spark, sf):
+    """S5 tailed: the valid events of the growing commit log."""
+    return jobs.tailed_events_table(spark, sf).select("dedupe_id", "event")
+
+
 @query("commit_dedupe_ids")
 def q_commit_dedupe_ids(spark, sf):
     from ..operators.dedup import commit_dedupe_ids
