@@ -1,20 +1,18 @@
-"""Skew-safe ordered scans per key: running sum, carry-forward, lag.
+"""Skew-safe ordered carry-forward per key.
 
 A window ``partitionBy(key).orderBy(t)`` puts a whole key in one task; one
-hot series (a third of all samples) would then be one task. These helpers
-scan in two levels instead:
+hot file (a third of all lines) would then be one task. :func:`carry_last`
+scans in two levels instead:
 
 1. the key is split into ``(key, slice)`` where ``slice`` is a coarse,
-   order-monotone function of the ordering (for example the day of a
-   timestamp); the in-slice scan is a window over the slice;
-2. one row per slice (its total / its last value) is scanned per key, a
-   window over ``#slices`` rows rather than ``#rows``;
-3. the slice offsets are joined back on ``(key, slice)``.
+   order-monotone function of the ordering (for example a file split); the
+   in-slice scan is a window over the slice, the only shuffle of all rows;
+2. each slice's last value is an aggregate, combined map-side, so one row per
+   slice is shuffled; these are scanned per key, a window over ``#slices``
+   rows, and joined back on ``(key, slice)``.
 
-Every branch is derived from the same windowed DataFrame, so its shuffle on
-``(key, slice)`` is computed once and reused (``ReusedExchange``); the
-per-slice table is already partitioned that way and the join back moves
-only the small slice table.
+The two levels read their input once each, the second only its key, order and
+value: pass a table that is written, not one that is costly to compute.
 
 Keys must be non-null (label columns use ``''`` for absent labels). With
 ``bucket=None`` the plain single-level window is used (for groups whose size
@@ -40,27 +38,6 @@ def _sliced(df: DataFrame, bucket: Column, order) -> DataFrame:
     return df.withColumn(_B, bucket).withColumn(_ORD, F.struct(*_order(order)))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                value: str | Column, out: str, bucket: Column | None = None) -> DataFrame:
-    """``out`` = inclusive running sum of ``value`` per key in ``order``."""
-    value = F.col(value) if isinstance(value, str) else value
-    keys = list(keys)
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*_order(order)) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(value).over(w))
-    w_in = Window.partitionBy(*keys, _B).orderBy(_ORD) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    win = _sliced(df, bucket, order).withColumn("__px_within", F.sum(value).over(w_in))
-    totals = win.groupBy(*keys, _B).agg(F.max_by("__px_within", _ORD).alias("__px_total"))
-    w_off = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _B, F.coalesce(F.sum("__px_total").over(w_off), F.lit(0))
-                            .alias("__px_offset"))
-    joined = win.join(offsets, on=[*keys, _B], how="inner")
-    return joined.withColumn(out, F.col("__px_within") + F.col("__px_offset")) \
-        .drop(_B, _ORD, "__px_within", "__px_offset")
-
-
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                value: str | Column, out: str, bucket: Column | None = None) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row, per key."""
@@ -70,46 +47,14 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
         w = Window.partitionBy(*keys).orderBy(*_order(order)) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    w_in = Window.partitionBy(*keys, _B).orderBy(_ORD) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    win = _sliced(df, bucket, order).withColumn("__px_within", F.last(value, ignorenulls=True).over(w_in))
-    # The slice's last non-null value is the in-slice carry at its last row
-    # (NULL when the slice has none); every slice keeps a row.
-    lasts = win.groupBy(*keys, _B).agg(F.max_by("__px_within", _ORD).alias("__px_last"))
+    sliced = _sliced(df, bucket, order).withColumn("__px_value", value)
+    w_in = Window.partitionBy(*keys, _B).orderBy(_ORD).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    win = sliced.withColumn("__px_within", F.last("__px_value", ignorenulls=True).over(w_in)).drop("__px_value")
+    # max_by leaves out rows without an order; a slice without a value keeps a row.
+    lasts = sliced.groupBy(*keys, _B).agg(F.max_by("__px_value", F.when(F.col("__px_value").isNotNull(), F.col(_ORD))).alias("__px_last"))
     w_prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(*keys, _B, F.last("__px_last", ignorenulls=True).over(w_prev)
                            .alias("__px_carried"))
     joined = win.join(carried, on=[*keys, _B], how="inner")
     return joined.withColumn(out, F.coalesce("__px_within", "__px_carried")) \
         .drop(_B, _ORD, "__px_within", "__px_carried")
-
-
-def lag_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-              values: dict[str, str | Column], bucket: Column | None = None) -> DataFrame:
-    """Adds, per ``out -> value``, the value of the previous row per key
-    (NULL for the key's first row)."""
-    keys = list(keys)
-    cols = {o: (F.col(v) if isinstance(v, str) else v) for o, v in values.items()}
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*_order(order))
-        for o, v in cols.items():
-            df = df.withColumn(o, F.lag(v).over(w))
-        return df
-    win = _sliced(df, bucket, order)
-    for o, v in cols.items():
-        win = win.withColumn(f"__pxv_{o}", v)
-    w_in = Window.partitionBy(*keys, _B).orderBy(_ORD)
-    win = win.withColumn("__px_first", F.row_number().over(w_in) == 1)
-    for o in cols:
-        win = win.withColumn(f"__pxin_{o}", F.lag(f"__pxv_{o}").over(w_in))
-    lasts = win.groupBy(*keys, _B).agg(
-        *[F.max_by(f"__pxv_{o}", _ORD).alias(f"__pxlast_{o}") for o in cols])
-    w_prev = Window.partitionBy(*keys).orderBy(_B)
-    prev = lasts.select(*keys, _B, *[F.lag(f"__pxlast_{o}").over(w_prev).alias(f"__pxprev_{o}")
-                                     for o in cols])
-    joined = win.join(prev, on=[*keys, _B], how="inner")
-    for o in cols:
-        joined = joined.withColumn(
-            o, F.when(F.col("__px_first"), F.col(f"__pxprev_{o}")).otherwise(F.col(f"__pxin_{o}")))
-    drop = [_B, _ORD, "__px_first"] + [f"__px{p}_{o}" for o in cols for p in ("v", "in", "prev")]
-    return joined.drop(*drop)

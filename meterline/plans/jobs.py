@@ -200,8 +200,10 @@ def last_sample(spark: SparkSession, sf_dir: str) -> int:
 # ---- ledger ---------------------------------------------------------------
 
 def ledger_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 + S3 over the landed ledger lines."""
-    return L.usage_records(L.discover(lines_table(spark, sf_dir)))
+    """S2 + S3 over the landed ledger lines: parsed once, then the model is
+    carried over the parsed rows."""
+    parsed = materialized(spark, sf_dir, "ledger_parsed", lambda: L.parse_lines(L.discover(lines_table(spark, sf_dir))))
+    return L.carry_model(parsed)
 
 
 def ledger_hourly(spark: SparkSession, sf_dir: str, end: str | None = BACKFILL_END) -> DataFrame:

@@ -7,8 +7,11 @@ A ledger is a tree of append-only JSONL files under ``sessions/`` (active) and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prefix import carry_last
 
@@ -30,9 +33,21 @@ ACTIVE_DIR = "sessions"
 ARCHIVED_DIR = "archived_sessions"
 
 
-def _rel_path(path: Column) -> Column:
-    """Path below the ledger home, e.g. ``sessions/2024/a.jsonl``."""
-    return F.regexp_extract(path, rf"(?:^|/)((?:{ACTIVE_DIR}|{ARCHIVED_DIR})/.*)$", 1)
+def _plain(root: str) -> str:
+    """A folder's path without scheme and host."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+
+
+def _rel_path(path: Column, root: str) -> Column:
+    """Path below the ledger home ``root``, e.g. ``sessions/2024/a.jsonl``."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    home = _plain(root) + "/"
+    return F.when(bare.startswith(home), F.substring(bare, len(home) + 1, 1 << 30)).otherwise(bare)
+
+
+def _decoded(uri: Column) -> Column:
+    """``_metadata.file_path`` percent-decodes to the name the listing has."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def read_ledger_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -48,7 +63,7 @@ def read_ledger_lines(spark: SparkSession, root: str) -> DataFrame:
           .select("value", "_metadata.file_path", "_metadata.file_block_start")
           .withColumn("_rid", F.monotonically_increasing_id()))
     return df.select(
-        _rel_path(F.col("file_path")).alias("path"),
+        _rel_path(_decoded(F.col("file_path")), root).alias("path"),
         F.struct(F.col("file_block_start").alias("block"), F.col("_rid").alias("rid")).alias("ord"),
         F.col("file_block_start").alias("block"),
         F.col("value").alias("line"),
@@ -87,13 +102,16 @@ def usage_records(lines: DataFrame, bucket: Column | None = None) -> DataFrame:
     the model carried from the file's last preceding turn_context
     ('unknown' before the first), raw dedup-key values (JSON text) and
     cleaned integer counts (P11: non-integers count 0), plus one row per
-    parse error (``is_error``) so D2 can count them.
+    parse error (``is_error``) so D2 can count them. Parsing and carrying are
+    two steps; a job writes what :func:`parse_lines` gives, so that text is
+    read and parsed once."""
+    return carry_model(parse_lines(lines), bucket)
 
-    The VARIANT is narrowed one level per projection (record, payload,
-    usage object). ``bucket`` slices a file
-    for the carry-forward scan (see :mod:`meterline.functions.prefix`); by
-    default the line's ``block`` (file split start).
-    """
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Usage records, parse errors and model changes (``ctx_model``) of the
+    lines, without the carried model. The VARIANT is narrowed one level per
+    projection (record, payload, usage object)."""
     keep = [c for c in lines.columns if c != "line"]
     marked = lines.where(F.col("line").contains(LINE_MARKERS[0]) |
                          F.col("line").contains(LINE_MARKERS[1]))
@@ -132,11 +150,7 @@ def usage_records(lines: DataFrame, bucket: Column | None = None) -> DataFrame:
     ctx_model = F.when((F.col("_pm_t") == "STRING") & (F.length("_pm") > 0), F.col("_pm"))
     classified = s5.select(
         *keep, kind.alias("_kind"), "_ts", "_us",
-        F.when(kind == "context", ctx_model).alias("_ctx_model")).where(F.col("_kind") != "skip")
-    if bucket is None and "block" in lines.columns:
-        bucket = F.col("block")
-    carried = carry_last(classified, ["path"], ["ord"], "_ctx_model", "_model", bucket=bucket)
-
+        F.when(kind == "context", ctx_model).alias("ctx_model")).where(F.col("_kind") != "skip")
     token_cols = []
     for f, t in TOKEN_FIELDS:
         val = F.col(f"_us.{f}")
@@ -144,14 +158,24 @@ def usage_records(lines: DataFrame, bucket: Column | None = None) -> DataFrame:
         token_cols.append(F.nullif(F.to_json(val), F.lit("null")).alias(f"raw_{t}"))
         token_cols.append(F.when(_vtype(val) == "BIGINT", F.try_variant_get(val, "$", "bigint"))
                           .otherwise(F.lit(0)).alias(t))
-    recs = carried.where(F.col("_kind").isin("usage", "error")).select(
-        *keep,
-        (F.col("_kind") == "error").alias("is_error"),
-        F.when(F.col("_kind") == "usage", F.col("_ts")).alias("ts_raw"),
-        F.coalesce(F.col("_model"), F.lit("unknown")).alias("model"),
-        *token_cols)
+    return classified.select(*keep, F.col("_kind").alias("kind"), "ctx_model",
+                             F.when(F.col("_kind") == "usage", F.col("_ts")).alias("ts_raw"), *token_cols)
+
+
+def carry_model(parsed: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Usage records and errors with the model of the file's last preceding
+    turn_context. ``bucket`` slices a file for the scan (see
+    :mod:`meterline.functions.prefix`); by default the line's ``block`` (file
+    split start)."""
     raw = [f"raw_{t}" for t in TOKEN_TYPES]
-    return recs.select(*keep, "is_error", "ts_raw", "model", *raw, *TOKEN_TYPES)
+    own = {"kind", "ctx_model", "ts_raw", *raw, *TOKEN_TYPES}
+    keep = [c for c in parsed.columns if c not in own]
+    if bucket is None and "block" in parsed.columns:
+        bucket = F.col("block")
+    carried = carry_last(parsed, ["path"], ["ord"], "ctx_model", "_model", bucket=bucket)
+    return carried.where(F.col("kind").isin("usage", "error")).select(
+        *keep, (F.col("kind") == "error").alias("is_error"), "ts_raw", F.coalesce("_model", F.lit("unknown")).alias("model"),
+        *raw, *TOKEN_TYPES)
 
 
 _REC_T = "struct<type:variant,timestamp:variant,payload:variant>"
@@ -161,51 +185,81 @@ _USE_T = "struct<" + ",".join(f"{f}:variant" for f, _ in TOKEN_FIELDS) + ">"
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Ledger file listing (path, length, modificationTime) without reading
-    file contents (``binaryFile`` with only metadata columns selected)."""
+    """Ledger file listing (file_path, path, length, modificationTime) without
+    reading file contents (``binaryFile`` with only metadata columns)."""
     return (spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.jsonl")
             .load(root)
-            .select(F.col("path").alias("file_path"), "length", "modificationTime"))
+            .select(F.col("path").alias("file_path"), _rel_path(F.col("path"), root).alias("path"), "length", "modificationTime"))
+
+
+def _read_ranges(batches, keep):
+    """Lines of byte ranges (file_path, from, to, length, ...); the last line
+    of a file counts without a line feed, too."""
+    import pyarrow as pa
+
+    from .tail import lines_of, open_file
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            at, text, size = [], [], 0
+
+            def found():
+                n = len(at)
+                same = [pa.array([row[c]] * n, batch.schema.field(c).type) for c in keep]
+                return pa.RecordBatch.from_arrays([*same, pa.array([row["from"]] * n, pa.int64()), pa.array(at, pa.int64()),
+                                                   pa.array(text, pa.string())], [*keep, "block", "ord", "line"])
+
+            with open_file(row["file_path"]) as f:
+                for offset, line in lines_of(f, row["from"], row["to"], last=row["to"] == row["length"]):
+                    at.append(offset)
+                    text.append(line.decode("utf-8", "replace"))
+                    size += len(line)
+                    if size >= 4 << 20:
+                        yield found()
+                        at, text, size = [], [], 0
+            if at:
+                yield found()
+
+
+def read_files(files: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
+    """Lines of the listed files (``file_path``, ``length`` and further
+    columns, which are kept): tasks open byte ranges, and the list stays a
+    DataFrame, however many files have changed. Adds ``block``, ``ord`` (the
+    offset) and ``line``."""
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
+    parts = files.where("length > 0").withColumn("from", F.explode(starts))
+    parts = parts.withColumn("to", F.least(F.col("from") + range_bytes, F.col("length"))).repartition("file_path", "from")
+    keep = files.columns
+    schema = T.StructType([*files.schema.fields, T.StructField("block", T.LongType()), T.StructField("ord", T.LongType()),
+                           T.StructField("line", T.StringType())])
+    return parts.mapInArrow(lambda it: _read_ranges(it, keep), schema)
+
+
+def discovered(spark: SparkSession, root: str) -> DataFrame:
+    """S2 on the listing: the files a scan reads, with ``is_archived`` and
+    ``path_parts``."""
+    listing = file_listing(spark, root)
+    return listing.join(discover_paths(listing.select("path")), "path").withColumn("path_parts", F.split("path", "/"))
 
 
 def ingest_changed(spark: SparkSession, root: str, manifest: DataFrame | None,
-                   cached_records: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+                   cached_records: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Re-parse only new or changed files (by size and modification
     time); forget vanished files and files discovery now drops.
 
     ``manifest`` is the previous listing (file_path, length,
     modificationTime); ``cached_records`` the previous output (records with
     a ``file_path`` column). Returns (new manifest, records). The listing
-    reads no file contents; only the changed paths are read.
+    reads no file contents, and file names stay in DataFrames.
+    :mod:`meterline.sources.incremental` keeps both in a folder.
     """
-    listing = file_listing(spark, root).withColumn("path", _rel_path(F.col("file_path")))
-    kept = discover_paths(listing.select("path"))
-    listing = listing.join(kept, "path", "inner")
-    if manifest is None or cached_records is None:
-        changed = listing
-        kept_records = None
-    else:
-        changed = listing.join(manifest.select("file_path", "length", "modificationTime"),
-                               ["file_path", "length", "modificationTime"], "left_anti")
-        unchanged = listing.join(changed.select("file_path"), "file_path", "left_anti")
-        kept_records = cached_records.join(unchanged.select("file_path"), "file_path", "left_semi")
-    # The changed-path list is file names only (bounded by the number of
-    # changed files), handed to the reader.
-    paths = [r.file_path for r in changed.select("file_path").collect()]
-    records = kept_records
-    if paths:
-        df = (spark.read.text(paths)
-              .select("value", "_metadata.file_path", "_metadata.file_block_start")
-              .withColumn("_rid", F.monotonically_increasing_id()))
-        lines = df.select(
-            "file_path",
-            _rel_path(F.col("file_path")).alias("path"),
-            F.struct(F.col("file_block_start").alias("block"), F.col("_rid").alias("rid")).alias("ord"),
-            F.col("file_block_start").alias("block"),
-            F.col("value").alias("line"))
-        lines = lines.join(kept, "path", "inner").withColumn("path_parts", F.split("path", "/"))
-        fresh = usage_records(lines)
-        records = fresh if kept_records is None else kept_records.unionByName(fresh)
-    return listing.select("file_path", "length", "modificationTime"), records
+    listing = discovered(spark, root)
+    same = ["file_path", "length", "modificationTime"]
+    changed = listing if manifest is None else listing.join(manifest.select(*same), same, "left_anti")
+    fresh = usage_records(read_files(changed.drop("modificationTime"))).drop("length")
+    if manifest is not None and cached_records is not None:
+        unchanged = listing.join(manifest.select(*same), same, "left_semi")
+        fresh = cached_records.join(unchanged.select("file_path"), "file_path", "left_semi").unionByName(fresh)
+    return listing.select(*same), fresh

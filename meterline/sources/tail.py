@@ -42,8 +42,12 @@ class ByteRange(InputPartition):
 
 
 def _open(uri: str):
+    """(file system, path) of a URI or an absolute local path. Spark writes
+    ``file:/x`` for local files and does not escape names in it."""
     from pyarrow import fs
 
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
@@ -80,15 +84,22 @@ def _line_start(f, at: int) -> int:
     return 0
 
 
-def lines_of(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line) of the lines whose line feed lies in [start, end)."""
+def open_file(uri: str):
+    """A file of any of Arrow's file systems, for random reads."""
+    system, path = _open(uri)
+    return system.open_input_file(path)
+
+
+def lines_of(f, start: int, end: int, last: bool = False) -> Iterator[tuple[int, bytes]]:
+    """(offset, line) of the lines whose line feed lies in [start, end); with
+    ``last`` also what follows the last line feed."""
     begin = _line_start(f, start)
     f.seek(begin)
     at, kept = begin, []
     while at < end:
         data = f.read(min(CHUNK, end - at))
         if not data:
-            return
+            break
         at += len(data)
         *whole, rest = data.split(b"\n")
         for line in whole:
@@ -97,6 +108,8 @@ def lines_of(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             yield begin, line.removesuffix(b"\r")
             begin, kept = begin + len(line) + 1, []
         kept.append(rest)
+    if last and (line := b"".join(kept)):
+        yield begin, line.removesuffix(b"\r")
 
 
 class _Ranges:
