@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import carry_last
 from ..functions.scalars import clamp_min, prom_div
 from ..session import bounded_broadcast
 
@@ -95,16 +96,51 @@ def union_sources(*dfs: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
     return out.na.fill("", subset=fill) if fill else out
 
 
+#: Order of what happens at one time: a price ends, a price starts, it is used.
+_ENDS, _STARTS, _USED = 0, 1, 2
+_OPEN = -(1 << 40)  # when a price without a start began
+_SLICE = 86_400     # seconds of a slice of the merged stream
+
+
+def _midnight(date) -> F.Column:
+    return F.unix_date(date).cast("bigint") * 86_400
+
+
+def price_changes(prices: DataFrame, on: Sequence[str], price_col: str) -> DataFrame:
+    """(on..., _t, _what, _price): when each price starts and ends to hold.
+    ``effective_from`` and ``effective_to`` are dates, inclusive, open where
+    null; ``_price`` is a struct, null inside once a price has ended."""
+    start = F.struct(F.coalesce(_midnight(F.col("effective_from")), F.lit(_OPEN)).alias("_t"), F.lit(_STARTS).alias("_what"),
+                     F.struct(F.col(price_col).alias("p")).alias("_price"))
+    end = F.when(F.col("effective_to").isNotNull(), F.struct(
+        (_midnight(F.col("effective_to")) + 86_400).alias("_t"), F.lit(_ENDS).alias("_what"),
+        F.struct(F.lit(None).cast(prices.schema[price_col].dataType).alias("p")).alias("_price")))
+    return prices.select(*on, F.inline(F.filter(F.array(start, end), lambda x: x.isNotNull())))
+
+
 def price_at(usage: DataFrame, prices: DataFrame,
              on: Sequence[str] = ("source", "model", "type"),
-             price_col: str = "usd_per_token", t_col: str = "t") -> DataFrame:
-    """The price in effect at each usage time; NULL bounds are open.
-    ``prices`` carries ``effective_from`` / ``effective_to`` (DATE,
-    inclusive). Prices are a checked-size broadcast side."""
-    p = bounded_broadcast(prices.select(*on, price_col, "effective_from", "effective_to"))
-    d = F.to_date(F.timestamp_seconds(F.col(t_col)))
-    cond = [usage[c] == p[c] for c in on]
-    cond.append(F.coalesce(d >= p["effective_from"], F.lit(True)))
-    cond.append(F.coalesce(d <= p["effective_to"], F.lit(True)))
-    j = usage.join(p, cond, "inner")
-    return j.select(*[usage[c] for c in usage.columns], p[price_col])
+             price_col: str = "usd_per_token", t_col: str = "t", mode: str = "step", at: int | None = None) -> DataFrame:
+    """Usage rows with the price in effect; rows without one vanish.
+
+    ``mode="step"`` takes the price at each row's time: usage and price
+    changes are merged into one stream per key in time order and the last
+    price is carried (a union and a skew-safe scan, sliced by day; no range
+    predicate, and neither side has to be small). ``mode="instant"`` takes the
+    price at the evaluation time ``at`` (unix seconds) for all rows. Validity
+    ranges of one key must not overlap, as manifests guarantee.
+    """
+    on = list(on)
+    if mode == "instant":
+        day = F.lit(at // 86_400).cast("bigint")
+        valid = prices.where(F.coalesce(F.unix_date("effective_from") <= day, F.lit(True)) &
+                             F.coalesce(F.unix_date("effective_to") >= day, F.lit(True)))
+        return price_join(usage, valid, on, price_col).select(*usage.columns, price_col)
+    if mode != "step":
+        raise ValueError(f"mode must be step or instant, got {mode}")
+    changes = price_changes(prices, on, price_col)
+    row = F.struct(*[F.col(c) for c in usage.columns])
+    used = usage.select(*on, F.col(t_col).cast("bigint").alias("_t"), F.lit(_USED).alias("_what"), row.alias("_row"))
+    merged = used.unionByName(changes, allowMissingColumns=True)
+    carried = carry_last(merged, on, ["_t", "_what"], "_price", "_now", bucket=F.floor(F.col("_t") / _SLICE))
+    return carried.where(F.col("_row").isNotNull() & F.col("_now.p").isNotNull()).select("_row.*", F.col("_now.p").alias(price_col))

@@ -580,7 +580,7 @@ def oracles() -> dict[str, str]:
     q["price_join"] = with_(G + [P], """SELECT b.source, b.model, b.type, b.tokens,
       round(CAST(CAST(b.tokens AS DECIMAL(18,0)) * p.usd_per_token AS DOUBLE), 9) AS cost_usd
       FROM basis b JOIN prices p USING (source, model, type)""")
-    q["price_at"] = with_(H + [P], """ph AS (
+    q["price_at"] = with_(L + [HOURLY_ALL, GRID_ALL, P], """ph AS (
         SELECT model, type, CAST(usd_per_token * 0.8 AS DECIMAL(18,12)) AS usd_per_token,
                NULL::DATE AS effective_from, DATE '2024-01-15' AS effective_to
         FROM prices WHERE source = 'codex'
@@ -601,6 +601,31 @@ def oracles() -> dict[str, str]:
        AND coalesce(CAST(epoch_ms(hi.t * 1000) AS DATE) <= ph.effective_to, true)
       GROUP BY hi.t, hi.model""")
 
+    valid = """ph AS (
+        SELECT source, model, type, CAST(usd_per_token * 0.8 AS DECIMAL(18,12)) AS usd_per_token,
+               NULL::DATE AS since, DATE '2024-01-15' AS until FROM prices WHERE source = 'codex'
+        UNION ALL SELECT source, model, type, usd_per_token, DATE '2024-01-16', NULL::DATE FROM prices WHERE source = 'codex'
+        UNION ALL SELECT source, model, type, usd_per_token, NULL::DATE, NULL::DATE FROM prices WHERE source <> 'codex')"""
+    q["ai_cost_total"] = with_(G + [P, valid], f"""n AS (SELECT CAST(epoch_ms({NOW} * 1000) AS DATE) AS today)
+      SELECT 'api_estimate' AS cost_kind,
+             round(CAST(sum(CAST(b.tokens AS DECIMAL(18,0)) * ph.usd_per_token) AS DOUBLE), 6) AS cost_usd
+      FROM basis b JOIN ph USING (source, model, type), n
+      WHERE coalesce(today >= since, true) AND coalesce(today <= until, true)
+      UNION ALL
+      SELECT 'emitter_estimate', round(sum(value), 6) FROM latest WHERE name = 'claude_code_cost_usage_USD_total'""")
+    q["ai_cost_over_time"] = with_(A + [AI_SERIES, P, valid], """bi AS (
+        SELECT source, model, CASE WHEN type = 'reasoning_output' THEN 'output' ELSE type END AS type, t, sum(value) AS value
+        FROM ai_inc WHERE source <> 'claude_code' GROUP BY ALL)
+      SELECT bi.t, bi.source, bi.model, 'api_estimate' AS cost_kind,
+             round(CAST(sum(CAST(bi.value AS DECIMAL(18,0)) * ph.usd_per_token) AS DOUBLE), 9) AS cost_usd
+      FROM bi JOIN ph ON bi.source = ph.source AND bi.model = ph.model AND bi.type = ph.type
+       AND coalesce(CAST(epoch_ms(bi.t * 1000) AS DATE) >= ph.since, true)
+       AND coalesce(CAST(epoch_ms(bi.t * 1000) AS DATE) <= ph.until, true)
+      GROUP BY bi.t, bi.source, bi.model
+      UNION ALL
+      SELECT t, 'claude_code', model, 'emitter_estimate', round(sum(value), 6) FROM inc1h
+      WHERE name = 'claude_code_cost_usage_USD_total' GROUP BY t, model""")
+
     # collector lane
     C = [EV, PTS]
     q["keep_labels"] = with_(C, f"""SELECT event_id, metric, env, {LAB},

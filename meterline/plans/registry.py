@@ -221,10 +221,30 @@ def price_history(spark):
     return early.unionByName(late)
 
 
+def all_price_history(spark):
+    """The codex price history and the other sources' open prices."""
+    codex = price_history(spark)
+    none = F.lit(None).cast("date")
+    other = price_rows(spark).where(F.col("source") != "codex").select("source", "model", "type", "usd_per_token")
+    return codex.unionByName(other.withColumn("effective_from", none).withColumn("effective_to", none))
+
+
+@query("ai_cost_over_time")
+def q_ai_cost_over_time(spark, sf):
+    s = _samples(spark, sf)
+    return views.ai_cost_over_time(views.ai_token_series(spark, sf, s), all_price_history(spark), s)
+
+
+@query("ai_cost_total")
+def q_ai_cost_total(spark, sf):
+    return views.ai_cost_total(_basis(spark, sf), all_price_history(spark), _samples(spark, sf), jobs.last_sample(spark, sf))
+
+
 @query("price_at")
 def q_price_at(spark, sf):
-    """Hourly codex category growth priced at the rate in effect."""
-    h = jobs.history_table(spark, sf).withColumnRenamed("value", "cum")
+    """Hourly codex category growth priced at the rate in effect, to the
+    end of the data."""
+    h = jobs.live_categories_table(spark, sf).withColumnRenamed("value", "cum")
     src = h.select(F.lit("codex").alias("source"), "model", "type", "t",
                    F.col("cum").cast("double").alias("value"))
     inc = T.range_eval(src.where(F.col("type") != "reasoning_output"), HOUR, HOUR, "increase",

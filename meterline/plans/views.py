@@ -140,6 +140,39 @@ def ai_cost(basis: DataFrame, prices: DataFrame, samples: DataFrame, now: int) -
     return api.unionByName(emitter)
 
 
+def ai_cost_total(basis: DataFrame, prices: DataFrame, samples: DataFrame, now: int) -> DataFrame:
+    """M5, one figure per kind of estimate: tokens to ``now`` at the prices in
+    effect then, and Claude's emitted estimate."""
+    priced = J.price_at(basis, prices, mode="instant", at=now)
+    api = priced.agg(F.sum(F.col("tokens").cast("decimal(18,0)") * F.col("usd_per_token")).alias("c")).select(
+        F.lit("api_estimate").alias("cost_kind"), _round(F.col("c"), 6).alias("cost_usd"))
+    cl = claude_latest(samples, now, "claude_code_cost_usage_USD_total")
+    return api.unionByName(cl.agg(F.sum("value").alias("c")).select(
+        F.lit("emitter_estimate").alias("cost_kind"), _round(F.col("c"), 6).alias("cost_usd")))
+
+
+def billing_increase(ai_series: DataFrame, step: int = HOUR) -> DataFrame:
+    """Tokens per step, source, model and priced type: reasoning is billed as
+    output. Claude's tokens are not priced here."""
+    inc = hourly_increase(ai_series.where(F.col("source") != "claude_code"), AI_LABELS, step)
+    typ = F.when(F.col("type") == "reasoning_output", "output").otherwise(F.col("type"))
+    return inc.groupBy("t", "source", "model", typ.alias("type")).agg(F.sum("value").alias("value"))
+
+
+def ai_cost_over_time(ai_series: DataFrame, prices: DataFrame, samples: DataFrame, step: int = HOUR) -> DataFrame:
+    """M5 over time: cost per step, source and model, each step's tokens at
+    the price in effect at that step (J13), beside the increase of Claude's
+    emitted estimate. Models without a price are left out."""
+    priced = J.price_at(billing_increase(ai_series, step), prices)
+    api = priced.groupBy("t", "source", "model").agg(
+        F.sum(F.col("value").cast("decimal(18,0)") * F.col("usd_per_token")).alias("c")).select(
+        "t", "source", "model", F.lit("api_estimate").alias("cost_kind"), _round(F.col("c"), 9).alias("cost_usd"))
+    cost = match(samples, eq={"name": "claude_code_cost_usage_USD_total"})
+    emitted = hourly_increase(cost, jobs.SAMPLE_LABELS + ["name"], step).groupBy("t", "model").agg(F.sum("value").alias("c"))
+    return api.unionByName(emitted.select("t", F.lit("claude_code").alias("source"), "model", F.lit("emitter_estimate").alias("cost_kind"),
+                                          _round(F.col("c")).alias("cost_usd")))
+
+
 def unpriced_tokens(basis: DataFrame, prices: DataFrame) -> DataFrame:
     """M6: billing-basis tokens without a (source, model, type) price."""
     miss = basis.join(prices.select("source", "model", "type"), ["source", "model", "type"], "left_anti")
