@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import anchored
+from ..session import bounded_broadcast
 
 # The privacy allowlist. Data-point attribute keys kept by the
 # collector (everything else is dropped, fail-closed), and resource keys.
@@ -54,6 +55,21 @@ SERIES_NAMES = [
 ]
 
 
+# The recording rules that rename a series and set labels, as
+# (input series, recorded name, labels).
+RENAME_RULES = [
+    ("claude_code_token_usage_tokens_total", "ai_token_usage_tokens_total", {"source": "claude_code"}),
+    ("claude_code_cost_usage_USD_total", "ai_cost_usage_usd_total", {"source": "claude_code", "cost_kind": "emitter_estimate"}),
+    ("claude_code_commit_count_total", "ai_commit_count_total", {"source": "claude_code"}),
+    ("codex_git_commit_count_total", "ai_commit_count_total", {"source": "codex"}),
+    ("claude_code_pull_request_count_total", "ai_pull_request_count_total", {"source": "claude_code"}),
+    ("claude_code_lines_of_code_count_total", "ai_lines_of_code_count_total", {"source": "claude_code"}),
+    ("claude_code_code_edit_tool_decision_total", "ai_code_edit_tool_decision_total", {"source": "claude_code"}),
+    ("claude_code_active_time_seconds_total", "ai_active_time_seconds_total", {"source": "claude_code"}),
+    ("claude_code_session_count_total", "ai_session_count_total", {"source": "claude_code"}),
+]
+
+
 def upsert_env(df: DataFrame, env: str) -> DataFrame:
     """The configured environment overwrites resource ``env``."""
     return df.withColumn("resource", F.map_concat(
@@ -139,6 +155,24 @@ def relabel(df: DataFrame, to: str, set_labels: Mapping[str, str] | None = None)
     return out
 
 
+def rename_rules(spark: SparkSession, rules=RENAME_RULES) -> DataFrame:
+    """The rules as a table (name, recorded, labels)."""
+    return spark.createDataFrame(rules, "name string, recorded string, labels map<string,string>")
+
+
+def record(samples: DataFrame, rules: DataFrame, labels: list[str]) -> DataFrame:
+    """P8 for a table of rules in one pass: each sample once per rule on its
+    series (``name``), under the recorded name; a rule's label overrides the
+    sample's. ``labels`` are the label columns of the result, '' where neither
+    has one; the samples' other columns stay. Rules are data: adding one adds
+    no scan and no branch to the plan."""
+    known = set(samples.columns)
+    merged = [F.coalesce(F.col("_set")[c], F.col(c) if c in known else F.lit(""), F.lit("")).alias(c) for c in labels]
+    rest = [c for c in samples.columns if c not in labels and c != "name"]
+    table = bounded_broadcast(rules.select("name", F.col("recorded").alias("_recorded"), F.col("labels").alias("_set")))
+    return samples.join(table, "name").select(F.col("_recorded").alias("name"), *merged, *rest)
+
+
 def normalize_model(df: DataFrame, col: str = "model") -> DataFrame:
     """Strip a trailing ``[1m]`` context marker (token views only)."""
     return df.withColumn(col, F.regexp_replace(col, r"\[1m\]$", ""))

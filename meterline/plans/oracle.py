@@ -705,6 +705,17 @@ def oracles() -> dict[str, str]:
     q["relabel"] = with_(A, """SELECT 'ai_session_count_total' AS name, 'claude_code' AS source, start_type,
       CAST(count(*) AS BIGINT) AS samples, round(max(value), 6) AS max_value FROM samples
       WHERE name = 'claude_code_session_count_total' GROUP BY start_type""")
+    q["recorded_series"] = with_(A, f"""rules AS (SELECT * FROM (VALUES
+        ('claude_code_token_usage_tokens_total', 'ai_token_usage_tokens_total', 'claude_code', ''),
+        ('claude_code_cost_usage_USD_total', 'ai_cost_usage_usd_total', 'claude_code', 'emitter_estimate'),
+        ('claude_code_commit_count_total', 'ai_commit_count_total', 'claude_code', ''),
+        ('codex_git_commit_count_total', 'ai_commit_count_total', 'codex', ''),
+        ('claude_code_pull_request_count_total', 'ai_pull_request_count_total', 'claude_code', ''),
+        ('claude_code_lines_of_code_count_total', 'ai_lines_of_code_count_total', 'claude_code', ''),
+        ('claude_code_code_edit_tool_decision_total', 'ai_code_edit_tool_decision_total', 'claude_code', ''),
+        ('claude_code_active_time_seconds_total', 'ai_active_time_seconds_total', 'claude_code', ''),
+        ('claude_code_session_count_total', 'ai_session_count_total', 'claude_code', '')) AS v(series, recorded, source, cost_kind))
+      SELECT recorded AS name, source, cost_kind, {SLAB}, t, round(value, 6) AS value FROM samples JOIN rules ON name = series""")
     q["normalize_model"] = with_(LT, """SELECT name, regexp_replace(model, '\\[1m\\]$', '') AS model,
       round(sum(value), 6) AS value FROM latest GROUP BY ALL""")
     q["label_replace"] = with_(LT, """SELECT CASE WHEN regexp_full_match(model, '([a-z]+)-.*')

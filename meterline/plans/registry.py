@@ -422,6 +422,13 @@ def q_relabel(spark, sf):
         F.count("*").cast("bigint").alias("samples"), F.round(F.max("value"), 6).alias("max_value"))
 
 
+@query("recorded_series")
+def q_recorded_series(spark, sf):
+    """Every rename rule over one scan of the samples."""
+    r = P.record(_samples(spark, sf), P.rename_rules(spark), ["source", "cost_kind", *jobs.SAMPLE_LABELS])
+    return r.select("name", "source", "cost_kind", *jobs.SAMPLE_LABELS, "t", _r("value").alias("value"))
+
+
 @query("normalize_model")
 def q_normalize_model(spark, sf):
     s = P.normalize_model(_latest(spark, sf))

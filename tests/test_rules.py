@@ -176,3 +176,16 @@ def test_and_on_empty_and_or_vector_zero(spark):
     empty = a.limit(0)
     assert J.v_and_on(a, a).count() == 1 and J.v_and_on(a, empty).count() == 0
     assert J.or_zero(empty).first()["value"] == 0.0 and J.or_zero(a).first()["value"] == 1.0
+
+
+def test_rename_rules_in_one_pass(spark):
+    from meterline.operators.labels import RENAME_RULES, record, rename_rules
+    rows = [(series, "claude_code", "e", 60, 1.0 + i) for i, (series, _, _) in enumerate(RENAME_RULES)] + [("other", "", "e", 60, 9.0)]
+    s = spark.createDataFrame(rows, "name string, source string, env string, t long, value double")
+    out = record(s, rename_rules(spark), ["source", "cost_kind", "env"])
+    got = {(r["name"], r["source"]): (r["cost_kind"], r["env"], r["t"], r["value"]) for r in out.collect()}
+    assert len(got) == out.count() == len(RENAME_RULES) == 9
+    assert got[("ai_commit_count_total", "codex")] == ("", "e", 60, 4.0)          # the rule's label wins
+    assert got[("ai_cost_usage_usd_total", "claude_code")] == ("emitter_estimate", "e", 60, 2.0)
+    twice = rename_rules(spark, [("other", "a", {}), ("other", "b", {"env": "x"})])
+    assert sorted(map(tuple, record(s, twice, ["env"]).select("name", "env", "value").collect())) == [("a", "e", 9.0), ("b", "x", 9.0)]
