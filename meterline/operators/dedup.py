@@ -34,11 +34,12 @@ def dedup_replays(records: DataFrame) -> DataFrame:
     return kept.select(*KEY_COLS, "copies", "_w.rec.*")
 
 
-def scan_stats(records: DataFrame, kept: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def scan_stats(records: DataFrame, kept: DataFrame, files: DataFrame | None = None, ok: bool = True) -> DataFrame:
     """Files scanned, parse errors, duplicates removed, kept records and
     the ok flag, as one aggregate over records plus kept-record markers.
     ``files`` is the listing (``path``): files without any usage or error
-    line are scanned, too."""
+    line are scanned, too. ``ok`` is false where these are the figures of an
+    earlier scan because the last one failed."""
     r = records.select("path", "is_error", F.lit(False).alias("_kept"))
     k = kept.select(F.lit(None).cast("string").alias("path"), F.lit(False).alias("is_error"),
                     F.lit(True).alias("_kept"))
@@ -52,7 +53,7 @@ def scan_stats(records: DataFrame, kept: DataFrame, files: DataFrame | None = No
         F.sum((~F.col("_kept") & F.col("is_error")).cast("bigint")).cast("bigint").alias("parse_errors"),
         (n_usage - n_kept).cast("bigint").alias("duplicate_records"),
         n_kept.cast("bigint").alias("records_kept"),
-        F.lit(1).cast("int").alias("scan_ok"))
+        F.lit(int(ok)).cast("int").alias("scan_ok"))
 
 
 def commit_dedupe_ids(commits: DataFrame, secret: bytes, repo_col: str = "repo",

@@ -102,6 +102,23 @@ class LedgerState:
         self._write("manifest", now, files)
         return now
 
+    def add_scan(self, version: int, row: DataFrame) -> None:
+        """What a scan counted (one row), for :meth:`scans`."""
+        self._write("scans", version, row)
+
+    def scans(self) -> DataFrame:
+        """One row per scan with its version."""
+        return self._read("scans")
+
+    def last_scan(self) -> int:
+        """The last scan that has its row; 0 before the first."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.scans().agg(F.max("version")).first()[0] or 0
+        except AnalysisException:
+            return 0
+
     def compact(self, folder: str) -> "LedgerState":
         """The current state as version 1 of another folder."""
         out, at = LedgerState(self.spark, folder), self.version()

@@ -33,6 +33,10 @@ ACTIVE_DIR = "sessions"
 ARCHIVED_DIR = "archived_sessions"
 
 
+# Stands for the lines of a file that cannot be read: a line that is no JSON.
+UNREADABLE = LINE_MARKERS[0] + " unreadable"
+
+
 def _plain(root: str) -> str:
     """A folder's path without scheme and host."""
     return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
@@ -211,14 +215,19 @@ def _read_ranges(batches, keep):
                 return pa.RecordBatch.from_arrays([*same, pa.array([row["from"]] * n, pa.int64()), pa.array(at, pa.int64()),
                                                    pa.array(text, pa.string())], [*keep, "block", "ord", "line"])
 
-            with open_file(row["file_path"]) as f:
-                for offset, line in lines_of(f, row["from"], row["to"], last=row["to"] == row["length"]):
-                    at.append(offset)
-                    text.append(line.decode("utf-8", "replace"))
-                    size += len(line)
-                    if size >= 4 << 20:
-                        yield found()
-                        at, text, size = [], [], 0
+            try:
+                with open_file(row["file_path"]) as f:
+                    for offset, line in lines_of(f, row["from"], row["to"], last=row["to"] == row["length"]):
+                        at.append(offset)
+                        text.append(line.decode("utf-8", "replace"))
+                        size += len(line)
+                        if size >= 4 << 20:
+                            yield found()
+                            at, text, size = [], [], 0
+            except OSError:  # an unreadable file is one error of the scan, not its end
+                if row["from"] == 0:
+                    at.append(0)
+                    text.append(UNREADABLE)
             if at:
                 yield found()
 

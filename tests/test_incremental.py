@@ -87,3 +87,70 @@ def test_ranges_of_large_files_and_empty_ledgers(spark):
     whole = [r["line"] for r in L.read_ledger_lines(spark, base).orderBy("ord").collect()]
     assert [r["line"] for r in cut.orderBy("ord").collect()] == whole and cut.select("block").distinct().count() > 20
     assert rows(dedup_replays(L.usage_records(cut))) == rows(full(spark, base)[1])
+
+
+def test_exporter_serves_all_gauges_and_the_last_good_scan(spark, monkeypatch):
+    from meterline.plans.exporter import scan_and_expose
+
+    base = tempfile.mkdtemp(prefix="meterline-exp-")
+    os.makedirs(f"{base}/home/sessions")
+
+    def put(name, n, out):
+        use = {"input_tokens": n, "output_tokens": out, "total_tokens": n}
+        row = {"type": "event_msg", "timestamp": f"2024-01-01T00:00:{n:02d}Z", "payload": {"type": "token_count", "info": {"last_token_usage": use}}}
+        with open(f"{base}/home/sessions/{name}", "w") as f:
+            f.write(json.dumps(row) + "\n")
+
+    def expose():
+        got = {}
+        for r in scan_and_expose(spark, f"{base}/home", f"{base}/state", "e").collect():
+            if not r["line"].startswith("#"):
+                name, value = r["line"].rsplit(" ", 1)
+                got[name.removeprefix("codex_ledger_")] = float(value)
+        return got
+
+    put("a.jsonl", 3, 2)
+    put("b.jsonl", 3, 2)             # a replay of a
+    first = expose()
+    assert first['token_usage_total{env="e",model="unknown",token_type="input"}'] == 3
+    gauges = ["scan_ok", "parse_errors", "duplicate_records", "corpus_shrunk", "files_scanned"]
+    assert [first[g] for g in gauges] == [1, 0, 1, 0, 2]
+    assert first["last_scan_timestamp_seconds"] > 1.7e9 and first["scan_duration_seconds"] > 0
+    put("b.jsonl", 7, 1)
+    put("bad.jsonl", 9, 9)
+    real = L._read_ranges
+
+    def unreadable(batches, keep):   # as a file without permission is to a task
+        import meterline.sources.tail as tail
+        opened = tail.open_file
+
+        def refuse(uri):
+            if uri.endswith("bad.jsonl"):
+                raise PermissionError(uri)
+            return opened(uri)
+        tail.open_file = refuse
+        try:
+            yield from real(batches, keep)
+        finally:
+            tail.open_file = opened
+
+    monkeypatch.setattr(L, "_read_ranges", unreadable)
+    second = expose()
+    assert [second[g] for g in gauges] == [1, 1, 0, 0, 3]
+    assert second['token_usage_total{env="e",model="unknown",token_type="input"}'] == 10
+
+    def broken(self, root):
+        raise RuntimeError("no listing")
+    with monkeypatch.context() as m:
+        m.setattr(LedgerState, "scan", broken)
+        third = expose()
+    assert third.pop("scan_ok") == 0 and {**second, **third} == second  # figures and time of the last good scan
+    os.remove(f"{base}/home/sessions/a.jsonl")
+    fourth = expose()
+    assert [fourth[g] for g in gauges] == [1, 1, 0, 1, 2]
+    put("c.jsonl", 30, 30)
+    assert expose()["corpus_shrunk"] == 1   # for good
+    with monkeypatch.context() as m:
+        m.setattr(LedgerState, "scan", broken)
+        nothing = [r["line"] for r in scan_and_expose(spark, f"{base}/home", f"{base}/none", "e").collect()]
+    assert "codex_ledger_scan_ok 0" in nothing
