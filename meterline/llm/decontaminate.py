@@ -20,6 +20,8 @@ out or changed split a copy over several. A chain leaks the item when
 * one alignment has a run of ``RUN`` windows, however long the item is.
 
 Items shorter than a window are compared as one window of all their words.
+Items of less than ``SHORTEST`` words, which any text may hold by chance, leak
+only where they are all the words of a text or of one of its lines.
 
 Scale. Documents are never shuffled: their windows are hashed inside the row
 and met with the benchmark's window table, which is broadcast after its size
@@ -40,8 +42,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
+from .scratch import written
 
 WINDOW = 8
+SHORTEST = 5  # words of an item that leaks inside a line
 COVER = 50
 RUN = 25  # windows: 32 words in a row
 MAX_BROADCAST = 2_000_000  # windows of 16 bytes
@@ -58,25 +62,38 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _raw_words(text: Column) -> Column:
+    """Lower-cased words: runs of letters and digits, with ``.`` and ``,``
+    inside a number left out."""
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
+
+
 def _template(text: Column, use) -> Column:
     """``use(plain, named, raw)`` on the template words without and with name
     placeholders and the raw words they stand for, position by position."""
-    spelled = "|".join(NUMBERS)
-    # White space and the signs themselves are one space.
-    spaced = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"[\\s\\p{{Z}}{NAME}{UNIT}&&[^ ]][\\s\\p{{Z}}{NAME}{UNIT}]*| [\\s\\p{{Z}}{NAME}{UNIT}]+", " ")
-    # One raw word per token: letters, digits (with inner . and ,) or neither.
-    joined = F.regexp_replace(spaced, "(?<=\\p{N})[.,](?=\\p{N})", "")
-
-    def split(raw: Column) -> Column:
-        lower = F.lower(raw)
-        name = F.lower(F.regexp_replace(raw, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}\\p{Ll}[\\p{L}]*", NAME))
-        number = F.regexp_replace(lower, f"\\p{{N}}+|(?<!\\p{{L}})(?:{spelled})(?!\\p{{L}})", NUMBER)
-        unit = F.regexp_replace(number, f"(?<={NUMBER}[ -]?)(?:{'|'.join(UNITS)})(?!\\p{{L}})", UNIT)
-        words = lambda s, cut: F.filter(F.split(s, cut), lambda w: w != "")
-        plain = words(unit, f"[^\\p{{L}}{NUMBER}{UNIT}]+")
-        named = words(name, f"[^\\p{{L}}\\p{{N}}{NAME}]+")
-        return bind(plain, lambda p: use(p, F.when(F.contains(name, F.lit(NAME)), F.zip_with(
-            p, named, lambda w, n: F.when(n.startswith(NAME), NAME).otherwise(w))).otherwise(p), words(lower, "[^\\p{L}\\p{N}]+")))
+    joined = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "(\\p{N})[.,](?=\\p{N})", "$1")
+    # A name: capital and small letters after white space that follows a small letter, a digit, a comma or a semicolon.
+    capital = "\\p{Lu}(?<=[\\p{Ll}\\p{N},;]%s\\p{Lu})\\p{Ll}"
+
+    def placed(raw: Column) -> Column:
+        number = lambda w: w.isin(NUMBERS) | w.rlike("\\p{N}$")
+        mixed = lambda w: F.regexp_replace(F.regexp_replace(w, "\\p{N}+", NUMBER),
+                                           f"(?<={NUMBER})(?:{'|'.join(UNITS)})(?!\\p{{L}})", UNIT)
+        after = lambda i: F.coalesce(number(F.get(raw, i - 1)), F.lit(False))
+        return F.transform(raw, lambda w, i: F.when(w.isin(NUMBERS), NUMBER).when(w.rlike("\\p{N}"), mixed(w))
+                           .when(w.isin(UNITS), F.when(after(i), UNIT).otherwise(w)).otherwise(w))
+
+    def named(whole: Column, plain: Column) -> Column:
+        # White space and the signs themselves are one space.
+        spaced = F.regexp_replace(whole, f"[\\s\\p{{Z}}{NAME}{UNIT}]+", " ")
+        marked = F.lower(F.regexp_replace(spaced, capital % " " + "\\p{L}*", NAME))
+        words = F.array_remove(F.split(marked, f"[^\\p{{L}}\\p{{N}}{NAME}]+"), "")
+        return F.zip_with(plain, words, lambda w, n: F.when(n.startswith(NAME), NAME).otherwise(w))
+
+    def split(whole: Column) -> Column:
+        blank = f"[\\s\\p{{Z}}{NAME}{UNIT}]"
+        some = whole.rlike(capital % blank) | whole.rlike(blank + "{2}\\p{Lu}\\p{Ll}")
+        return bind(_raw_words(whole), lambda raw: bind(placed(raw), lambda p: use(p, F.when(some, named(whole, p)).otherwise(p), raw)))
     return bind(joined, split)
 
 
@@ -96,11 +113,11 @@ def _windows(plain: Column, named: Column, size: int) -> Column:
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(h, item, at, need, size): one row per window of each item (and variant,
     if it holds names); an item shorter than ``WINDOW`` has one window, of all
-    its words."""
+    its words, one shorter than ``SHORTEST`` none."""
     t = items.select(F.col("__item").alias("item"), _template(F.col("__text"), lambda p, m, _: F.struct(p.alias("p"), m.alias("m"))).alias("t"))
-    t = t.filter(F.size("t.p") > 0)
+    t = t.filter(F.size("t.p") >= SHORTEST)
     sizes = F.least(F.size("t.p"), F.lit(WINDOW))
-    hs = F.coalesce(*[F.when(sizes == n, _windows(F.col("t.p"), F.col("t.m"), n)) for n in range(1, WINDOW + 1)])
+    hs = F.coalesce(*[F.when(sizes == n, _windows(F.col("t.p"), F.col("t.m"), n)) for n in range(SHORTEST, WINDOW + 1)])
     return t.select("item", sizes.alias("size"), (F.size("t.p") - sizes + 1).alias("need"), F.inline(hs))
 
 
@@ -126,20 +143,19 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _row(id_col, text_col))
     sizes = [r[0] for r in listed.select("size").distinct().collect()]  # at most WINDOW rows
 
-    def hits(size: int) -> DataFrame:
-        mine = listed.filter(F.col("size") == size)
-        windows = _template(F.col("__text"), lambda p, m, _: _windows(p, m, size))
-        return (source.select("__id", "__row", F.inline(windows).alias("pos", "h")).join(bounded_broadcast(mine, MAX_BROADCAST), "h"))
-
-    found = hits(WINDOW)
-    for size in sorted(set(sizes) - {WINDOW}):
-        found = found.unionByName(hits(size))
+    # One scan for all sizes; the item that a hash belongs to knows its size.
+    windows = lambda p, m: F.concat(*[_windows(p, m, n) for n in sizes])
+    if sizes:
+        hits = source.select("__id", "__row", F.inline(_template(F.col("__text"), lambda p, m, _: windows(p, m))).alias("pos", "h"))
+        found = hits.join(bounded_broadcast(written(listed), MAX_BROADCAST), "h")
+    else:
+        found = source.select("__id", "__row", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0).join(listed, "h")
     aligned = found.groupBy("__id", "__row", "item", "need", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("ats"))
     # A chain has at most what all diagonals of the document and item have.
     whole = aligned.groupBy("__id", "__row", "item", "need", "size").agg(F.collect_list(F.struct("shift", "ats")).alias("all"))
     whole = whole.filter(_covers(F.flatten("all.ats")) | (_run(F.flatten("all.ats")) >= RUN))
-    aligned = whole.select("__id", "__row", "item", "need", "size", F.inline("all"))
+    aligned = written(whole.select("__id", "__row", "item", "need", "size", F.inline("all")))  # the only scan of all documents
     order = Window.partitionBy("__id", "__row", "item").orderBy("shift")
     apart = F.col("shift") - F.lag("shift").over(order) >= F.col("need") + F.col("size")
     chained = _consistent(aligned, source, items).withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
@@ -148,7 +164,23 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
         F.max(_run(F.col("ats"))).alias("run"), F.max(F.when(F.col("exact"), _run(F.col("ats")))).alias("exact_run"))
     leaks = chains.filter(_covers(F.col("ats")) | (F.col("run") >= RUN))
     exact = _covers(F.col("exact_ats")) | (F.coalesce("exact_run", F.lit(0)) >= RUN)
-    return leaks.select("__id", "__row", "item", F.size(F.array_distinct("ats")).alias("n"), "need", exact.alias("exact"))
+    leaks = leaks.select("__id", "__row", "item", F.size(F.array_distinct("ats")).alias("n"), "need", exact.alias("exact"))
+    return leaks.unionByName(_whole_lines(source, items))
+
+
+def _whole_lines(source: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks of items shorter than ``SHORTEST`` words: texts or lines of them
+    that have just the item's words."""
+    few = items.select(F.col("__item").alias("item"), _raw_words(F.col("__text").cast("string")).alias("w"))
+    few = written(few.filter((F.size("w") > 0) & (F.size("w") < SHORTEST)).select("item", F.concat_ws(" ", "w").alias("line")).distinct())
+    if few.isEmpty():
+        return source.limit(0).select("__id", "__row", F.lit(None).cast(few.schema["item"].dataType).alias("item"), F.lit(1).alias("n"),
+                                      F.lit(1).alias("need"), F.lit(True).alias("exact"))
+    text = F.col("__text").cast("string")
+    lines = F.transform(F.concat(F.split(text, "\n"), F.array(text)), lambda x: F.concat_ws(" ", _raw_words(x)))
+    lines = source.select("__id", "__row", F.explode(F.array_distinct(lines)).alias("line")).filter("line <> ''")
+    return lines.join(bounded_broadcast(few, MAX_BROADCAST), "line").select(
+        "__id", "__row", "item", F.lit(1).alias("n"), F.lit(1).alias("need"), F.lit(True).alias("exact"))
 
 
 def _words(ats: Column) -> Column:
@@ -183,7 +215,10 @@ def _consistent(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
     with_words = with_words.withColumn("slots", F.transform(slotted, lambda x: F.struct(x["i"].alias("i"), F.get("r", x["i"]).alias("v"))))
     joined = aligned.join(bounded_broadcast(with_words.select("item", "slots")), "item")
     plain = joined.filter(F.size("slots") == 0).select(*aligned.columns, F.lit(True).alias("exact"))
-    todo = joined.filter(F.size("slots") > 0)
+    # Few alignments have slots: they are written, and so met by their rows' texts once.
+    todo = written(joined.filter(F.size("slots") > 0))
+    if todo.isEmpty():
+        return plain
     texts = docs.join(bounded_broadcast(todo.select("__row").distinct(), MAX_BROADCAST), "__row", "left_semi")
     raw = texts.select("__row", _template(F.col("__text"), lambda p, m, r: r).alias("dr")).dropDuplicates(["__row"])
     pairs = F.transform(F.filter("slots", lambda s: F.array_contains(_words(F.col("ats")), s["i"])),
@@ -197,5 +232,5 @@ def _consistent(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that leak no item, all columns kept; of rows that share
     an id (or have none) only those go whose own text leaks."""
-    rows = _leaks(docs, benchmark, id_col, text_col).select(F.col("__row").alias("__leak")).distinct()
+    rows = written(_leaks(docs, benchmark, id_col, text_col).select(F.col("__row").alias("__leak")).distinct())
     return docs.join(bounded_broadcast(rows, MAX_BROADCAST), _row(id_col, text_col) == F.col("__leak"), "left_anti")
