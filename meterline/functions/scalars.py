@@ -88,16 +88,14 @@ def _hmac_pads(secret: bytes) -> tuple[str, str]:
     return ipad.hex(), opad.hex()
 
 
-def hmac_sha256_hex(secret: bytes, msg) -> Column:
-    """F7/D4 HMAC-SHA256 as a native expression (RFC 2104 over ``sha2``).
-
-    The padded key appears as a literal in the plan; see
-    :func:`meterline.operators.dedup.commit_dedupe_ids` for the closure form
-    meant for production keys.
-    """
-    ipad, opad = _hmac_pads(secret)
-    inner = F.unhex(F.sha2(F.concat(F.unhex(F.lit(ipad)), col_(msg).cast("binary")), 256))
-    return F.sha2(F.concat(F.unhex(F.lit(opad)), inner), 256)
+def hmac_sha256_hex(secret: bytes, msg, spark) -> Column:
+    """F7/D4 HMAC-SHA256 as a native expression (RFC 2104 over ``sha2``). The
+    padded key is a one-row table read by scalar subqueries, so no plan text
+    holds it and no row passes Python."""
+    ipad, opad = map(bytes.fromhex, _hmac_pads(secret))
+    key = spark.createDataFrame([(bytearray(ipad), bytearray(opad))], "inner_pad binary, outer_pad binary")
+    inner = F.unhex(F.sha2(F.concat(key.select("inner_pad").scalar(), col_(msg).cast("binary")), 256))
+    return F.sha2(F.concat(key.select("outer_pad").scalar(), inner), 256)
 
 
 def utc_parse(c) -> Column:

@@ -4,10 +4,8 @@ dedupe ids (D4). Active-over-archive (D3) lives in
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import hmac_sha256_hex
 from ..sources.ledger import TOKEN_TYPES
@@ -57,24 +55,7 @@ def scan_stats(records: DataFrame, kept: DataFrame, files: DataFrame | None = No
 
 
 def commit_dedupe_ids(commits: DataFrame, secret: bytes, repo_col: str = "repo",
-                      sha_col: str = "sha", native: bool = False) -> DataFrame:
-    """``dedupe_id`` = HMAC-SHA256(secret, repo + NUL + sha) in hex.
-
-    ``native=True`` builds the HMAC from ``sha2`` (the padded key then shows
-    in the plan text, acceptable for tests); the default keeps the key in a
-    pandas UDF closure, computed in Arrow batches.
-    """
+                      sha_col: str = "sha") -> DataFrame:
+    """``dedupe_id`` = HMAC-SHA256(secret, repo + NUL + sha) in hex."""
     msg = F.concat_ws("\u0000", F.col(repo_col), F.col(sha_col))
-    if native:
-        return commits.withColumn("dedupe_id", hmac_sha256_hex(secret, msg))
-
-    key = bytes(secret)
-
-    @F.pandas_udf(T.StringType())
-    def _hmac(m: pd.Series) -> pd.Series:
-        import hashlib
-        import hmac
-        return m.map(lambda s: None if s is None else
-                     hmac.new(key, s.encode("utf-8"), hashlib.sha256).hexdigest())
-
-    return commits.withColumn("dedupe_id", _hmac(msg))
+    return commits.withColumn("dedupe_id", hmac_sha256_hex(secret, msg, commits.sparkSession))

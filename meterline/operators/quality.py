@@ -68,11 +68,18 @@ def identity_leaks(points: DataFrame) -> DataFrame:
     return bad.groupBy("place", "key").agg(F.count("*").cast("bigint").alias("points"))
 
 
-def identity_values(series: DataFrame, secrets: DataFrame) -> DataFrame:
-    """Q5: label values equal to a listed identity value (``secret``)."""
-    vals = series.select(F.explode(F.array(*[F.col(c) for c in ["env", *LABELS]
-                                             if c in series.columns])).alias("value"))
-    return vals.join(secrets.select(F.col("secret").alias("value")), "value", "left_semi").distinct()
+def identity_values(rows: DataFrame, secrets: DataFrame, maps=(), labels=()) -> DataFrame:
+    """Q5: where listed identity values (``secret``) stand as values of
+    attribute maps or label columns: (place, key, points, found), the number
+    of rows and of different secrets. One unpivot of all columns; values are
+    counted before they meet the list, which may be large (a semi-join)."""
+    entry = lambda place, key, value: F.struct(F.lit(place).alias("place"), key.alias("key"), value.alias("value"))
+    of_map = lambda m: F.transform(F.map_entries(m), lambda e: entry(m, e["key"], e["value"]))
+    lists = [of_map(m) for m in maps]
+    lists += [F.array(*[entry("label", F.lit(c), F.col(c)) for c in labels])] if labels else []
+    values = rows.select(F.inline(F.concat(*lists))).groupBy("place", "key", "value").agg(F.count("*").alias("n"))
+    hits = values.join(secrets.select(F.col("secret").alias("value")).distinct(), "value", "left_semi")
+    return hits.groupBy("place", "key").agg(F.sum("n").cast("bigint").alias("points"), F.count("*").cast("bigint").alias("found"))
 
 
 def validate_prices(spark, path: str, provider: str) -> DataFrame:

@@ -268,10 +268,3 @@ def first_batch_growth(samples: DataFrame, step: int, rng: int, expiry: int = EX
     ends = grown.groupBy(_bucket_end(step).alias("_e")).agg(F.sum("value").alias("value"))
     at = F.explode(F.sequence("_e", F.col("_e") + (rng - step), F.lit(step).cast("bigint")))
     return ends.select(at.alias("t"), "value").groupBy("t").agg(prom_round(F.sum("value")).alias("value"))
-
-
-def stamp_arrival(df: DataFrame, arrival: Column | None = None) -> DataFrame:
-    """Producer time is replaced by arrival time (``current_timestamp``
-    in streaming; an explicit column in batch)."""
-    arrival = arrival if arrival is not None else F.current_timestamp()
-    return df.withColumn("arrival_ts", arrival)

@@ -284,3 +284,12 @@ def commit_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.concat(F.lit('{"dedupe_id": "e-'), F.col("event_id").cast("string"))
     line = F.when(F.col("event_type") == "purchase", record).when((F.col("event_type") == "error") & (F.col("k") % 7 == 0), broken)
     return ev.select("us", line.alias("line")).where(F.col("line").isNotNull())
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed identity values (``secret``): host, session, account and address
+    of every user."""
+    uid = F.col("user_id").cast("string")
+    values = F.array(*[F.concat(F.lit(a), uid, F.lit(b)) for a, b in
+                       (("host-", ""), ("s-", ""), ("acct-", ""), ("user", "@corp.example"))])
+    return table(spark, sf_dir, "events").select("user_id").distinct().select(F.explode(values).alias("secret"))

@@ -659,6 +659,12 @@ def oracles() -> dict[str, str]:
       UNION ALL SELECT 'attrs', 'user.account_uuid', count(*) FROM ev
       UNION ALL SELECT 'attrs', 'agent_name', count(*) FROM ev WHERE k % 6 = 0""")
 
+    q["identity_values"] = with_([EV], "\n      UNION ALL\n".join(
+        f"SELECT '{place}' AS place, '{key}' AS key, CAST(count(*) AS BIGINT) AS points, "
+        "CAST(count(DISTINCT user_id) AS BIGINT) AS found FROM ev"
+        for place, key in [("resource", "service.instance.id"), ("resource", "user.email"), ("attrs", "session.id"),
+                           ("attrs", "user.account_uuid")]))
+
     # counters and label algebra
     q["increase"] = with_(A, f"SELECT {lab_out} FROM inc1h")
     q["rate_per_hour"] = with_(A, f"""b AS (
@@ -806,9 +812,11 @@ def oracles() -> dict[str, str]:
     # commit lane
     q["pair_tool_calls"] = with_([EV, TOOL_CALLS], "SELECT invocation_id, repo, started, ended FROM calls")
     q["attribute_commits"] = with_([EV, TOOL_CALLS], "SELECT * FROM attributed")
-    q["append_commit_events"] = with_([EV, TOOL_CALLS], """existing AS (
-        SELECT sha256(repo || chr(0) || sha) AS dedupe_id FROM commits WHERE committed_at < 1705276800),
-      new AS (SELECT sha256(repo || chr(0) || sha) AS dedupe_id, min(committed_at) AS "order"
+    ids = _hmac_sql(b"meterline-test-key", "repo || chr(0) || sha")
+    q["append_commit_events"] = with_([EV, TOOL_CALLS], f"""existing AS (
+        SELECT {ids} AS dedupe_id FROM commits
+        WHERE committed_at < (SELECT (min(committed_at) + max(committed_at)) // 2 FROM commits)),
+      new AS (SELECT {ids} AS dedupe_id, min(committed_at) AS "order"
               FROM attributed GROUP BY 1),
       fresh AS (SELECT * FROM new WHERE dedupe_id NOT IN (SELECT dedupe_id FROM existing))
       SELECT dedupe_id, 'codex.git.commit' AS event, "order" FROM fresh""")

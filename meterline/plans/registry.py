@@ -337,6 +337,15 @@ def q_identity_leaks(spark, sf):
     return Q.identity_leaks(_points(spark, sf))
 
 
+@query("identity_values")
+def q_identity_values(spark, sf):
+    """Q5: users' identity values in the raw points (what P2 must remove) and
+    in the labels of the exposed series (there must be none)."""
+    secrets = adapters.identities(spark, sf)
+    raw = Q.identity_values(_points(spark, sf), secrets, maps=["resource", "attrs"])
+    return raw.unionByName(Q.identity_values(_samples(spark, sf), secrets, labels=jobs.SAMPLE_LABELS))
+
+
 # ---- counters and label algebra -------------------------------------------------
 
 @query("increase")
@@ -597,16 +606,20 @@ def q_attribute_commits(spark, sf):
     return C.attribute_commits(_paired(spark, sf), adapters.commits(spark, sf))
 
 
+COMMIT_KEY = b"meterline-test-key"
+
+
 @query("append_commit_events")
 def q_append_commit_events(spark, sf):
-    """K3: the first half of the month's commits are already logged; the
-    attributed commits append in order of their commit time."""
-    att = C.attribute_commits(_paired(spark, sf), adapters.commits(spark, sf))
-    new = att.select(F.sha2(F.concat_ws("\u0000", "repo", "sha"), 256).alias("dedupe_id"),
-                     F.col("committed_at").alias("order"))
-    existing = adapters.commits(spark, sf).where(F.col("committed_at") < 1705276800) \
-        .select(F.sha2(F.concat_ws("\u0000", "repo", "sha"), 256).alias("dedupe_id"))
-    return C.append_commit_events(existing, new)
+    """K3 with D4's ids: the commits of the first half of the time span are
+    already logged; the attributed commits append in order of their time."""
+    from ..operators.dedup import commit_dedupe_ids
+    ids = lambda df: commit_dedupe_ids(df, COMMIT_KEY)
+    made = adapters.commits(spark, sf)
+    half = made.agg(F.floor((F.min("committed_at") + F.max("committed_at")) / 2)).scalar()
+    att = C.attribute_commits(_paired(spark, sf), made)
+    new = ids(att).select("dedupe_id", F.col("committed_at").alias("order"))
+    return C.append_commit_events(ids(made.where(F.col("committed_at") < half)).select("dedupe_id"), new)
 
 
 @query("tail_commit_events")
@@ -618,8 +631,7 @@ def q_tail_commit_events(spark, sf):
 @query("commit_dedupe_ids")
 def q_commit_dedupe_ids(spark, sf):
     from ..operators.dedup import commit_dedupe_ids
-    return commit_dedupe_ids(adapters.commits(spark, sf), b"meterline-test-key", native=True) \
-        .select("repo", "sha", "dedupe_id")
+    return commit_dedupe_ids(adapters.commits(spark, sf), COMMIT_KEY).select("repo", "sha", "dedupe_id")
 
 
 # ---- quality -------------------------------------------------------------------------

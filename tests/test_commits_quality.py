@@ -67,9 +67,24 @@ def test_dedupe_ids_match_python_hmac(spark):
     key = b"secret-key"
     want = {r: hmac.new(key, f"{r}\0{s}".encode(), hashlib.sha256).hexdigest() for r, s in
             [("/repo", "abc"), ("/r2", "def")]}
-    for native in (True, False):
-        got = {r["repo"]: r["dedupe_id"] for r in commit_dedupe_ids(df, key, native=native).collect()}
-        assert got == want
+    ids = commit_dedupe_ids(df, key)
+    assert {r["repo"]: r["dedupe_id"] for r in ids.collect()} == want
+    plan = ids._jdf.queryExecution().toString()
+    pads = [bytes(b ^ x for b in key.ljust(64, b"\0")) for x in (0x36, 0x5C)]
+    assert not any(p.hex() in plan.lower() or p[:10].decode("latin1") in plan for p in pads) and "Python" not in plan
+    long = b"k" * 100
+    assert commit_dedupe_ids(df, long).where("repo = '/r2'").first()["dedupe_id"] == hmac.new(long, b"/r2\0def", hashlib.sha256).hexdigest()
+
+
+def test_identity_values_by_place_and_key(spark):
+    from meterline.operators.quality import identity_values
+    rows = spark.createDataFrame([({"host": "h1", "x": "ok"}, {"mail": "a@b"}, "h1", "fine"), ({"host": "h2"}, {}, "fine", "fine"),
+                                  ({"host": "h1"}, None, "fine", None)],
+                                 "resource map<string,string>, attrs map<string,string>, model string, type string")
+    secrets = spark.createDataFrame([("h1",), ("h1",), ("a@b",), ("h2",), ("unused",)], "secret string")
+    got = sorted(map(tuple, identity_values(rows.na.fill("").withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>"))),
+                                            secrets, ["resource", "attrs"], ["model", "type"]).collect()))
+    assert got == [("attrs", "mail", 1, 1), ("label", "model", 1, 1), ("resource", "host", 3, 2)]
 
 
 def test_append_takes_unseen_ids_once(spark):

@@ -6,6 +6,7 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterline.operators.series import delta_to_cumulative
 from meterline.streaming.collector import idempotent_sink
@@ -84,3 +85,36 @@ def test_a_hot_stream_reaches_the_state_as_one_row_an_arrival(spark):
     rows = [("hot", 60 * (i % 3), 1.0) for i in range(5000)] + [("b", 60, 2.0)]
     got = compact_stream(spark.createDataFrame(rows, SCHEMA).repartition(8), ["metric"]).collect()
     assert sorted(map(tuple, got)) == [("b", 60, 2.0), ("hot", 0, 1667.0), ("hot", 60, 1667.0), ("hot", 120, 1666.0)]
+
+
+def test_arrivals_are_stamped_once_and_kept_through_a_replay(spark):
+    from test_collector import payload, write
+
+    from meterline.streaming import arrival
+    from meterline.streaming.collector import point_delta_rows, read_otlp_stream
+
+    base = tempfile.mkdtemp(prefix="meterline-arr-")
+    times = iter([1000, 2000, 1500, 9000 + DAY, 9999 + 9 * DAY])
+    clock = lambda: next(times)
+    write(base + "/in", [payload(5, 10), payload(7, 99, session="other")])
+    sink, failed = arrival.stamped_sink(base + "/c", clock), []
+
+    def fails_first(df, batch_id):
+        sink(df, batch_id)
+        if not failed:
+            failed.append(sorted(map(str, spark.read.parquet(f"{base}/c/rows/batch_id={batch_id}").collect())))
+            raise RuntimeError("lost after the write")
+
+    rows = lambda: point_delta_rows(read_otlp_stream(spark, base + "/in"), arrival=F.lit(0)).drop("arrival")
+    with pytest.raises(Exception):
+        arrival._run(rows(), "append", fails_first, base + "/c/ckpt-land")
+    total = arrival.collect_arrivals(spark, base + "/in", base + "/c", clock)   # replays the batch
+    assert sorted(map(str, spark.read.parquet(base + "/c/rows/batch_id=0").collect())) == failed[0]
+    assert [(r["t"], r["value"]) for r in total.collect()] == [(1000, 12.0)]
+    write(base + "/in", [payload(1, 11)], start=2)
+    total = arrival.collect_arrivals(spark, base + "/in", base + "/c", clock)
+    write(base + "/in", [payload(2, 12)], start=3)
+    total = arrival.collect_arrivals(spark, base + "/in", base + "/c", clock)   # the clock went back: the stamp did not
+    write(base + "/in", [payload(4, 12)], start=4)
+    total = arrival.collect_arrivals(spark, base + "/in", base + "/c", clock)   # idle for more than a day: restarts
+    assert sorted((r["t"], r["value"]) for r in total.collect()) == [(1000, 12.0), (2000, 13.0), (2001, 15.0), (9000 + DAY, 4.0)]
