@@ -1,5 +1,9 @@
 """OTLP metric payloads as JSON (S1): explicit schema, flattened to one row
-per data point with the same columns as the collector jobs consume."""
+per data point with the same columns as the collector jobs consume.
+
+An attribute's value is read as VARIANT, whatever its type is, and becomes
+text as an exporter shows it: strings as they are, booleans and numbers by
+their JSON text, lists, maps and bytes as JSON."""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import types as T
 
 _KV = T.ArrayType(T.StructType([
     T.StructField("key", T.StringType()),
-    T.StructField("value", T.StructType([T.StructField("stringValue", T.StringType())])),
+    T.StructField("value", T.VariantType()),
 ]))
 _SUM_POINT = T.StructType([
     T.StructField("attributes", _KV),
@@ -52,9 +56,24 @@ OTLP_SCHEMA = T.StructType([T.StructField("resourceMetrics", T.ArrayType(T.Struc
 ])))])
 
 
+# The fields of an OTLP value of one JSON token, and of those of many.
+_PLAIN = ["stringValue", "boolValue", "intValue", "doubleValue", "bytesValue"]
+_NESTED = ["arrayValue.values", "kvlistValue.values"]
+
+
+def _text(value) -> F.Column:
+    """An OTLP value of any type as text; null for one without a value."""
+    return F.coalesce(*[F.try_variant_get(value, f"$.{f}", "string") for f in _PLAIN],
+                      *[F.to_json(F.try_variant_get(value, f"$.{f}", "variant")) for f in _NESTED])
+
+
 def _attrs(col) -> F.Column:
-    return F.map_from_entries(F.transform(F.coalesce(col, F.array().cast(_KV)),
-                                          lambda a: F.struct(a["key"], a["value"]["stringValue"])))
+    """Attributes as a string map; of a repeated key the last one counts."""
+    some = F.coalesce(col, F.array().cast(_KV))
+    pairs = F.filter(F.transform(some, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("value"), _text(a["value"]))),
+                     lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
 
 
 def read_otlp_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -63,7 +82,8 @@ def read_otlp_json(spark: SparkSession, path: str, multiline: bool = True) -> Da
 
 
 def flatten_otlp(df: DataFrame) -> DataFrame:
-    """Resource -> scope -> metric -> data point, one row per point.
+    """Resource -> scope -> metric -> data point, one row per point of
+    either kind, in one projection.
 
     Columns: resource, scope_name, scope_version, scope_attrs, metric, kind,
     temporality, monotonic, attrs, start_ns, time_ns, value, h_count, h_sum,
@@ -77,34 +97,25 @@ def flatten_otlp(df: DataFrame) -> DataFrame:
                   F.col("sm.scope.version").alias("scope_version"),
                   _attrs(F.col("sm.scope.attributes")).alias("scope_attrs"),
                   F.explode("sm.metrics").alias("m"))
-    sums = m.where(F.col("m.sum").isNotNull()).select(
-        "resource", "scope_name", "scope_version", "scope_attrs",
-        F.col("m.name").alias("metric"), F.lit("sum").alias("kind"),
-        F.col("m.sum.aggregationTemporality").alias("temporality"),
-        F.col("m.sum.isMonotonic").alias("monotonic"),
-        F.explode("m.sum.dataPoints").alias("p"))
-    sums = sums.select(
-        "resource", "scope_name", "scope_version", "scope_attrs", "metric", "kind", "temporality",
-        "monotonic", _attrs(F.col("p.attributes")).alias("attrs"),
-        F.col("p.startTimeUnixNano").cast("bigint").alias("start_ns"),
-        F.col("p.timeUnixNano").cast("bigint").alias("time_ns"),
-        F.coalesce(F.col("p.asInt").cast("double"), F.col("p.asDouble")).alias("value"),
-        F.lit(None).cast("bigint").alias("h_count"), F.lit(None).cast("double").alias("h_sum"),
-        F.lit(None).cast("array<bigint>").alias("bucket_counts"),
-        F.lit(None).cast("array<double>").alias("bounds"))
-    hists = m.where(F.col("m.histogram").isNotNull()).select(
-        "resource", "scope_name", "scope_version", "scope_attrs",
-        F.col("m.name").alias("metric"), F.lit("histogram").alias("kind"),
-        F.col("m.histogram.aggregationTemporality").alias("temporality"),
-        F.lit(True).alias("monotonic"),
-        F.explode("m.histogram.dataPoints").alias("p"))
-    hists = hists.select(
-        "resource", "scope_name", "scope_version", "scope_attrs", "metric", "kind", "temporality",
-        "monotonic", _attrs(F.col("p.attributes")).alias("attrs"),
-        F.col("p.startTimeUnixNano").cast("bigint").alias("start_ns"),
-        F.col("p.timeUnixNano").cast("bigint").alias("time_ns"),
-        F.lit(None).cast("double").alias("value"),
-        F.col("p.count").cast("bigint").alias("h_count"), F.col("p.sum").alias("h_sum"),
-        F.transform("p.bucketCounts", lambda c: c.cast("bigint")).alias("bucket_counts"),
-        F.col("p.explicitBounds").alias("bounds"))
-    return sums.unionByName(hists)
+
+    def point(p, kind, temporality, monotonic, value=None, count=None, total=None, buckets=None, bounds=None):
+        none = F.lit(None)
+        fields = {"kind": F.lit(kind), "temporality": temporality, "monotonic": monotonic, "attributes": p["attributes"],
+                  "start_ns": p["startTimeUnixNano"].cast("bigint"), "time_ns": p["timeUnixNano"].cast("bigint"),
+                  "value": (none if value is None else value).cast("double"),
+                  "h_count": (none if count is None else count).cast("bigint"),
+                  "h_sum": (none if total is None else total).cast("double"),
+                  "bucket_counts": (none if buckets is None else buckets).cast("array<bigint>"),
+                  "bounds": (none if bounds is None else bounds).cast("array<double>")}
+        return F.named_struct(*[x for name, field in fields.items() for x in (F.lit(name), field)])
+
+    sums = F.transform("m.sum.dataPoints", lambda p: point(
+        p, "sum", F.col("m.sum.aggregationTemporality"), F.col("m.sum.isMonotonic"),
+        value=F.coalesce(p["asInt"].cast("double"), p["asDouble"])))
+    hists = F.transform("m.histogram.dataPoints", lambda p: point(
+        p, "histogram", F.col("m.histogram.aggregationTemporality"), F.lit(True),
+        count=p["count"], total=p["sum"], buckets=p["bucketCounts"], bounds=p["explicitBounds"]))
+    points = F.flatten(F.filter(F.array(sums, hists), lambda x: x.isNotNull()))
+    flat = m.select("resource", "scope_name", "scope_version", "scope_attrs", F.col("m.name").alias("metric"), F.inline(points))
+    return flat.select("resource", "scope_name", "scope_version", "scope_attrs", "metric", "kind", "temporality", "monotonic",
+                       _attrs(F.col("attributes")).alias("attrs"), "start_ns", "time_ns", "value", "h_count", "h_sum", "bucket_counts", "bounds")

@@ -166,3 +166,28 @@ def test_commit_count_stream_counts_each_event_once(spark):
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
         q.awaitTermination(300)
     assert spark.read.parquet(sink).agg(F.max("value")).first()[0] == 5.0
+
+
+def test_attribute_values_of_any_type(spark):
+    """Booleans, numbers, lists and maps are attributes, too: a boolean is_git
+    reaches the thread series."""
+    base = tempfile.mkdtemp(prefix="meterline-otlp-")
+    value = {"i": {"intValue": "41"}, "j": {"intValue": 7}, "d": {"doubleValue": 2.5}, "b": {"boolValue": False}, "s": {"stringValue": ""},
+             "l": {"arrayValue": {"values": [{"stringValue": "x"}]}}, "m": {"kvlistValue": {"values": []}}, "none": {}}
+    attrs = [{"key": k, "value": v} for k, v in value.items()] + [{"key": "is_git", "value": {"boolValue": True}},
+                                                                  {"key": "s", "value": {"stringValue": "last"}}]
+    start = {"attributes": attrs, "startTimeUnixNano": "1", "timeUnixNano": "60000000000", "asDouble": 3.0}
+    doc = {"resourceMetrics": [{"resource": {"attributes": kv({"env": "x"})}, "scopeMetrics": [{"scope": {"name": "c"}, "metrics": [
+        {"name": "codex.thread.started", "sum": {"aggregationTemporality": 1, "isMonotonic": True, "dataPoints": [start]}},
+        {"name": "codex.turn.token_usage", "histogram": {"aggregationTemporality": 1, "dataPoints": []}},
+        {"name": "empty"}]}]}]}
+    write(base, [doc, histogram(4, 50, [1, 2, 1], 61_000_000_000)])
+    points = flatten_otlp(read_otlp_json(spark, base))
+    got = {r["kind"]: r for r in points.collect()}
+    assert points.count() == 2 and got["histogram"]["bucket_counts"] == [1, 2, 1] and got["histogram"]["value"] is None
+    seen = got["sum"]["attrs"]
+    assert {k: seen.get(k) for k in ("i", "j", "d", "b", "s", "is_git")} == {"i": "41", "j": "7", "d": "2.5", "b": "false", "s": "last", "is_git": "true"}
+    assert "none" not in seen and json.loads(seen["l"]) == [{"stringValue": "x"}] and json.loads(seen["m"]) == []
+    threads = [r for r in batch_samples(spark, base).where("name = 'codex_thread_started_total'").collect()]
+    assert [(r["is_git"], r["value"]) for r in threads] == [("true", 3.0)]
+    assert points._jdf.queryExecution().executedPlan().toString().count("Scan") <= 2  # one file scan, shown once or twice
