@@ -80,8 +80,8 @@ def upsert_env(df: DataFrame, env: str) -> DataFrame:
 def keep_labels(df: DataFrame) -> DataFrame:
     """Privacy allowlist on resource and point attributes, then the
     allowlisted keys as typed label columns ('' when absent)."""
-    res = F.map_filter("resource", lambda k, v: k.rlike(RESOURCE_KEY_PATTERN))
-    att = F.map_filter("attrs", lambda k, v: k.rlike(POINT_KEY_PATTERN))
+    res = F.map_filter("resource", lambda k, v: k == "env")
+    att = F.map_filter("attrs", lambda k, v: k.isin([key for key, _ in LABEL_KEYS]))
     out = df.withColumn("resource", res).withColumn("attrs", att)
     out = out.withColumn("env", F.coalesce(F.col("resource")["env"], F.lit("")))
     for key, col in LABEL_KEYS:

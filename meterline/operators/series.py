@@ -1,4 +1,4 @@
-"""Counter and time-series operators.
+"""Counter and time-series operators.
 
 A sample table has label columns, ``t`` (unix seconds, BIGINT) and
 ``value`` (DOUBLE). Series identity is every column except ``t`` and

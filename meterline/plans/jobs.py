@@ -1,7 +1,9 @@
 """Composed jobs over the driver tables: the ledger scan, the ledger
 backfill grid, the collector flow and the unified sample table.
 
-Every function is lazy and returns a DataFrame; nothing is collected.
+Tables that several queries share are written once per application
+(:func:`materialized`) when first asked for; all else is lazy. What is fetched
+is single rows: the time of the last sample and the bounds of the landings.
 """
 
 from __future__ import annotations
@@ -193,8 +195,10 @@ def live_categories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_sample(spark: SparkSession, sf_dir: str) -> int:
-    """Evaluation time of instant views: the time of the last sample."""
-    return samples_table(spark, sf_dir).agg(F.max("t")).first()[0] or 0
+    """Evaluation time of instant views: the time of the last sample, kept as
+    a table of one row."""
+    at = materialized(spark, sf_dir, "last_sample", lambda: samples_table(spark, sf_dir).agg(F.max("t").alias("t")))
+    return at.first()[0] or 0
 
 
 # ---- ledger ---------------------------------------------------------------

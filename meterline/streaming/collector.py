@@ -1,5 +1,5 @@
 """Structured Streaming form of the collector (A3 within micro-batches, T2,
-T13, S5 streaming).
+S5 streaming).
 
 Landed OTLP JSON files are read with ``readStream``; each micro-batch is
 compacted per stream and folded into keyed state that holds the running
@@ -36,8 +36,9 @@ def read_otlp_stream(spark: SparkSession, path: str, max_files: int | None = Non
 def point_delta_rows(points: DataFrame, arrival: F.Column | None = None) -> DataFrame:
     """Row-level (streaming-safe) deltas: privacy, contract and scope first,
     then one row per sum point and per histogram part (_sum, _count and
-    cumulative-``le`` buckets). ``arrival`` is unix seconds (T13: the
-    micro-batch time unless given)."""
+    cumulative-``le`` buckets). ``arrival`` is unix seconds (the micro-batch
+    time unless given; :mod:`meterline.streaming.arrival` keeps it through
+    replays)."""
     arrival = arrival if arrival is not None else F.unix_seconds(F.current_timestamp())
     p = P.normalize_scope(P.contract_filter(P.keep_labels(points))).withColumn("arrival", arrival)
     keys = ["metric", "env", *P.LABELS]
@@ -60,7 +61,7 @@ def _state_fn(keys: Sequence[str], max_stale: int):
 
     def fold(key, pdfs, state):
         import pandas as pd
-        batch = pd.concat(list(pdfs))
+        batch = pd.concat([p[["arrival", "value"]] for p in pdfs])  # a row per arrival
         per = batch.groupby("arrival", sort=True)["value"].sum()
         total, last = (state.get if state.exists else (0.0, None))
         rows = []
@@ -80,8 +81,13 @@ def _state_fn(keys: Sequence[str], max_stale: int):
 def cumulative_stream(rows: DataFrame, keys: Sequence[str] = STREAM_KEYS,
                       max_stale: int = 86_400) -> DataFrame:
     """Delta rows -> cumulative per stream with stale restart, using
-    ``applyInPandasWithState``. Within a micro-batch the deltas of one
-    stream are summed first (A3), so state sees one update per arrival."""
+    ``applyInPandasWithState``. Within a micro-batch the deltas of a stream
+    are summed per arrival before they are grouped by stream, however many
+    they are; state is kept for good (:mod:`meterline.streaming.totals` has
+    the form whose state expires)."""
+    from .totals import compact_stream
+
+    rows = compact_stream(rows, keys)
     out_schema = ", ".join(f"{k} string" for k in keys) + ", t bigint, value double"
     return rows.groupBy(*keys).applyInPandasWithState(
         _state_fn(keys, max_stale), out_schema, "total double, last bigint", "update",
