@@ -23,11 +23,11 @@ since one of its cheap keys must be shared. Only units that cannot go on:
    and deletions are all cheap counts twice, another one whose key is cheap
    once (a single shingle's deletion leaves nothing that a partner has a key
    of), others not at all;
-3. what lacks even then is compared across components by its rarest
-   shingles. Of two similar sets the larger one has a shingle among its
-   ``n - ceil(n * percent / 100) + 1`` rarest that the smaller one has among
-   its ``n - ceil(2 * n * percent / (100 + percent)) + 1`` rarest, so a long
-   passage that dissimilar texts share makes no pairs.
+3. what lacks even then is compared across components within its costly keys,
+   cut into cells of some ``CELL`` units. A task gets two cells of a key with a
+   bitmap of each set (the parity of its shingles' hashes on ``BITS`` places a
+   shingle or more); two sets differ in as many shingles as their bitmaps in
+   bits at least, so pairs beyond the allowed difference fall out there.
 
 Every candidate pair is verified exactly on the two whole shingle sets. No
 step drops a candidate: each only skips what another must find.
@@ -54,6 +54,9 @@ from .scratch import components, written
 
 SHINGLE = 5
 LIMIT = 12
+CELL = 1024
+BITS = 1  # of a bitmap, per shingle
+KEYS = 256  # of a unit's costly keys that go along, so that a pair is not given under each of them
 MAX_BROADCAST = 2_000_000  # classes of 8 bytes
 
 
@@ -175,7 +178,8 @@ def _class_of(shingles) -> tuple[int, int]:
 
 
 def _describe(batches, size, percent, names, id_type):
-    """Per document: id, set size, class, check and the slack of both roles."""
+    """Per document: id, set size, class, check, the slack of both roles and
+    the text's key."""
     import pyarrow as pa
 
     lows = bands(percent)
@@ -188,7 +192,7 @@ def _describe(batches, size, percent, names, id_type):
             else:
                 out.append((0, None, None, None, None))
         cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *[pa.array(c, pa.int64()) for c in cols]], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *[pa.array(c, pa.int64()) for c in cols], batch.column(2)], names)
 
 
 def _sign(batches, size, percent):
@@ -270,14 +274,14 @@ class _Join:
         self.percent, self.size = percent, size
         self.text = docs.select(F.col(text_col).cast("string").alias("t"))
         self.named = named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-        self.names = ["id", "n_shingles", "class", "check", "slack0", "slack1"]
+        self.names = ["id", "n_shingles", "class", "check", "slack0", "slack1", "key"]
         id_field = named.schema["id"]
         schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in self.names[1:]]])
         from pyspark.sql.pandas.types import to_arrow_type
 
         self.id_field, self.id_type = id_field, to_arrow_type(id_field.dataType)
         id_type, names = self.id_type, self.names
-        self.described = written(named.mapInArrow(lambda it: _describe(it, size, percent, names, id_type), schema))
+        self.described = written(named.withColumn("key", F.xxhash64("t")).mapInArrow(lambda it: _describe(it, size, percent, names, id_type), schema))
         apart = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two shingle sets share a class hash")))
         self.classes = written(self.described.filter("n_shingles > 0").groupBy("class").agg(
             F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("slack0").alias("slack0"),
@@ -334,40 +338,68 @@ def _edges(roots: DataFrame) -> DataFrame:
     return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _elements(batches):
-    """(class, root, n, shingle) of each set."""
+def _bitmaps(batches):
+    """(class, n, bitmap): the parity bitmap of each set, ``BITS`` places a
+    shingle or more, a power of two."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        for c, root, data in zip(*[column.to_pylist() for column in batch.columns]):
-            n = len(data) // 8
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, np.int64)) for x in (c, root, n)],
-                                              pa.array(np.frombuffer(data, np.int64))], ["class", "root", "n", "s"])
+        out = []
+        for c, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            s = np.frombuffer(x.as_buffer(), np.uint64)
+            places = 1 << max(6, (BITS * len(s) - 1).bit_length())
+            odd = np.bincount((_mix(s) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+            out.append((c, len(s), np.packbits(odd.astype(bool)).tobytes()))
+        cols = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
+                                         ["class", "n", "bitmap"])
 
 
-def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of classes of different roots that can link."""
-    from pyspark.sql import Window
+def _cell_pairs(table, percent):
+    """(a, b): classes of different roots in two cells of a key (or within
+    one) that can link by their bitmaps, where they share no earlier key of
+    those that came along."""
+    import numpy as np
+    import pyarrow as pa
 
-    rows = sets.join(classes, "class").select("class", "root", "shingles").mapInArrow(
-        _elements, "class long, root long, n long, s long")
-    common = rows.groupBy("s").agg(F.count("*").alias("c"))
-    # One set a window; shingles that no other set has take places, but make no pairs.
-    place = F.row_number().over(Window.partitionBy("class").orderBy("c", "s"))
-    first = rows.join(common, "s").withColumn("at", place).filter("c > 1")
-    least = lambda num, den: F.floor((F.col("n") * num + den - 1) / den)
-    first = written(first.select("s", "class", "root", "n", "at",
-                                 (F.col("at") <= F.col("n") - least(2 * percent, 100 + percent) + 1).alias("short"))
-                    .filter(F.col("at") <= F.col("n") - least(percent, 100) + 1))
-    large = first.select("s", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    small = first.filter("short").select("s", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    met = large.join(small, "s").filter((F.col("ra") != F.col("rb")) & (F.struct("nb", "b") < F.struct("na", "a")) &
-                                        (100 * F.col("nb") >= percent * F.col("na")))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    # At most this many are shared: the first common one and what follows it.
-    shared = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return met.filter((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    at = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
+    classes, roots, n, cell = at("class"), at("root"), at("n"), at("cell")
+    lo, hi, key = table["lo"][0].as_py(), table["hi"][0].as_py(), table["key"][0].as_py()
+    maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["bitmap"].combine_chunks()]
+    size = min(len(x) for x in maps)  # places are low bits of a hash: halves fold onto each other
+    maps = np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in maps])
+    keys = [x.values.to_numpy() for x in table["keys"].combine_chunks()]
+    left, right, out = np.flatnonzero(cell == lo), np.flatnonzero(cell == hi), []
+    for k, i in enumerate(left):
+        others = right[k + 1:] if lo == hi else right
+        others = others[(roots[others] != roots[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+        total = n[others] + n[i]
+        apart = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        for j in others[apart <= total * (100 - percent) // (100 + percent)]:
+            same = np.intersect1d(keys[i], keys[j], assume_unique=True)
+            if not len(same) or same[0] >= key:
+                out.append((classes[i], classes[j]))
+    a, b = zip(*out) if out else ([], [])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _costly_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of classes of different roots that share a key of
+    ``left`` (key, unit, root) and can link by their bitmaps."""
+    keys = left.groupBy("unit").agg(F.slice(F.sort_array(F.collect_list("key")), 1, KEYS).alias("keys"))
+    wanted = left.select(_class("unit").alias("class")).distinct()
+    bitmaps = written(sets.join(wanted, "class", "left_semi").select("class", "shingles").mapInArrow(
+        _bitmaps, "class long, n long, bitmap binary"))
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("long").alias("cells"))
+    many = left.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("unit"), F.col("cells")))
+    many = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other"))
+    many = many.withColumn("class", _class("unit")).join(keys, "unit").join(bitmaps, "class")
+    many = many.select("key", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "class", "root", "n",
+                       "keys", "bitmap")
+    found = many.groupBy("key", "lo", "hi").applyInArrow(lambda t: _cell_pairs(t, percent), "a long, b long")
+    return found.filter("a < b").distinct()
 
 
 def link_classes(join: _Join) -> DataFrame:
@@ -433,35 +465,44 @@ def link_classes(join: _Join) -> DataFrame:
     if left.isEmpty():
         return roots
 
-    # Step 3: across components, by the rarest shingles.
-    open_ = written(left.select(_class("unit").alias("class"), "root").distinct())
-    links = _edges(roots).union(join.verified(_rare_pairs(open_, sets, percent), sets))
+    # Step 3: across components, within the costly keys.
+    links = _edges(roots).union(join.verified(_costly_pairs(left, sets, percent), sets))
     return components(links, "a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                    size: int = SHINGLE) -> DataFrame:
-    """One row per document: ``id_col``, n_shingles and component_id, the
-    smallest id reachable over links (itself included)."""
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, key, n_shingles, component) of each row; no component without words."""
     join = _Join(docs, id_col, text_col, percent, size)
     roots = link_classes(join)
     classes = join.classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "rep", F.coalesce("root", "class").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = classes.select("class", "root").join(lowest, "root").select("class", "component_id")
-    out = join.described.join(found, "class", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    lowest = classes.groupBy("root").agg(F.min("rep").alias("component"))
+    found = classes.select("class", "root").join(lowest, "root").select("class", "component")
+    return join.described.join(found, "class", "left").select("id", "key", "n_shingles", "component")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                    size: int = SHINGLE) -> DataFrame:
+    """One row per document: ``id_col``, n_shingles and component_id, the
+    smallest id reachable over links (itself included)."""
+    out = _judged(docs, percent, id_col, text_col, size)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their component, all columns
-    kept; rows without id stay, of rows that repeat id and text one stays."""
-    found = near_duplicates(docs, percent, id_col, text_col)
-    drop = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct())
-    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), F.col(id_col) == F.col("__drop"), "left_anti")
-    twice = written(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__twice")).count().filter("count > 1").select("__twice"))
+    """One document of each component, all columns kept: the text of the
+    smallest id (of several under it, one). Rows go by id and text, so a text
+    that is alone stays though its id has other rows; rows without id or
+    words stay; of rows that repeat id and text one stays."""
+    rows = written(_judged(docs, percent, id_col, text_col, SHINGLE).filter("id is not null"))
+    low = rows.filter("id = component").groupBy("component").agg(F.min("key").alias("low"))
+    drop = rows.join(low, "component").filter("id <> component or key <> low")
+    drop = written(drop.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct())
+    same = F.col(id_col) == F.col("__id")
+    of_text = F.xxhash64(F.col(text_col).cast("string")) == F.col("__key")
+    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), same & of_text, "left_anti")
+    twice = written(rows.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).count().filter("count > 1").drop("count"))
     if twice.isEmpty():
         return kept
     twice = bounded_broadcast(twice, MAX_BROADCAST)
-    same = F.col(id_col) == F.col("__twice")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.join(twice, same & of_text, "left_anti").unionByName(kept.join(twice, same & of_text, "left_semi").dropDuplicates([id_col, text_col]))

@@ -53,6 +53,35 @@ def test_leaks_with_changed_slots(spark):
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_leak_as_whole_lines_only(spark):
+    from meterline.llm.decontaminate import find_leaks, remove_leaks
+
+    items = spark.createDataFrame([(1, "the"), (2, "How many?"), (3, "12 kg"), (4, "five words are found inside"), (4, "4.5"), (5, "...")],
+                                  "item_id long, text string")
+    texts = ["the cat sat on the mat", "The", "so how many are there\nHOW  MANY\nnobody knows", "it weighs 12 kg", "- 12 kg!\nand more",
+             "that five words are found inside this", "4.5", "45 is not 4 5", None, "", prose(30)]
+    got = sorted((r["doc_id"], r["item_id"], r["exact"]) for r in find_leaks(frame(spark, texts), items).collect())
+    assert got == [(1, 1, True), (2, 2, True), (4, 3, True), (5, 4, True), (6, 4, True)]
+    assert sorted(r["doc_id"] for r in remove_leaks(frame(spark, texts), items).collect()) == [0, 3, 7, 8, 9, 10]
+    one = items.filter("item_id = 1")
+    assert [r["doc_id"] for r in find_leaks(frame(spark, texts), one).collect()] == [1]
+
+
+def test_numbers_units_and_names_are_slots(spark):
+    """A question with every kind of slot, whole and changed, among texts with
+    the same numbers in other places."""
+    from meterline.llm.decontaminate import find_leaks
+
+    ask = "A train with {a} wagons leaves {n} at noon and runs {b} km in {c} hours, how many {u} is {n} away when {a} wagons are gone"
+    item = ask.format(a="12", b="1,500", c="three", n="Berlin", u="miles")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item, ask.format(a="15", b="2,300", c="5", n="Madrid", u="miles"), ask.format(a="15", b="2,300", c="5", n="Madrid", u="miles").replace("is Madrid", "is Oslo"),
+             ask.format(a="twenty", b="900", c="9", n="Rome", u="miles"), item.upper(), prose(300) + " " + item + " " + prose(300) * 30,
+             "12 km, 1,500 miles and three hours in Berlin"]
+    got = {r["doc_id"]: r["exact"] for r in find_leaks(frame(spark, texts), items).collect()}
+    assert got == {0: True, 1: False, 3: False, 4: True, 5: True}
+
+
 def test_leaks_split_over_diagonals(spark):
     from meterline.llm.decontaminate import find_leaks
 
@@ -264,11 +293,13 @@ def test_jaccard_components_equal_brute_force(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_rare_shingles_meet_every_link(spark):
+@pytest.mark.parametrize("cell", [1024, 7])
+def test_costly_keys_meet_every_link(spark, monkeypatch, cell):
     from pyspark.sql import functions as F
 
-    from meterline.llm.jaccard_join import _Join, _rare_pairs
+    import meterline.llm.jaccard_join as m
 
+    monkeypatch.setattr(m, "CELL", cell)
     rng = random.Random(5)
     passage = prose(60, rng)
     texts = [f"{passage} {prose(rng.choice([3, 6, 9, 12, 40]), rng)}" for _ in range(40)]
@@ -281,15 +312,54 @@ def test_rare_shingles_meet_every_link(spark):
     sets = [shingles(t) for t in texts]
     want = {(j, i) for i in range(len(texts)) for j in range(i)
             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    join = _Join(frame(spark, texts), "doc_id", "text", 80, 5)
+    join = m._Join(frame(spark, texts), "doc_id", "text", 80, 5)
     found = join.sets(join.classes.select("class"))
-    pairs = _rare_pairs(join.classes.select("class", F.col("class").alias("root")), found, 80)
+    units = join.classes.select((2 * F.col("class")).alias("unit"), F.col("class").alias("root"))
+    left = units.withColumn("key", F.explode(F.array(F.lit(3), F.lit(8)).cast("array<long>"))).select("key", "unit", "root")
+    pairs = m._costly_pairs(left, found, 80)
     ids = {r["class"]: r["rep"] for r in join.classes.collect()}
     pair = lambda r: tuple(sorted((ids[r["a"]], ids[r["b"]])))
-    assert len(ids) == len(texts) and want <= {pair(r) for r in pairs.collect()}
+    met = [pair(r) for r in pairs.collect()]
+    assert len(ids) == len(texts) and want <= set(met) and len(met) < 3 * len(want)
     assert want and {pair(r) for r in join.verified(pairs, found).collect()} == want
 
 
+def test_large_group_of_near_copies_of_many_components(spark, monkeypatch):
+    """Copies of one text that are changed so much that most are not similar
+    to each other, and a hub that is."""
+    import meterline.llm.jaccard_join as m
+
+    monkeypatch.setattr(m, "CELL", 16)
+    rng = random.Random(31)
+    base = prose(120, rng).split()
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < rate else w for w in base) for rate in (0.0, 0.01, 0.02, 0.03) for _ in range(50)]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in m.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 20
+
+
+def test_keep_one_goes_by_id_and_text(spark):
+    from meterline.llm.jaccard_join import keep_one
+
+    a, b, c, d = (prose(40) for _ in range(4))
+    rows = [(3, a), (9, a), (9, b), (12, c), (12, c), (15, d), (15, d + " end"), (None, a), (20, None), (20, "")]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = [(r["doc_id"], r["text"]) for r in keep_one(docs).collect()]
+    assert len(kept) == 7 and [i for i, _ in kept].count(15) == 1
+    assert {x for x in kept if x[0] != 15} == {(3, a), (9, b), (12, c), (None, a), (20, None), (20, "")}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6])
 def test_slices_of_few_words(n):
     import pyarrow as pa
