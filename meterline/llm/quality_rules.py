@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
 MIN_WORDS = 20
@@ -154,7 +156,8 @@ def judge_quality(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
                          F.col(text_col).alias("__text"))
     measured = measures(picked, "__text").drop("__text")
     r = rates(F.col("m"))
-    measured = measured.select("__id", "__lang", "__source", "m", *[v.alias(k) for k, v in r.items()])
+    # Texts are measured once; all that follows reads the small numbers.
+    measured = written(measured.select("__id", "__lang", "__source", "m", *[v.alias(k) for k, v in r.items()]))
 
     # Sketches merge: the sources' bins add up to the language's, and those to the table's.
     by_source = sketch(measured, ["__lang", "__source"])

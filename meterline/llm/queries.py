@@ -98,7 +98,59 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-@query("op6_quality_rules")
+#: Measure: (counted, per, highest rate, margin above the third quartile, highest fence), per mille.
+QUALITY = {"symbols": ("n_symbols", "n_words", 10000, 100, 400), "capitals": ("n_capitals", "word_chars", 10000, 150, 500),
+           "dup_lines": ("n_dup_lines", "n_lines", 10000, 300, 600), "repeats": ("n_repeat_words", "n_words", 10000, 250, 300),
+           "word_len": ("word_chars", "n_words", 100000, 3000, 14000)}
+
+
+def quality_sql() -> str:
+    """DuckDB SQL: whole-text counts, quartile fences by group, verdicts."""
+    bins = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, least({top}, (1000 * {a}) // greatest({b}, 1)) AS bin FROM m"
+                              for k, (a, b, top, _, _) in QUALITY.items())
+    margin = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in QUALITY.items()) + " END"
+    cap = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v[4]}" for k, v in QUALITY.items()) + " END"
+
+    def fence(name: str, keys: str) -> str:
+        return f"""{name} AS (
+  SELECT {keys}measure, any_value(total) AS total, any_value(low) AS low, any_value(high) AS high FROM (
+    SELECT *, q1 - greatest(3 * (q3 - q1), {margin}) AS low, least(q3 + greatest(3 * (q3 - q1), {margin}), {cap}) AS high FROM (
+      SELECT {keys}measure, any_value(total) AS total, min(bin) FILTER (WHERE rn >= ceil(0.25 * total)) AS q1,
+             min(bin) FILTER (WHERE rn >= ceil(0.75 * total)) AS q3
+      FROM (SELECT *, row_number() OVER (PARTITION BY {keys}measure ORDER BY bin) AS rn,
+                   count(*) OVER (PARTITION BY {keys}measure) AS total FROM bins) GROUP BY ALL)) GROUP BY ALL)"""
+    order = "CASE measure " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(QUALITY)) + " END"
+    return f"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS t
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_capitals, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN cov USING (doc_id)),
+bins AS ({bins}),
+{fence("own", "lang, source, ")}, {fence("of_lang", "lang, ")}, {fence("of_all", "")},
+judged AS (
+  SELECT b.doc_id, measure, bin > CASE WHEN o.total >= 30 THEN o.high WHEN l.total >= 30 THEN l.high ELSE a.high END
+         OR measure = 'word_len' AND bin < CASE WHEN o.total >= 30 THEN o.low WHEN l.total >= 30 THEN l.low ELSE a.low END AS beyond
+  FROM bins b JOIN own o USING (measure) JOIN of_lang l USING (measure) JOIN of_all a USING (measure)
+  WHERE b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source AND b.lang IS NOT DISTINCT FROM l.lang),
+failing AS (SELECT doc_id, string_agg(measure, ',' ORDER BY {order}) AS failed FROM judged WHERE beyond GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+FROM m LEFT JOIN failing USING (doc_id)"""
+
+
+@query("op6_quality_rules", quality_sql())
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge_quality
 

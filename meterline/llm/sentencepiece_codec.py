@@ -31,24 +31,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-MAX_CACHE = 200_000     # chunks kept per variant
+CACHE_BYTES = 128 << 20  # of the chunks kept by a task, over all variants
+ENTRY_BYTES = 200       # of a kept chunk besides its characters and ids
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20  # texts encoded at a time
 SHORT = 64
 MANY = 8                # chunks of one length that are worked out side by side
 NONE = float("-inf")
 
 
 class _Chunks(dict):
-    """chunk -> ids as 32-bit integers in bytes, worked out when first met."""
+    """chunk -> ids as 32-bit integers in bytes, worked out when first met.
+    ``old`` holds what was met before the last turn of the cache."""
 
     def __init__(self, codec, variant):
-        self.codec, self.variant = codec, variant
+        self.codec, self.variant, self.old = codec, variant, {}
 
     def __missing__(self, chunk):
-        if len(self) >= MAX_CACHE:  # memory bound
-            self.clear()
         self[chunk] = ids = array("i", self.codec.chunk_ids(chunk, self.variant)).tobytes()
         return ids
 
+    def fresh(self, chunks: set) -> set:
+        """Those of ``chunks`` that are yet to be worked out; old ones stay."""
+        new = chunks - self.keys()
+        for c in new & self.old.keys():
+            self[c] = self.old[c]
+        return new - self.old.keys()
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
+def _trim(cache: dict) -> None:
+    """Turns the caches of all variants once the young halves have half of
+    the bound: chunks not met since the last turn go, and would be worked out
+    again with the same result. Called between two slices of texts."""
+    if sum(len(c) for c in cache.values()) * ENTRY_BYTES > CACHE_BYTES // 4 and sum(
+            ENTRY_BYTES + 2 * len(k) + len(v) for c in cache.values() for k, v in c.items()) > CACHE_BYTES // 2:
+        for chunks in cache.values():
+            chunks.turn()
+
 
 class _Pairs:
     """Numbered symbols (pieces and their characters) and the piece that each
@@ -252,15 +274,12 @@ class Codec:
     def encode_many(self, texts: list[str], variants: list[int], cache: dict) -> list[bytes]:
         """Ids of each text, as 32-bit integers in bytes; ``cache`` holds the
         chunks' ids by variant."""
+        _trim(cache)
         cut, new = [self._chunked(t) for t in texts], []
         for v in set(variants):
             chunks = cache.setdefault(v, _Chunks(self, v))
             met = set(chain.from_iterable(c for c, w in zip(cut, variants) if w == v))
-            fresh = met - chunks.keys()
-            if len(chunks) + len(fresh) > MAX_CACHE:  # memory bound
-                chunks.clear()
-                fresh = met
-            new += [(c, v) for c in fresh]
+            new += [(c, v) for c in chunks.fresh(met)]
         self._fill(new, cache)
         return [b"".join(map(cache[v].__getitem__, c)) for c, v in zip(cut, variants)]
 
@@ -274,6 +293,21 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))[1:].decode()
 
 
+def _slices(texts):
+    """(start, length) of slices of bounded rows and, but for a single longer
+    text, bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(size):
+        end = int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES, "right"))
+        n = min(max(end, a + 1), a + SLICE_ROWS) - a
+        yield a, n
+        a += n
+
+
 def _encode_rows(batches, model, rate, seed, variants, names):
     import numpy as np
     import pyarrow as pa
@@ -281,9 +315,8 @@ def _encode_rows(batches, model, rate, seed, variants, names):
 
     codec, cache = Codec(model.value, rate, seed), {}
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a in range(0, len(texts), 512):  # bounded batches of ids
-            part = texts[a:a + 512]
+        for a, n in _slices(batch.column(1)):
+            part = [t or "" for t in batch.column(1).slice(a, n).to_pylist()]
             variant = [xxhash.xxh3_64_intdigest(t, seed) % variants for t in part]
             ids = codec.encode_many(part, variant, cache)
             whole = [codec.decode(memoryview(x).cast("i")) == t for x, t in zip(ids, part)]

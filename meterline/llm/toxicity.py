@@ -10,8 +10,8 @@ the label explains are correlated: each one's vote is divided by one plus its
 correlations with the others. A linear (logistic) classifier is then trained
 on the model's posterior labels and scores every whole text.
 
-Training uses at most ``SAMPLE`` labelled rows, those of smallest id hash,
-and never rows whose crc32(id as text) mod 3 is 1. Mined voters are at most
+Training uses at most ``SAMPLE`` labelled rows, one for each of the ids of
+smallest hash (of several texts under an id that of smallest hash), and never rows whose crc32(id as text) mod 3 is 1. Mined voters are at most
 ``MAX_CANDIDATES``, then ``MAX_VOTERS`` after a greedy cover of the toxic
 rows, so copies of one text do not make voters of all its words. What reaches
 the driver is bounded by these parameters. Scoring is one pass without a
@@ -20,7 +20,7 @@ shuffle.
 Defined results: null and empty texts fire no voter and get the score of
 such texts; repeated rows each give a row; null ids are not held out; labels
 that are null are ignored, of several labels for an id the largest counts;
-without any label of either class every score is 0.5 or less; extra columns
+without labels of both classes every score is 0.5; extra columns
 are ignored; language, source, label and id are no inputs of a score.
 """
 
@@ -83,12 +83,14 @@ def fired(text: str | None, of: dict, patterns) -> list[int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, y): the sample, joined by a broadcast of its ids."""
+    """(id, y, text): the sample, joined by a broadcast of its ids, one row
+    for each."""
     y = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
          .filter(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) != 1)
          .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(y), "id")  # at most SAMPLE rows
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), "id")
+    # Of the rows of an id the text of smallest hash: as many rows as ids, however often one repeats.
+    return rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _count_features(batches):
@@ -201,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     voters = choose_voters(rows)
     n = len(_patterns()) + len(voters)
     got = rows.select("text", "y").mapInArrow(lambda it: _fire_rows(it, voters), "y int, fired array<int>").collect()
-    if not got:
+    if len({r["y"] for r in got}) < 2:  # nothing to tell apart
         return voters, np.zeros(n + 1)
     x, y = np.zeros((len(got), n)), np.array([r["y"] for r in got])
     for i, r in enumerate(got):

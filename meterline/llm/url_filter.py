@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
+from .scratch import written
 
 # Seed words of unwanted sites (parameter; plain words).
 BLOCK_SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "gambling", "jackpot", "lottery", "malware",
@@ -85,12 +86,14 @@ def viterbi(run: str, found: list[tuple[int, int, float]]) -> list[str]:
     at: dict[int, list[tuple[int, float]]] = {}
     for start, length, p in found:
         at.setdefault(start + length, []).append((start, p))
+    # The start that is best for an unknown word, whatever its end: linear in the run.
+    reach = (0.0, 0)
     for end in range(1, n + 1):
         options = [(best[start] + p, start) for start, p in at.get(end, ())]
-        options += [(best[start] + UNKNOWN[0] + UNKNOWN[1] * (end - start), start) for start in range(end)]
-        score, start = max(options)
+        score, start = max([*options, (reach[0] + UNKNOWN[0] + UNKNOWN[1] * end, reach[1])])
         best.append(score)
         back.append(start)
+        reach = max(reach, (score - UNKNOWN[1] * end, end))
     out, end = [], n
     while end:
         out.append(run[back[end]:end])
@@ -152,13 +155,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str,
         [(r, r.partition("/")[0], "/" + r.partition("/")[2], v) for v, r in rules],
         "rule string, rule_host string, rule_path string, verdict string")
 
-    groups = urls.groupBy("host", "path_words").agg(F.count("*").alias("n"))
-    segmented = segment_hosts(groups, unigrams(groups, seeds))
+    # Pages are counted once; what is learned from the counts is written, too, as several steps read it.
+    groups = written(urls.groupBy("host", "path_words").agg(F.count("*").alias("n")))
+    segmented = written(segment_hosts(groups, written(unigrams(groups, seeds))))
     bag = groups.join(segmented, "host", "left").select(
         F.concat(F.coalesce("host_words", F.array().cast("array<string>")), "path_words").alias("words"), "n")
     bag = bag.withColumn("y", F.arrays_overlap("words", F.array(*map(F.lit, seeds))).cast("int"))
     per_word = bag.select(F.explode("words").alias("word"), "y", "n").groupBy("word").agg(
         F.sum(F.col("n") * F.col("y")).alias("bad"), F.sum(F.col("n") * (1 - F.col("y"))).alias("good"))
+    per_word = written(per_word)
     sums = per_word.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("v"))
     classes = bag.agg(F.sum(F.col("n") * F.col("y")).alias("bad"), F.sum(F.col("n") * (1 - F.col("y"))).alias("good"))
     one = lambda df, e: df.select(e).scalar()

@@ -555,3 +555,47 @@ def test_pipeline_on_small_tables(spark):
             assert not any(s and t and 100 * len(s & t) >= 80 * len(s | t) for k, (_, s) in enumerate(sets) for _, t in sets[:k])
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == kept and all(r["lossless"] for r in out)
+
+
+# -- more of 4 and 5 ---------------------------------------------------------
+
+def test_viterbi_equals_all_splits_and_is_linear():
+    import time
+
+    from meterline.llm.url_filter import UNKNOWN, viterbi
+
+    rng = random.Random(6)
+    for _ in range(300):
+        run = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        words = {run[i:j]: -rng.randint(1, 60) / 4 for i in range(len(run)) for j in range(i + 3, len(run) + 1) if rng.random() < 0.4}
+        found = [(i, len(w), p) for w, p in words.items() for i in range(len(run)) if run.startswith(w, i)]
+        cost = lambda w: max(words.get(w, -1e9), UNKNOWN[0] + UNKNOWN[1] * len(w))
+        splits = [[run[a:b] for a, b in zip(cut, cut[1:])] for k in range(2 ** (len(run) - 1))
+                  for cut in [[0, *(i + 1 for i in range(len(run) - 1) if k >> i & 1), len(run)]]]
+        got = viterbi(run, found)
+        assert "".join(got) == run and sum(map(cost, got)) == pytest.approx(max(sum(map(cost, x)) for x in splits))
+    start = time.time()
+    assert "".join(viterbi("x" * 50_000, [(5, 4, -1.0)])) == "x" * 50_000 and time.time() - start < 5
+
+
+def test_long_labels_and_missing_ids(spark):
+    from meterline.llm.queries import URL_RULES
+    from meterline.llm.url_filter import judge_urls
+
+    long = "http://" + "pokerfarm" * 2000 + ".com/" + "a-b/" * 5000
+    rows = [(None, "http://a.net/x"), (1, long), (1, long), (2, "http://x.example.net/en/"), (3, "")]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()
+    assert len(got) == 5 and {(r["page_id"], r["rule"], r["verdict"]) for r in got if r["page_id"] in (None, 2)} == {
+        (None, "net/", "block"), (2, "example.net/en/", "allow")}
+
+
+def test_one_row_per_id_and_one_class(spark):
+    from meterline.llm.toxicity import score_toxicity, training_rows
+
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hot = ids[0]
+    docs = frame(spark, [f"text {i % 7} of many" for i in range(500)] + [prose(5) for _ in ids[1:]], [hot] * 500 + ids[1:])
+    labels = spark.createDataFrame([(i, 1, 1) for i in ids], "doc_id long, quality int, toxic int")
+    rows = training_rows(docs, labels, "doc_id", "text", "toxic").collect()
+    assert len(rows) == len(ids) and {r["y"] for r in rows} == {1}
+    assert {(r["score"], r["predicted"]) for r in score_toxicity(docs, labels).collect()} == {(0.5, 0)}
