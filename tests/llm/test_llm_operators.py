@@ -599,3 +599,42 @@ def test_one_row_per_id_and_one_class(spark):
     rows = training_rows(docs, labels, "doc_id", "text", "toxic").collect()
     assert len(rows) == len(ids) and {r["y"] for r in rows} == {1}
     assert {(r["score"], r["predicted"]) for r in score_toxicity(docs, labels).collect()} == {(0.5, 0)}
+
+
+# -- more of 10 --------------------------------------------------------------
+
+def test_constants_of_a_host_leave_its_articles(spark):
+    """Notices, bios and share lines inside articles, as plain blocks without
+    telling names, are found as constants of the host's wrapper."""
+    from meterline.llm.html_wrappers import extract_main_text, infer_wrappers, main_text
+
+    rng = random.Random(40)
+    plain = lambda n: prose(n, rng)
+    want, rows = {}, []
+    for i in range(40):
+        title, body = plain(4), [plain(30) for _ in range(rng.randint(1, 6))]
+        noise = "<p>Note: we moved</p>" * (i != 7)                       # one page lacks it
+        comments = f"<section id=responses><p>{plain(12)}</p></section>"
+        page = (f"<html><body><article><h1>{title}</h1>{noise}" + "".join(f"<p>{b}</p>" for b in body) +
+                f"<div>Written by  the desk</div><p>Share this &amp; more</p>{comments}</article></body></html>")
+        want[i] = " ".join([title, *body])
+        rows.append((i, f"http://one.example/{i}", page))
+    near = [plain(30) for _ in range(5)]
+    for i in range(40, 60):                                              # near copies are no template
+        body = [*near, plain(5)]
+        want[i] = " ".join(body)
+        rows.append((i, f"http://near.example/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>"))
+    for i in range(60, 63):                                              # three pages prove nothing
+        body = plain(40)
+        want[i] = f"Same line {body}"
+        rows.append((i, f"http://few.example/{i}", f"<article><p>Same line</p><p>{body}</p></article>"))
+    copies = f"<article><p>{plain(20)}</p><p>Same line</p></article>"
+    rows += [(63 + i, f"http://one.example/copy{i}", copies) for i in range(3)]
+    want |= {63 + i: main_text(copies, {}) for i in range(3)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    assert got == want
+    off = {i: main_text(page, {}) for i, _, page in rows}
+    assert sum(off[i] != got[i] for i in range(40)) == 40
+    found = {r["host"]: {x["text"] for x in r["constants"]} for r in infer_wrappers(pages.filter("page_id < 63")).collect()}
+    assert found["near.example"] == set() and found["few.example"] == set() and "Written by the desk" in found["one.example"]
