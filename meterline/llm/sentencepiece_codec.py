@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 CACHE_BYTES = 128 << 20  # of the chunks kept by a task, over all variants
 ENTRY_BYTES = 200       # of a kept chunk besides its characters and ids
-SLICE_ROWS, SLICE_BYTES = 512, 1 << 20  # texts encoded at a time
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20  # texts encoded at a time
 SHORT = 64
 MANY = 8                # chunks of one length that are worked out side by side
 NONE = float("-inf")
@@ -44,7 +44,11 @@ class _Chunks(dict):
     ``old`` holds what was met before the last turn of the cache."""
 
     def __init__(self, codec, variant):
-        self.codec, self.variant, self.old = codec, variant, {}
+        self.codec, self.variant, self.old, self.bytes = codec, variant, {}, 0
+
+    def __setitem__(self, chunk, ids):
+        self.bytes += ENTRY_BYTES + 2 * len(chunk) + len(ids)
+        super().__setitem__(chunk, ids)
 
     def __missing__(self, chunk):
         self[chunk] = ids = array("i", self.codec.chunk_ids(chunk, self.variant)).tobytes()
@@ -58,7 +62,7 @@ class _Chunks(dict):
         return new - self.old.keys()
 
     def turn(self) -> None:
-        self.old = dict(self)
+        self.old, self.bytes = dict(self), 0
         self.clear()
 
 
@@ -66,8 +70,7 @@ def _trim(cache: dict) -> None:
     """Turns the caches of all variants once the young halves have half of
     the bound: chunks not met since the last turn go, and would be worked out
     again with the same result. Called between two slices of texts."""
-    if sum(len(c) for c in cache.values()) * ENTRY_BYTES > CACHE_BYTES // 4 and sum(
-            ENTRY_BYTES + 2 * len(k) + len(v) for c in cache.values() for k, v in c.items()) > CACHE_BYTES // 2:
+    if sum(chunks.bytes for chunks in cache.values()) > CACHE_BYTES // 2:
         for chunks in cache.values():
             chunks.turn()
 
