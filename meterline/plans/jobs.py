@@ -195,10 +195,29 @@ def live_categories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_sample(spark: SparkSession, sf_dir: str) -> int:
-    """Evaluation time of instant views: the time of the last sample, kept as
-    a table of one row."""
-    at = materialized(spark, sf_dir, "last_sample", lambda: samples_table(spark, sf_dir).agg(F.max("t").alias("t")))
-    return at.first()[0] or 0
+    """Evaluation time of instant views: the time of the last sample of any
+    lane, kept as a table of one row. It comes from the lanes' inputs, so it
+    builds no series."""
+    def build():
+        points = admitted_points(points_table(spark, sf_dir))
+        ends = [points.select(batch_of(points).alias("t")),
+                adapters.commit_log(spark, sf_dir).select(adapters.arrival_minute(F.col("time_ns")).alias("t")),
+                ledger_hourly(spark, sf_dir, None).select("t")]
+        last = [e.agg(F.max("t").alias("t")) for e in ends]
+        return last[0].unionByName(last[1]).unionByName(last[2]).agg(F.max("t").alias("t"))
+
+    return materialized(spark, sf_dir, "last_sample", build).first()[0] or 0
+
+
+def family(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    """The samples of one OTLP metric: from the sample table if this
+    application has it, else of this metric's points alone (streams of other
+    metrics do not touch them)."""
+    series = dict(P.SERIES_NAMES)[metric]
+    if (app_id(spark), os.path.abspath(sf_dir), "samples") in _MATERIALIZED:
+        return named(samples_table(spark, sf_dir), series)
+    return materialized(spark, sf_dir, f"samples-{metric}", lambda: otlp_samples(
+        points_table(spark, sf_dir).where(F.col("metric") == metric)))
 
 
 # ---- ledger ---------------------------------------------------------------

@@ -157,8 +157,8 @@ def _totals(spark, sf):
 
 
 def _basis(spark, sf):
-    s = _samples(spark, sf)
-    return views.billing_basis(_totals(spark, sf), views.grok_latest(s, jobs.last_sample(spark, sf)))
+    grok = jobs.family(spark, sf, "grok_code.token.usage")
+    return views.billing_basis(_totals(spark, sf), views.grok_latest(grok, jobs.last_sample(spark, sf)))
 
 
 @query("disjoint_codex")
@@ -168,7 +168,8 @@ def q_disjoint_codex(spark, sf):
 
 @query("disjoint_grok")
 def q_disjoint_grok(spark, sf):
-    g = views.disjoint_grok(views.grok_latest(_samples(spark, sf), jobs.last_sample(spark, sf)))
+    grok = jobs.family(spark, sf, "grok_code.token.usage")
+    g = views.disjoint_grok(views.grok_latest(grok, jobs.last_sample(spark, sf)))
     return g.select("source", "env", "model", "type", _r("value").alias("value"))
 
 
@@ -185,7 +186,8 @@ def q_api_cost(spark, sf):
 
 @query("ai_cost")
 def q_ai_cost(spark, sf):
-    return views.ai_cost(_basis(spark, sf), price_rows(spark), _samples(spark, sf), jobs.last_sample(spark, sf))
+    emitted = jobs.family(spark, sf, "claude_code.cost.usage")
+    return views.ai_cost(_basis(spark, sf), price_rows(spark), emitted, jobs.last_sample(spark, sf))
 
 
 @query("unpriced_tokens")
@@ -237,7 +239,8 @@ def q_ai_cost_over_time(spark, sf):
 
 @query("ai_cost_total")
 def q_ai_cost_total(spark, sf):
-    return views.ai_cost_total(_basis(spark, sf), all_price_history(spark), _samples(spark, sf), jobs.last_sample(spark, sf))
+    emitted = jobs.family(spark, sf, "claude_code.cost.usage")
+    return views.ai_cost_total(_basis(spark, sf), all_price_history(spark), emitted, jobs.last_sample(spark, sf))
 
 
 @query("price_at")
