@@ -638,3 +638,28 @@ def test_constants_of_a_host_leave_its_articles(spark):
     assert sum(off[i] != got[i] for i in range(40)) == 40
     found = {r["host"]: {x["text"] for x in r["constants"]} for r in infer_wrappers(pages.filter("page_id < 63")).collect()}
     assert found["near.example"] == set() and found["few.example"] == set() and "Written by the desk" in found["one.example"]
+
+
+# -- more of the pipeline ------------------------------------------------------
+
+def test_pipeline_with_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, extra columns of names that
+    the stages use, and no rows at all."""
+    import corpus_pipeline
+    from meterline.llm.sentencepiece_codec import decode
+
+    a, b, item = prose(60), prose(60), prose(30)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (4, None), (5, ""), (6, f"x {item} y"), (7, f"password: hunter2hunter2 {prose(20)}")]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    for name, df in (("full", docs), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels if name == "full" else labels.limit(0)).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        (bench if name == "full" else bench.limit(0)).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    got = out.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "4", "5", "7", "None"] and all(r["lossless"] for r in got)
+    texts = {r["doc_id"]: r["text"] for r in decode(out, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert texts[2] == b and texts[None] == a and "hunter2" not in texts[7] and texts[4] == ""
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
