@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_BYTES = 128 << 20  # of the chunks kept by a task, over all variants
+CACHE_BYTES = 160 << 20  # of the chunks kept by a task, over all variants (parameter)
 ENTRY_BYTES = 200       # of a kept chunk besides its characters and ids
+BATCH_BYTES = 4 << 20   # of texts sent to a task at a time
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20  # texts encoded at a time
 SHORT = 64
 MANY = 8                # chunks of one length that are worked out side by side
@@ -66,11 +67,11 @@ class _Chunks(dict):
         self.clear()
 
 
-def _trim(cache: dict) -> None:
+def _trim(cache: dict, bound: int) -> None:
     """Turns the caches of all variants once the young halves have half of
     the bound: chunks not met since the last turn go, and would be worked out
     again with the same result. Called between two slices of texts."""
-    if sum(chunks.bytes for chunks in cache.values()) > CACHE_BYTES // 2:
+    if sum(chunks.bytes for chunks in cache.values()) > bound // 2:
         for chunks in cache.values():
             chunks.turn()
 
@@ -107,6 +108,8 @@ class _Pairs:
 class Codec:
     """Piece tables of a SentencePiece BPE model with byte fallback."""
 
+    cache_bytes = CACHE_BYTES
+
     def __init__(self, model: bytes, rate: float = 0.0, seed: int = 0):
         import sentencepiece
 
@@ -277,7 +280,7 @@ class Codec:
     def encode_many(self, texts: list[str], variants: list[int], cache: dict) -> list[bytes]:
         """Ids of each text, as 32-bit integers in bytes; ``cache`` holds the
         chunks' ids by variant."""
-        _trim(cache)
+        _trim(cache, self.cache_bytes)
         cut, new = [self._chunked(t) for t in texts], []
         for v in set(variants):
             chunks = cache.setdefault(v, _Chunks(self, v))
@@ -311,12 +314,13 @@ def _slices(texts):
         a += n
 
 
-def _encode_rows(batches, model, rate, seed, variants, names):
+def _encode_rows(batches, model, rate, seed, variants, names, cache_bytes):
     import numpy as np
     import pyarrow as pa
     import xxhash
 
     codec, cache = Codec(model.value, rate, seed), {}
+    codec.cache_bytes = cache_bytes
     for batch in batches:
         for a, n in _slices(batch.column(1)):
             part = [t or "" for t in batch.column(1).slice(a, n).to_pylist()]
@@ -339,20 +343,29 @@ def _decode_rows(batches, model, name):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], name)
 
 
+def _small_batches(docs: DataFrame) -> None:
+    """Whole texts go to the tasks in Arrow batches of bounded bytes, which
+    the executor's heap and the worker hold a copy of each. It is a setting of
+    the session, read when the result is computed, and stays."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def _model(docs: DataFrame, path: str):
     with open(path, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())  # one model file: its size is fixed
 
 
 def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per document: id, variant (by the text's hash), ids, n_pieces
-    and lossless (decoding gave the text back). No shuffle."""
+    and lossless (decoding gave the text back). No shuffle. ``cache_bytes`` bounds
+    what a task keeps of chunks it has met; less costs time, not results."""
+    _small_batches(docs)
     model, names = _model(docs, model_path), [id_col, "variant", "ids", "n_pieces", "lossless"]
     schema = T.StructType([docs.schema[id_col], T.StructField("variant", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(
-        lambda it: _encode_rows(it, model, rate, seed, variants, names), schema)
+        lambda it: _encode_rows(it, model, rate, seed, variants, names, cache_bytes), schema)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
