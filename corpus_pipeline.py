@@ -46,8 +46,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every remaining document."""
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Piece ids of every remaining document. The stage before leaves the
+    executors' heaps full, so a task keeps few chunks: time for memory."""
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_bytes=16 << 20)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
