@@ -34,8 +34,9 @@ SPACE = "▁"
 CACHE_BYTES = 160 << 20  # of the chunks kept by a task, over all variants (parameter)
 ENTRY_BYTES = 200       # of a kept chunk besides its characters and ids
 BATCH_BYTES = 4 << 20   # of texts sent to a task at a time
-SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20  # texts encoded at a time
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20  # texts encoded at a time
 SHORT = 64
+CELLS = 1 << 18         # characters worked out side by side at a time
 MANY = 8                # chunks of one length that are worked out side by side
 NONE = float("-inf")
 
@@ -255,9 +256,9 @@ class Codec:
         groups = defaultdict(list)
         for x in new:
             groups[len(x[0])].append(x)
-        for n, group in groups.items():
-            if not 1 < n <= SHORT or len(group) < MANY:
-                continue
+        parts = ((n, group[a:a + CELLS // n]) for n, group in groups.items() if 1 < n <= SHORT and len(group) >= MANY
+                 for a in range(0, len(group), CELLS // n))
+        for n, group in parts:
             symbols = self.pairs.char[np.frombuffer("".join(c for c, _ in group).encode("utf-32-le"), np.uint32).reshape(-1, n)]
             known = (self.pairs.ids[symbols] >= 0).all(1)
             group, symbols = [x for x, k in zip(group, known.tolist()) if k], symbols[known]
