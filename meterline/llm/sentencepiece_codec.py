@@ -34,7 +34,7 @@ SPACE = "▁"
 CACHE_BYTES = 160 << 20  # of the chunks kept by a task, over all variants (parameter)
 ENTRY_BYTES = 200       # of a kept chunk besides its characters and ids
 BATCH_BYTES = 4 << 20   # of texts sent to a task at a time
-SLICE_ROWS, SLICE_BYTES = 512, 1 << 20  # texts encoded at a time
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20  # texts encoded at a time
 SHORT = 64
 CELLS = 1 << 18         # characters worked out side by side at a time
 MANY = 8                # chunks of one length that are worked out side by side
@@ -300,16 +300,16 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))[1:].decode()
 
 
-def _slices(texts):
+def _slices(texts, most: int = SLICE_BYTES):
     """(start, length) of slices of bounded rows and, but for a single longer
-    text, bytes."""
+    text, ``most`` bytes."""
     import numpy as np
     import pyarrow.compute as pc
 
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(size):
-        end = int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES, "right"))
+        end = int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right"))
         n = min(max(end, a + 1), a + SLICE_ROWS) - a
         yield a, n
         a += n
@@ -323,7 +323,7 @@ def _encode_rows(batches, model, rate, seed, variants, names, cache_bytes):
     codec, cache = Codec(model.value, rate, seed), {}
     codec.cache_bytes = cache_bytes
     for batch in batches:
-        for a, n in _slices(batch.column(1)):
+        for a, n in _slices(batch.column(1), min(SLICE_BYTES, cache_bytes // 16)):
             part = [t or "" for t in batch.column(1).slice(a, n).to_pylist()]
             variant = [xxhash.xxh3_64_intdigest(t, seed) % variants for t in part]
             ids = codec.encode_many(part, variant, cache)
