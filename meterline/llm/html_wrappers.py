@@ -2,38 +2,42 @@
 
 Method: union-free regular-expression inference. Pages of one host come from
 few templates; pages with and without an article (or main) element are kept
-apart. Up to ``SAMPLE`` distinct pages of each of the two are cut into block elements
-and text slots, and one wrapper is inferred by aligning them one after the
-other: equal neighbours (or runs of equal groups) fold into a repeated group
-``(...)+``; where two pages differ, an element that only one of them has
-becomes an optional group ``(...)?``; text that differs becomes a slot, text
-that is the same everywhere stays a constant of the template. For each
-structural path it is then said whether its slots are main text:
+apart. Every page is cut into block elements and text slots, and one wrapper of
+each of the two is inferred by aligning all their pages: equal neighbours (or
+runs of equal groups) fold into a repeated group ``(...)+``; where two pages
+differ, an element that only one of them has becomes an optional group
+``(...)?``; text that differs becomes a slot, text that is the same everywhere
+stays a constant of the template. For each structural path it is then said
+whether its slots are main text:
 
 * never below menus, page headers, footers, sidebars, notices, adverts,
   forms and reader comments (by element or by the words of class, id, role);
 * if the page has an article (or main) element with text, only below it;
 * otherwise paths of the wrapper whose text varies and that do not only hold
-  links. Both are aggregates over all such pages of the host, not the sample.
-  A text is constant if two pages of different text have the path and all
-  say the same there; copies of a page count once.
+  links. Both are aggregates over all such pages of the host. A text is
+  constant if two pages of different text have the path and all say the same
+  there; copies of a page count once.
 
-Paths that the sample or fewer than two different pages have are judged by
-the same rules on the page alone.
+Paths that fewer than two different pages have are judged by the same rules on
+the page alone.
 
 Constants of the template are no main text inside an article either: a block
-that every sampled page has at the same place of the wrapper (a line of a
-repeated group included), where the sample has ``LEAST`` distinct pages or
-more, and that ``SHARE`` percent of all such pages of the host have, is left out
-of them all. Pages whose constants would be more than ``MOST_CONSTANT`` percent
-of their text are copies of each other, not a template: they keep them.
-
-Scale. The sample is chosen by one pre-aggregated group-by of content hashes
-(``SAMPLE`` seeded minima per host, whatever the host's size); only sampled
-pages reach inference. What a path says is four minima and maxima per host and
-path, summed first in each batch. Pages are read once more to apply the
-wrappers, which are broadcast after a size check and joined by shuffle beyond
-that.
+(path and text) that ``SHARE`` percent of all distinct pages of the host and
+kind have, where these are ``LEAST`` or more, is left out of them all. Pages
+whose constants are more than ``MOST_CONSTANT`` percent of their text are
+copies of each other, not a template: unless ``SHARE`` percent of the distinct
+pages stay within that, all keep them.
+
+Scale. No page is left out of the inference. A task folds pages of one
+structure into one tree and aligns the different trees of a batch; a host's
+partial wrappers, one per batch at most and equal ones once, are aligned in
+sixteen groups and then with each other. Blocks are counted by 128-bit hashes of path and
+text, one row per page and block, distinct pages first, so a block that all
+pages have is combined in the tasks. What a path says is four minima and
+maxima per host and path, summed first in each batch. The wrappers are
+broadcast after a size check and joined by shuffle beyond that. The paths, the
+constants and the texts do not depend on how pages are dealt; how a wrapper
+groups optional elements may.
 
 Text: character references are decoded, white space within a block becomes
 one space, blocks are joined in page order by one space.
@@ -56,11 +60,11 @@ from pyspark.sql import types as T
 
 from ..session import bounded_broadcast
 
-SAMPLE = 6
-LEAST = 4            # sampled pages, from which on equal text says something
-SHARE = 90           # percent of a host's pages that have a constant
+LEAST = 4            # distinct pages, from which on equal text says something
+SHARE = 90           # percent of a host's distinct pages that have a constant
 MOST_CONSTANT = 30   # percent of a page's text
 MAX_WRAPPERS = 200_000
+PARTS = 16           # groups in which a host's partial wrappers are aligned first
 # Elements of the markup language by what they do to text.
 RAW = "script style noscript template textarea select button svg iframe object head title math canvas audio video".split()
 BLOCK = ("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -153,10 +157,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
 # A node is [key, flag, kids, text]: flag is "" (once), "+" (repeated) or "?"
 # (optional); a text slot has the key "#" and its constant text or None.
 
-def page_tree(page: str) -> list:
-    """The page's block elements and text slots, repeated groups folded."""
+def page_tree(found) -> list:
+    """The block elements and text slots of a page's blocks, repeated groups
+    folded."""
     root = ["", "", [], None]
-    for path, text, link in blocks(page):
+    for path, text, link in found:
         node = root
         for key in path:
             last = node[2][-1] if node[2] else None
@@ -237,6 +242,18 @@ def refold(node: list) -> list:
     return [node[0], node[1], out, node[3]]
 
 
+def aligned(trees) -> list:
+    """One wrapper of trees or wrappers; those of one shape are one."""
+    shapes: dict[tuple, list] = {}
+    for t in trees:
+        if (same := shapes.setdefault(shape(t), t)) is not t:
+            merge_text(same, t)
+    wrapper, *rest = shapes.values()
+    for t in rest:
+        wrapper = align(wrapper, t)
+    return wrapper
+
+
 def expression(node: list) -> str:
     """The wrapper as a union-free regular expression over elements."""
     inner = " ".join(expression(k) for k in node[2])
@@ -289,17 +306,6 @@ def main_text(page: str | None, paths: dict[str, bool], constants=frozenset()) -
     return " ".join(text for path, text in main_blocks(blocks(page or ""), paths) if (path, text) not in constants)
 
 
-def constant_blocks(pages: list[str]) -> list[tuple[str, str]]:
-    """(path, text) of the main blocks that all of these pages have, if they
-    are a template's and not most of a page."""
-    if len(pages) < LEAST:
-        return []
-    each = [main_blocks(blocks(p), {}) for p in pages]
-    same = set.intersection(*map(set, each))
-    size = lambda found: sum(len(text) for _, text in found)
-    return sorted(same) if all(100 * size([x for x in found if x in same]) <= MOST_CONSTANT * size(found) for found in each) else []
-
-
 def has_article(found) -> bool:
     return any(article(p) and not noisy(p) for p, _, _ in found)
 
@@ -315,30 +321,83 @@ def has_element(html):
     return F.coalesce(F.col(html).cast("string").rlike("(?i)<(article|main)\\b"), F.lit(False))
 
 
+def block_hash(path: str, text: str) -> bytes:
+    """128 bits of a block's path and text."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
+
+
+def _page_rows(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(host_of(F.col(url_col)).alias("host"), has_element(html_col).alias("kind"), F.col(html_col).cast("string").alias("html"),
+                        F.xxhash64(F.col(html_col).cast("string")).alias("page")).filter("host <> '' and html <> ''")
+
+
+def _learn(batches):
+    """Of each batch: a partial wrapper per host and kind; each page; each
+    main block of a page."""
+    import json
+
+    import pyarrow as pa
+
+    names, types = ["host", "kind", "page", "block", "wrapper"], [pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.string()]
+    for batch in batches:
+        seen: dict[tuple, dict] = {}
+        main: dict[tuple, list] = {}
+        out = []
+        for host, kind, html, page in zip(*[c.to_pylist() for c in batch.columns]):
+            found = blocks(html)
+            structure, texts = tuple((path, link) for path, _, link in found), [text for _, text, _ in found]
+            if structure not in main:  # which blocks are main ones, their structure says
+                main[structure] = main_blocks([(path, i, link) for i, (path, link) in enumerate(structure)], {})
+            out.append((host, kind, page, None, None))
+            out += ((host, kind, page, h, None) for h in {block_hash(path, texts[i]) for path, i in main[structure]})
+            # Pages of one structure are one, with the texts that they share.
+            same = seen.setdefault((host, kind), {})
+            known = same.get(structure)
+            same[structure] = texts if known is None else [a if a == b else None for a, b in zip(known, texts)]
+        for (host, kind), same in seen.items():
+            tree = aligned(page_tree((path, text, link) for (path, link), text in zip(s, texts)) for s, texts in same.items())
+            out.append((host, kind, None, None, json.dumps(tree)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], names)
+
+
+def _join_wrappers(pdf: pd.DataFrame) -> list:
+    import json
+
+    return aligned(json.loads(w) for w in sorted(pdf["wrapper"]))
+
+
+def _some(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    import json
+
+    return pd.DataFrame({"host": [key[0]], "kind": [key[1]], "wrapper": [json.dumps(_join_wrappers(pdf))]})
+
+
 def _infer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    trees = [page_tree(h) for h in pdf.sort_values("rank")["html"]]
-    wrapper = trees[0]
-    for t in trees[1:]:
-        wrapper = align(wrapper, t)
-    found = [{"path": p, "text": t} for p, t in constant_blocks(list(pdf["html"]))]
-    return pd.DataFrame({"host": [key[0]], "kind": [key[1]], "wrapper": [expression(wrapper)], "paths": [slot_paths(wrapper)],
-                         "constants": [found]})
+    wrapper = _join_wrappers(pdf)
+    return pd.DataFrame({"host": [key[0]], "kind": [key[1]], "wrapper": [expression(wrapper)], "paths": [slot_paths(wrapper)]})
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, kind, wrapper, paths, constants): one wrapper per host and kind
-    (whether the pages have an article), with the paths of its slots and the
-    constants among its main blocks."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), has_element(html_col).alias("kind"), F.col(html_col).cast("string").alias("html"),
-                        F.xxhash64(F.col(html_col).cast("string")).alias("rank")).filter("host <> '' and html <> ''")
-    lowest = rows.groupBy("host", "kind").agg(F.array(*[
-        F.min(F.struct(F.xxhash64(F.lit(i), "rank").alias("h"), "rank"))["rank"] for i in range(SAMPLE)]).alias("ranks"))
-    chosen = lowest.select("host", "kind", F.explode(F.array_distinct("ranks")).alias("rank"))
-    sample = rows.join(bounded_broadcast(chosen, MAX_WRAPPERS), ["host", "kind", "rank"])
-    # Copies of a page: one is enough.
-    sample = sample.groupBy("host", "kind", "rank").agg(F.min("html").alias("html"))
-    return sample.groupBy("host", "kind").applyInPandas(
-        _infer, "host string, kind boolean, wrapper string, paths array<string>, constants array<struct<path:string,text:string>>")
+    (whether the pages have an article) of all their pages, with the paths of
+    its slots and the constants among its main blocks."""
+    from .scratch import written
+
+    learned = written(_page_rows(pages, url_col, html_col).mapInArrow(
+        _learn, "host string, kind boolean, page long, block binary, wrapper string"))
+    parts = learned.filter("wrapper is not null").select("host", "kind", "wrapper").distinct()
+    parts = parts.groupBy("host", "kind", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))).applyInPandas(
+        lambda key, pdf: _some(key, pdf), "host string, kind boolean, wrapper string")
+    wrappers = parts.groupBy("host", "kind").applyInPandas(_infer, "host string, kind boolean, wrapper string, paths array<string>")
+    total = written(learned.filter("page is not null and block is null").groupBy("host", "kind").agg(F.count_distinct("page").alias("total")))
+    shared = learned.filter("block is not null").groupBy("host", "kind", "block").agg(F.count_distinct("page").alias("n")).join(
+        bounded_broadcast(total, MAX_WRAPPERS), ["host", "kind"]).filter((F.col("total") >= LEAST) & (100 * F.col("n") >= SHARE * F.col("total")))
+    shared = written(shared.groupBy("host", "kind").agg(F.collect_list("block").alias("shared")))
+    constants = template_constants(pages, shared, url_col, html_col)
+    none = F.array().cast("array<struct<path:string,text:string>>")
+    return wrappers.join(constants, ["host", "kind"], "left").withColumn("constants", F.coalesce("constants", none))
 
 
 def _said(batches):
@@ -378,35 +437,34 @@ def judge_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def _having(batches):
-    """(host, kind, path, text, n): pages of a batch that have a constant;
-    under an empty path the pages themselves."""
-    from collections import Counter
-
+    """Of each batch: whether the shared blocks are at most ``MOST_CONSTANT``
+    percent of a page's main text; path and text of the shared blocks."""
     import pyarrow as pa
 
+    names, types = ["host", "kind", "page", "fits", "path", "text"], [pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+    size = lambda found: sum(len(text) for _, text in found)
     for batch in batches:
-        n: Counter = Counter()
-        for host, kind, page, constants in zip(*[c.to_pylist() for c in batch.columns]):
-            have = set(main_blocks(blocks(page), {}))
-            n[host, kind, "", ""] += 1
-            n.update((host, kind, x["path"], x["text"]) for x in constants if (x["path"], x["text"]) in have)
-        cols = list(zip(*[(*k, v) for k, v in n.items()])) or [()] * 5
-        types = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "kind", "path", "text", "n"])
-
-
-def proven_constants(pages: DataFrame, wrappers: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, kind, constants): the wrappers' constants that ``SHARE`` percent
-    of all pages of their host and kind have."""
-    some = wrappers.filter(F.size("constants") > 0).select("host", "kind", "constants")
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), has_element(html_col).alias("kind"),
-                        F.col(html_col).cast("string").alias("html")).filter("host <> '' and html <> ''")
-    having = rows.join(bounded_broadcast(some, MAX_WRAPPERS), ["host", "kind"]).select("host", "kind", "html", "constants").mapInArrow(
-        _having, "host string, kind boolean, path string, text string, n long")
-    counts = having.groupBy("host", "kind", "path", "text").agg(F.sum("n").alias("n"))
-    total = counts.filter("path = ''").select("host", "kind", F.col("n").alias("total"))
-    proven = counts.filter("path <> ''").join(total, ["host", "kind"]).filter(100 * F.col("n") >= SHARE * F.col("total"))
-    return proven.groupBy("host", "kind").agg(F.collect_list(F.struct("path", "text")).alias("constants"))
+        out: dict[tuple, None] = {}
+        for host, kind, html, page, shared in zip(*[c.to_pylist() for c in batch.columns]):
+            found, shared = main_blocks(blocks(html), {}), set(shared)
+            same = [x for x in found if block_hash(*x) in shared]
+            out[host, kind, page, 100 * size(same) <= MOST_CONSTANT * size(found), None, None] = None
+            out |= dict.fromkeys((host, kind, None, None, *x) for x in same)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names)
+
+
+def template_constants(pages: DataFrame, shared: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, kind, constants): the ``shared`` blocks (hashes) of a host and
+    kind, where they are a template's and not most of its pages."""
+    from .scratch import written
+
+    rows = _page_rows(pages, url_col, html_col).join(bounded_broadcast(shared, MAX_WRAPPERS), ["host", "kind"])
+    having = written(rows.select("host", "kind", "html", "page", "shared").mapInArrow(
+        _having, "host string, kind boolean, page long, fits boolean, path string, text string").distinct())
+    fits = having.filter("page is not null").groupBy("host", "kind").agg(F.count("*").alias("total"), F.count_if("fits").alias("n")).filter(
+        100 * F.col("n") >= SHARE * F.col("total")).select("host", "kind")
+    found = having.filter("page is null").groupBy("host", "kind").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("constants"))
+    return found.join(fits, ["host", "kind"])
 
 
 def _extract(batches, names):
@@ -435,8 +493,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     slots = wrappers.select("host", "kind", F.explode("paths").alias("path"))
     paths = slots.join(judge_paths(pages, url_col, html_col), ["host", "kind", "path"]).groupBy("host", "kind").agg(
         F.map_from_entries(F.collect_list(F.struct("path", "main"))).alias("paths"))
-    constants = proven_constants(pages, wrappers, url_col, html_col)
-    known = paths.join(constants, ["host", "kind"], "full").select(
+    known = wrappers.select("host", "kind", "constants").join(paths, ["host", "kind"], "left").select(
         F.col("host").alias("__host"), F.col("kind").alias("__kind"), F.to_json(F.struct("paths", "constants")).alias("wrapper"))
     known = written(known)
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("__html"))

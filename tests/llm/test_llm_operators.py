@@ -640,6 +640,26 @@ def test_constants_of_a_host_leave_its_articles(spark):
     assert found["near.example"] == set() and found["few.example"] == set() and "Written by the desk" in found["one.example"]
 
 
+def test_wrappers_are_of_all_pages(spark):
+    """A path that two pages of many have, and a block that most have and a
+    few lack, are in the wrapper and judged, wherever the pages stand."""
+    from meterline.llm.html_wrappers import extract_main_text, infer_wrappers
+
+    rng, rows, want = random.Random(41), [], []
+    for k in range(400):
+        note = "<p>Send corrections here</p>" * (k % 20 > 0)
+        seldom = "<section><dl><dd>Seldom line</dd></dl></section>" * (k in (123, 321))
+        title, body = prose(4, rng), prose(40, rng)
+        rows.append((k, f"http://a.example/{k}", f"<article><h1>{title}</h1>{note}<p>{body}</p></article>"))
+        want.append(f"{title} {body}")
+        rows.append((400 + k, f"http://b.example/{k}", f"<body><div><h1>{title}</h1><p>{body}</p></div>{seldom}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    found = {r["host"]: r for r in infer_wrappers(pages).collect()}
+    assert {x["text"] for x in found["a.example"]["constants"]} == {"Send corrections here"}
+    assert any("section/dl/dd" in p for p in found["b.example"]["paths"])
+    assert sorted(r["text"] for r in extract_main_text(pages).collect()) == sorted(want * 2)
+
+
 # -- more of the pipeline ------------------------------------------------------
 
 def test_pipeline_with_odd_rows_and_empty_tables(spark, tmp_path):
