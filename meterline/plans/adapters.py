@@ -118,8 +118,9 @@ def ledger_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = F.when(F.col("event_id") % 40 == 0, place(
         F.concat(F.lit("archived_sessions/b"), (F.col("user_id") % 4).cast("string"),
                  F.lit("/rollout.jsonl")), model, False))
-    places = F.filter(F.array(place(home_path, model, True), fork, stale), lambda x: x.isNotNull())
-    return ev.select("*", F.explode(places).alias("_pl")).select("*", "_pl.*").drop("_pl")
+    # nulls go after the explode: a filter of the array is interpreted
+    places = F.array(place(home_path, model, True), fork, stale)
+    return ev.select("*", F.explode(places).alias("_pl")).where(F.col("_pl").isNotNull()).select("*", "_pl.*").drop("_pl")
 
 
 def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +154,8 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.struct((us4 + 3).alias("ord"), F.concat(
                        F.lit('{"timestamp":"'), F.col("ts_raw"),
                        F.lit('","type":"response_item","payload":{"type":"message"}}')).alias("line")))
-    arr = F.filter(F.array(ctx, tok, broken, noise), lambda x: x.isNotNull())
-    lines = p.select("path", F.explode(arr).alias("_l")).select("path", "_l.ord", "_l.line")
+    arr = F.array(ctx, tok, broken, noise)
+    lines = p.select("path", F.explode(arr).alias("_l")).where(F.col("_l").isNotNull()).select("path", "_l.ord", "_l.line")
     # The order key's day is the slice used by the carry-forward scan.
     return lines.withColumn("block", F.floor(F.col("ord") / F.lit(4 * DAY * 1_000_000)))
 

@@ -152,9 +152,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             .when(F.coalesce(F.col("_ts_t"), F.lit("")) != "STRING", F.lit("error"))
             .otherwise(F.lit("usage")))
     ctx_model = F.when((F.col("_pm_t") == "STRING") & (F.length("_pm") > 0), F.col("_pm"))
-    classified = s5.select(
-        *keep, kind.alias("_kind"), "_ts", "_us",
-        F.when(kind == "context", ctx_model).alias("ctx_model")).where(F.col("_kind") != "skip")
+    # A filter on the kind would be pushed below all projections, and every
+    # step of the parse repeated in it per use; of an inlined row it is not.
+    one = F.struct(kind.alias("_kind"), F.col("_ts").alias("_ts"), F.col("_us").alias("_us"),
+                   F.when(kind == "context", ctx_model).alias("ctx_model"))
+    classified = s5.select(*keep, F.inline(F.array(one))).where(F.col("_kind") != "skip")
     token_cols = []
     for f, t in TOKEN_FIELDS:
         val = F.col(f"_us.{f}")

@@ -192,3 +192,12 @@ def test_ordered_text_sink_and_exposition_reader(spark):
            for r in read_exposition(spark, out, "codex-ledger", "host:9314").collect()
            if r["name"] == "codex_ledger_token_usage_total"}
     assert got[("m2", "input")] == 10 and got[("m1", "output")] == 1
+
+
+def test_lines_are_parsed_in_one_place(spark):
+    """The filter on a record's kind must not repeat the parse below it."""
+    from meterline.sources.ledger import parse_lines
+
+    lines = spark.createDataFrame([("sessions/a.jsonl", 1, "{}")], "path string, ord long, line string")
+    plan = parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "variant_get" in x.lower()]
