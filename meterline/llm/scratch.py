@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+BATCH_BYTES = 4 << 20   # of texts sent to a task at a time
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Whole texts go to the tasks in Arrow batches of bounded bytes, which
+    the executor's heap and the worker hold a copy of each. It is a setting of
+    the session, read when the result is computed, and stays."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read
     again: it is computed once and survives lost executors."""

@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
+
 SPACE = "▁"
 CACHE_BYTES = 160 << 20  # of the chunks kept by a task, over all variants (parameter)
 ENTRY_BYTES = 200       # of a kept chunk besides its characters and ids
-BATCH_BYTES = 4 << 20   # of texts sent to a task at a time
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20  # texts encoded at a time
 SHORT = 64
 CELLS = 1 << 18         # characters worked out side by side at a time
@@ -344,13 +345,6 @@ def _decode_rows(batches, model, name):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], name)
 
 
-def _small_batches(docs: DataFrame) -> None:
-    """Whole texts go to the tasks in Arrow batches of bounded bytes, which
-    the executor's heap and the worker hold a copy of each. It is a setting of
-    the session, read when the result is computed, and stays."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-
-
 def _model(docs: DataFrame, path: str):
     with open(path, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())  # one model file: its size is fixed
@@ -361,7 +355,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 1, v
     """One row per document: id, variant (by the text's hash), ids, n_pieces
     and lossless (decoding gave the text back). No shuffle. ``cache_bytes`` bounds
     what a task keeps of chunks it has met; less costs time, not results."""
-    _small_batches(docs)
+    small_batches(docs)
     model, names = _model(docs, model_path), [id_col, "variant", "ids", "n_pieces", "lossless"]
     schema = T.StructType([docs.schema[id_col], T.StructField("variant", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])

@@ -40,6 +40,7 @@ PRECISION = 0.9
 COVER = 4               # voters wanted per toxic row
 PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
+KEPT_FEATURES, KEPT_WORDS = 30_000, 200_000  # words whose features or voters a worker keeps, some 20 and 30 MB
 # Plain words (parameter); unknown ones do no harm, their weight is learned.
 LEXICON = ("bastard clown disgusting dumb fool garbage idiot imbecile jerk loser moron pathetic pig scum stupid trash "
            "ugly vermin worthless abruti arschloch basura cabron connard cretin dummkopf idiota idiote imbecil salaud "
@@ -52,13 +53,18 @@ def _patterns():
             re.compile(r"\b(?:[A-Z]{4,}\W+){4}"), re.compile(r"(?i)\b(?:kill|hate|shut up)\b")]
 
 
+def features(word: str) -> list[str]:
+    """The features a word can fire: the word itself and its beginnings."""
+    return ["w:" + word, *["p:" + word[:n] for n in PREFIXES if len(word) > n]]
+
+
 class _Features(dict):
-    """word -> the features it can fire: the word itself and its beginnings."""
+    """word -> its features."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= KEPT_FEATURES:
             self.clear()
-        self[word] = f = ["w:" + word, *["p:" + word[:n] for n in PREFIXES if len(word) > n]]
+        self[word] = f = features(word)
         return f
 
 
@@ -66,12 +72,12 @@ class _Fired(dict):
     """word -> numbers of the voters it fires."""
 
     def __init__(self, voters):
-        self.voters, self.made = voters, _Features()
+        self.voters = voters
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
-        self[word] = f = [self.voters[x] for x in self.made[word] if x in self.voters]
+        self[word] = f = tuple(self.voters[x] for x in features(word) if x in self.voters)
         return f
 
 
@@ -197,8 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(voters, weights) of the scorer; see the module text for its bounds."""
     import numpy as np
 
-    from .scratch import written
+    from .scratch import small_batches, written
 
+    small_batches(docs)
     rows = written(training_rows(docs, labels, id_col, text_col, label_col))
     voters = choose_voters(rows)
     n = len(_patterns()) + len(voters)

@@ -683,3 +683,18 @@ def test_pipeline_with_odd_rows_and_empty_tables(spark, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in decode(out, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert texts[2] == b and texts[None] == a and "hunter2" not in texts[7] and texts[4] == ""
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+# -- more of 5 ---------------------------------------------------------------
+
+def test_toxicity_keeps_few_words(monkeypatch):
+    """What a worker keeps of words is bounded and no part of the result."""
+    from meterline.llm import toxicity as X
+
+    monkeypatch.setattr(X, "KEPT_WORDS", 50)
+    monkeypatch.setattr(X, "KEPT_FEATURES", 20)
+    of, made = X._Fired({"w:idiot": 7, "p:idi": 8}), X._Features()
+    for i in range(1000):
+        assert of[f"word{i}"] == () and made[f"word{i}"] == X.features(f"word{i}")
+        assert tuple(of["idiot"]) == (7, 8) and len(of) <= 51 and len(made) <= 21
+    assert len(vars(of)) == 1  # the voters; no second cache beside it
