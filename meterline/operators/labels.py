@@ -78,15 +78,14 @@ def upsert_env(df: DataFrame, env: str) -> DataFrame:
 
 
 def keep_labels(df: DataFrame) -> DataFrame:
-    """Privacy allowlist on resource and point attributes, then the
-    allowlisted keys as typed label columns ('' when absent)."""
+    """Privacy allowlist on resource and point attributes, and the
+    allowlisted keys as typed label columns ('' when absent). The labels look
+    their keys up in the maps as they came, so plans that need no map filter none."""
     res = F.map_filter("resource", lambda k, v: k == "env")
     att = F.map_filter("attrs", lambda k, v: k.isin([key for key, _ in LABEL_KEYS]))
-    out = df.withColumn("resource", res).withColumn("attrs", att)
-    out = out.withColumn("env", F.coalesce(F.col("resource")["env"], F.lit("")))
-    for key, col in LABEL_KEYS:
-        out = out.withColumn(col, F.coalesce(F.col("attrs")[key], F.lit("")))
-    return out
+    labels = {col: F.coalesce(F.col("attrs")[key], F.lit("")) for key, col in LABEL_KEYS}
+    env = F.coalesce(F.col("resource")["env"], F.lit(""))
+    return df.withColumns({"resource": res, "attrs": att, "env": env, **labels})
 
 
 def contract_filter(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import aggregate as A
 from ..operators import labels as P
 from ..operators import series as T
 from ..operators.dedup import dedup_replays
-from ..session import app_id, checkpoint_dir
+from ..session import app_id, checkpoint_dir, move
 from ..sources import ledger as L
 from . import adapters
 
@@ -42,18 +42,20 @@ _LOCK = threading.RLock()
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build,
-                 partition_by: list[str] | None = None) -> DataFrame:
+                 partition_by: list[str] | None = None, file_rows: int = 0) -> DataFrame:
     """A derived table written once per application as Parquet under the
     shared ``spark.checkpoint.dir`` and read back (like the reference's
     recording rules, which materialise shared series). Reading it back cuts
-    the lineage, prunes columns and, with ``partition_by``, partitions."""
+    the lineage, prunes columns and, with ``partition_by``, partitions.
+    ``file_rows`` bounds a file's rows, so that its readers share the work
+    evenly however many rows a writing task had."""
     key = (app_id(spark), os.path.abspath(sf_dir), name)
     with _LOCK:      # concurrent callers build a table once
         path = _MATERIALIZED.get(key)
         if path is None:
             tag = hashlib.sha1(repr(key).encode()).hexdigest()[:12]
             path = f"{checkpoint_dir(spark).rstrip('/')}/meterline/{name}-{tag}"
-            writer = build().write.mode("overwrite")
+            writer = build().write.mode("overwrite").option("maxRecordsPerFile", file_rows)
             if partition_by:
                 writer = writer.partitionBy(*partition_by)
             writer.parquet(path)
@@ -68,7 +70,7 @@ def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed OTLP payloads, flattened: one row per data point."""
-    return materialized(spark, sf_dir, "otlp_points", lambda: adapters.otlp_points(spark, sf_dir))
+    return materialized(spark, sf_dir, "otlp_points", lambda: adapters.otlp_points(spark, sf_dir), file_rows=FILE_ROWS)
 
 
 def stream_totals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +105,19 @@ def stream_totals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Landings of the stream with stale restart, in the order of arrival.
 DROPS = 3
+#: Most points of a landed file (some MB). A task's whole output in one file of
+#: one row group would be read again by one task.
+FILE_ROWS = 100_000
 
 
 def restart_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 with staleness as a Structured Streaming job. The points land in
     ``DROPS`` slices of their arrival times, one after the other; after each
     landing the stream runs to the end of what has landed and stops, and goes
-    on from its checkpoint (state in RocksDB) after the next. Each micro-batch
-    lands under its batch id. Runs once per application."""
+    on from its checkpoint (state in RocksDB) after the next. The slices are
+    written beside the landing folder in one pass over the points; a slice lands
+    as a whole, by a rename. Each micro-batch lands under its batch id. Runs
+    once per application."""
     from ..streaming.collector import STREAM_KEYS, idempotent_sink, point_delta_rows
     from ..streaming.totals import restarting_totals, rocksdb_state
 
@@ -120,10 +127,13 @@ def restart_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         first, last = points.agg(F.min(arrival), F.max(arrival)).first()
         key = hashlib.sha1(repr((app_id(spark), os.path.abspath(sf_dir))).encode()).hexdigest()[:12]
         base = f"{checkpoint_dir(spark).rstrip('/')}/meterline/restart-{key}"
-        for i in range(DROPS if first is not None else 0):
+        if first is not None:
             slot = F.floor((arrival - first) * DROPS / (last - first + 60))
-            points.where(slot == i).write.mode("append").parquet(f"{base}/land")
-            stream = spark.readStream.schema(points.schema).parquet(f"{base}/land")
+            points.where(arrival.isNotNull()).withColumn("slot", slot).write.option("maxRecordsPerFile", FILE_ROWS) \
+                .partitionBy("slot").parquet(f"{base}/staged")
+        for i in range(DROPS if first is not None else 0):
+            move(spark, f"{base}/staged/slot={i}", f"{base}/land/drop-{i}")
+            stream = spark.readStream.schema(points.schema).option("recursiveFileLookup", True).parquet(f"{base}/land")
             totals = restarting_totals(point_delta_rows(stream, arrival=arrival))
             with rocksdb_state(spark):
                 q = (totals.writeStream.outputMode("append").foreachBatch(idempotent_sink(f"{base}/totals"))

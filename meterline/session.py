@@ -82,6 +82,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder on the file system that Spark writes to; the target's
+    parent is made, whether or not there is a source."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    src, dst = path(source), path(target)
+    fs = src.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(dst.getParent())
+    if fs.exists(src) and not fs.rename(src, dst):
+        raise OSError(f"{source} was not renamed to {target}")
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a dimension side only after proving its size.
 

@@ -47,10 +47,12 @@ def point_delta_rows(points: DataFrame, arrival: F.Column | None = None) -> Data
         return F.struct(F.lit(part).alias("part"), le.alias("le"), value.cast("double").alias("value"))
 
     none = F.lit("")
+    # Lambdas are interpreted: buckets are worked out before, so that the rows of all points are made in generated code.
+    p = p.withColumn("_buckets", F.when(F.col("kind") == "histogram", F.transform(
+        A.bucket_pairs(), lambda b: row("bucket", b["le"], b["count"]))))
     parts = (F.when(F.col("kind") == "sum", F.array(row("", none, F.col("value"))))
              .when(F.col("kind") == "histogram", F.concat(
-                 F.array(row("sum", none, F.col("h_sum")), row("count", none, F.col("h_count"))),
-                 F.transform(A.bucket_pairs(), lambda b: row("bucket", b["le"], b["count"])))))
+                 F.array(row("sum", none, F.col("h_sum")), row("count", none, F.col("h_count"))), F.col("_buckets"))))
     return p.select(*keys, "arrival", F.inline(parts))
 
 

@@ -118,3 +118,33 @@ def test_arrivals_are_stamped_once_and_kept_through_a_replay(spark):
     write(base + "/in", [payload(4, 12)], start=4)
     total = arrival.collect_arrivals(spark, base + "/in", base + "/c", clock)   # idle for more than a day: restarts
     assert sorted((r["t"], r["value"]) for r in total.collect()) == [(1000, 12.0), (2000, 13.0), (2001, 15.0), (9000 + DAY, 4.0)]
+
+
+def test_points_land_slice_by_slice_in_bounded_files(spark, monkeypatch):
+    import datetime as dt
+    import glob
+    import hashlib
+    import os
+
+    import pyarrow.parquet as pq
+
+    from meterline.operators.series import delta_to_cumulative
+    from meterline.plans import jobs
+    from meterline.session import app_id, checkpoint_dir
+
+    monkeypatch.setattr(jobs, "FILE_ROWS", 40, raising=False)
+    sf, start = tempfile.mkdtemp(prefix="meterline-sf-"), dt.datetime(2024, 1, 1)
+    kinds = ["click", "purchase", "view", "signup", "error"]
+    rows = [(i, start + dt.timedelta(minutes=7 * (i // 2)) if i % 50 else None, i % 21, kinds[i % 5], float(i % 30), '{"k": %d}' % (i % 100))
+            for i in range(1000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(sf + "/events.parquet")
+    got = jobs.restart_stream_table(spark, sf)
+    key = hashlib.sha1(repr((app_id(spark), os.path.abspath(sf))).encode()).hexdigest()[:12]
+    files = [f for f in glob.glob(f"{checkpoint_dir(spark)}/meterline/restart-{key}/land/**", recursive=True) if f.endswith(".parquet")]
+    sizes = [pq.read_metadata(f).num_rows for f in files]
+    assert sum(sizes) == 980 and max(sizes) <= 40
+    keys = ["metric", "part", "env", *jobs.P.LABELS, "le"]
+    deltas = jobs.otlp_delta_rows(jobs.points_table(spark, sf)).where(F.col("t").isNotNull())
+    want = delta_to_cumulative(deltas, keys).select(got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
