@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import cached_property
-from itertools import chain
+from itertools import chain, filterfalse, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,20 +49,24 @@ class _Chunks(dict):
     def __init__(self, codec, variant):
         self.codec, self.variant, self.old, self.bytes = codec, variant, {}, 0
 
-    def __setitem__(self, chunk, ids):
-        self.bytes += ENTRY_BYTES + 2 * len(chunk) + len(ids)
-        super().__setitem__(chunk, ids)
+    def keep(self, chunks, ids) -> None:
+        self.bytes += ENTRY_BYTES * len(chunks) + 2 * sum(map(len, chunks)) + sum(map(len, ids))
+        self.update(zip(chunks, ids))
 
     def __missing__(self, chunk):
-        self[chunk] = ids = array("i", self.codec.chunk_ids(chunk, self.variant)).tobytes()
+        ids = array("i", self.codec.chunk_ids(chunk, self.variant)).tobytes()
+        self.keep([chunk], [ids])
         return ids
 
-    def fresh(self, chunks: set) -> set:
-        """Those of ``chunks`` that are yet to be worked out; old ones stay."""
-        new = chunks - self.keys()
-        for c in new & self.old.keys():
-            self[c] = self.old[c]
-        return new - self.old.keys()
+    def fresh(self, chunks: set) -> list:
+        """Those of ``chunks`` that are yet to be worked out; old ones stay.
+        Looks up the chunks only, however many are kept."""
+        new = list(filterfalse(self.__contains__, chunks))
+        if self.old:
+            again = list(filter(self.old.__contains__, new))
+            self.keep(again, list(map(self.old.__getitem__, again)))
+            new = list(filterfalse(self.old.__contains__, new))
+        return new
 
     def turn(self) -> None:
         self.old, self.bytes = dict(self), 0
@@ -90,7 +94,7 @@ class _Pairs:
         self.n = len(names) + 1
         made = sorted((number[p[:k]] * self.n + number[p[k:]], number[p]) for p in ids for k in range(1, len(p))
                       if p[:k] in number and p[k:] in number)
-        self.keys, self.made = np.array([k for k, _ in made], np.int64), np.array([m for _, m in made], np.int32)
+        self._table(np.array([k for k, _ in made], np.int64), np.array([m for _, m in made], np.int32))
         level = {s: i for i, s in enumerate(sorted(set(scores.values())))}
         self.rank = np.array([-1, *[level[scores[p]] if p in scores else -1 for p in names]], np.int32)
         self.ids = np.array([-1, *[ids.get(p, -1) for p in names]], np.int32)
@@ -99,12 +103,46 @@ class _Pairs:
             if len(p) == 1:
                 self.char[ord(p)] = i
 
+    def _table(self, keys, made) -> None:
+        """Open addressing: a pair lies at most ``probes`` slots after its own."""
+        import numpy as np
+
+        self.shift = np.uint64(64 - max(4 * len(keys), 16).bit_length())
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.made, self.probes = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int32), 0
+        slot = self._slot(keys)
+        while len(keys):
+            if self.probes == 64:
+                raise ValueError("the pairs of the vocabulary fall into too few slots")
+            first = np.unique(slot, return_index=True)[1]
+            first = first[self.keys[slot[first]] == -1]
+            self.keys[slot[first]], self.made[slot[first]] = keys[first], made[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, made, slot, self.probes = keys[rest], made[rest], slot[rest] + 1, self.probes + 1
+
+    def _slot(self, keys):
+        import numpy as np
+
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def formed(self, a, b):
         import numpy as np
 
-        key = a.astype(np.int64) * self.n + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], 0)
+        key = (a.astype(np.int64) * self.n + b).ravel()
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.made[slot], 0)
+        todo = np.flatnonzero((there != key) & (there != -1))  # another pair has the slot
+        for d in range(1, self.probes):
+            if not len(todo):
+                break
+            at = slot[todo] + d
+            there = self.keys[at]
+            hit = there == key[todo]
+            out[todo[hit]] = self.made[at[hit]]
+            todo = todo[~hit & (there != -1)]
+        return out.reshape(a.shape)
 
 
 class Codec:
@@ -245,30 +283,50 @@ class Codec:
             agenda[r, before] = pairs.rank[made[r, before]]
         return kept
 
-    def _fill(self, new: list[tuple], cache: dict) -> None:
-        """Works out new (chunk, variant) side by side, by length. Long chunks
-        and those with characters outside the vocabulary are left to
-        :meth:`chunk_ids`."""
+    def _fill(self, new: dict, cache: dict) -> None:
+        """Works out the new chunks of each variant side by side, by length. Long chunks
+        and the few of a length are left to :meth:`chunk_ids`."""
         from collections import defaultdict
 
         import numpy as np
         import xxhash
 
         groups = defaultdict(list)
-        for x in new:
-            groups[len(x[0])].append(x)
+        for v, chunks in new.items():
+            for c in chunks:
+                groups[len(c)].append((c, v))
         parts = ((n, group[a:a + CELLS // n]) for n, group in groups.items() if 1 < n <= SHORT and len(group) >= MANY
                  for a in range(0, len(group), CELLS // n))
         for n, group in parts:
-            symbols = self.pairs.char[np.frombuffer("".join(c for c, _ in group).encode("utf-32-le"), np.uint32).reshape(-1, n)]
-            known = (self.pairs.ids[symbols] >= 0).all(1)
-            group, symbols = [x for x, k in zip(group, known.tolist()) if k], symbols[known]
+            chunks, variants = zip(*group)
+            points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            symbols = self.pairs.char[points]
             key = np.fromiter((xxhash.xxh3_64_intdigest(c, self.seed * 1_000_003 + v) for c, v in group), np.uint64, len(group))
             kept = self._merge_many(symbols, key)
-            flat, start = self.pairs.ids[symbols[kept]].tobytes(), 0
-            for (c, v), end in zip(group, (4 * np.cumsum(kept.sum(1))).tolist()):
-                cache[v][c] = flat[start:end]
-                start = end
+            ids, each = self._spell(self.pairs.ids[symbols[kept]], points[kept])
+            ends = [0, *(4 * np.concatenate([[0], np.cumsum(each)])[np.cumsum(kept.sum(1))]).tolist()]
+            flat, at = ids.tobytes(), 0
+            found = [flat[a:b] for a, b in zip(ends, ends[1:])]
+            for v, some in groupby(variants):  # chunks come by variant
+                end = at + sum(1 for _ in some)
+                cache[v].keep(chunks[at:end], found[at:end])
+                at = end
+
+    def _spell(self, ids, points):
+        """Ids with characters that are no pieces (-1) as their byte pieces;
+        and how many ids each became."""
+        import numpy as np
+
+        lost = ids < 0
+        each = np.ones(len(ids), np.int64)
+        if not lost.any():
+            return ids, each
+        codes = points[lost]
+        each[lost] += (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+        utf8 = codes.tobytes().decode("utf-32-le").encode()
+        out = np.repeat(ids, each)
+        out[np.repeat(lost, each)] = np.array(self.byte_ids, np.int32)[np.frombuffer(utf8, np.uint8)]
+        return out, each
 
     def _chunked(self, text: str) -> list[str]:
         """Chunks of a text; the empty one stands for a space sign in it."""
@@ -283,11 +341,11 @@ class Codec:
         """Ids of each text, as 32-bit integers in bytes; ``cache`` holds the
         chunks' ids by variant."""
         _trim(cache, self.cache_bytes)
-        cut, new = [self._chunked(t) for t in texts], []
+        cut, new = [self._chunked(t) for t in texts], {}
         for v in set(variants):
             chunks = cache.setdefault(v, _Chunks(self, v))
             met = set(chain.from_iterable(c for c, w in zip(cut, variants) if w == v))
-            new += [(c, v) for c in chunks.fresh(met)]
+            new[v] = chunks.fresh(met)
         self._fill(new, cache)
         return [b"".join(map(cache[v].__getitem__, c)) for c, v in zip(cut, variants)]
 
@@ -301,6 +359,28 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))[1:].decode()
 
 
+    @cached_property
+    def _spelt(self):
+        """The bytes of every id, as an Arrow array."""
+        import pyarrow as pa
+
+        return pa.array([self.pieces.get(i) for i in range(max(self.pieces) + 1)], pa.large_binary())
+
+    def decode_many(self, ids, lens) -> list[str]:
+        """The texts of many rows' ids (one array, ``lens`` of each row):
+        :meth:`decode` of each, with one pass over the pieces."""
+        import numpy as np
+
+        if not len(ids):
+            return [""] * len(lens)
+        spelt = self._spelt.take(ids)
+        _, offsets, data = spelt.buffers()
+        starts = np.frombuffer(offsets, np.int64)[spelt.offset:spelt.offset + len(ids) + 1]
+        cuts = starts[np.concatenate([[0], np.cumsum(lens)])].tolist()
+        data = memoryview(data)
+        return [str(data[a + 1:b], "utf-8") if b > a else "" for a, b in zip(cuts, cuts[1:])]
+
+
 def _slices(texts, most: int = SLICE_BYTES):
     """(start, length) of slices of bounded rows and, but for a single longer
     text, ``most`` bytes."""
@@ -328,9 +408,9 @@ def _encode_rows(batches, model, rate, seed, variants, names, cache_bytes):
             part = [t or "" for t in batch.column(1).slice(a, n).to_pylist()]
             variant = [xxhash.xxh3_64_intdigest(t, seed) % variants for t in part]
             ids = codec.encode_many(part, variant, cache)
-            whole = [codec.decode(memoryview(x).cast("i")) == t for x, t in zip(ids, part)]
             lens = np.array([len(x) // 4 for x in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), np.int32)
+            whole = [d == t for d, t in zip(codec.decode_many(flat, lens), part)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(variant, pa.int32()), lists,
                                               pa.array(lens), pa.array(whole)], names)

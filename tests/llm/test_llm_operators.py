@@ -698,3 +698,31 @@ def test_toxicity_keeps_few_words(monkeypatch):
         assert of[f"word{i}"] == () and made[f"word{i}"] == X.features(f"word{i}")
         assert tuple(of["idiot"]) == (7, 8) and len(of) <= 51 and len(made) <= 21
     assert len(vars(of)) == 1  # the voters; no second cache beside it
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3])
+def test_sentencepiece_works_out_odd_characters_side_by_side(rate, monkeypatch):
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    from meterline.llm.sentencepiece_codec import MANY, Codec
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        codec = Codec(f.read(), rate, seed=3)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abeht\nЀ€漢😀éß\x00▁ ") for _ in range(rng.randrange(40))) for _ in range(400)]
+    variants = [i % 3 for i in range(len(texts))]
+    want = [[i for c in codec._chunked(t) for i in codec.chunk_ids(c, v)] for t, v in zip(texts, variants)]
+    alone, one = [], Codec.chunk_ids
+    monkeypatch.setattr(Codec, "chunk_ids", lambda self, chunk, v: alone.append(chunk) or one(self, chunk, v))
+    got = codec.encode_many(texts, variants, {})
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == want
+    per = {}
+    for c in alone:
+        per[len(c)] = per.get(len(c), 0) + 1
+    assert all(n < MANY or k < 2 for k, n in per.items())   # as many of a length as are worth it go together
+    lens = np.array([len(w) for w in want])
+    assert codec.decode_many(np.frombuffer(b"".join(got), np.int32), lens) == texts
+    assert codec.decode_many(np.zeros(0, np.int32), np.zeros(2, int)) == ["", ""]
